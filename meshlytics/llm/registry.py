@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, packing, preference_format, sentencepiece_codec
+from . import language_id, license_scan, line_dedup, packing, pii, preference_format, sentencepiece_codec
 
-MODULES = [sentencepiece_codec, line_dedup, packing, license_scan, preference_format]
+MODULES = [sentencepiece_codec, line_dedup, packing, license_scan, preference_format, pii, language_id]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
