@@ -96,7 +96,10 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], slots: int, languages:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, slots: int = SLOTS) -> Model:
     """The model of the rows of ``labelled`` that have a text and a language."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("y"), F.col(text).alias("t"))
-    rows = rows.orderBy(F.xxhash64("k"), "k", "t").limit(sample)
+    # First the hashes alone, then the texts of the least ones: no task holds more texts than it returns.
+    rows = rows.withColumn("h", F.xxhash64("k", "t"))
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("k", "y", "t")
 
     def count(batch):
         found = [counts(t, slots) for t in batch.column(2).to_pylist()]
@@ -104,7 +107,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         return [batch.column(1), pa.array([None if a is None else a.tobytes() for a in at], pa.binary()), pa.array([None if a is None else n[a].astype("<u4").tobytes() for a, n in zip(at, found)], pa.binary())]
 
     schema = T.StructType([T.StructField("y", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
-    got = [(r["y"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(float)) for r in map_batches(rows.coalesce(1) if sample <= 200 else rows, count, schema).collect() if r["at"] is not None]
+    got = [(r["y"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(float)) for r in map_batches(rows, count, schema).collect() if r["at"] is not None]
     got.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))  # the order of arrival must not matter
     languages = sorted({y for y, _, _ in got})
     if not languages:
@@ -130,15 +133,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return Model(languages, (w * idf[:, None]).astype(np.float32), idf.astype(np.float32), bias, float(temperature))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1, a calibrated probability)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded table of weights
 
     def add(texts):
-        found = [shared.value.predict(t) for t in texts.to_pylist()]
+        found = [shared.value.predict(t.as_py()) for t in texts]
         return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
 
-    return with_columns(docs, add, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], [text])
+    return with_columns(docs, add, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], [text], drop=(text,) if drop_text else ())
 
 
 def held_out(key: str = "doc_id"):
@@ -149,7 +152,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, held_out, lang_pred, score; learnt from rows that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
-    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, drop_text=True).select("doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES = {"op10_language_id": op10_language_id}
