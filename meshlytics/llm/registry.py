@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, language_id, license_scan, line_dedup, minhash, packing, pii, preference_format, sentencepiece_codec
+from . import ann, embedding_dedup, language_id, license_scan, line_dedup, minhash, packing, pii, preference_format, sentencepiece_codec
 
-MODULES = [sentencepiece_codec, ann, line_dedup, minhash, packing, license_scan, preference_format, pii, language_id]
+MODULES = [sentencepiece_codec, ann, line_dedup, minhash, packing, license_scan, preference_format, embedding_dedup, pii, language_id]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
