@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import admin_state, bgp_state, oper_state, parse_time, safe_int, safe_str
 
-FLOW_FIELDS = {"agent": ("string", None), "input_if_index": ("int", 0), "output_if_index": ("int", 0), "src_ip": ("string", "0.0.0.0"), "dst_ip": ("string", "0.0.0.0"), "protocol": ("int", 0), "bytes": ("bigint", 0), "packets": ("bigint", 0), "sampling_rate": ("int", 1)}
+#: The feeds' field names, their types and what absent fields are.
+FLOW_FIELDS = {"agent": ("string", None), "inputifindex": ("int", 0), "outputifindex": ("int", 0), "srcip": ("string", "0.0.0.0"), "dstip": ("string", "0.0.0.0"), "protocol": ("int", 0), "bytes": ("bigint", 0), "packets": ("bigint", 0), "samplingrate": ("int", 1)}
+FLOW_NAMES = {"inputifindex": "input_if_index", "outputifindex": "output_if_index", "srcip": "src_ip", "dstip": "dst_ip", "samplingrate": "sampling_rate"}
 COUNTER_FIELDS = {"agent": ("string", None), "ifindex": ("int", None), "ifname": ("string", None), "ifspeed": ("bigint", 1_000_000_000), "ifinoctets": ("bigint", 0), "ifoutoctets": ("bigint", 0), "ifinerrors": ("int", 0), "ifouterrors": ("int", 0)}
 COUNTER_NAMES = {"ifindex": "if_index", "ifname": "if_name", "ifspeed": "if_speed", "ifinoctets": "if_in_octets", "ifoutoctets": "if_out_octets", "ifinerrors": "if_in_errors", "ifouterrors": "if_out_errors"}
 #: All leaves are read as text, so that one bad value drops its row and not the file.
@@ -34,7 +36,7 @@ def _readable(fields: dict, prefix: str) -> Column:
 def flow_records(feed: DataFrame, fetched_at: Column) -> DataFrame:
     """Records of ``{"flows": [...]}``; defaults for what is absent, rows with unreadable values or no agent dropped."""
     rows = feed.select(F.explode("flows").alias("f")).where(F.col("f.agent").isNotNull() & _readable(FLOW_FIELDS, "f."))
-    return rows.select(*[_typed(F.col(f"f.{k}"), *v).alias(k) for k, v in FLOW_FIELDS.items()], fetched_at.alias("timestamp"))
+    return rows.select(*[_typed(F.col(f"f.{k}"), *v).alias(FLOW_NAMES.get(k, k)) for k, v in FLOW_FIELDS.items()], fetched_at.alias("timestamp"))
 
 
 def counter_records(feed: DataFrame, fetched_at: Column, agent: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -70,8 +72,8 @@ def interface_states(updates: DataFrame) -> DataFrame:
 
 def bgp_neighbors(updates: DataFrame) -> DataFrame:
     """S3b."""
-    rows = _pivot(updates, {"peer_address": r"neighbor-address=([^\]]*)"}, ["session-state", "peer-as", "uptime", "received", "sent", "last-error"]).where(F.col("`session-state`").isNotNull())
-    return rows.select("device", "peer_address", safe_int(F.col("`peer-as`")).cast("int").alias("peer_as"), bgp_state(F.col("`session-state`")).alias("session_state"), safe_int("uptime").alias("uptime_seconds"), safe_int("received").alias("prefixes_received"), safe_int("sent").alias("prefixes_sent"), safe_str(F.col("`last-error`")).alias("last_error"), "timestamp")
+    rows = _pivot(updates, {"peer_address": r"neighbor-address=([^\]]*)"}, ["session-state", "peer-as", "uptime", "received-prefixes", "sent-prefixes", "last-error"]).where(F.col("`session-state`").isNotNull())
+    return rows.select("device", "peer_address", safe_int(F.col("`peer-as`")).cast("int").alias("peer_as"), bgp_state(F.col("`session-state`")).alias("session_state"), safe_int("uptime").alias("uptime_seconds"), safe_int(F.col("`received-prefixes`")).alias("prefixes_received"), safe_int(F.col("`sent-prefixes`")).alias("prefixes_sent"), safe_str(F.col("`last-error`")).alias("last_error"), "timestamp")
 
 
 QUEUE_LEAVES = {"max-queue-len": "max_depth_bytes", "avg-queue-len": "avg_depth_bytes", "pfc-pause-rx": "pfc_pause_rx", "pfc-pause-tx": "pfc_pause_tx", "ecn-marked-pkts": "ecn_marked_packets", "dropped-pkts": "dropped_packets"}
@@ -79,9 +81,9 @@ QUEUE_LEAVES = {"max-queue-len": "max_depth_bytes", "avg-queue-len": "avg_depth_
 
 def queue_stats(updates: DataFrame) -> DataFrame:
     """Queue names that are no numbers are hashed into 0 - 1023."""
-    rows = _pivot(updates, {"interface": r"interface-id=([^\]]*)", "queue": r"queue\[name=([^\]]*)"}, list(QUEUE_LEAVES))
+    rows = _pivot(updates, {"interface": r"interface-id=([^\]]*)", "queue": r"queue\[name=([^\]]*)"}, [*QUEUE_LEAVES, "traffic-class"])
     number = F.coalesce(F.col("queue").try_cast("int"), F.pmod(F.xxhash64("queue"), F.lit(1024)).cast("int"))
-    return rows.select("device", "interface", number.alias("queue_id"), *[F.coalesce(safe_int(F.col(f"`{k}`")), F.lit(0)).cast("bigint").alias(v) for k, v in QUEUE_LEAVES.items()], "timestamp")
+    return rows.select("device", "interface", number.alias("queue_id"), safe_int(F.col("`traffic-class`")).cast("int").alias("traffic_class"), *[F.coalesce(safe_int(F.col(f"`{k}`")), F.lit(0)).cast("bigint").alias(v) for k, v in QUEUE_LEAVES.items()], "timestamp")
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
