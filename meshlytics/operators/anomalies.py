@@ -83,7 +83,7 @@ def record(stored: DataFrame, events: DataFrame, order: str = "ts") -> DataFrame
     pick = {c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in STORED}
     pick |= {
         "severity": F.when(old & F.col("b.fingerprint").isNotNull(), escalate(F.col("a.severity"), F.col("b.severity"))).otherwise(pick["severity"]),
-        "summary": F.coalesce("b.summary", "a.summary"), "metadata_json": F.coalesce("b.metadata_json", "a.metadata_json"), "last_seen_at": F.coalesce("b.last_seen_at", "a.last_seen_at"),
+        "summary": F.coalesce("b.summary", "a.summary"), "metadata_json": F.coalesce("b.metadata_json", "a.metadata_json"), "first_seen_at": F.least("a.first_seen_at", "b.first_seen_at"), "last_seen_at": F.greatest("a.last_seen_at", "b.last_seen_at"),  # batches may come out of order
         "occurrence_count": F.coalesce("a.occurrence_count", F.lit(0)) + F.coalesce("b.occurrence_count", F.lit(0)),
     }
     return both.select(*[v.alias(k) for k, v in pick.items()]).unionByName(closed.select(*STORED))

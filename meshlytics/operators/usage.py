@@ -64,29 +64,52 @@ def current_period(usage: DataFrame, limits: DataFrame, as_of: Column) -> DataFr
     return usage.where(F.col("period_start") == F.date_trunc("day", as_of)).join(limits, ["tenant_id", "tool_name"], "left")
 
 
+#: Seconds of a block of calls; a tool's calls are dealt to tasks by block, not all to one.
+BLOCK_SECONDS = 3600
+
+
+def _blocks(calls: DataFrame, seconds: int) -> tuple[DataFrame, int]:
+    size = max(BLOCK_SECONDS, seconds) * 1_000_000
+    us = F.unix_micros("ts")
+    return calls.withColumns({"_us": us, "_block": F.call_function("div", us, F.lit(size))}), size
+
+
 def rate_report(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: int = 30, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Q20, rolling: calls that have as many or more others of the same tool in the seconds before."""
+    """Q20, rolling: calls that have as many or more others of the same tool in the seconds before. A call near the end of
+    its block is also a row of the next block, where it only counts."""
     most = F.lit(other)
     for tool, n in limits.items():
         most = F.when(F.col("tool_name") == tool, n).otherwise(most)
-    w = Window.partitionBy("tool_name").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
-    rows = calls.withColumn("_us", F.unix_micros("ts")).withColumns({"calls_before": F.count("*").over(w), "max_calls": most})
-    return rows.withColumn("over", F.col("calls_before") >= F.col("max_calls")).drop("_us")
+    rows, size = _blocks(calls, seconds)
+    late = F.col("_us") - F.col("_block") * size > size - seconds * 1_000_000
+    both = F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("_next", F.explode(both)).withColumn("_block", F.col("_block") + F.col("_next"))
+    w = Window.partitionBy("tool_name", "_block").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
+    rows = rows.withColumns({"calls_before": F.count("*").over(w), "max_calls": most}).where(F.col("_next") == 0)
+    return rows.withColumn("over", F.col("calls_before") >= F.col("max_calls")).drop("_us", "_block", "_next")
 
 
 def rate_decisions(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: int = 30, seconds: int = WINDOW_SECONDS, tie: str = "event_id") -> DataFrame:
     """Q20, exact: a call counts against later ones only if it was accepted itself, so calls are taken in turn. Calls of a
-    tool that are more than the window apart can't touch each other; each such stretch is a group of its own."""
-    gap = F.col("_us") - F.lag("_us").over(Window.partitionBy("tool_name").orderBy("_us", tie))
-    marked = calls.withColumn("_us", F.unix_micros("ts")).withColumn("_start", F.coalesce((gap >= seconds * 1_000_000).cast("long"), F.lit(1)))
-    stretch = F.sum("_start").over(Window.partitionBy("tool_name").orderBy("_us", tie).rowsBetween(Window.unboundedPreceding, 0))
-    rows = marked.withColumn("_stretch", stretch).select("tool_name", "_stretch", tie, "_us")
+    tool that are the window or more apart can't touch each other; each such stretch is a group of its own. Stretches are
+    numbered within blocks, and blocks by a table of one row per tool and block."""
+    rows, _ = _blocks(calls, seconds)
+    rows = rows.select("tool_name", "_block", "_us", tie)
+    apart = seconds * 1_000_000
+    w = Window.partitionBy("tool_name", "_block").orderBy("_us", tie)
+    rows = rows.withColumn("_start", F.coalesce((F.col("_us") - F.lag("_us").over(w) >= apart).cast("long"), F.lit(0)))
+    ends = rows.groupBy("tool_name", "_block").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.sum("_start").alias("_n"))
+    by_tool = Window.partitionBy("tool_name").orderBy("_block")
+    ends = ends.withColumn("_own", F.col("_n") + F.coalesce((F.col("_lo") - F.lag("_hi").over(by_tool) >= apart).cast("long"), F.lit(1)))
+    ends = ends.withColumn("_base", F.sum("_own").over(by_tool.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("tool_name", "_block", "_base")
+    inside = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_in", inside).join(ends, ["tool_name", "_block"]).select("tool_name", (F.col("_base") + F.col("_in")).alias("_stretch"), tie, "_us")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_us", tie])
         most, kept, out = limits.get(pdf["tool_name"].iloc[0], other), [], []
         for t in pdf["_us"].tolist():
-            kept = [k for k in kept if t - k < seconds * 1_000_000]
+            kept = [k for k in kept if t - k < apart]
             ok = len(kept) < most
             out.append((ok, None if ok else int(seconds - (t - kept[0]) / 1e6)))
             if ok:
