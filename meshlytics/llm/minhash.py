@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # Copies of one set under ids that repeat elsewhere: their ids are linked as well.
     comps = saved(components(links), "components")
     out = same.join(comps, same["first"] == comps["node"], "left")
-    component = F.coalesce("component", "first", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
