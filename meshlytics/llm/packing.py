@@ -171,16 +171,14 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int = 2048, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """``items`` with ``sequence_id`` long and ``offset`` long.
 
-    ``key`` names the columns that tell items apart; rows that agree in it are told apart by number.
+    ``key`` names the columns by whose hash items are dealt; rows may repeat in it or be null.
     """
-    from pyspark.sql import Window
-
     ship(items.sparkSession)
-    # Rows that agree in the key are rare (repeated documents); their window groups are by key.
-    rows = saved(items.withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy(length))), "items")
-    ident = [*key, "_copy"]
+    # Written with the table, the numbers are those of one run; keys may be null or repeated.
+    rows = saved(items.withColumn("_item", F.monotonically_increasing_id()), "items")
+    ident = ["_item"]
     full = rows.where(F.col(length) >= capacity)
-    rest = rows.where(F.col(length) < capacity).select(F.xxhash64(*ident).alias("h"), *ident, F.col(length).alias("n"))
+    rest = rows.where(F.col(length) < capacity).select(F.xxhash64(*key).alias("h"), *ident, F.col(length).alias("n"))
     names = [f.name for f in rest.schema.fields if f.name not in ("h", "n")]
     out_schema = T.StructType([*[rest.schema[x] for x in names], T.StructField("n", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("place", T.LongType()), T.StructField("opened", T.BooleanType())])
 
@@ -212,8 +210,8 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
     for number in range(rounds + 1):
         count = todo.count() if number == 0 else before
         groups = max(1, -(-count // group))
-        by = F.col("h") if number == 0 else F.xxhash64("bin")
-        dealt = todo if number == 0 else todo.withColumn("h", F.xxhash64(*ident))
+        by = F.xxhash64("h", "_item") if number == 0 else F.xxhash64("bin")
+        dealt = todo if number == 0 else todo.withColumn("h", F.xxhash64("_item"))
         packed = saved(dealt.withColumn("g", F.pmod(by, F.lit(groups))).groupBy("g").applyInPandas(job(number), out_schema), f"packed{number}")
         todo = packed.where("opened")
         before = todo.count() if number < rounds else 0
@@ -226,7 +224,7 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
     some = rows.where(F.col(length) < capacity).join(placed, ident)
     # A full piece is a sequence of its own; its number is negative, those of bins are not.
     alone = full.withColumns({"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long")})
-    return alone.unionByName(some).drop("_copy")
+    return alone.unionByName(some).drop("_item")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
