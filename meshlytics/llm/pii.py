@@ -29,8 +29,8 @@ from .common import read_table, saved, with_columns
 KINDS = ("email", "ip", "card", "phone")
 #: Atoms in a segment at most.
 LONGEST = 6
-#: The most documents that the model is fitted on.
-SAMPLE = 2000
+#: The most documents that the model is fitted on, and how long their sequences may be as JSON; others are only scanned.
+SAMPLE, LEARN_CHARS = 2000, 20_000
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: Its parts, so that long runs without a match cost no more than their length.
@@ -209,7 +209,7 @@ def _scan(text: str | None) -> tuple[list, list]:
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """The weights, from ``_base`` and ``_runs`` of the rows of least hash that have base spans."""
-    some = rows.where(F.length("_base") > 2).select("_base", "_runs").orderBy(F.xxhash64("_base", "_runs"), "_base").limit(sample).collect()
+    some = rows.where((F.length("_base") > 2) & (F.length("_runs") <= LEARN_CHARS)).select("_base", "_runs").orderBy(F.xxhash64("_base", "_runs"), "_base").limit(sample).collect()
     data = []
     for row in some:
         base, runs = json.loads(row["_base"]), json.loads(row["_runs"])
