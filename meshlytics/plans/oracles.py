@@ -233,6 +233,23 @@ ORACLES = {k: with_parts(v) for k, v in {
       FROM (SELECT event_id, tenant_id, tool_name, count(*) OVER w AS c, CAST(sum(response_bytes) OVER w AS BIGINT) AS b FROM tool_call_raw WINDOW w AS (PARTITION BY tenant_id, tool_name, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) LEFT JOIN limits USING (tenant_id, tool_name)""",
     "q19e_quota_listing": f"""SELECT d.tenant_id, d.tool_name, {text('period_start')}, calls_this_period, bytes_out_this_period, call_limit - CASE WHEN d.tool_name = 'get_device_state' THEN 1 ELSE 0 END AS call_limit, byte_limit
       FROM daily d LEFT JOIN limits l ON l.tenant_id = d.tenant_id AND l.tool_name = d.tool_name WHERE period_start = TIMESTAMP '2024-01-20 00:00:00'""",
+    "p_predicates": f"""SELECT tenant_id, count(*) FILTER ({week()}) AS p2, count(*) FILTER (ts_bucket >= {WEEK_AGO} AND ts_bucket < {DAY_AGO}) AS p3, count(*) FILTER (device = 'sw1') AS p4, count(*) FILTER (in_util_pct >= 60 OR out_util_pct >= 60) AS p7,
+      count(*) FILTER (in_util_pct > out_util_pct) AS p8, max(u) AS peak FROM utilization GROUP BY 1""",
+    "p_anomaly_predicates": """SELECT tenant_id, count(*) AS p1, count(*) FILTER (contains(scope, 'interface:1')) AS p5, count(*) FILTER (severity IN ('high', 'critical')) AS p6, count(*) FILTER (severity IN ('medium', 'high', 'critical')) AS p6_unknown, count(*) FILTER (event_id % 3 = 0) AS p9 FROM anomaly_raw GROUP BY 1""",
+    "st1_flow_stream": f"SELECT * EXCLUDE (ts_bucket), {text('ts_bucket')} FROM flows WHERE ts_bucket + INTERVAL 1 MINUTE <= (SELECT max(timestamp) FROM flow_raw) - INTERVAL 2 MINUTE",
+    "st2_counter_stream": f"SELECT event_id, tenant_id, {text('ts_bucket')}, device, interface, in_bps, out_bps, error_count FROM utilization",
+    "st3_state_stream": f"SELECT tenant_id, device, interface, {text('ts_bucket')}, admin_status, oper_status, CAST(strftime(ts_bucket, '%Y%m') AS INT) AS month FROM states",
+    "st4_spike_stream": f"""SELECT {text('e', 'ts')}, c.tenant_id, c.device, c.interface, c.current_bytes FROM (
+      SELECT e, tenant_id, device, interface, CAST(sum(bytes_estimated) AS BIGINT) AS current_bytes FROM (SELECT *, unnest(generate_series(ts_bucket + INTERVAL 30 SECOND, ts_bucket + INTERVAL 5 MINUTE, INTERVAL 30 SECOND)) AS e FROM flows) GROUP BY ALL) c
+      JOIN baselines b ON b.tenant_id = c.tenant_id AND b.device = c.device AND b.interface = c.interface AND b.hour_of_day = hour(e) AND stddev_value <> 0
+      WHERE (current_bytes - mean_value) / stddev_value >= 3 AND e <= (SELECT max(ts_bucket) FROM flows) - INTERVAL 2 MINUTE""",
+    "st5_stress_stream": f"""SELECT {text('e', 'ts')}, tenant_id, device, interface, queue_id, unnest(kinds) AS anomaly_type, pfc, ecn, drops FROM (
+      SELECT *, CASE WHEN drops > 0 AND pfc > 0 THEN ['lossless_drop'] ELSE list_filter([CASE WHEN pfc >= 1000 THEN 'pfc_storm' END, CASE WHEN ecn >= 500 THEN 'ecn_spike' END], lambda k: k IS NOT NULL) END AS kinds FROM (
+        SELECT e, tenant_id, device, interface, queue_id, CAST(sum(pfc_pause_rx + pfc_pause_tx) AS BIGINT) AS pfc, CAST(sum(ecn_marked_packets) AS BIGINT) AS ecn, CAST(sum(dropped_packets) AS BIGINT) AS drops
+        FROM (SELECT *, unnest(generate_series(ts_bucket + INTERVAL 30 SECOND, ts_bucket + INTERVAL 5 MINUTE, INTERVAL 30 SECOND)) AS e FROM queues) GROUP BY ALL)) WHERE e <= (SELECT max(ts_bucket) FROM queues) - INTERVAL 2 MINUTE""",
+    "st6_breach_stream": "SELECT tenant_id, 'device:' || device || '/interface:' || interface AS scope, 'threshold_breach' AS anomaly_type FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, device, interface ORDER BY ts_bucket DESC) AS k FROM utilization) WHERE k = 1 AND u >= 60",
+    "st7_dedup_stream": f"SELECT tenant_id, fingerprint, severity, n AS occurrence_count, {text('lo', 'first_seen_at')}, {text('hi', 'last_seen_at')} FROM conditions",
+    "st8_freshness_stream": f"SELECT tenant_id, source_kind, device, {text('last_ingest_ts')}, last_sample_count, 'fresh' AS status FROM beats",
     "q20_rate_report": """SELECT event_id, n AS calls_before, n >= CASE WHEN tool_name IN ('get_top_talkers', 'get_rdma_health', 'explain_hot_link') THEN 1 ELSE 2 END AS over
       FROM (SELECT event_id, tool_name, count(*) OVER (PARTITION BY tool_name ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING) AS n FROM tool_call_raw)""",
 }.items()}

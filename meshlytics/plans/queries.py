@@ -170,6 +170,25 @@ def k3_month_layout(t):
     return sinks.with_month(t.flows).groupBy("month").agg(F.count("*").alias("n"), F.sum("bytes_estimated").alias("bytes_estimated"))
 
 
+@query
+def p_predicates(t):
+    """P2 - P4, P7, P8 as counts."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    rows = t.utilization
+    return rows.groupBy("tenant_id").agg(
+        n(C.trailing("ts_bucket", as_of(), WEEK)).alias("p2"), n(C.half_open("ts_bucket", C.minutes_before(as_of(), WEEK), C.minutes_before(as_of(), DAY))).alias("p3"), n(F.col("device") == "sw1").alias("p4"),
+        n(C.either_at_least(60.0)).alias("p7"), n(C.direction() == "inbound").alias("p8"), F.max(C.peak()).alias("peak"),
+    )
+
+
+@query
+def p_anomaly_predicates(t):
+    """P1, P5, P6, P9 as counts."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    rows = t.anomalies.withColumn("resolved_at", F.when(F.col("event_id") % 3 > 0, F.col("ts")))
+    return rows.groupBy("tenant_id").agg(F.count("*").alias("p1"), n(F.col("scope").contains("interface:1")).alias("p5"), n(C.severity_at_least("high")).alias("p6"), n(C.severity_at_least("odd")).alias("p6_unknown"), n(C.is_open()).alias("p9"))
+
+
 # Transforms --------------------------------------------------------------------------------------------------------------
 @query
 def e1_minute_bucket(t):

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from meshlytics.plans.oracles import ORACLES
-from meshlytics.plans.queries import QUERIES
+from meshlytics.plans.stream_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
