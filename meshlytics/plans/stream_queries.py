@@ -79,7 +79,7 @@ def st3_state_stream(spark, sf_dir):
     feed = stream(spark, sf_dir, "iface_raw").select("device", "timestamp", F.array(F.struct(F.array(leaf("oper-status", "oper_status"), leaf("admin-status", "admin_status")).alias("update"))).alias("notification"))
     at = folder(spark)
     paths = {k: f"{at}/{k}" for k in ("interface", "bgp", "queue")}
-    finish(streams.state_batches(feed, streams.Routing(lambda: view(spark, sf_dir, "collector_sources")), paths), at)
+    finish(streams.state_batches(feed, streams.Routing(lambda: view(spark, sf_dir, "collector_sources"), f"{at}/routing"), paths), at)
     return spark.read.parquet(paths["interface"]).select("tenant_id", "device", "interface", "ts_bucket", "admin_status", "oper_status", "month")
 
 

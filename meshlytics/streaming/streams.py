@@ -107,15 +107,18 @@ def freshness_batches(ingested: DataFrame, store: Versions) -> DataStreamWriter:
 
 
 class Routing:
-    """ST9: mappings that are read again for each batch; the last good ones stay if that fails."""
+    """ST9: mappings that are read again for each batch, each good reading kept as a version below ``root``; the last
+    version stays in use if a reading fails."""
 
-    def __init__(self, read: Callable[[], DataFrame]):
-        self.read, self.last, self.failures = read, None, 0
+    def __init__(self, read: Callable[[], DataFrame], root: str):
+        self.read, self.root, self.last, self.version, self.failures = read, root.rstrip("/"), None, 0, 0
 
     def __call__(self) -> DataFrame:
+        path = f"{self.root}/v={self.version}"
         try:
             rows = self.read()
-            self.last = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)  # some rows per source, refreshed each minute upstream
+            rows.write.mode("overwrite").parquet(path)
+            self.last, self.version = rows.sparkSession.read.schema(rows.schema).parquet(path), self.version + 1
         except Exception:
             self.failures += 1
             if self.last is None:

@@ -76,7 +76,7 @@ def test_state_batches_and_routing(spark, sources, tmp_path):
             raise OSError("gone")
         return sources
 
-    routing = streams.Routing(read)
+    routing = streams.Routing(read, str(tmp_path / "routing"))
     paths = {k: str(tmp_path / k) for k in ("interface", "bgp", "queue")}
     run(streams.state_batches(feed, routing, paths), tmp_path, "st3")
     back = spark.read.parquet(paths["interface"])
