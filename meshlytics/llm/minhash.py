@@ -36,7 +36,7 @@ WIDE = 512
 #: Rounds of hubs before blocks.
 ROUNDS = 2
 #: Members of a block, about; lists up to SMALL are compared pair by pair.
-BLOCK, SMALL = 1024, 16
+BLOCK, SMALL = 512, 16
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, k: int = K) -> Da
             s = shingles(t.as_py(), words)
             n.append(len(s))
             fp.append(xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-            parts.append(s[:k].view(np.int64))
+            parts.append(s[:k].view(np.int64).copy())  # a view would keep the whole set
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
         return [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))]
 
