@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,9 +125,14 @@ TABLES = {"tenants": ["region"], "collector_sources": ["nation"], "ecmp_groups":
 AS_OF, WEEK, DAY = "2024-01-31 00:00:00", 10_080, 1440
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; times become timestamps of the session's zone."""
+def view(spark: SparkSession, sf_dir: str, name: str, last_minutes: int | None = None) -> DataFrame:
+    """A view as a DataFrame; times become timestamps of the session's zone. With ``last_minutes`` only events that can
+    be in minutes of that window before ``AS_OF`` are read: a filter on the stored column, which reaches the files."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES.get(name, ["events"])}
+    if last_minutes is not None and "events" in tables:
+        kind, end = tables["events"].schema["ts"].dataType, datetime.fromisoformat(AS_OF)
+        time = lambda x: F.lit(str(x)).cast(kind)
+        tables["events"] = tables["events"].where((F.col("ts") >= time(end - timedelta(minutes=last_minutes))) & (F.col("ts") < time(end + timedelta(minutes=1))))
     sql = reduce(lambda s, t: s.replace(f"FROM {t}", f"FROM {{{t}}}"), tables, VIEWS[name])
     df = spark.sql(sql, **tables)
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})

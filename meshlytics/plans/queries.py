@@ -33,8 +33,13 @@ def as_of():
 class Tables:
     """Minute tables of the views, made when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.view = spark, lambda name: view(spark, sf_dir, name)
+    def __init__(self, spark: SparkSession, sf_dir: str, last_minutes: int | None = None):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.view = lambda name: view(spark, sf_dir, name, last_minutes)
+
+    def last(self, minutes: int) -> Tables:
+        """The same of the events of a trailing window only."""
+        return Tables(self.spark, self.sf_dir, minutes)
 
     @property
     def flows(self) -> DataFrame:
@@ -67,11 +72,11 @@ class Tables:
     @property
     def groups(self) -> DataFrame:
         configured = normalize.route(self.view("ecmp_groups").withColumn("members", F.split("members_csv", ",")), self.view("collector_sources"), "gnmi")
-        return fabric.resolve_groups(configured, fabric.infer_groups(self.states, as_of(), DAY))
+        return fabric.resolve_groups(configured, fabric.infer_groups(self.last(DAY).states, as_of(), DAY))
 
     @property
     def imbalance(self) -> DataFrame:
-        return fabric.group_imbalance(self.groups, fabric.member_utilization(self.utilization, as_of(), WEEK))
+        return fabric.group_imbalance(self.groups, fabric.member_utilization(self.last(WEEK).utilization, as_of(), WEEK))
 
     @property
     def calls(self) -> DataFrame:
@@ -145,7 +150,7 @@ def s3c_queue_stats(t):
 
 @query
 def s4_scan(t):
-    return t.utilization.where(C.trailing("ts_bucket", as_of(), WEEK) & (F.col("device") == "sw1")).select("tenant_id", "ts_bucket", "interface", "in_bps", "error_count")
+    return t.last(WEEK).utilization.where(C.trailing("ts_bucket", as_of(), WEEK) & (F.col("device") == "sw1")).select("tenant_id", "ts_bucket", "interface", "in_bps", "error_count")
 
 
 @query
@@ -265,47 +270,47 @@ def e13_source_listing(t):
 # Flow questions ------------------------------------------------------------------------------------------------------------
 @query
 def q1a_top_talkers(t):
-    return flows.top_talkers(t.flows, as_of(), WEEK)
+    return flows.top_talkers(t.last(WEEK).flows, as_of(), WEEK)
 
 
 @query
 def q1a_top_talkers_device(t):
-    return flows.top_talkers(t.flows, as_of(), WEEK, "device:sw1", 5).select("tenant_id", "rank", "src_ip", "dst_ip", "protocol_name", "bytes_estimated")
+    return flows.top_talkers(t.last(WEEK).flows, as_of(), WEEK, "device:sw1", 5).select("tenant_id", "rank", "src_ip", "dst_ip", "protocol_name", "bytes_estimated")
 
 
 @query
 def q1b_protocol_breakdown(t):
-    return flows.protocol_breakdown(flows.top_talkers(t.flows, as_of(), WEEK))
+    return flows.protocol_breakdown(flows.top_talkers(t.last(WEEK).flows, as_of(), WEEK))
 
 
 @query
 def q1c_confidence_note(t):
-    return flows.talkers_note(flows.top_talkers(t.flows, as_of(), WEEK), t.tenants)
+    return flows.talkers_note(flows.top_talkers(t.last(WEEK).flows, as_of(), WEEK), t.tenants)
 
 
 @query
 def q3_protocol_mix(t):
-    return flows.protocol_mix(t.flows, as_of(), WEEK)
+    return flows.protocol_mix(t.last(WEEK).flows, as_of(), WEEK)
 
 
 @query
 def q3_protocol_headline(t):
-    return flows.protocol_headline(flows.protocol_mix(t.flows, as_of(), WEEK), WEEK)
+    return flows.protocol_headline(flows.protocol_mix(t.last(WEEK).flows, as_of(), WEEK), WEEK)
 
 
 @query
 def q4a_link_peak(t):
-    return flows.link_peak(t.utilization, as_of(), WEEK)
+    return flows.link_peak(t.last(WEEK).utilization, as_of(), WEEK)
 
 
 @query
 def q4b_link_contributors(t):
-    return flows.link_contributors(t.flows, as_of(), WEEK)
+    return flows.link_contributors(t.last(WEEK).flows, as_of(), WEEK)
 
 
 @query
 def q4c_hot_links(t):
-    return flows.hot_links(flows.link_peak(t.utilization, as_of(), WEEK), flows.link_contributors(t.flows, as_of(), WEEK)).select("tenant_id", "device", "interface", "peak_ts", "narrative", "confidence_note")
+    return flows.hot_links(flows.link_peak(t.last(WEEK).utilization, as_of(), WEEK), flows.link_contributors(t.last(WEEK).flows, as_of(), WEEK)).select("tenant_id", "device", "interface", "peak_ts", "narrative", "confidence_note")
 
 
 @query
@@ -315,86 +320,86 @@ def q5_compare_windows(t):
 
 @query
 def q2a_interface_utilization(t):
-    return interfaces.interface_utilization(t.utilization, as_of(), WEEK, "event_id").drop("trend")
+    return interfaces.interface_utilization(t.last(WEEK).utilization, as_of(), WEEK, "event_id").drop("trend")
 
 
 @query
 def q2b_trend(t):
-    return interfaces.interface_utilization(t.utilization, as_of(), WEEK, "event_id").select("tenant_id", "device", "interface", "trend")
+    return interfaces.interface_utilization(t.last(WEEK).utilization, as_of(), WEEK, "event_id").select("tenant_id", "device", "interface", "trend")
 
 
 @query
 def q2c_threshold_breaches(t):
-    return interfaces.threshold_breaches(t.utilization, as_of(), WEEK)
+    return interfaces.threshold_breaches(t.last(WEEK).utilization, as_of(), WEEK)
 
 
 # Stored anomalies ------------------------------------------------------------------------------------------------------------
 @query
 def q6a_recent_anomalies(t):
-    return anomalies.recent(t.anomalies, as_of(), WEEK, "device:sw1", "high", tie="event_id")
+    return anomalies.recent(t.last(WEEK).anomalies, as_of(), WEEK, "device:sw1", "high", tie="event_id")
 
 
 @query
 def q6b_anomaly_rollup(t):
-    return anomalies.rollup(anomalies.recent(t.anomalies, as_of(), WEEK, severity_min="medium", tie="event_id"))
+    return anomalies.rollup(anomalies.recent(t.last(WEEK).anomalies, as_of(), WEEK, severity_min="medium", tie="event_id"))
 
 
 @query
 def q7a_anomaly_facts(t):
-    return anomalies.facts(anomalies.recent(t.anomalies, as_of(), WEEK, severity_min="low", limit=25, tie="event_id"))
+    return anomalies.facts(anomalies.recent(t.last(WEEK).anomalies, as_of(), WEEK, severity_min="low", limit=25, tie="event_id"))
 
 
 @query
 def q7b_anomaly_narrative(t):
-    return anomalies.narrative(anomalies.facts(anomalies.recent(t.anomalies, as_of(), WEEK, severity_min="low", limit=25, tie="event_id")), t.tenants, WEEK)
+    return anomalies.narrative(anomalies.facts(anomalies.recent(t.last(WEEK).anomalies, as_of(), WEEK, severity_min="low", limit=25, tie="event_id")), t.tenants, WEEK)
 
 
 # Inventory and state -----------------------------------------------------------------------------------------------------------
 @query
 def q8_list_devices(t):
-    return inventory.list_devices(t.utilization, as_of())
+    return inventory.list_devices(t.last(DAY).utilization, as_of())
 
 
 @query
 def q9_list_interfaces(t):
-    return inventory.list_interfaces(t.utilization, t.flows, as_of())
+    return inventory.list_interfaces(t.last(DAY).utilization, t.last(DAY).flows, as_of())
 
 
 @query
 def q10a_latest_interfaces(t):
-    return state.latest_interfaces(t.states, as_of(), DAY, ("ts_bucket", "event_id")).select("tenant_id", "device", "interface", "ts_bucket", "admin_status", "oper_status", "speed_bps")
+    return state.latest_interfaces(t.last(DAY).states, as_of(), DAY, ("ts_bucket", "event_id")).select("tenant_id", "device", "interface", "ts_bucket", "admin_status", "oper_status", "speed_bps")
 
 
 @query
 def q10b_interfaces_down(t):
-    return state.interfaces_down(state.latest_interfaces(t.states, as_of(), DAY, ("ts_bucket", "event_id"))).select("tenant_id", "device", "interface")
+    return state.interfaces_down(state.latest_interfaces(t.last(DAY).states, as_of(), DAY, ("ts_bucket", "event_id"))).select("tenant_id", "device", "interface")
 
 
 @query
 def q10c_bgp_state(t):
-    return state.latest_bgp(t.bgp, as_of(), DAY, ("ts_bucket", "event_id")).select("tenant_id", "device", "peer_address", "ts_bucket", "session_state", "is_down")
+    return state.latest_bgp(t.last(DAY).bgp, as_of(), DAY, ("ts_bucket", "event_id")).select("tenant_id", "device", "peer_address", "ts_bucket", "session_state", "is_down")
 
 
 @query
 def q10d_device_queues(t):
-    return state.device_queues(t.queues, as_of(), DAY)
+    return state.device_queues(t.last(DAY).queues, as_of(), DAY)
 
 
 @query
 def q10e_state_note(t):
     named = t.states.select("tenant_id", "device").unionByName(t.anomalies.select("tenant_id", F.lit("sw9").alias("device")))
-    return state.state_note(named, [t.states, t.bgp, t.queues], as_of(), DAY)
+    return state.state_note(named, [t.last(DAY).states, t.last(DAY).bgp, t.last(DAY).queues], as_of(), DAY)
 
 
 @query
 def q11_state_sources(t):
-    return inventory.list_state_sources(t.states, as_of())
+    return inventory.list_state_sources(t.last(DAY).states, as_of())
 
 
 # Fabric and RDMA -----------------------------------------------------------------------------------------------------------------
 @query
 def q12a_member_utilization(t):
-    return fabric.member_utilization(t.utilization, as_of(), WEEK)
+    return fabric.member_utilization(t.last(WEEK).utilization, as_of(), WEEK)
 
 
 @query
@@ -404,7 +409,7 @@ def q12b_ecmp_groups(t):
 
 @query
 def q12c_speed_groups(t):
-    return fabric.infer_groups(t.states, as_of(), DAY).select("tenant_id", "device", "group_name", F.array_join("members", ",").alias("members"))
+    return fabric.infer_groups(t.last(DAY).states, as_of(), DAY).select("tenant_id", "device", "group_name", F.array_join("members", ",").alias("members"))
 
 
 @query
@@ -419,29 +424,29 @@ def q12e_fabric_severity(t):
 
 @query
 def q13a_udp_share(t):
-    return rdma.udp_share(t.flows, as_of(), DAY)
+    return rdma.udp_share(t.last(DAY).flows, as_of(), DAY)
 
 
 @query
 def q13b_top_udp_pairs(t):
-    return rdma.top_udp_pairs(t.flows, as_of(), WEEK)
+    return rdma.top_udp_pairs(t.last(WEEK).flows, as_of(), WEEK)
 
 
 @query
 def q13c_queue_signals(t):
-    return rdma.queues_with_signals(t.queues, as_of(), DAY)
+    return rdma.queues_with_signals(t.last(DAY).queues, as_of(), DAY)
 
 
 @query
 def q13d_rdma_assessment(t):
-    rows = rdma.assess(rdma.udp_share(t.flows, as_of(), DAY), rdma.queues_with_signals(t.queues, as_of(), DAY))
+    rows = rdma.assess(rdma.udp_share(t.last(DAY).flows, as_of(), DAY), rdma.queues_with_signals(t.last(DAY).queues, as_of(), DAY))
     return rows.select("tenant_id", "severity", F.array_join("drivers", " | ").alias("drivers"))
 
 
 # Baselines and detectors -----------------------------------------------------------------------------------------------------------
 @query
 def q14_baselines(t):
-    return baselines.compute_baselines(t.flows, as_of())
+    return baselines.compute_baselines(t.last(WEEK).flows, as_of())
 
 
 @query
@@ -451,21 +456,21 @@ def q15a_threshold_detector(t):
 
 @query
 def q15b_spike_detector(t):
-    return detect.spikes(t.flows, baselines.compute_baselines(t.flows, as_of()), as_of(), DAY).drop("metadata_json")
+    return detect.spikes(t.flows, baselines.compute_baselines(t.last(WEEK).flows, as_of()), as_of(), DAY).drop("metadata_json")
 
 
 @query
 def q15b_spike_scores(t):
-    return detect.spike_scores(t.flows, baselines.compute_baselines(t.flows, as_of()), as_of(), DAY).select("tenant_id", "device", "interface", "current_bytes", "sample_count", "z_score")
+    return detect.spike_scores(t.flows, baselines.compute_baselines(t.last(WEEK).flows, as_of()), as_of(), DAY).select("tenant_id", "device", "interface", "current_bytes", "sample_count", "z_score")
 
 
 @query
 def q15c_rdma_stress(t):
-    return detect.rdma_stress(t.queues, as_of(), DAY).drop("metadata_json")
+    return detect.rdma_stress(t.last(DAY).queues, as_of(), DAY).drop("metadata_json")
 
 
 def _events(t):
-    return detect.run_all(t.utilization, t.flows, t.queues, baselines.compute_baselines(t.flows, as_of()), t.tenants, as_of(), DAY, ("ts_bucket", "event_id"))
+    return detect.run_all(t.utilization, t.last(DAY).flows, t.last(DAY).queues, baselines.compute_baselines(t.last(WEEK).flows, as_of()), t.tenants, as_of(), DAY, ("ts_bucket", "event_id"))
 
 
 @query
