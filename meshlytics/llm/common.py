@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of texts that cross to Python at once, and that are worked on at once.
+BATCH_ROWS, SLICE_ROWS = 2000, 500
 #: Only used where ``spark.checkpoint.dir`` is unset (tests, local runs).
 LOCAL_WORK_DIR = "/tmp/checkpoints/meshlytics"
 
@@ -20,12 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers that share this machine import the package; a cluster gets it by ``--py-files``."""
+    """Lets Python workers that share this machine import the package (a cluster gets it by ``--py-files``), and keeps the
+    batches that cross to them small, since rows hold whole texts."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -48,8 +53,9 @@ def map_batches(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in fn(batch)], names)
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in fn(batch.slice(low, SLICE_ROWS))], names)
+        pa.default_memory_pool().release_unused()  # workers live on after the task
 
     return df.mapInArrow(run, schema)
 
