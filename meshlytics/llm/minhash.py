@@ -158,11 +158,12 @@ def hub_pairs(postings: DataFrame, number: int) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def still_apart(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """The postings with their components, of the lists that hold several."""
+def still_apart(postings: DataFrame, links: DataFrame, compared: bool = True) -> DataFrame:
+    """The postings with their components, of the lists that hold several. Lists of two are left out where hubs have
+    ``compared`` the members of these lists: their one pair is done."""
     comps = saved(components(links), "components")
     now = postings.join(comps, postings["id"] == comps["node"], "left").select("v", "id", "n", F.coalesce("component", "id").alias("comp"))
-    open_lists = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("v", "size")
+    open_lists = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {2 if compared else 1}").select("v", "size")
     return saved(now.join(open_lists, "v"), "apart")
 
 
@@ -239,7 +240,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         # Nodes of long lists are listed anew by larger sketches, of which fewer values have to be listed.
         wide = saved(sketches(texts.join(hot, "id", "left_semi"), "id", "text", words, WIDE).select("id", "n", "sketch"), "wide")
         postings = saved(rare_postings(wide, WIDE, percent), "postings")
-        apart = still_apart(postings, links)
+        apart = still_apart(postings, links, compared=False)
         for number in range(rounds):
             if apart.isEmpty():
                 break

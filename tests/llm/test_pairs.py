@@ -1,6 +1,7 @@
 """Operators 2, 4 and 8 against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,6 +77,27 @@ def test_near_texts(spark, words, percent):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_pair_alone_in_its_wide_lists(spark):
+    """Near copies of passages that thousands of texts share: their lists are long with 64 values, and of two with 512."""
+    rng = random.Random(1)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [some(100) for _ in range(4)]
+    texts = [[*sum(rng.sample(passages, 3), []), *some(88)] for _ in range(3000)]
+    texts += [[*sum(order, []), *some(10)] for order in (passages, passages[::-1])]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    seen = Counter(s for x in sets for s in x)
+    place = {s: k for k, s in enumerate(s for s, n in seen.items() if n > 1)}
+    m = np.zeros((len(sets), len(place)), np.float32)
+    for k, x in enumerate(sets):
+        m[k, [place[s] for s in x if s in place]] = 1
+    both, size = m @ m.T, np.array([len(x) for x in sets])
+    links = np.argwhere(np.triu(100 * both >= 80 * (size[:, None] + size[None, :] - both), 1)).tolist()
+    assert links == [[3000, 3001]]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert got == smallest_reachable(range(len(texts)), links)
+
+
 def test_blocks_find_what_hubs_miss(spark):
     """Lists of many members in different components: blocks of bounded size still find each near pair."""
     rng = np.random.default_rng(3)
