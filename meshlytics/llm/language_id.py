@@ -2,8 +2,11 @@
 
 N-grams of one to three characters of the lower-cased text are hashed to a fixed number of slots. The model is trained
 with the follow-the-regularised-leader proximal rule and elastic-net penalties (McMahan and others, 2013), then one
-temperature is fitted on rows kept apart. It is fitted on at most ``sample`` labelled rows, those of least key hash;
-counting their n-grams is a Spark job, only the counts come to the driver. Prediction runs over all rows and whole texts.
+temperature is fitted on rows kept apart. Languages and document frequencies are those of all labelled rows that have a
+letter. Weights are fitted on at most ``sample`` of these rows, of each language those of least key hash: in proportion,
+but a quarter of the sample is dealt evenly, so that rare languages are learnt too (with more languages than fit, one row
+each). Counting is a Spark job, only sums and the sample's counts come to the driver. Prediction runs over all rows and
+whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the language that is first
 in order; without labelled rows every text is ``und``; repeated rows get the same result; other columns stay, but for
@@ -12,15 +15,16 @@ those named like the results.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, read_table, with_columns
+from .common import map_batches, read_table, ship, with_columns
 
 SLOTS = 1 << 15
 #: The most labelled rows that the model is fitted on; every fourth of them only for the temperature.
@@ -93,13 +97,53 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], slots: int, languages:
     return w[:-1], w[-1]
 
 
+def document_frequencies(texts: DataFrame, slots: int) -> tuple[np.ndarray, int]:
+    """In how many of the texts with a letter each slot occurs, and how many such texts there are (both over all rows)."""
+    ship(texts.sparkSession)
+
+    def add(batches):
+        seen = np.zeros(slots + 1, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                if (n := counts(t.as_py(), slots)) is not None:
+                    seen[:-1] += n > 0
+                    seen[-1] += 1
+        at = seen.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["slot", "n"])
+
+    sums = texts.mapInArrow(add, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(slots + 1)
+    for r in sums:
+        seen[r["slot"]] = r["n"]
+    return seen[:-1], int(seen[-1])
+
+
+def quotas(sizes: list[int], sample: int) -> list[int]:
+    """How many rows of each language are sampled: all if they fit, else a quarter evenly and the rest in proportion."""
+    total = sum(sizes)
+    if total <= sample:
+        return sizes
+    even = sample // (4 * len(sizes))
+    rest = sample - even * len(sizes)
+    return [min(n, max(1, even + rest * n // total)) for n in sizes]
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, slots: int = SLOTS) -> Model:
     """The model of the rows of ``labelled`` that have a text and a language."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("y"), F.col(text).alias("t"))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("y"), F.col(text).alias("t"))
+    seen, total = document_frequencies(rows.select("t"), slots)
     # First the hashes alone, then the texts of the least ones: no task holds more texts than it returns.
     rows = rows.withColumn("h", F.xxhash64("k", "t"))
-    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("k", "y", "t")
+    hashes = rows.select("y", "h").distinct()
+    known = {r["y"]: r["n"] for r in hashes.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not known:
+        return Model([], np.zeros((slots, 0)), np.zeros(slots), np.zeros(0), 1.0)
+    quota = labelled.sparkSession.createDataFrame([(y, n, q) for (y, n), q in zip(known.items(), quotas(list(known.values()), sample))], "y string, all long, quota long")
+    # Hashes are even, so about a quota of each language is under its share; these few are ranked.
+    share = (F.col("quota") + 6 * F.sqrt("quota") + 40) / F.col("all")
+    under = (F.col("quota") == F.col("all")) | (F.col("h").cast("double") < (F.least(F.lit(1.0), share) - 0.5) * 2.0**64)
+    least = hashes.join(F.broadcast(quota), "y").where(under).withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where("rank <= quota").select("y", "h")
+    rows = rows.join(F.broadcast(least), ["y", "h"]).dropDuplicates(["y", "h"]).select("k", "y", "t")
 
     def count(batch):
         found = [counts(t, slots) for t in batch.column(2).to_pylist()]
@@ -112,16 +156,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     languages = sorted({y for y, _, _ in got})
     if not languages:
         return Model([], np.zeros((slots, 0)), np.zeros(slots), np.zeros(0), 1.0)
-    seen = np.zeros(slots)
-    for _, at, _ in got:
-        seen[at] += 1
-    idf = np.log((1 + len(got)) / (1 + seen)) + 1
-    vectors = []
+    idf = np.log((1 + total) / (1 + seen)) + 1
+    vectors, fourth, of = [], [], Counter()
     for y, at, n in got:
         x = np.log1p(n) * idf[at]
         vectors.append((np.append(at, slots), np.append(x / max(np.linalg.norm(x), 1e-12), 1.0), languages.index(y)))
-    apart = [v for k, v in enumerate(vectors) if k % 4 == 3] or vectors
-    w, bias = ftrl([v for k, v in enumerate(vectors) if k % 4 != 3] or vectors, slots, len(languages))
+        fourth.append(of[y] % 4 == 3)  # by language: each one's first rows are learnt from
+        of[y] += 1
+    apart = [v for v, f in zip(vectors, fourth) if f] or vectors
+    w, bias = ftrl([v for v, f in zip(vectors, fourth) if not f], slots, len(languages))
     z = np.array([x[:-1] @ w[at[:-1]] + bias for at, x, _ in apart])
     truth = np.array([y for _, _, y in apart])
 

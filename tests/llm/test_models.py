@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 from meshlytics.llm import language_id, minhash, pii
 from pyspark.sql import functions as F
 
@@ -72,6 +73,18 @@ def test_language(spark):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_rare_language_and_frequencies_of_all_rows(spark):
+    """A language with 1 of 500 rows is learnt from a sample of 200, and document frequencies are those of all rows."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join("abcdefgh"[i] for i in rng.integers(0, 8, 30)), "xx") for k in range(1497)] + [(5000 + k, f"zuz zyz zuz {'zy' * (k + 1)}", "zz") for k in range(3)]
+    rows += [(9000, "12 34", "yy"), (9001, None, "yy"), (9002, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(df, sample=200)
+    assert model.languages == ["xx", "zz"] and model.predict("zuz zyz")[0] == "zz" and model.predict("ab cd ef")[0] == "xx"
+    seen = sum((language_id.counts(t) > 0).astype(int) for _, t, y in rows[:1500])
+    assert np.allclose(model.idf, np.log(1501 / (1 + seen)) + 1, atol=1e-5)
+
+
 def test_held_out_is_the_crc(spark):
     import zlib
 
