@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 #: Rows of texts that cross to Python at once, and that are worked on at once.
 BATCH_ROWS, SLICE_ROWS = 2000, 500
-#: Only used where ``spark.checkpoint.dir`` is unset (tests, local runs).
+#: Only used by local masters, where ``spark.checkpoint.dir`` is unset (tests).
 LOCAL_WORK_DIR = "/tmp/checkpoints/meshlytics"
 
 
@@ -34,16 +35,29 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR
+    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``), which only local masters may leave unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or LOCAL_WORK_DIR
     return f"{base.rstrip('/')}/meshlytics-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: its lineage ends there and lost executors cost nothing."""
-    path = f"{work_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = work_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/{name}")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.saved_in = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``saved`` wrote and that nothing reads any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(table.saved_in)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def map_batches(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
@@ -81,7 +95,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps in turn (Kiveris and others, 2014). Each step groups edges by a node and takes
     only the node's minimum, which Spark aggregates before the shuffle, so a node with very many edges is no hot
-    task. Every step is a written table. No edges: no rows. Null ends and loops are passed over.
+    task. Every step is a written table, the result too. No edges: no rows. Null ends and loops are passed over.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = saved(e, "edges")
@@ -92,13 +106,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = saved(small.where("u <> v").distinct(), "edges")
+        old, e = e, saved(small.where("u <> v").distinct(), "edges")
+        discard(old)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = saved(nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(e)
+    return out
 
 
 class Memo:

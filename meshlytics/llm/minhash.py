@@ -8,12 +8,16 @@ could hold, so they meet in a list (for sets that fit a sketch by count, for lar
 Lists are worked through without making all their pairs: each list first compares its members to one hub; links are
 verified on the full sets and joined to components. Short lists whose members still differ in component are compared
 pair by pair. The nodes of such long lists are listed anew by sketches of ``WIDE`` values, which leaves out those that
-only share frequent passages; then other hubs are tried, and what is still apart after ``ROUNDS`` is compared in blocks
-of bounded size, only across components. Pairs pass if the sketch of their union estimates a similarity near enough, and are confirmed on the full sets.
+only share frequent passages; after ``ROUNDS`` more of hubs, what is still apart is compared in blocks of bounded size.
+A block returns a forest of the pairs that may be links, so its rows follow its members; the texts of each tree then
+meet once more in blocks, where the pairs across components are verified. Pairs pass if the sketch of their union
+estimates a similarity near enough, and are confirmed on the full sets.
 
 Defined results: a text without words, or null, has an empty set and links with nothing; a null id is returned as a
-component of its own (null) that is kept; rows that share an id are one node, each is returned; very long texts are
-ordinary, memory goes with one text at a time; an empty table gives no rows; other columns are not read.
+component of its own (null) that is kept; rows that share an id are one node, each is returned; of equal texts the
+smallest id stands for all; a pair at exactly the threshold is a link; ids may be of any type that has an order; very
+long texts are ordinary, memory goes with the texts of one block; an empty table gives no rows; other columns, whatever
+their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -27,16 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, map_batches, read_table, saved, ship
+from .common import components, discard, map_batches, read_table, saved, ship
 
 #: Values that a sketch retains.
 K = 64
 #: And those of the nodes that are in long lists.
 WIDE = 512
 #: Rounds of hubs before blocks.
-ROUNDS = 2
-#: Members of a block, about; lists up to SMALL are compared pair by pair.
-BLOCK, SMALL = 512, 16
+ROUNDS = 1
+#: Members of a block, about, and of a block of whole texts; lists up to SMALL are compared pair by pair.
+BLOCK, TEXT_BLOCK, SMALL = 512, 64, 16
+#: Partners of a node that are verified in one run, about.
+RUN = 256
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -128,23 +134,38 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataF
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are as similar as asked for. ``texts``: ``id`` and ``text`` of all nodes that occur."""
-
-    def keep(batch):
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ta, tb, ok = batch.column(2), batch.column(3), []
-        for i in range(len(a)):
-            if not i or a[i] != a[i - 1] or ta[i] != ta[i - 1]:  # rows come by hub
-                x = shingles(ta[i].as_py(), words)
-            y = shingles(tb[i].as_py(), words)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                ok.append(i)
-        return [pa.array(a[ok]), pa.array(b[ok])]
-
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-    return map_batches(rows, keep, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    """The pairs whose full sets are as similar as asked for. ``texts``: ``id`` and ``text`` of all nodes that occur.
+
+    A node with many pairs is dealt to runs of about ``RUN``; its text goes once to each run, before its partners' texts.
+    """
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    left, right = texts.select(F.col("id").alias("a"), "text"), texts.select(F.col("id").alias("b"), "text")
+    heads = runs.join(left, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "text")
+    rest = pairs.join(runs, "a").withColumn("run", F.pmod(F.xxhash64("b"), "runs").cast("int"))
+    rest = rest.join(right, "b").select("a", "run", F.lit(1).alias("role"), "b", "text")
+    rows = heads.unionByName(rest).repartition("a", "run").sortWithinPartitions("a", "run", "role")
+    ship(rows.sparkSession)
+
+    def keep(batches):
+        at, heads = None, []
+        for batch in batches:
+            out = []
+            for a, run, role, b, text in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)):
+                if (a, run) != at:
+                    at, heads = (a, run), []
+                own = shingles(text.as_py(), words)
+                if not role:
+                    heads.append(own)  # several if rows share the id
+                elif any(similar(x, own, percent) for x in heads):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(keep, "a long, b long").distinct()
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def hub_pairs(postings: DataFrame, number: int) -> DataFrame:
@@ -161,10 +182,12 @@ def hub_pairs(postings: DataFrame, number: int) -> DataFrame:
 def still_apart(postings: DataFrame, links: DataFrame, compared: bool = True) -> DataFrame:
     """The postings with their components, of the lists that hold several. Lists of two are left out where hubs have
     ``compared`` the members of these lists: their one pair is done."""
-    comps = saved(components(links), "components")
+    comps = components(links)
     now = postings.join(comps, postings["id"] == comps["node"], "left").select("v", "id", "n", F.coalesce("component", "id").alias("comp"))
     open_lists = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {2 if compared else 1}").select("v", "size")
-    return saved(now.join(open_lists, "v"), "apart")
+    out = saved(now.join(open_lists, "v"), "apart")
+    discard(comps)
+    return out
 
 
 def small_pairs(apart: DataFrame) -> DataFrame:
@@ -191,71 +214,167 @@ def overlaps(sketches: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_pairs(apart: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """All pairs across components within each list whose sketches share enough, in blocks of bounded size."""
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the symmetric relation ``near``."""
+    left, out = np.ones(len(near), bool), []
+    for start in range(len(near)):
+        todo = [start] * bool(left[start])
+        left[start] = False
+        while todo:
+            v = todo.pop()
+            found = np.flatnonzero(near[v] & left)
+            left[found] = False
+            out += [(v, y) for y in found.tolist()]
+            todo += found.tolist()
+    return out
+
+
+def promising(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[np.ndarray], k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs across components are links for sure (both sketches are whole sets), and which may be, by the values
+    that their sketches share."""
+    both, small, large = overlaps(sketches), np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    apart = (comp[:, None] != comp[None, :]) & (ids[:, None] != ids[None, :]) & (small * 100 >= large * percent)
+    sure = apart & (large <= k) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    return sure, apart & (large > k) & (both >= np.minimum(shared_at_least(k, percent), small))
+
+
+def in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """``rows`` (``group``, ``id``, ``comp`` and others) dealt to blocks ``i``, ``j`` of up to about twice ``size`` rows, so that
+    each two rows of a group and of different components meet in one. Of a group's largest component no block pairs
+    are made: its rows only meet those of the others."""
+    comps = rows.groupBy(group, "comp").agg(F.count("*").alias("c"))
+    shape = comps.groupBy(group).agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"))
+    shape = shape.select(group, F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / size).cast("int").alias("rest_blocks"), F.ceil(F.col("main.c") / size).cast("int").alias("main_blocks"))
+    dealt = rows.join(shape, group)
+    is_main = F.col("comp") == F.col("main")
+    own = F.when(is_main, F.col("rest_blocks") + F.pmod(F.xxhash64("id"), "main_blocks")).otherwise(F.pmod(F.xxhash64("id"), "rest_blocks"))
+    others = F.when(is_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks"))
+    dealt = dealt.where("rest_blocks > 0").withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("main", "rest_blocks", "main_blocks", "own", "other")
+
+
+def block_links(apart: DataFrame, nodes: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Of each block of a long list a forest of its links that are ``sure``, and one of the pairs that may be links: as many
+    rows as members at most, however many pairs there are."""
     ship(apart.sparkSession)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = apart.where(F.col("size") > SMALL).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp").join(nodes.select("id", "n", "sketch"), "id")
-    enough = shared_at_least(k, percent)
+    large = apart.where(F.col("size") > SMALL).select("v", "id", "comp")
+    dealt = in_blocks(large, "v", block).join(nodes.select("id", "n", "sketch"), "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        ids, n, comp, own = (pdf[c].to_numpy() for c in ("id", "n", "comp", "own"))
-        both = overlaps([np.asarray(x) for x in pdf["sketch"]])
-        whole = (n[:, None] <= k) & (n[None, :] <= k)
-        ok = np.where(whole, 100 * both >= percent * (n[:, None] + n[None, :] - both), both >= np.minimum(enough, n))
-        ok &= (ids[:, None] < ids[None, :]) & (comp[:, None] != comp[None, :])
-        ok &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
-        if i != j:
-            ok &= own[:, None] != own[None, :]
-        p, q = ok.nonzero()
-        return pd.DataFrame({"a": ids[p], "b": ids[q]})
+        ids, n, comp = (pdf[c].to_numpy() for c in ("id", "n", "comp"))
+        sure, maybe = promising(ids, n, comp, [np.asarray(x) for x in pdf["sketch"]], k, percent)
+        rows = [(min(ids[p], ids[q]), max(ids[p], ids[q]), flag) for near, flag in ((sure, True), (maybe, False)) for p, q in forest(near)]
+        return pd.DataFrame(rows, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
+
+    return dealt.groupBy("v", "i", "j").applyInPandas(compare, "a long, b long, sure boolean").distinct()
+
+
+def cluster_links(maybe: DataFrame, links: DataFrame, texts: DataFrame, words: int, k: int, percent: int, block: int = TEXT_BLOCK) -> DataFrame:
+    """The links among the pairs that may be some, of which ``maybe`` is a forest: its trees' texts meet in blocks, where each
+    promising pair across components is compared on full sets until its components are joined."""
+    trees = components(maybe).select(F.col("node").alias("id"), F.col("component").alias("tree"))
+    comps = components(links)
+    members = saved(trees.join(comps, trees["id"] == comps["node"], "left").select("tree", "id", F.coalesce("component", "id").alias("comp")), "trees")
+    dealt = in_blocks(members, "tree", block).join(texts, "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
+        sets = [shingles(t, words) for t in pdf["text"]]
+        sure, maybe = promising(ids, np.array([len(x) for x in sets]), comp, [x[:k].view(np.int64) for x in sets], k, percent)
+        root, out = {c: c for c in comp.tolist()}, []
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for p, q in np.argwhere(np.triu(sure | maybe)).tolist():
+            a, b = find(int(comp[p])), find(int(comp[q]))
+            if a == b or estimate(sets[p][:k], sets[q][:k], len(sets[p]), len(sets[q]), k) < near_enough(k, percent):
+                continue
+            if similar(sets[p], sets[q], percent):
+                root[a] = b
+                out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("v", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("tree", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """A row per row of ``docs``: ``key``, ``n_shingles``, ``component_id`` (the smallest key reachable by links) and
     ``kept``. Links: sets of ``words``-word shingles, 100 * shared >= ``percent`` * all of both."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        return by_hash(docs, key, text, words, percent, k, rounds)
     rows = saved(sketches(docs, key, text, words, k), "sketches")
     live = rows.where(F.col("id").isNotNull() & F.col("fp").isNotNull())
     first = saved(live.groupBy("fp").agg(F.min("id").alias("id")), "first")
-    nodes = saved(live.join(first, ["fp", "id"]).select("id", "n", "sketch").dropDuplicates(["id", "n", "sketch"]), "nodes")
-    postings = rare_postings(nodes, k, percent)
-    postings = saved(postings, "postings")
-    lists = postings.groupBy("v").agg(F.count("*").alias("size")).where("size > 1").select("v")
-    postings = saved(postings.join(lists, "v"), "lists")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    members = postings.select("id").distinct()
-    texts = saved(texts.join(members, "id", "left_semi"), "texts")
-    # Rows that share an id were several nodes of one id, so each pair of their texts is tried; links are those of ids.
-    check = lambda pairs, of, size: saved(verified(estimated(pairs, of, size, percent), texts, words, percent), "links")
-    links = check(hub_pairs(postings, 0), nodes, k)
-    apart = still_apart(postings, links)
-    links = links.unionByName(check(small_pairs(apart), nodes, k))
-    hot = saved(apart.where(F.col("size") > SMALL).select("id").distinct(), "hot")
-    if not hot.isEmpty():
-        # Nodes of long lists are listed anew by larger sketches, of which fewer values have to be listed.
-        wide = saved(sketches(texts.join(hot, "id", "left_semi"), "id", "text", words, WIDE).select("id", "n", "sketch"), "wide")
-        postings = saved(rare_postings(wide, WIDE, percent), "postings")
-        apart = still_apart(postings, links, compared=False)
-        for number in range(rounds):
-            if apart.isEmpty():
-                break
-            links = links.unionByName(check(hub_pairs(apart, number), wide, WIDE))
-            apart = still_apart(postings, links)
-        if not apart.isEmpty():
-            links = links.unionByName(check(small_pairs(apart).unionByName(block_pairs(apart, wide, WIDE, percent)), wide, WIDE))
+    links, scratch = linked(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), live.join(first, ["fp", "id"]), words, percent, k, rounds)
+    comps = components(links)
+    discard(*scratch)
     same = rows.join(first.select("fp", F.col("id").alias("first")), "fp", "left")
-    # Copies of one set under ids that repeat elsewhere: their ids are linked as well.
-    comps = saved(components(links), "components")
     out = same.join(comps, same["first"] == comps["node"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def by_hash(docs: DataFrame, key: str, text: str, *how) -> DataFrame:
+    """``near_duplicates`` for keys that are no whole numbers: by their hashes, each component then named by its least key."""
+    ids = docs.select(F.when(F.col(key).isNotNull(), F.xxhash64(key)).alias("id"), F.col(key).alias("name"), F.col(text).alias("text"))
+    found = saved(near_duplicates(ids.select("id", "text"), "id", "text", *how), "by_hash")
+    names = ids.select("id", "name").where("id is not null").distinct()
+    least = found.select("id", "component_id").distinct().join(names, "id").groupBy("component_id").agg(F.min("name").alias("least"))
+    out = found.join(names, "id", "left").join(least, "component_id", "left")
+    return out.select(F.col("name").alias(key), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("name") == F.col("least"), F.lit(True)).alias("kept"))
+
+
+def linked(texts: DataFrame, nodes: DataFrame, words: int, percent: int, k: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links ``a``, ``b`` that join all similar nodes (a pair is left out where others join it), and the tables that hold
+    them and what led to them. ``texts``: ``id`` and ``text`` of all rows."""
+    scratch: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(saved(df, name))
+        return scratch[-1]
+
+    def apart_now(compared: bool = True) -> DataFrame:
+        scratch.append(still_apart(postings, links, compared))
+        return scratch[-1]
+
+    # Rows that share an id are several nodes of one id, so each pair of their texts is tried; links are those of ids.
+    def check(pairs: DataFrame, of: DataFrame, size: int) -> DataFrame:
+        return keep(verified(estimated(pairs, of, size, percent), texts, words, percent), "links")
+
+    nodes = keep(nodes.select("id", "n", "sketch").dropDuplicates(["id", "n", "sketch"]), "nodes")
+    postings = keep(rare_postings(nodes, k, percent), "postings")
+    lists = postings.groupBy("v").agg(F.count("*").alias("size")).where("size > 1").select("v")
+    postings = keep(postings.join(lists, "v"), "lists")
+    texts = keep(texts.join(postings.select("id").distinct(), "id", "left_semi"), "texts")
+    links = check(hub_pairs(postings, 0), nodes, k)
+    apart = apart_now()
+    links = links.unionByName(check(small_pairs(apart), nodes, k))
+    hot = keep(apart.where(F.col("size") > SMALL).select("id").distinct(), "hot")
+    if hot.isEmpty():
+        return links, scratch
+    # Nodes of long lists are listed anew by larger sketches, of which fewer values have to be listed.
+    wide = keep(sketches(texts.join(hot, "id", "left_semi"), "id", "text", words, WIDE).select("id", "n", "sketch"), "wide")
+    postings = keep(rare_postings(wide, WIDE, percent), "postings")
+    apart = apart_now(compared=False)
+    for number in range(rounds):
+        if apart.isEmpty():
+            return links, scratch
+        links = links.unionByName(check(hub_pairs(apart, number), wide, WIDE))
+        apart = apart_now()
+    if apart.isEmpty():
+        return links, scratch
+    links = links.unionByName(check(small_pairs(apart), wide, WIDE))
+    found = keep(block_links(apart, wide, WIDE, percent), "blocks")
+    links = links.unionByName(found.where("sure").select("a", "b"))
+    maybe = found.where("not sure").select("a", "b")
+    if maybe.isEmpty():
+        return links, scratch
+    return links.unionByName(keep(cluster_links(maybe, links, texts, words, WIDE, percent), "links")), scratch
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, 3-word shingles, similarity 0.85: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)

@@ -99,19 +99,47 @@ def test_near_pair_alone_in_its_wide_lists(spark):
 
 
 def test_blocks_find_what_hubs_miss(spark):
-    """Lists of many members in different components: blocks of bounded size still find each near pair."""
+    """Lists of many members in different components: blocks of bounded size still find each near pair, in few rows."""
     rng = np.random.default_rng(3)
     common_part = rng.integers(0, 2**60, 40)
     sets = [np.unique(np.concatenate([common_part, rng.integers(0, 2**60, 20)])) for _ in range(60)]
     sets += [np.unique(np.append(s[:-1], rng.integers(0, 2**60))) for s in sets[:10]]
     nodes = spark.createDataFrame([(k, len(s), s.tolist()) for k, s in enumerate(sets)], "id long, n long, sketch array<long>")
     apart = spark.createDataFrame([(1, k, len(s), k, len(sets)) for k, s in enumerate(sets)], "v long, id long, n long, comp long, size long")
-    old, minhash.BLOCK = minhash.BLOCK, 16
-    try:
-        got = {(r.a, r.b) for r in minhash.block_pairs(apart, nodes, 512, 85).collect()}
-    finally:
-        minhash.BLOCK = old
-    assert got == {(k, 60 + k) for k in range(10)}
+    got = minhash.block_links(apart, nodes, 512, 85, block=16).collect()
+    assert {(r.a, r.b) for r in got} == {(k, 60 + k) for k in range(10)} and all(r.sure for r in got)
+
+
+def test_trees_are_verified_in_blocks(spark):
+    """Texts longer than a sketch: of promising pairs the near ones are found, across blocks and a large component too."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(900)]
+    texts = [" ".join([*base[: 900 - 9 * k], *(f"v{k}x{j}" for j in range(9 * k))]) for k in range(24)]
+    sets = [minhash.shingles(t, 5) for t in texts]
+    links = [(a, b) for b in range(24) for a in range(b) if minhash.similar(sets[a], sets[b], 80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    chain = spark.createDataFrame([(k, k + 1) for k in range(23)], "a long, b long")
+    known = spark.createDataFrame([(0, k) for k in range(1, 6)], "a long, b long")
+    got = [(r.a, r.b) for r in minhash.cluster_links(chain, known, df, 5, 512, 80, block=4).collect()]
+    assert set(map(tuple, map(sorted, got))) <= set(links)
+    assert smallest_reachable(range(24), got + [(0, k) for k in range(1, 6)]) == smallest_reachable(range(24), links)
+
+
+def test_each_two_components_meet_in_a_block(spark):
+    rows = [(1, k, min(k, 40) if k < 60 else 0) for k in range(150)] + [(2, 200 + k, 7) for k in range(9)]
+    dealt = minhash.in_blocks(spark.createDataFrame(rows, "v long, id long, comp long"), "v", 8).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.v, r.i, r.j), []).append(r)
+    met = {(a.id, b.id) for g in groups.values() for a in g for b in g}
+    assert all((a[1], b[1]) in met for a in rows for b in rows if a[0] == b[0] and a[2] != b[2])
+    assert all(g[0].v == 1 for g in groups.values()) and max(map(len, groups.values())) < 40
+
+
+def test_near_texts_by_text_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other words are here now"), (None, "one two three four five six"), ("c", "")]
+    got = sorted(((r.doc_id or "", r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
+    assert got == [("", None, True), ("a", "a", True), ("b", "a", False), ("c", "c", True), ("c", "c", True)]
 
 
 def vectors(spark):
