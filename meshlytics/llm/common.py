@@ -7,7 +7,9 @@ import re
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,67 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def byte_slices(column: pa.Array, most: int):
+    """(start, end) of runs of rows of a string column that hold up to ``most`` bytes, or one longer row."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    low = total = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > low and total + n > most:
+            yield low, k
+            low, total = k, 0
+        total += n
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+#: Marks that often stand behind a word.
+MARKS = ".,"
+
+
+def word_ids(words: pa.DictionaryArray, marks: np.ndarray, ids_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all ``words`` in a row, where each one's begin (and the last one's end), and its place in the list of
+    different words that ``ids_of`` was given, which returns the ids of each as little-endian bytes.
+
+    A mark behind an ASCII letter counts as a token of its own, ``marks`` has its id behind a 0; no others are cut off.
+    """
+    at, written = np.asarray(words.indices), words.dictionary
+    mark = np.select([np.asarray(pc.match_substring_regex(written, f"[A-Za-z][{c}]\\z")) for c in MARKS], [1, 2])
+    stems = pc.if_else(pc.greater(pa.array(mark), 0), pc.utf8_slice_codeunits(written, 0, -1), written).dictionary_encode()
+    stem = np.asarray(stems.indices)[at]
+    raw = ids_of(stems.dictionary.to_numpy(zero_copy_only=False).tolist())
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    own, mark = sizes[stem], mark[at]
+    ends = np.concatenate([[0], np.cumsum(own + (mark > 0))])
+    ids, marked = np.zeros(ends[-1], "<u4"), mark.nonzero()[0]
+    places = ends[marked + 1] - 1
+    rest = np.ones(len(ids), bool)
+    rest[places] = False
+    ids[places] = marks[mark[marked]]
+    ids[rest] = gathered(np.frombuffer(b"".join(raw), "<u4"), (np.cumsum(sizes) - sizes)[stem], own)
+    return ids, ends, stem
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, with underscores behind them as far as columns in ``taken`` (Spark ignores case) have them."""
+    used = {c.lower() for c in taken}
+    tail = ""
+    while any((x + tail).lower() in used for x in names):
+        tail += "_"
+    return [x + tail for x in names]
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but for those named like ``names``, whatever their case: results replace these."""
+    gone = {x.lower() for x in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def map_batches(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
     """``fn``: from a RecordBatch to the columns of ``schema`` as Arrow arrays, batch by batch."""
     ship(df.sparkSession)
@@ -79,8 +142,8 @@ def with_columns(df: DataFrame, fn, fields: list[T.StructField], reads: list[str
 
     A column of ``df`` with the name of a new one is replaced; columns in ``drop`` are read but not returned.
     """
-    new = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
+    stays = set(without(df, *[f.name for f in fields], *drop))
+    kept = [f for f in df.schema.fields if f.name in stays]
     places = {f.name: k for k, f in enumerate(df.schema.fields)}
     at, asked = [places[f.name] for f in kept], [places[x] for x in reads]
 
@@ -125,7 +188,7 @@ class Memo:
         self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
 
     def fill(self, keys) -> dict:
-        """A dict that holds every key of ``keys``, which should be far fewer than the limit."""
+        """A dict that holds every key of ``keys`` (a list or set), which should be far fewer than the limit."""
         young = self.young
         if missing := [k for k in keys if k not in young]:
             if len(young) + len(missing) > self.limit:

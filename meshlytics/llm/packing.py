@@ -7,28 +7,34 @@ a time, and packed again; a group keeps what came in if that was no worse. Round
 exchange, or after ``rounds``. Only (id, piece, length) rows are shuffled, never texts.
 
 Defined results: a null or empty text is one piece that holds only the end id; a text of just the capacity is one full
-piece; repeated rows are packed once each; an empty table packs into nothing.
+piece; longer texts are cut, the last piece may be short; repeated rows are packed once each; pieces of equal length go
+by hash; an empty table packs into nothing; other columns of ``pack`` stay, but for those named like the results.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from bisect import insort
+from array import array
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, map_batches, read_table, saved, ship
+from .common import MARKS, Memo, byte_slices, free_names, map_batches, read_table, saved, ship, without, word_ids
 
 #: Pieces that one group packs, about.
 GROUP = 16_384
 #: Rounds of exchange.
 ROUNDS = 3
+#: Bytes of text that are encoded at once, and words that are remembered.
+SLICE_BYTES, MEMO = 2_000_000, 300_000
 
 
 def default_tokenizer() -> str:
@@ -37,50 +43,73 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: How a tokenizer must split texts for its words to be encoded one by one: no token goes past white space, letters are
+#: apart from other characters. Fixed values, as in the file.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def byte_characters() -> dict[int, int]:
+    """The character by which byte-level tokenizers write each byte: itself where it can be printed, else one after 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in plain)}
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose pre-tokens never hold a space or line end: of each word once, then from memory."""
+    """Ids of texts: of each word once, then from memory. Words are runs without ASCII white space; words of Latin letters,
+    less one mark behind, go straight to the tokenizer's model, other words through all of the tokenizer. Tokenizers
+    that split texts in another way encode whole texts."""
 
     def __init__(self, path: str, memo: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_words = all(settings[k] == v for k, v in BY_WORDS.items())
+        self.model, self.characters = self.tokenizer.model, byte_characters()
         self.memo = Memo(self._encode, memo)
-
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.ends[k] = token.endswith("</w>")
-        self.marks = {c: self._one_by_one([c])[0] for c in ".,"}
+        self.marks = np.array([0, *(int(np.frombuffer(x, "<u4")[0]) for x in self._one_by_one(list(MARKS)))], "<u4")
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, less one mark behind, are encoded as one text, which is cheaper, and told apart by the
-        tokens that end words; where a normal form splits one, the numbers differ and each is encoded by itself."""
-        mark = [self.marks.get(w[-1:], b"") if not w.isalpha() else b"" for w in words]
-        plain = [k for k, w in enumerate(words) if w.isalpha() or mark[k] and w[:-1].isalpha()]
-        out = dict.fromkeys(range(len(words)))
-        if plain:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words[k][:-1] if mark[k] else words[k] for k in plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(plain):
-                raw, low = ids.tobytes(), 0
-                for k, high in zip(plain, (4 * ends).tolist()):
-                    out[k] = raw[low:high] + mark[k]
-                    low = high
-        rest = [k for k, x in out.items() if x is None]
-        out.update(zip(rest, self._one_by_one([words[k] for k in rest])))
-        return [out[k] for k in range(len(words))]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Of each text its ids as little-endian unsigned 32-bit numbers."""
-        out = []
-        for low in range(0, len(texts), 64):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[low : low + 64]]
-            known = self.memo.fill({w for ws in split for w in ws})
-            out += [b"".join(map(known.__getitem__, ws)) for ws in split]
+        out, rest = [b""] * len(words), []
+        for k, w in enumerate(words):
+            low = w if w.isascii() else w.lower()  # words come with ASCII letters in lower case
+            # Letters below this one are whole characters in each normal form, and the same letters to every Unicode version.
+            if low.isalpha() and len(low) == len(w) and max(low) < "\u0250":
+                written = low if low.isascii() else low.encode().decode("latin-1").translate(self.characters)
+                out[k] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            else:
+                rest.append(k)
+        for k, x in zip(rest, self._one_by_one([words[k] for k in rest])):
+            out[k] = x
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each one's begin (and the last one's end)."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            raw = self._one_by_one(texts.to_pylist())
+            return np.frombuffer(b"".join(raw), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+        def ids_of(words):
+            known = self.memo.fill(words)
+            return [known[w] for w in words]
+
+        ids, ends, _ = word_ids(split.flatten().dictionary_encode(), self.marks, ids_of)
+        return ids, ends[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))])]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, memo: int) -> WordEncoder:
@@ -90,25 +119,27 @@ def encoder(path: str, memo: int) -> WordEncoder:
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-def tokenize_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, memo: int = 200_000, with_ids: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, memo: int = MEMO, with_ids: bool = False) -> DataFrame:
     """A row per piece: ``key``, piece, start, length, ids_crc32, and ``ids`` (array<int>) if asked for."""
     path = tokenizer or default_tokenizer()
     schema = T.StructType([docs.schema[key], *PIECES.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = np.asarray([end_id], "<u4")
 
     def cut(batch):
         rows, piece, start, length, crc, ids = [], [], [], [], [], []
-        for row, raw in enumerate(encoder(path, memo).encode(batch.column(1).to_pylist())):
-            raw += end
-            for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                part = raw[at : at + 4 * capacity]
-                rows.append(row)
-                piece.append(k)
-                start.append(at // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-                if with_ids:
-                    ids.append(np.frombuffer(part, "<i4"))
+        for low, high in byte_slices(batch.column(1), SLICE_BYTES):
+            every, bounds = encoder(path, memo).encode(batch.column(1).slice(low, high - low))
+            for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), low):
+                own = np.concatenate([every[a:b], end])
+                for k, at in enumerate(range(0, len(own), capacity)):
+                    part = own[at : at + capacity]
+                    rows.append(row)
+                    piece.append(k)
+                    start.append(at)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part.view("<i4"))
         keys = batch.column(0).take(pa.array(rows, pa.int64()))
         return [keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
 
@@ -119,8 +150,6 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
     """The bin of each item: longest items first, each into the fullest bin that has room."""
     bins, room_of, free = [0] * len(lengths), [], {}
     rooms: list[int] = []  # the different amounts of room, in order
-    from bisect import bisect_left
-
     for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
         n = lengths[k]
         at = bisect_left(rooms, n)
@@ -166,21 +195,21 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-
-
 def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int = 2048, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """``items`` with ``sequence_id`` long and ``offset`` long.
+    """``items`` with ``sequence_id``, ``offset``, ``group_bins`` and ``group_bound``, all long: of the group that packed the
+    item last, how many sequences it made and how many it needed at least. They replace columns of their names.
 
     ``key`` names the columns by whose hash items are dealt; rows may repeat in it or be null.
     """
     ship(items.sparkSession)
+    results = ("sequence_id", "offset", "group_bins", "group_bound")
+    items = items.select(*without(items, *results))
+    (number_of,) = free_names(items.columns, "_item")
     # Written with the table, the numbers are those of one run; keys may be null or repeated.
-    rows = saved(items.withColumn("_item", F.monotonically_increasing_id()), "items")
-    ident = ["_item"]
+    rows = saved(items.withColumn(number_of, F.monotonically_increasing_id()), "items")
     full = rows.where(F.col(length) >= capacity)
-    rest = rows.where(F.col(length) < capacity).select(F.xxhash64(*key).alias("h"), *ident, F.col(length).alias("n"))
-    names = [f.name for f in rest.schema.fields if f.name not in ("h", "n")]
-    out_schema = T.StructType([*[rest.schema[x] for x in names], T.StructField("n", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("place", T.LongType()), T.StructField("opened", T.BooleanType())])
+    rest = rows.where(F.col(length) < capacity).select(F.xxhash64(*key).alias("h"), F.col(number_of).alias("item"), F.col(length).cast("long").alias("n"))
+    out_schema = "item long, n long, bin long, place long, bins long, bound long, opened boolean"
 
     def job(number: int):
         def repack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -202,7 +231,7 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
             first = np.concatenate([[0], np.cumsum(fill)])[bins[order]]
             place = np.empty(len(n), np.int64)
             place[order] = ends - n[order] - first
-            return pdf[names].assign(n=n, bin=(number << 58) | (g << 18) | bins, place=place, opened=opened[bins])[[*names, "n", "bin", "place", "opened"]]
+            return pdf[["item"]].assign(n=n, bin=(number << 58) | (g << 18) | bins, place=place, bins=count, bound=bound, opened=opened[bins])
 
         return repack
 
@@ -210,8 +239,8 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
     for number in range(rounds + 1):
         count = todo.count() if number == 0 else before
         groups = max(1, -(-count // group))
-        by = F.xxhash64("h", "_item") if number == 0 else F.xxhash64("bin")
-        dealt = todo if number == 0 else todo.withColumn("h", F.xxhash64("_item"))
+        by = F.xxhash64("h", "item") if number == 0 else F.xxhash64("bin")
+        dealt = todo if number == 0 else todo.select("item", "n", "bin", F.xxhash64("item").alias("h"))
         packed = saved(dealt.withColumn("g", F.pmod(by, F.lit(groups))).groupBy("g").applyInPandas(job(number), out_schema), f"packed{number}")
         todo = packed.where("opened")
         before = todo.count() if number < rounds else 0
@@ -220,20 +249,22 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
         done = part if done is None else done.unionByName(part)
         if last:
             break
-    placed = done.select(*ident, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    some = rows.where(F.col(length) < capacity).join(placed, ident)
+    placed = done.select(F.col("item").alias(number_of), *[F.col(x).alias(y) for x, y in zip(("bin", "place", "bins", "bound"), results)])
+    some = rows.where(F.col(length) < capacity).join(placed, number_of)
     # A full piece is a sequence of its own; its number is negative, those of bins are not.
-    alone = full.withColumns({"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long")})
-    return alone.unionByName(some).drop("_item")
+    one = F.lit(1).cast("long")
+    alone = full.withColumns(dict(zip(results, (-F.monotonically_increasing_id() - 1, F.lit(0).cast("long"), one, one))))
+    return alone.unionByName(some).drop(number_of)
 
 
-def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, group_bins, group_bound."""
+    return pack(tokenize_pieces(docs), ["doc_id", "piece"])
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    return pack(tokenize_pieces(docs), ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset, group_bins, group_bound."""
+    return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_best_fit_packing": op5_best_fit_packing}
