@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,17 +35,87 @@ def test_ids_are_those_of_sentencepiece(spark, peer):
     assert all(back[k] == t.replace("▁", " ") for k, t in enumerate(TEXTS)) and back[len(TEXTS)] is None
 
 
+def ids_of(encoder, texts):
+    """Of each text its ids, by an encoder that returns all in a row."""
+    ids, bounds = encoder.encode(pa.array(texts, pa.string()))[:2]
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
-def test_any_text(peer, text):
-    text = text.replace("\x00", "")
-    own = codec.codec(codec.default_model(), True, 1000).encode([text])[0]
-    assert np.frombuffer(own[0], "<u4").tolist() == peer.encode(text)
+@given(st.lists(st.text(max_size=60), max_size=4))
+def test_any_text(peer, texts):
+    texts = [t.replace("\x00", "") for t in texts]
+    assert ids_of(codec.codec(codec.default_model(), True, 1000), texts) == peer.encode(texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab.,\n ▁é0", max_size=40))
+def test_words_and_marks(peer, text):
+    assert ids_of(codec.codec(codec.default_model(), True, 1000), [text]) == [peer.encode(text)]
 
 
 def test_small_memo_gives_the_same(peer):
-    c = codec.Codec(codec.default_model(), False, 3)
-    assert [np.frombuffer(x[0], "<u4").tolist() for x in c.encode(TEXTS)] == peer.encode(TEXTS)
+    assert ids_of(codec.Codec(codec.default_model(), False, 3), TEXTS) == peer.encode(TEXTS)
+
+
+def test_whole_texts_are_checked(spark):
+    rows = [(1, "some words, and more."), (1, "some words, and more."), (2, None), (3, "x " * 30000)]
+    got = codec.encode(spark.createDataFrame(rows, "doc_id long, text string"), whole_every=1).collect()
+    assert [(r.parity, r.whole_parity) for r in sorted(got, key=lambda r: r.doc_id)] == [(True, True), (True, True), (None, None), (True, True)]
+    assert {r.whole_parity for r in codec.encode(spark.createDataFrame(rows, "doc_id long, text string"), parity=False).collect()} == {None}
+
+
+@pytest.fixture(scope="module")
+def trained(tmp_path_factory):
+    """Small models of the sentencepiece library: both kinds, with and without normaliser, prefix, byte fallback, user pieces."""
+    import duckdb
+    from sentencepiece import SentencePieceTrainer
+
+    texts = [x[0][:400] for x in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text <> '' ORDER BY doc_id LIMIT 150").fetchall()]
+    out, folder = {}, tmp_path_factory.mktemp("models")
+    forms = {
+        "nfkc": {}, "identity": {"normalization_rule_name": "identity"}, "folded": {"normalization_rule_name": "nfkc_cf", "byte_fallback": True, "vocab_size": 900},
+        "plain": {"add_dummy_prefix": False, "remove_extra_whitespaces": False}, "user": {"user_defined_symbols": ["<sep>", "the"], "unk_surface": "?"},
+    }
+    for kind in ("unigram", "bpe"):
+        for name, settings_ in forms.items():
+            path = folder / f"{kind}_{name}"
+            SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=str(path), model_type=kind, minloglevel=2, **{"vocab_size": 600, "hard_vocab_limit": False} | settings_)
+            out[kind, name] = f"{path}.model"
+    return texts, out
+
+
+def test_trained_models(trained):
+    from sentencepiece import SentencePieceProcessor
+
+    odd = ["   ", "क़ख़", "ﬁne Ⅷ ½ ＡＢ", "x　y", "▁", "▁▁ x", "ÀÉ é", "\r\n x", "\r\n", "a <sep> the x<sep>y", "<0x41>", "aa###bb%%%", "é́ ½", "✗✗ ✗"]
+    for (kind, name), path in trained[1].items():
+        peer, own = SentencePieceProcessor(model_file=path), codec.Codec(path, True, 100)
+        texts = [*TEXTS, *odd, *(t[:300] for t in trained[0])]
+        want = peer.encode(texts)
+        got, agree = ids_of(own, texts), own.encode(pa.array(texts))[2].tolist()
+        assert agree == [a == b for a, b in zip(got, want)]
+        if (kind, name) == ("unigram", "user"):  # the one case where some texts differ, which parity says
+            assert sum(agree) > 0.8 * len(texts)
+        else:
+            assert got == want, (kind, name)
+        assert own.decode(want) == [peer.decode(x) for x in want], (kind, name)
+
+
+def test_suffix_marker_is_refused(tmp_path):
+    from sentencepiece import SentencePieceTrainer
+
+    SentencePieceTrainer.train(sentence_iterator=iter(["some words here", "more words there"]), model_prefix=str(tmp_path / "m"), vocab_size=30, hard_vocab_limit=False, treat_whitespace_as_suffix=True, minloglevel=2)
+    with pytest.raises(ValueError):
+        codec.parse_model(str(tmp_path / "m.model"))
+
+
+def test_bytes_that_are_no_text(peer):
+    own = codec.codec(codec.default_model(), False, 1000)
+    byte = {v: k for k, v in own.bytes.items()}
+    for raw in (b"\xe3\x81", b"\xff\xfea", b"\xe3\x81\x82\x80", b"\xf0\x9f\x98"):
+        ids = [byte[b] for b in raw]
+        assert own.decode([ids, [5, *ids, 5]]) == [peer.decode(ids), peer.decode([5, *ids, 5])]
 
 
 def test_empty_table(spark):
@@ -56,7 +127,21 @@ def test_empty_table(spark):
 @given(st.text(max_size=60))
 def test_word_encoder(text):
     e = packing.encoder(packing.default_tokenizer(), 1000)
-    assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert e.by_words and ids_of(e, [text]) == [e.tokenizer.encode(text, add_special_tokens=False).ids]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abÉßİﬁſ.,'s \n\x1c%0²̈", max_size=40))
+def test_words_of_odd_letters(text):
+    e = packing.encoder(packing.default_tokenizer(), 1000)
+    assert ids_of(e, [text, text]) == [e.tokenizer.encode(text, add_special_tokens=False).ids] * 2
+
+
+def test_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+
+    e = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), 100)
+    assert not e.by_words and ids_of(e, TEXTS) == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
 def test_packing_is_exact_and_gapless(spark):
@@ -65,7 +150,7 @@ def test_packing_is_exact_and_gapless(spark):
     t = Tokenizer.from_file(packing.default_tokenizer())
     texts = [*TEXTS, None, "the cat sat. " * 900, "w " * 2047, "w " * 2048, "dup", "dup"]
     rows = [(min(k, len(texts) - 2), x, "extra") for k, x in enumerate(texts)]  # the last two share id and text
-    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, piece string").drop("piece")).collect()
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, piece string")).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
@@ -106,4 +191,13 @@ def test_groups_exchange(spark):
     sums = [r.s for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("s")).collect()]
     alone = packing.pack(items, ["id"], group=40, rounds=0).select("sequence_id").distinct().count()
     assert max(sums) <= 2048 and packed.count() == 600
+    bounds = packed.groupBy("group_bins").agg(F.max(F.expr("group_bins - group_bound")).alias("gap"), F.min(F.expr("group_bins - group_bound")).alias("least")).collect()
+    assert all(0 <= r.least <= r.gap <= r.group_bins for r in bounds)
     assert len(sums) <= alone and len(sums) <= max(packing.best_fit_decreasing(lengths, 2048)) + 1 + 0.03 * len(sums)
+
+
+def test_packing_keeps_clashing_columns(spark):
+    items = spark.createDataFrame([(k % 3, 700, f"x{k}", "old", k) for k in range(9)] + [(None, 2048, "full", "old", 9)], "id long, length long, _item string, Sequence_ID string, n long")
+    got = packing.pack(items, ["id"]).collect()
+    assert sorted(r._item for r in got) == sorted(["full", *(f"x{k}" for k in range(9))]) and sorted(r.n for r in got) == list(range(10))
+    assert all(isinstance(r.sequence_id, int) for r in got) and len({r.sequence_id for r in got}) == 6
