@@ -3,11 +3,14 @@
 A line of a host is boilerplate when the pages of that host that hold it are more than ``max_ratio`` of the host's
 pages and at least ``min_pages``. Lines are compared without spaces at their ends. Only 64-bit line hashes are
 shuffled, counted before the shuffle; texts stay where they are, unless the table of boilerplate lines is too large
-for Spark to broadcast. A host's boilerplate lines are at most its mean lines a page over ``max_ratio``.
+for Spark to broadcast. Then a host that has more than one in ``HOT`` of all pages, so at most that many hosts, is
+joined in parts. A host's boilerplate lines are at most its mean lines a page over ``max_ratio``.
 
 Defined results: a null text stays null with null counts; a null host belongs to no site, so its pages keep all lines;
-blank lines are kept and not counted; a repeated row is a page of its own; a page all of whose lines go has the empty
-text; all other columns stay, but for those named like the results, which are replaced.
+blank lines are kept and not counted; a repeated row is a page of its own, so the lines of a text whose copies are more
+than the ratio of their host's pages are all dropped, from each copy; a line at exactly the ratio stays; a page all of
+whose lines go has the empty text; very long texts are ordinary; an empty table gives no rows; all other columns stay,
+but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, saved
+from .common import free_names, read_table, saved, without
 
 MAX_RATIO, MIN_PAGES = 0.1, 5
+#: Hosts with more than one in so many of all pages are joined in parts.
+HOT = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -29,25 +34,36 @@ def _hash(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``_host`` and ``_drop``, the hashes of its boilerplate lines."""
-    pages = docs.select(F.col(host).alias("_host"), F.col(text).alias("_text")).where(F.col("_host").isNotNull())
-    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), lambda x: F.trim(x) != ""), _hash))
-    counts = pages.select("_host", F.explode(hashes).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
-    totals = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
-    return counts.join(totals, "_host").where(F.col("_n") > F.lit(max_ratio) * F.col("_pages")).groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
+    """``host``, ``pages`` (how many it has) and ``drop``, the hashes of its boilerplate lines; hosts without any are left out."""
+    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).where(F.col("host").isNotNull())
+    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _hash))
+    counts = pages.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    frequent = counts.join(totals, "host").where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
+    return frequent.groupBy("host", "pages").agg(F.collect_list("line").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with ``text`` cleaned, ``n_lines`` and ``n_dropped`` long."""
-    drop = saved(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
-    new = {"n_lines", "n_dropped"}
-    pages = docs.select(*[c for c in docs.columns if c not in new])
+    of, part, parts, drop, gone, kept = free_names(docs.columns, "_host", "_part", "_parts", "_drop", "_gone", "_kept")
+    found = saved(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
+    total = found.agg(F.max("pages")).first()[0] and docs.where(F.col(host).isNotNull()).count()
+    found = found.withColumn("parts", F.ceil(F.col("pages") * HOT / F.lit(total or 1)).cast("int"))
+    hot = found.where("parts > 1").select(F.col("host").alias(of), F.col("parts").alias(parts))  # HOT rows at most
+    dealt = found.select(F.col("host").alias(of), F.col("drop").alias(drop), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(part))
+    pages = docs.select(*without(docs, "n_lines", "n_dropped"))
+    names = pages.columns
+    pages = pages.join(F.broadcast(hot), pages[host] == hot[of], "left").drop(of)
+    pages = pages.withColumn(part, F.pmod(F.xxhash64(text), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    marked = pages.join(dealt, (pages[host] == dealt[of]) & (pages[part] == dealt[part]), "left")
     all_lines = _lines(F.col(text))
-    kept = F.filter(all_lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _hash(x)))
-    marked = pages.join(drop, pages[host] == drop["_host"], "left").withColumn("_kept", F.when(F.col("_drop").isNull(), all_lines).otherwise(kept))
-    out = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in pages.columns]
+    # The page's own boilerplate first: a set, of which each line is then looked up among few.
+    marked = marked.withColumn(gone, F.array_intersect(F.transform(all_lines, _hash), drop))
+    stays = F.filter(all_lines, lambda x: (F.trim(x) == "") | ~F.array_contains(gone, _hash(x)))
+    marked = marked.withColumn(kept, F.when(F.col(gone).isNull(), all_lines).otherwise(stays))
+    out = [F.array_join(kept, "\n").alias(c) if c == text else F.col(c) for c in names]
     n = F.size(all_lines).cast("long")
-    return marked.select(*out, F.when(F.col(text).isNotNull(), n).alias("n_lines"), F.when(F.col(text).isNotNull(), n - F.size("_kept")).alias("n_dropped"))
+    return marked.select(*out, F.when(F.col(text).isNotNull(), n).alias("n_lines"), F.when(F.col(text).isNotNull(), n - F.size(kept)).alias("n_dropped"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

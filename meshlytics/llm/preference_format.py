@@ -6,8 +6,10 @@ equal) is rendered once as the prompt, the rest of each side as its completion.
 assistant's turns.
 
 Defined results: turns are taken by number, then role, then text; a repeated row is one more turn; a null text or
-role is rendered as empty; turns of no conversation (null id) are passed over; equal sides have empty completions; an
-empty table gives no rows.
+role is rendered as empty; turns of no conversation (null id) are passed over; equal sides have empty completions; turns
+that tie in all three come in any order, which makes no difference; very long texts are ordinary; an empty table gives no
+rows; other columns of pairs stay, but for those named like the results. A conversation is one row, so the turns that
+share an id must fit into one.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import free_names, read_table, without
 
 BEGIN, END, LEARNT = "<|im_start|>", "<|im_end|>", "assistant"
 
@@ -46,17 +48,18 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     """``pairs`` with its two arrays of turns replaced by ``n_prompt_turns`` long, ``prompt``, ``chosen``, ``chosen_mask``,
     ``rejected`` and ``rejected_mask``. A null array is a conversation without turns."""
     none = F.array().cast("array<struct<role:string,text:string>>")
-    results = {"n_prompt_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask", chosen, rejected}
-    rows = pairs.select(*[c for c in pairs.columns if c not in results], F.coalesce(chosen, none).alias("_a"), F.coalesce(rejected, none).alias("_b"))
-    shared = F.least(F.size("_a"), F.size("_b"))
-    same = F.zip_with("_a", "_b", lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
+    names = without(pairs, "n_prompt_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask", chosen, rejected)
+    left, right = free_names(pairs.columns, "_a", "_b")
+    rows = pairs.select(*names, F.coalesce(chosen, none).alias(left), F.coalesce(rejected, none).alias(right))
+    shared = F.least(F.size(left), F.size(right))
+    same = F.zip_with(left, right, lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     at = F.array_position(same, False)
     # Where one side is longer, its rest is beside nulls; the prefix can't go on past the shorter side.
     rows = rows.withColumn("n_prompt_turns", F.least(F.when(at == 0, shared).otherwise(at - 1), shared).cast("long"))
     n = F.col("n_prompt_turns").cast("int")
     rest = lambda c: F.slice(F.col(c), n + 1, F.greatest(F.size(c) - n, F.lit(0)))
-    out = {"prompt": _render(F.slice(F.col("_a"), F.lit(1), n)), "chosen": _render(rest("_a")), "chosen_mask": _mask(rest("_a")), "rejected": _render(rest("_b")), "rejected_mask": _mask(rest("_b"))}
-    return rows.withColumns(out).drop("_a", "_b")
+    out = {"prompt": _render(F.slice(F.col(left), F.lit(1), n)), "chosen": _render(rest(left)), "chosen_mask": _mask(rest(left)), "rejected": _render(rest(right)), "rejected_mask": _mask(rest(right))}
+    return rows.withColumns(out).drop(left, right)
 
 
 def stale_pairs(turns: DataFrame) -> DataFrame:
