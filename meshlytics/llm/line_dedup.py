@@ -9,7 +9,7 @@ joined in parts. A host's boilerplate lines are at most its mean lines a page ov
 Defined results: a null text stays null with null counts; a null host belongs to no site, so its pages keep all lines;
 blank lines are kept and not counted; a repeated row is a page of its own, so the lines of a text whose copies are more
 than the ratio of their host's pages are all dropped, from each copy; a line at exactly the ratio stays; a page all of
-whose lines go has the empty text; very long texts are ordinary; an empty table gives no rows; all other columns stay,
+whose lines go has the empty text; very long texts are ordinary, but cost lines times boilerplate lines; an empty table gives no rows; all other columns stay,
 but for those named like the results, which are replaced.
 """
 
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import free_names, read_table, saved, without
 
 MAX_RATIO, MIN_PAGES = 0.1, 5
-#: Hosts with more than one in so many of all pages are joined in parts.
-HOT = 1000
+#: Hosts with more than one in so many of all pages are joined in parts, as far as their lines are copied to no more rows
+#: than these (it is about where pages are joined, not which).
+HOT, COPIED = 1000, 2_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -48,7 +49,8 @@ def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", max_r
     of, part, parts, drop, gone, kept = free_names(docs.columns, "_host", "_part", "_parts", "_drop", "_gone", "_kept")
     found = saved(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
     total = found.agg(F.max("pages")).first()[0] and docs.where(F.col(host).isNotNull()).count()
-    found = found.withColumn("parts", F.ceil(F.col("pages") * HOT / F.lit(total or 1)).cast("int"))
+    share = F.ceil(F.col("pages") * HOT / F.lit(total or 1))
+    found = found.withColumn("parts", F.greatest(F.lit(1), F.least(share, F.floor(F.lit(COPIED) / F.size("drop")))).cast("int"))
     hot = found.where("parts > 1").select(F.col("host").alias(of), F.col("parts").alias(parts))  # HOT rows at most
     dealt = found.select(F.col("host").alias(of), F.col("drop").alias(drop), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(part))
     pages = docs.select(*without(docs, "n_lines", "n_dropped"))
