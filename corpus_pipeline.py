@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes each stage's rows as
 Parquet to the shared folder and rereads them. All stages but the last return the columns of ``documents``. Nulls and
-repeated rows: language ID rejects documents whose text is null or has no letter, or whose language is a guess; the
-other stages follow their operators' docstrings.
+repeated rows: language ID rejects documents whose text is null or has no letter, or whose language is a guess; near-dedup
+goes by id and text, so rows that share an id (or have none) stay if their texts differ; the other stages follow their
+operators' docstrings.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlytics.llm import language_id, line_dedup, minhash, packing, pii
-from meshlytics.llm.common import saved
+from meshlytics.llm.common import discard, free_names, saved
 
-#: Documents whose language has a lower calibrated probability are rejected. Four languages at random give 0.25.
-LEAST_SCORE = 0.3
+#: Documents whose language's calibrated probability is not this much of the way from chance (one over the number of
+#: languages) to certainty are rejected.
+LEAST_ABOVE_CHANCE = 0.07
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; learns as the query does, from rows that are not held out."""
     model = language_id.fit(docs.where(~language_id.held_out()))
+    chance = 1 / max(len(model.languages), 1)
     named = language_id.identify(docs, model)
-    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    sure = F.col("score") >= chance + LEAST_ABOVE_CHANCE * (1 - chance)
+    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & sure).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +36,15 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: 5-word shingles, similarity 0.8. Of rows that share an id one stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps one document of each group, that of the smallest id: 5-word shingles, similarity 0.8. Of rows that are alike in
+    id and text one stays."""
+    (row,) = free_names(docs.columns, "_row")
+    known = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    groups = minhash.near_duplicates(known.select(row, "text"), key=row).select(F.col(row).alias("row"), F.col("component_id").alias("group"))
+    named = known.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).distinct().join(groups.distinct(), "row")
+    least = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("least"))
+    kept = saved(least.select(F.col("least.row").alias(row)), "kept")
+    return known.join(kept, row, "left_semi").dropDuplicates([row, "doc_id"]).drop(row)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = []
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)
+        discard(*done)
+        done = [docs]
     return docs
