@@ -234,3 +234,26 @@ def test_stages(spark):
     packed = stages["best_fit_packing"](spark, clean, SF)
     assert packed.select("doc_id").distinct().count() == clean.select("doc_id").distinct().count()
     assert stages["minhash_near_dedup"](spark, lines.limit(0), SF).count() == 0
+
+
+def test_near_dedup_keeps_different_texts_of_an_id(spark):
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    rows = [(1, "one two three four five six"), (1, "other words are standing here"), (2, "One two three four five six"), (None, "one two three four five six"), (None, "a text of its own here"), (3, "repeated row of some words"), (3, "repeated row of some words"), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, "x") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([rows[0], rows[1], rows[4], rows[5], rows[7], rows[8]])
+
+
+def test_run(spark, tmp_path):
+    """``run`` gives what its stages give one after the other, over null, empty and repeated rows too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "the of and in that", "en", "s", 7), (10**6 + 2, "the of and in that", "en", "s", 7)], docs.schema)
+    docs.unionByName(extra).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        current = spark.createDataFrame(stage(spark, current, str(tmp_path)).collect(), stage(spark, current, str(tmp_path)).schema)
+    want = Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in current.collect())
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got.collect()) == want and len(want) > 20
+    assert sum(n for (k, *_), n in want.items() if k == 10**6 + 2) == 1 and not any(k in (10**6, 10**6 + 1) for k, *_ in want)
