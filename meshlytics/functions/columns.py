@@ -27,6 +27,13 @@ def minutes_before(as_of: Column, minutes: int) -> Column:
     return as_of - F.make_dt_interval(mins=F.lit(minutes))
 
 
+def within(name: str, value: int, low: int, high: int) -> int:
+    """Argument bounds: ``value``, or an error if it is not between ``low`` and ``high``."""
+    if not low <= value <= high:
+        raise ValueError(f"{name} must be between {low} and {high}, not {value}")
+    return value
+
+
 # P1 - P9 -------------------------------------------------------------------------------------------------------------
 def tenant_scope(df: DataFrame, tenant: str | None) -> DataFrame:
     """One tenant's rows; all tenants for None."""
@@ -148,9 +155,24 @@ def share(part: Column, whole: Column, times: float = 100.0) -> Column:
     return F.when(whole != 0, part / whole * times).otherwise(F.lit(0.0))
 
 
+def canonical_json(text: Column | str) -> Column:
+    """JSON text with sorted keys at every depth, without spaces, other characters than ASCII as ``\\uXXXX``. What is no JSON
+    gives null."""
+    plain = F.to_json(F.try_parse_json(col(text)))
+    code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        rest = n - 0x10000
+        pair = F.concat(code(F.lit(0xD800) + F.shiftright(rest, 10)), code(F.lit(0xDC00) + rest.bitwiseAND(0x3FF)))
+        return F.when(n < 128, c).when(n < 0x10000, code(n)).otherwise(pair)
+
+    return F.when(plain.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.split(plain, ""), escaped), "")).otherwise(plain)
+
+
 def fingerprint(tenant: Column | str, kind: Column | str, scope: Column | str, cause: Column | None = None) -> Column:
-    """SHA-256 of tenant, type, scope and cause (JSON text with sorted keys, or null), with pipes between."""
-    cause = F.lit("") if cause is None else F.coalesce(cause, F.lit(""))
+    """SHA-256 of tenant, type, scope and cause (JSON text, made canonical, or null), with pipes between."""
+    cause = F.lit("") if cause is None else F.coalesce(canonical_json(cause), F.lit(""))
     return F.sha2(F.concat_ws("|", F.coalesce(col(tenant), F.lit("")), F.coalesce(col(kind), F.lit("")), F.coalesce(col(scope), F.lit("")), cause), 256)
 
 

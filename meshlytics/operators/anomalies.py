@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import anomaly_scope, fingerprint, severity_at_least, severity_rank, trailing
+from ..functions.columns import SEVERITY_RANK, anomaly_scope, fingerprint, severity_at_least, severity_rank, trailing, within
 
 
 def recent(events: DataFrame, as_of: Column, since_minutes: int, scope: str = "global", severity_min: str = "medium", limit: int = 50, tie: str = "id") -> DataFrame:
     """Q6a, per tenant: filtered first, then the newest; ``position`` from 1."""
+    if severity_min not in SEVERITY_RANK:
+        raise ValueError(f"severity_min must be one of {', '.join(SEVERITY_RANK)}")
+    within("limit", limit, 1, 1000)
     rows = anomaly_scope(events.where(trailing("ts", as_of, since_minutes) & severity_at_least(severity_min)), scope)
     w = Window.partitionBy("tenant_id").orderBy(F.desc("ts"), tie)
     return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)

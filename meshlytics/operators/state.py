@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import trailing
+from ..functions.columns import trailing, within
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key, by ``order``; one pass and one shuffle instead of a self-join."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).drop("_k")
+    """The last row of each key, by ``order``; an aggregate, so each task sends one row of a key. ``order`` should leave no tie."""
+    rest = [c for c in rows.columns if c not in key]
+    last = F.max_by(F.struct(*rest), F.struct(*order))
+    return rows.groupBy(*key).agg(last.alias("_last")).select(*[F.col(c) if c in key else F.col("_last")[c].alias(c) for c in rows.columns])
 
 
 def latest_interfaces(state: DataFrame, as_of: Column, window_minutes: int = 15, order: tuple[str, ...] = ("ts_bucket",)) -> DataFrame:
@@ -40,6 +41,7 @@ def queue_sums(queues: DataFrame, as_of: Column, window_minutes: int) -> DataFra
 
 def device_queues(queues: DataFrame, as_of: Column, window_minutes: int = 15, limit: int = 20) -> DataFrame:
     """Q10d: of each device the queues of largest depth."""
+    within("limit", limit, 1, 1000)
     w = Window.partitionBy("tenant_id", "device").orderBy(F.desc("peak_depth_bytes"), "interface", "queue_id")
     return queue_sums(queues, as_of, window_minutes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -52,5 +54,5 @@ def state_note(devices: DataFrame, tables: list[DataFrame], as_of: Column, windo
         own = t.where(trailing("ts_bucket", as_of, window_minutes)).select(*key)
         seen = own if seen is None else seen.unionByName(own)
     rows = devices.select(*key).distinct().join(seen.distinct().withColumn("_seen", F.lit(True)), key, "left")
-    none = F.format_string(f"No gNMI samples for %s in last {window_minutes} min — either the target is unreachable or GNMI_TARGETS is unset.", "device")
+    none = F.format_string(f"No gNMI samples for %s in last {window_minutes} min — the device sends none, or it is not among the devices that are asked.", "device")
     return rows.select(*key, F.when(F.col("_seen"), F.lit("Exact (non-sampled) gNMI/OpenConfig snapshots.")).otherwise(none).alias("confidence_note"))

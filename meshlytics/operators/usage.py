@@ -6,19 +6,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import canonical_json, within
+
 #: Fixed values.
 TRUNCATE, WINDOW_SECONDS = 512, 60
 CALL_LIMITS = {"get_top_talkers": 30, "get_rdma_health": 20, "explain_hot_link": 10}
 
 
 def args_hash(args: Column) -> Column:
-    """Of canonical JSON (keys sorted, no spaces), which the log holds."""
-    return F.sha2(args, 256)
+    """Of the arguments as canonical JSON; null for what is no JSON."""
+    return F.sha2(canonical_json(args), 256)
 
 
 def truncate_args(args: Column) -> Column:
-    """A map of strings with long values cut."""
-    return F.transform_values(args, lambda k, v: F.when(F.length(v) > TRUNCATE, F.concat(F.substring(v, 1, TRUNCATE), F.lit("…"))).otherwise(v))
+    """The object with long strings among its values cut, keys sorted; null if it is empty or none."""
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+
+    def value(v: Column) -> Column:
+        string = F.variant_get(v, "$", "string")
+        long = (F.schema_of_variant(v) == "STRING") & (F.length(string) > TRUNCATE)
+        return F.when(long, quoted(F.concat(F.substring(string, 1, TRUNCATE), F.lit("…")))).otherwise(F.to_json(v))
+
+    entries = F.array_sort(F.transform(F.map_entries(F.from_json(args, "map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), value(e["value"]).alias("v"))))
+    pairs = F.transform(entries, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"]))
+    return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
 
 
 def confidence_band(note: Column | str) -> Column:
@@ -29,11 +40,12 @@ def confidence_band(note: Column | str) -> Column:
 
 def enrich(calls: DataFrame) -> DataFrame:
     """Q19a."""
-    return calls.withColumns({"args_hash": args_hash(F.col("args_json")), "args_truncated": F.to_json(truncate_args(F.from_json("args_json", "map<string,string>"))), "confidence_band": confidence_band("confidence_note")})
+    return calls.withColumns({"args_hash": args_hash(F.col("args_json")), "args_truncated": truncate_args(F.col("args_json")), "confidence_band": confidence_band("confidence_note")})
 
 
 def recent_calls(calls: DataFrame, tool: str | None = None, limit: int = 100, tie: str = "event_id") -> DataFrame:
     """Per tenant the newest calls."""
+    within("limit", limit, 1, 1000)
     rows = calls if tool is None else calls.where(F.col("tool_name") == tool)
     w = Window.partitionBy("tenant_id").orderBy(F.desc("ts"), F.desc(tie))
     return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
@@ -45,9 +57,22 @@ def quota_usage(attempts: DataFrame) -> DataFrame:
 
 
 def quota_decisions(attempts: DataFrame, limits: DataFrame, tie: str = "event_id") -> DataFrame:
-    """Q19d: each attempt allowed or not by the counts up to it; ``limits``: tenant_id, tool_name, call_limit, byte_limit."""
-    w = Window.partitionBy("tenant_id", "tool_name", F.date_trunc("day", F.col("ts"))).orderBy("ts", tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = attempts.join(limits, ["tenant_id", "tool_name"], "left").withColumns({"calls_so_far": F.count("*").over(w), "bytes_so_far": F.sum("response_bytes").over(w)})
+    """Q19d: each attempt allowed or not by the counts up to it; ``limits``: tenant_id, tool_name, call_limit, byte_limit.
+
+    Running counts are those within a minute and, before them, the sums of the day's minutes, at most 1,440 rows, so that a
+    busy tool's day is no one task.
+    """
+    key = ["tenant_id", "tool_name", "_minute"]
+    rows = attempts.withColumn("_minute", F.date_trunc("minute", F.col("ts")))
+    minutes = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("response_bytes").alias("_b"))
+    before = Window.partitionBy("tenant_id", "tool_name", F.date_trunc("day", "_minute")).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.select(*[F.col(c).alias(f"{c}_") for c in key], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.sum("_b").over(before).alias("_b"))
+    w = Window.partitionBy(*key).orderBy("ts", tie).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(minutes, [rows[c].eqNullSafe(minutes[f"{c}_"]) for c in key])
+    own = F.sum("response_bytes").over(w)
+    size = F.when(own.isNotNull() | F.col("_b").isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce("_b", F.lit(0)))
+    rows = rows.withColumns({"calls_so_far": F.count("*").over(w) + F.col("_n"), "bytes_so_far": size}).drop("_n", "_b", "_minute", *[f"{c}_" for c in key])
+    rows = rows.join(limits, ["tenant_id", "tool_name"], "left")
     calls, size = F.coalesce(F.col("calls_so_far") > F.col("call_limit"), F.lit(False)), F.coalesce(F.col("bytes_so_far") > F.col("byte_limit"), F.lit(False))
     return rows.withColumns({"allowed": ~(calls | size), "reason": F.when(calls, "call_limit_exceeded").when(size, "byte_limit_exceeded").otherwise("ok")})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -122,6 +124,18 @@ FROM events
 }
 TABLES = {"tenants": ["region"], "collector_sources": ["nation"], "ecmp_groups": ["nation"]}
 
+#: Only used by local masters, where ``spark.checkpoint.dir`` is unset (tests).
+LOCAL_DIR = "/tmp/checkpoints/meshlytics-tables"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``), which only local masters may leave unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or LOCAL_DIR).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 AS_OF, WEEK, DAY = "2024-01-31 00:00:00", 10_080, 1440
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fixtures import VIEWS
+from .queries import CALL_ARGS
 
 END, WEEK_AGO, DAY_AGO = "TIMESTAMP '2024-01-31 00:00:00'", "TIMESTAMP '2024-01-24 00:00:00'", "TIMESTAMP '2024-01-30 00:00:00'"
 CUT = "TIMESTAMP '2024-01-16 00:00:00'"
@@ -75,21 +76,22 @@ PARTS = {
       SELECT tenant_id, device, group_name, ms, 'inferred_by_speed' FROM by_speed b WHERE NOT EXISTS (SELECT 1 FROM configured c WHERE c.tenant_id = b.tenant_id AND c.device = b.device)""",
     "imbalance": """SELECT *, NOT low AND (cv > 0.3 OR max_mean_ratio > 1.5) AS is_imbalanced FROM (
       SELECT *, mean_util_pct < 5 AS low, CASE WHEN mean_util_pct < 5 THEN 0 ELSE sd / mean_util_pct END AS cv, CASE WHEN mean_util_pct < 5 THEN 1 ELSE max_util_pct / mean_util_pct END AS max_mean_ratio FROM (
-        SELECT r.tenant_id, r.device, group_name, source, count(*) AS n_members, avg(avg_util_pct) AS mean_util_pct, max(avg_util_pct) AS max_util_pct, stddev_pop(avg_util_pct) AS sd
+        SELECT r.tenant_id, r.device, group_name, source, count(*) AS n_members, avg(avg_util_pct) AS mean_util_pct, max(avg_util_pct) AS max_util_pct, stddev_pop(avg_util_pct) AS sd, string_agg(m.interface, ',' ORDER BY m.interface) AS members
         FROM (SELECT tenant_id, device, group_name, source, unnest(ms) AS interface FROM resolved) r JOIN members m ON m.tenant_id = r.tenant_id AND m.device = r.device AND m.interface = r.interface GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2))""",
     "shares": f"""SELECT tenant_id, CAST(coalesce(sum(bytes_estimated) FILTER (protocol = 17), 0) AS BIGINT) AS udp_bytes, CAST(sum(bytes_estimated) AS BIGINT) AS total_bytes FROM flows WHERE {day()} GROUP BY 1""",
     "signals": "SELECT * FROM qsums WHERE pfc_pause_rx <> 0 OR pfc_pause_tx <> 0 OR ecn_marked_packets <> 0 OR dropped_packets <> 0",
     "baselines": f"""SELECT tenant_id, device, interface, hour(ts_bucket) AS hour_of_day, avg(b) AS mean_value, stddev_pop(b) AS stddev_value, count(*) AS sample_count FROM (
       SELECT tenant_id, device, interface, ts_bucket, CAST(sum(bytes_estimated) AS BIGINT) AS b FROM flows WHERE {week()} GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3""",
-    "scores": f"""SELECT c.*, mean_value, sample_count, (current_bytes - mean_value) / stddev_value AS z_score FROM (
+    "scores": f"""SELECT c.*, mean_value, stddev_value, sample_count, (current_bytes - mean_value) / stddev_value AS z_score FROM (
       SELECT tenant_id, device, interface, CAST(sum(bytes_estimated) AS BIGINT) AS current_bytes FROM flows WHERE {day()} GROUP BY 1, 2, 3) c
       JOIN baselines b ON b.tenant_id = c.tenant_id AND b.device = c.device AND b.interface = c.interface AND hour_of_day = 0 AND stddev_value <> 0""",
     "breaches": f"""SELECT *, CASE WHEN in_util_pct > out_util_pct THEN 'inbound' ELSE 'outbound' END AS direction FROM (
       SELECT *, row_number() OVER (PARTITION BY tenant_id, device, interface ORDER BY ts_bucket DESC, event_id DESC) AS k FROM utilization WHERE ts_bucket <= {END}) WHERE k = 1 AND u >= 60""",
     "stress": """SELECT *, pfc_pause_rx + pfc_pause_tx AS pfc, dropped_packets > 0 AND pfc_pause_rx + pfc_pause_tx > 0 AS lossless, 'device:' || device || '/interface:' || interface || '/queue:' || queue_id AS scope FROM qsums""",
-    "stress_events": """SELECT tenant_id, scope, 'lossless_drop' AS anomaly_type, 'critical' AS severity, printf('Lossless drop: queue %d on %s@%s has %d drops AND %d PFC pauses in last 1440 min — RDMA transport will retransmit and stall.', queue_id, interface, device, dropped_packets, pfc) AS summary FROM stress WHERE lossless
-      UNION ALL SELECT tenant_id, scope, 'pfc_storm', 'high', printf('PFC pause storm on queue %d (%s@%s): %d pause frames in last 1440 min — sustained receiver-side congestion.', queue_id, interface, device, pfc) FROM stress WHERE NOT lossless AND pfc >= 1000
-      UNION ALL SELECT tenant_id, scope, 'ecn_spike', 'medium', printf('ECN marking spike on queue %d (%s@%s): %d marked packets in last 1440 min — DCQCN is throttling senders.', queue_id, interface, device, ecn_marked_packets) FROM stress WHERE NOT lossless AND ecn_marked_packets >= 500""",
+    "stress_events": """SELECT tenant_id, scope, 'lossless_drop' AS anomaly_type, 'critical' AS severity, printf('Lossless drop: queue %d on %s@%s has %d drops AND %d PFC pauses in last 1440 min — RDMA transport will retransmit and stall.', queue_id, interface, device, dropped_packets, pfc) AS summary,
+        printf('{"drops":%d,"pfc_total":%d,"ecn_marks":%d}', dropped_packets, pfc, ecn_marked_packets) AS metadata_json FROM stress WHERE lossless
+      UNION ALL SELECT tenant_id, scope, 'pfc_storm', 'high', printf('PFC pause storm on queue %d (%s@%s): %d pause frames in last 1440 min — sustained receiver-side congestion.', queue_id, interface, device, pfc), printf('{"pfc_rx":%d,"pfc_tx":%d,"threshold":1000}', pfc_pause_rx, pfc_pause_tx) FROM stress WHERE NOT lossless AND pfc >= 1000
+      UNION ALL SELECT tenant_id, scope, 'ecn_spike', 'medium', printf('ECN marking spike on queue %d (%s@%s): %d marked packets in last 1440 min — DCQCN is throttling senders.', queue_id, interface, device, ecn_marked_packets), printf('{"ecn_marks":%d,"threshold":500}', ecn_marked_packets) FROM stress WHERE NOT lossless AND ecn_marked_packets >= 500""",
     "all_events": """SELECT tenant_id, 'device:' || device || '/interface:' || interface AS scope, 'threshold_breach' AS anomaly_type, CASE WHEN u >= 95 THEN 'critical' WHEN u >= 80 THEN 'high' ELSE 'medium' END AS severity FROM breaches
       UNION ALL SELECT tenant_id, 'device:' || device || '/interface:' || interface, 'spike', CASE WHEN z_score >= 6 THEN 'critical' WHEN z_score >= 5 THEN 'high' ELSE 'medium' END FROM scores WHERE z_score >= 3
       UNION ALL SELECT tenant_id, scope, anomaly_type, severity FROM stress_events""",
@@ -119,6 +121,8 @@ def with_parts(sql: str) -> str:
     return f"WITH {parts}\n{sql}" if parts else sql
 
 
+#: ``args_json`` with its keys sorted, without spaces.
+SORTED = """'{' || list_aggregate(list_transform(list_sort(json_keys(args_json)), lambda k: '"' || k || '":' || CAST(json_extract(args_json, '$.' || k) AS VARCHAR)), 'string_agg', ',') || '}'"""
 ORACLES = {k: with_parts(v) for k, v in {
     "s1_flow_feed": """SELECT agent, protocol, r AS sampling_rate, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets, 0 AS max_output
       FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN 1 ELSE sampling_rate END AS r FROM flow_raw WHERE event_id % 13 <> 0) GROUP BY 1, 2, 3""",
@@ -132,7 +136,10 @@ ORACLES = {k: with_parts(v) for k, v in {
     "s4_scan": f"SELECT tenant_id, {text('ts_bucket')}, interface, in_bps, error_count FROM utilization WHERE {week()} AND device = 'sw1'",
     "k1_append": "SELECT CAST(strftime(ts_bucket, '%Y%m') AS INT) AS month, device, count(*) AS n FROM utilization GROUP BY 1, 2",
     "k2_upsert": f"SELECT tenant_id, source_kind, device, {text('max(ts)', 'last_ts')}, CAST(sum(sample_count) AS BIGINT) AS samples FROM heartbeat_raw GROUP BY 1, 2, 3",
-    "k3_month_layout": "SELECT CAST(strftime(ts_bucket, '%Y%m') AS INT) AS month, count(*) AS n, CAST(sum(bytes_estimated) AS BIGINT) AS bytes_estimated FROM flows GROUP BY 1",
+    "k3_month_layout": f"""SELECT CAST(strftime(m, '%Y%m') AS INT) AS month, tenant_id, count(*) AS n, CAST(sum(bytes_estimated) AS BIGINT) AS bytes_estimated
+      FROM (SELECT *, CASE WHEN minute(ts_bucket) % 2 = 1 THEN ts_bucket - INTERVAL 40 DAY ELSE ts_bucket END AS m FROM flows) WHERE {week("m")} GROUP BY 1, 2""",
+    "p1_tenant_scope": """SELECT 'all' AS scope, tenant_id, device, count(*) AS n FROM utilization GROUP BY 2, 3
+      UNION ALL SELECT 'one', tenant_id, device, count(*) FROM utilization WHERE tenant_id = '00000000-0000-0000-0000-000000000002' GROUP BY 2, 3""",
     "e1_minute_bucket": f"SELECT event_id, {text(MINUTE, 'ts_bucket')} FROM flow_raw",
     "e2_normalize_flows": f"SELECT * EXCLUDE (ts_bucket), {text('ts_bucket')} FROM flow_sums",
     "e3_normalize_counters": f"SELECT * EXCLUDE (ts_bucket), {text('ts_bucket')} FROM counters",
@@ -187,7 +194,7 @@ ORACLES = {k: with_parts(v) for k, v in {
     "q10b_interfaces_down": "SELECT tenant_id, device, interface FROM last_iface WHERE admin_status = 'UP' AND oper_status <> 'UP'",
     "q10c_bgp_state": f"""SELECT tenant_id, device, peer_address, {text('ts_bucket')}, session_state, session_state <> 'ESTABLISHED' AS is_down FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, device, peer_address ORDER BY ts_bucket DESC, event_id DESC) AS k FROM bgp WHERE {day()}) WHERE k = 1""",
     "q10d_device_queues": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, device ORDER BY peak_depth_bytes DESC, interface, queue_id) AS rank FROM qsums) WHERE rank <= 20",
-    "q10e_state_note": f"""SELECT DISTINCT n.tenant_id, n.device, CASE WHEN s.device IS NOT NULL THEN 'Exact (non-sampled) gNMI/OpenConfig snapshots.' ELSE printf('No gNMI samples for %s in last 1440 min — either the target is unreachable or GNMI_TARGETS is unset.', n.device) END AS confidence_note
+    "q10e_state_note": f"""SELECT DISTINCT n.tenant_id, n.device, CASE WHEN s.device IS NOT NULL THEN 'Exact (non-sampled) gNMI/OpenConfig snapshots.' ELSE printf('No gNMI samples for %s in last 1440 min — the device sends none, or it is not among the devices that are asked.', n.device) END AS confidence_note
       FROM (SELECT tenant_id, device FROM states UNION SELECT tenant_id, 'sw9' FROM anomaly_raw) n LEFT JOIN (SELECT tenant_id, device FROM states WHERE {day()} UNION SELECT tenant_id, device FROM bgp WHERE {day()} UNION SELECT tenant_id, device FROM queues WHERE {day()}) s ON s.tenant_id = n.tenant_id AND s.device = n.device""",
     "q11_state_sources": f"SELECT DISTINCT tenant_id, device FROM states WHERE {day()}",
     "q12a_member_utilization": "SELECT * FROM members",
@@ -203,19 +210,19 @@ ORACLES = {k: with_parts(v) for k, v in {
       CASE WHEN lo > 0 THEN printf('Drops observed on %d queue(s) without PFC — lossy classes are dropping but the lossless plane appears intact. Verify QoS class mapping for RoCE traffic. | ', lo) ELSE '' END ||
       CASE WHEN su > 0 THEN printf('Sustained PFC pause activity on %d queue(s) (>1000 frames in window). Receiver-side congestion is applying backpressure — investigate ECMP imbalance or incast at the sink.', su)
       WHEN ec > 0 THEN printf('ECN marking active on %d queue(s). DCQCN is throttling senders — fabric is healthy but congested.', ec) WHEN q > 0 THEN 'PFC/ECN counters present but below thresholds; fabric is signaling normally.'
-      WHEN sh > 0.5 THEN printf('High UDP share (%.0f%%) consistent with RoCE traffic, but no gNMI queue samples to confirm fabric health.', sh * 100) ELSE 'No RoCE/RDMA stress signals in window.' END END AS drivers
-      FROM (SELECT s.tenant_id, any_value(udp_bytes / total_bytes) AS sh, count(g.tenant_id) AS q, count(*) FILTER (dropped_packets > 0 AND (pfc_pause_rx <> 0 OR pfc_pause_tx <> 0)) AS ll, count(*) FILTER (dropped_packets > 0) AS lo,
+      WHEN sh > 0.5 THEN printf('High UDP share (%.0f%%) consistent with RoCE traffic, but no gNMI queue samples to confirm fabric health.', sh * 100) ELSE 'No RoCE/RDMA stress signals in window.' END END AS drivers, round(sh, 6) AS roce_share
+      FROM (SELECT s.tenant_id, any_value(CASE WHEN total_bytes <> 0 THEN udp_bytes / total_bytes ELSE 0 END) AS sh, count(g.tenant_id) AS q, count(*) FILTER (dropped_packets > 0 AND (pfc_pause_rx <> 0 OR pfc_pause_tx <> 0)) AS ll, count(*) FILTER (dropped_packets > 0) AS lo,
       count(*) FILTER (pfc_pause_rx + pfc_pause_tx > 1000) AS su, count(*) FILTER (ecn_marked_packets > 0) AS ec FROM shares s LEFT JOIN signals g ON g.tenant_id = s.tenant_id GROUP BY 1)""",
     "q14_baselines": f"SELECT *, 'bytes' AS metric, {text(END, 'computed_at')} FROM baselines",
     "q15a_threshold_detector": f"""SELECT tenant_id, {text(END, 'ts')}, 'device:' || device || '/interface:' || interface AS scope, 'threshold_breach' AS anomaly_type, CASE WHEN u >= 95 THEN 'critical' WHEN u >= 80 THEN 'high' ELSE 'medium' END AS severity,
-      printf('%s on %s is at %.1f%% %s utilization.', interface, device, u, direction) AS summary FROM breaches""",
+      printf('%s on %s is at %.1f%% %s utilization.', interface, device, u, direction) AS summary, round(in_util_pct, 6) AS in_util_pct, round(out_util_pct, 6) AS out_util_pct, strftime(ts_bucket, '%Y-%m-%dT%H:%M:%S') AS sample_ts FROM breaches""",
     "q15b_spike_detector": f"""SELECT tenant_id, {text(END, 'ts')}, 'device:' || device || '/interface:' || interface AS scope, 'spike' AS anomaly_type, CASE WHEN z_score >= 6 THEN 'critical' WHEN z_score >= 5 THEN 'high' ELSE 'medium' END AS severity,
-      printf('Traffic spike on %s (%s): %.2f GB in last 1440 min vs baseline %.2f GB (Z=%.1f).', interface, device, current_bytes / 1e9, mean_value / 1e9, z_score) AS summary FROM scores WHERE z_score >= 3""",
+      printf('Traffic spike on %s (%s): %.2f GB in last 1440 min vs baseline %.2f GB (Z=%.1f).', interface, device, current_bytes / 1e9, mean_value / 1e9, z_score) AS summary, round(z_score, 2) AS z_score, current_bytes, round(mean_value, 3) AS baseline_mean, round(stddev_value, 3) AS baseline_stddev, sample_count AS baseline_sample_count FROM scores WHERE z_score >= 3""",
     "q15b_spike_scores": "SELECT tenant_id, device, interface, current_bytes, sample_count, z_score FROM scores",
     "q15c_rdma_stress": f"SELECT *, {text(END, 'ts')} FROM stress_events",
     "q15d_run_all": "SELECT * FROM active_events",
     "q15e_event_counts": "SELECT tenant_id, anomaly_type, severity, count(*) AS n FROM active_events GROUP BY 1, 2, 3",
-    "q16a_fingerprint": """SELECT event_id, sha256(tenant_id || '|' || anomaly_type || '|' || scope || '|' || CASE WHEN event_id % 2 = 0 THEN '{"queue_id":' || event_id || '}' ELSE '' END) AS fingerprint FROM anomaly_raw""",
+    "q16a_fingerprint": """SELECT event_id, sha256(tenant_id || '|' || anomaly_type || '|' || scope || '|' || CASE WHEN event_id % 2 = 0 THEN '{"in":{"a":[1,2],"b":"\\u00e9"},"queue_id":' || event_id || '}' ELSE '' END) AS fingerprint FROM anomaly_raw""",
     "q16b_record_anomalies": f"SELECT tenant_id, fingerprint, severity, n AS occurrence_count, {text('lo', 'first_seen_at')}, {text('hi', 'last_seen_at')} FROM conditions",
     "q16c_escalation": f"SELECT fingerprint, severity FROM conditions WHERE lo < {CUT} AND hi >= {CUT}",
     "q16d_ack_resolve": """SELECT tenant_id, fingerprint, CASE WHEN n % 2 = 0 THEN strftime(hi, '%Y-%m-%d %H:%M:%S') END AS acknowledged_at, CASE WHEN n % 3 = 0 THEN strftime(lo, '%Y-%m-%d %H:%M:%S') END AS resolved_at, n % 2 = 0 OR n % 3 = 0 AS changed FROM conditions""",
@@ -226,7 +233,7 @@ ORACLES = {k: with_parts(v) for k, v in {
     "q17d_freshness_listing": f"SELECT tenant_id, source_kind, device, {text('last_ingest_ts')}, last_sample_count, status FROM classified WHERE status IN ('stale', 'silent')",
     "q18_retention": f"SELECT tenant_id, {text('ts_bucket')}, device, bytes_estimated FROM flows WHERE ts_bucket >= TIMESTAMP '2024-01-01 00:00:00'",
     "q18_dropped_months": "SELECT CAST(strftime(ts_bucket, '%Y%m') AS INT) AS month, count(*) AS n_rows FROM queues WHERE ts_bucket < TIMESTAMP '2024-02-01 00:00:00' GROUP BY 1",
-    "q19a_call_enrichment": """SELECT event_id, sha256(args_json) AS args_hash, CASE WHEN contains(lower(confidence_note), 'exact') THEN 'exact' WHEN contains(lower(confidence_note), 'degrad') OR contains(lower(confidence_note), 'stale') THEN 'degraded' WHEN contains(lower(confidence_note), 'sampl') THEN 'sampled' END AS confidence_band FROM tool_call_raw""",
+    "q19a_call_enrichment": f"""SELECT event_id, sha256({SORTED}) AS args_hash, replace({SORTED}, repeat('z', 600), repeat('z', 512) || '…') AS args_truncated, CASE WHEN contains(lower(confidence_note), 'exact') THEN 'exact' WHEN contains(lower(confidence_note), 'degrad') OR contains(lower(confidence_note), 'stale') THEN 'degraded' WHEN contains(lower(confidence_note), 'sampl') THEN 'sampled' END AS confidence_band FROM (SELECT * REPLACE ({CALL_ARGS} AS args_json) FROM tool_call_raw)""",
     "q19b_recent_calls": "SELECT tenant_id, position, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, event_id DESC) AS position FROM tool_call_raw WHERE tool_name = 'get_device_state') WHERE position <= 100",
     "q19c_quota_usage": f"SELECT * EXCLUDE (period_start), {text('period_start')} FROM daily",
     "q19d_quota_decisions": """SELECT event_id, c AS calls_so_far, b AS bytes_so_far, NOT (coalesce(c > call_limit, false) OR coalesce(b > byte_limit, false)) AS allowed, CASE WHEN c > call_limit THEN 'call_limit_exceeded' WHEN b > byte_limit THEN 'byte_limit_exceeded' ELSE 'ok' END AS reason
@@ -237,9 +244,14 @@ ORACLES = {k: with_parts(v) for k, v in {
       count(*) FILTER (in_util_pct > out_util_pct) AS p8, max(u) AS peak FROM utilization GROUP BY 1""",
     "p_anomaly_predicates": """SELECT tenant_id, count(*) AS p1, count(*) FILTER (contains(scope, 'interface:1')) AS p5, count(*) FILTER (severity IN ('high', 'critical')) AS p6, count(*) FILTER (severity IN ('medium', 'high', 'critical')) AS p6_unknown, count(*) FILTER (event_id % 3 = 0) AS p9 FROM anomaly_raw GROUP BY 1""",
     "st1_flow_stream": f"SELECT * EXCLUDE (ts_bucket), {text('ts_bucket')} FROM flows WHERE ts_bucket + INTERVAL 1 MINUTE <= (SELECT max(timestamp) FROM flow_raw) - INTERVAL 2 MINUTE",
-    "st2_counter_stream": f"SELECT event_id, tenant_id, {text('ts_bucket')}, device, interface, in_bps, out_bps, error_count FROM utilization",
-    "st3_state_stream": f"SELECT tenant_id, device, interface, {text('ts_bucket')}, admin_status, oper_status, CAST(strftime(ts_bucket, '%Y%m') AS INT) AS month FROM states",
-    "st4_spike_stream": f"""SELECT {text('e', 'ts')}, c.tenant_id, c.device, c.interface, c.current_bytes FROM (
+    "st2_counter_stream": f"SELECT event_id, tenant_id, {text('ts_bucket')}, device, interface, in_bps, out_bps, error_count, round(in_util_pct, 6) AS in_util_pct, round(out_util_pct, 6) AS out_util_pct FROM utilization",
+    "st3_state_stream": f"""SELECT kind, tenant_id, device, part, {text('ts_bucket')}, state, CAST(strftime(ts_bucket, '%Y%m') AS INT) AS month FROM (SELECT 'interface' AS kind, tenant_id, device, interface AS part, ts_bucket, oper_status || ' ' || admin_status AS state FROM states
+      UNION ALL SELECT 'bgp', tenant_id, device, peer_address, ts_bucket, session_state || ' ' || peer_as FROM bgp
+      UNION ALL SELECT 'queue', tenant_id, device, CAST(queue_id AS VARCHAR), ts_bucket, dropped_packets || ' ' || pfc_pause_rx FROM queues)""",
+    "st9_routing_stream": """SELECT kind, tenant_id, count(*) AS n, true AS readings_failed FROM (SELECT 'interface' AS kind, tenant_id, device, interface AS part, ts_bucket, oper_status || ' ' || admin_status AS state FROM states
+      UNION ALL SELECT 'bgp', tenant_id, device, peer_address, ts_bucket, session_state || ' ' || peer_as FROM bgp
+      UNION ALL SELECT 'queue', tenant_id, device, CAST(queue_id AS VARCHAR), ts_bucket, dropped_packets || ' ' || pfc_pause_rx FROM queues) GROUP BY 1, 2""",
+    "st4_spike_stream": f"""SELECT {text('e', 'ts')}, c.tenant_id, c.device, c.interface, c.current_bytes, round((current_bytes - mean_value) / stddev_value, 6) AS z_score FROM (
       SELECT e, tenant_id, device, interface, CAST(sum(bytes_estimated) AS BIGINT) AS current_bytes FROM (SELECT *, unnest(generate_series(ts_bucket + INTERVAL 30 SECOND, ts_bucket + INTERVAL 5 MINUTE, INTERVAL 30 SECOND)) AS e FROM flows) GROUP BY ALL) c
       JOIN baselines b ON b.tenant_id = c.tenant_id AND b.device = c.device AND b.interface = c.interface AND b.hour_of_day = hour(e) AND stddev_value <> 0
       WHERE (current_bytes - mean_value) / stddev_value >= 3 AND e <= (SELECT max(ts_bucket) FROM flows) - INTERVAL 2 MINUTE""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import anomalies, baselines, detect, fabric, flows, freshness, interfaces, inventory, normalize, rdma, retention, state, usage
 from ..sources import feeds, sinks
-from .fixtures import AS_OF, DAY, WEEK, view
+from .fixtures import AS_OF, DAY, WEEK, folder, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +26,10 @@ def query(f):
     return f
 
 
+#: Arguments of calls with keys in no order, an object among the values and some long texts; the SQL has them too.
+CALL_ARGS = """concat('{"zone": "', repeat('z', CAST(event_id % 3 AS INT) * 300), '", "call": ', args_json, ', "device": "sw', CAST(event_id % 5 AS STRING), '"}')"""
+
+
 def as_of():
     return C.at(AS_OF)
 
@@ -92,12 +96,13 @@ class Tables:
 # Sources and sinks -----------------------------------------------------------------------------------------------------
 @query
 def s1_flow_feed(t):
-    """Flow rows to feed documents of an hour and back, every 13th value unreadable and every 7th rate absent."""
+    """Flow rows to feed documents of a minute and a part of 64, as polls are, and back; every 13th value unreadable and every
+    7th rate absent."""
     raw = t.view("flow_raw")
     bad = F.when(F.col("event_id") % 13 == 0, F.lit("n/a")).otherwise(F.col("bytes").cast("string"))
     rate = F.when(F.col("event_id") % 7 != 0, F.col("sampling_rate").cast("string"))
     record = F.struct("agent", F.col("input_if_index").cast("string").alias("inputifindex"), F.col("src_ip").alias("srcip"), F.col("dst_ip").alias("dstip"), F.col("protocol").cast("string").alias("protocol"), bad.alias("bytes"), F.col("packets").cast("string").alias("packets"), rate.alias("samplingrate"))
-    text = raw.groupBy(F.date_trunc("hour", "timestamp").alias("h")).agg(F.to_json(F.struct(F.collect_list(record).alias("flows"))).alias("doc"))
+    text = raw.groupBy(F.date_trunc("minute", "timestamp").alias("h"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part")).agg(F.to_json(F.struct(F.collect_list(record).alias("flows"))).alias("doc"))
     feed = text.select("h", F.from_json("doc", feeds.FLOW_FEED).alias("d")).select("h", "d.flows")
     rows = feeds.flow_records(feed, F.lit(None).cast("timestamp"))
     return rows.groupBy("agent", "protocol", "sampling_rate").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.max("output_if_index").alias("max_output"))
@@ -155,10 +160,11 @@ def s4_scan(t):
 
 @query
 def k1_append(t):
-    """What two appends of the halves hold, by month: the rows of both."""
-    rows = sinks.with_month(t.utilization)
-    first, second = rows.where(F.col("ts_bucket") < C.at("2024-01-16 00:00:00")), rows.where(F.col("ts_bucket") >= C.at("2024-01-16 00:00:00"))
-    return first.unionByName(second).groupBy("month", "device").agg(F.count("*").alias("n"))
+    """What a monthly table holds after two appends, of the rows before mid-month and of those after."""
+    at, early = folder(t.spark), F.col("ts_bucket") < C.at("2024-01-16 00:00:00")
+    for half in (early, ~early):
+        sinks.append_monthly(t.utilization.where(half), f"{at}/utilization")
+    return t.spark.read.parquet(f"{at}/utilization").groupBy("month", "device").agg(F.count("*").alias("n"))
 
 
 @query
@@ -172,7 +178,21 @@ def k2_upsert(t):
 
 @query
 def k3_month_layout(t):
-    return sinks.with_month(t.flows).groupBy("month").agg(F.count("*").alias("n"), F.sum("bytes_estimated").alias("bytes_estimated"))
+    """A trailing window of flows laid out by month; times of odd rows are moved back by 40 days, so that there are months to
+    be left out."""
+    at = folder(t.spark)
+    moved = F.when(F.minute("ts_bucket") % 2 == 1, F.col("ts_bucket") - F.make_dt_interval(days=F.lit(40))).otherwise(F.col("ts_bucket"))
+    sinks.append_monthly(t.flows.withColumn("ts_bucket", moved), f"{at}/flows")
+    rows = sinks.read_months(t.spark, f"{at}/flows", as_of(), WEEK)
+    return rows.groupBy("month", "tenant_id").agg(F.count("*").alias("n"), F.sum("bytes_estimated").alias("bytes_estimated"))
+
+
+@query
+def p1_tenant_scope(t):
+    """The rows of one tenant, and of all."""
+    one = C.tenant_scope(t.utilization, "00000000-0000-0000-0000-000000000002").withColumn("scope", F.lit("one"))
+    every = C.tenant_scope(t.utilization, None).withColumn("scope", F.lit("all"))
+    return one.unionByName(every).groupBy("scope", "tenant_id", "device").agg(F.count("*").alias("n"))
 
 
 @query
@@ -414,7 +434,7 @@ def q12c_speed_groups(t):
 
 @query
 def q12d_imbalance(t):
-    return t.imbalance.drop("members")
+    return t.imbalance.withColumn("members", F.array_join(F.transform("members", lambda m: m["interface"]), ","))
 
 
 @query
@@ -440,7 +460,7 @@ def q13c_queue_signals(t):
 @query
 def q13d_rdma_assessment(t):
     rows = rdma.assess(rdma.udp_share(t.last(DAY).flows, as_of(), DAY), rdma.queues_with_signals(t.last(DAY).queues, as_of(), DAY))
-    return rows.select("tenant_id", "severity", F.array_join("drivers", " | ").alias("drivers"))
+    return rows.select("tenant_id", "severity", F.array_join("drivers", " | ").alias("drivers"), F.round("roce_share", 6).alias("roce_share"))
 
 
 # Baselines and detectors -----------------------------------------------------------------------------------------------------------
@@ -451,12 +471,16 @@ def q14_baselines(t):
 
 @query
 def q15a_threshold_detector(t):
-    return detect.threshold_breaches(t.utilization, as_of(), ("ts_bucket", "event_id")).drop("metadata_json")
+    data = F.from_json("metadata_json", "in_util_pct double, out_util_pct double, sample_ts string")
+    rows = detect.threshold_breaches(t.utilization, as_of(), ("ts_bucket", "event_id")).withColumn("d", data)
+    return rows.withColumns({"in_util_pct": F.round("d.in_util_pct", 6), "out_util_pct": F.round("d.out_util_pct", 6), "sample_ts": F.col("d.sample_ts")}).drop("metadata_json", "d")
 
 
 @query
 def q15b_spike_detector(t):
-    return detect.spikes(t.flows, baselines.compute_baselines(t.last(WEEK).flows, as_of()), as_of(), DAY).drop("metadata_json")
+    data = F.from_json("metadata_json", "z_score double, current_bytes long, baseline_mean double, baseline_stddev double, baseline_sample_count long")
+    rows = detect.spikes(t.flows, baselines.compute_baselines(t.last(WEEK).flows, as_of()), as_of(), DAY).withColumn("d", data)
+    return rows.select("*", "d.*").withColumns({"baseline_mean": F.round("baseline_mean", 3), "baseline_stddev": F.round("baseline_stddev", 3)}).drop("metadata_json", "d")
 
 
 @query
@@ -466,7 +490,7 @@ def q15b_spike_scores(t):
 
 @query
 def q15c_rdma_stress(t):
-    return detect.rdma_stress(t.last(DAY).queues, as_of(), DAY).drop("metadata_json")
+    return detect.rdma_stress(t.last(DAY).queues, as_of(), DAY)
 
 
 def _events(t):
@@ -485,7 +509,7 @@ def q15e_event_counts(t):
 
 @query
 def q16a_fingerprint(t):
-    cause = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("event_id").alias("queue_id"))))
+    cause = F.when(F.col("event_id") % 2 == 0, F.format_string('{"queue_id": %d, "in": {"b": "\u00e9", "a": [1, 2]}}', "event_id"))
     return t.anomalies.select("event_id", C.fingerprint("tenant_id", "anomaly_type", "scope", cause).alias("fingerprint"))
 
 
@@ -556,7 +580,8 @@ def q18_dropped_months(t):
 
 @query
 def q19a_call_enrichment(t):
-    return usage.enrich(t.calls).select("event_id", "args_hash", "confidence_band")
+    calls = t.calls.withColumn("args_json", F.expr(CALL_ARGS))
+    return usage.enrich(calls).select("event_id", "args_hash", "args_truncated", "confidence_band")
 
 
 @query

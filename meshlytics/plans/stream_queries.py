@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,18 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import anomalies, baselines, normalize
 from ..streaming import streams
-from .fixtures import AS_OF, VIEWS, view
+from .fixtures import AS_OF, VIEWS, folder, view
 from .queries import QUERIES, Tables
 
-LOCAL_STREAM_DIR = "/tmp/checkpoints/meshlytics-streams"
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one of the cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_STREAM_DIR
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of ``events`` as a stream."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -68,19 +58,55 @@ def st1_flow_stream(spark, sf_dir):
 
 @query
 def st2_counter_stream(spark, sf_dir):
-    return appended(streams.utilization(stream(spark, sf_dir, "counter_raw"), view(spark, sf_dir, "collector_sources")), spark).drop("in_util_pct", "out_util_pct")
+    return appended(streams.utilization(stream(spark, sf_dir, "counter_raw"), view(spark, sf_dir, "collector_sources")), spark).withColumns({c: F.round(c, 6) for c in ("in_util_pct", "out_util_pct")})
+
+
+def state_feed(spark, sf_dir):
+    """Notifications of interface states, BGP neighbours and queues as one stream."""
+
+    def notified(name: str, path, leaves: dict[str, str]) -> DataFrame:
+        updates = F.array(*[F.struct(F.concat(path, F.lit(f"/state/{leaf}")).alias("path"), F.col(c).cast("string").alias("val")) for leaf, c in leaves.items()])
+        return stream(spark, sf_dir, name).select("device", "timestamp", F.array(F.struct(updates.alias("update"))).alias("notification"))
+
+    keyed = lambda *parts: F.concat(*[F.lit(p) if k % 2 == 0 else F.col(p).cast("string") for k, p in enumerate(parts)])
+    interfaces = notified("iface_raw", keyed("interfaces/interface[name=", "interface", "]"), {"oper-status": "oper_status", "admin-status": "admin_status"})
+    neighbors = notified("bgp_raw", keyed("bgp/neighbors/neighbor[neighbor-address=", "peer_address", "]"), {"session-state": "session_state", "peer-as": "peer_as"})
+    queues = notified("queue_raw", keyed("qos/interfaces/interface[interface-id=", "interface", "]/output/queues/queue[name=", "queue_id", "]"), {"pfc-pause-rx": "pfc_pause_rx", "dropped-pkts": "dropped_packets"})
+    return interfaces.unionByName(neighbors).unionByName(queues)
+
+
+def state_tables(spark, sf_dir, routing, at: str) -> DataFrame:
+    """The three state tables after the stream as rows of one shape, by kind."""
+    paths = {k: f"{at}/{k}" for k in ("interface", "bgp", "queue")}
+    finish(streams.state_batches(state_feed(spark, sf_dir), routing, paths), at)
+    shapes = {"interface": ("interface", "oper_status", "admin_status"), "bgp": ("peer_address", "session_state", "peer_as"), "queue": ("queue_id", "dropped_packets", "pfc_pause_rx")}
+    read = lambda kind, part, a, b: spark.read.parquet(paths[kind]).select(F.lit(kind).alias("kind"), "tenant_id", "device", F.col(part).cast("string").alias("part"), "ts_bucket", F.concat_ws(" ", F.col(a).cast("string"), F.col(b).cast("string")).alias("state"), "month")
+    return reduce(DataFrame.unionByName, [read(k, *x) for k, x in shapes.items()])
 
 
 @query
 def st3_state_stream(spark, sf_dir):
-    """Notifications of interface states; mappings are read again for each batch (ST9)."""
-    path = F.concat(F.lit("interfaces/interface[name="), F.col("interface"), F.lit("]/state/"))
-    leaf = lambda name, c: F.struct(F.concat(path, F.lit(name)).alias("path"), F.col(c).cast("string").alias("val"))
-    feed = stream(spark, sf_dir, "iface_raw").select("device", "timestamp", F.array(F.struct(F.array(leaf("oper-status", "oper_status"), leaf("admin-status", "admin_status")).alias("update"))).alias("notification"))
+    """Notifications to the three state tables."""
     at = folder(spark)
-    paths = {k: f"{at}/{k}" for k in ("interface", "bgp", "queue")}
-    finish(streams.state_batches(feed, streams.Routing(lambda: view(spark, sf_dir, "collector_sources"), f"{at}/routing"), paths), at)
-    return spark.read.parquet(paths["interface"]).select("tenant_id", "device", "interface", "ts_bucket", "admin_status", "oper_status", "month")
+    return state_tables(spark, sf_dir, lambda: view(spark, sf_dir, "collector_sources"), at)
+
+
+@query
+def st9_routing_stream(spark, sf_dir):
+    """The same with mappings that are read again for each batch and cannot be read from the second time on: the last good
+    reading stays in use."""
+    at, times = folder(spark), []
+
+    def read():
+        times.append(1)
+        if len(times) > 1:
+            raise OSError("the mappings can't be read")
+        return view(spark, sf_dir, "collector_sources")
+
+    routing = streams.Routing(read, f"{at}/routing")
+    routing()
+    rows = state_tables(spark, sf_dir, routing, at)
+    return rows.groupBy("kind", "tenant_id").agg(F.count("*").alias("n")).withColumn("readings_failed", F.lit(routing.failures > 0))
 
 
 @query
@@ -88,7 +114,7 @@ def st4_spike_stream(spark, sf_dir):
     sources = view(spark, sf_dir, "collector_sources")
     rows = stream(spark, sf_dir, "flow_raw").select(C.minute_bucket("timestamp").alias("ts_bucket"), F.col("agent").alias("device"), F.col("input_if_index").cast("string").alias("interface"), (F.col("bytes") * F.col("sampling_rate")).alias("bytes_estimated"))
     known = baselines.compute_baselines(Tables(spark, sf_dir).flows, C.at(AS_OF))
-    return appended(streams.sliding_spikes(normalize.route(rows, sources, "sflow"), known), spark).drop("z_score")
+    return appended(streams.sliding_spikes(normalize.route(rows, sources, "sflow"), known), spark).withColumn("z_score", F.round("z_score", 6))
 
 
 @query
@@ -109,14 +135,14 @@ def st6_breach_stream(spark, sf_dir):
 def st7_dedup_stream(spark, sf_dir):
     events = anomalies.with_fingerprint(stream(spark, sf_dir, "anomaly_raw"))
     at = folder(spark)
-    store = streams.Versions(spark, f"{at}/store", streams.STORED)
+    store = streams.Versions(spark, f"{at}/store", streams.STORED, ["tenant_id", "fingerprint"])
     return store.at(finish(streams.dedup_batches(events, store), at)).select("tenant_id", "fingerprint", "severity", "occurrence_count", "first_seen_at", "last_seen_at")
 
 
 @query
 def st8_freshness_stream(spark, sf_dir):
     at = folder(spark)
-    store = streams.Versions(spark, f"{at}/store", streams.HEARTBEATS)
+    store = streams.Versions(spark, f"{at}/store", streams.HEARTBEATS, ["tenant_id", "source_kind", "device"])
     return store.at(finish(streams.freshness_batches(stream(spark, sf_dir, "heartbeat_raw"), store), at))
 
 

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import trailing, trailing_months
+
 
 def with_month(df: DataFrame, ts: str = "ts_bucket") -> DataFrame:
     """K3: the partition column, an int like 202401."""
     return df.withColumn("month", F.date_format(ts, "yyyyMM").cast("int"))
 
 
-def append_monthly(df: DataFrame, path: str, ts: str = "ts_bucket") -> None:
-    """K1 and K3: appended to its months; rows are brought together by month so that each gets few files."""
-    with_month(df, ts).repartition("month", F.pmod(F.xxhash64(*[c for c in ("tenant_id", "device") if c in df.columns] or [ts]), F.lit(16))).write.mode("append").partitionBy("month").parquet(path)
+def append_monthly(df: DataFrame, path: str, ts: str = "ts_bucket", mode: str = "append") -> None:
+    """K1 and K3: appended to its months. Rows are brought together by month; Spark splits a large month into as many tasks as
+    its size asks for, so each month gets few files, but not just one."""
+    with_month(df, ts).hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, as_of: Column, minutes: int, ts: str = "ts_bucket") -> DataFrame:
+    """K3: the rows of a trailing window; months outside it are not read."""
+    return spark.read.parquet(path).where(trailing_months(as_of, minutes) & trailing(ts, as_of, minutes))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], merge: dict[str, Callable] | None = None) -> DataFrame:

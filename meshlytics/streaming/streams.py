@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -32,14 +32,19 @@ def utilization(counters: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def state_batches(feed: DataFrame, sources: Callable[[], DataFrame], paths: dict[str, str]) -> DataStreamWriter:
-    """ST3: notifications to the three state tables, batch by batch. ``paths``: interface, bgp, queue."""
+    """ST3: notifications to the three state tables. ``paths``: interface, bgp, queue. Each batch has a folder of its own in
+    each table, so a batch that is run again after a failure writes the same rows once."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         updates, now = feeds.flatten_notifications(batch), sources()
-        append_monthly(normalize.normalize_interface_state(feeds.interface_states(updates), now), paths["interface"])
-        append_monthly(normalize.normalize_bgp_neighbors(feeds.bgp_neighbors(updates), now), paths["bgp"])
-        append_monthly(normalize.normalize_queue_stats(feeds.queue_stats(updates), now), paths["queue"])
+        tables = {
+            "interface": normalize.normalize_interface_state(feeds.interface_states(updates), now),
+            "bgp": normalize.normalize_bgp_neighbors(feeds.bgp_neighbors(updates), now),
+            "queue": normalize.normalize_queue_stats(feeds.queue_stats(updates), now),
+        }
+        for kind, rows in tables.items():
+            append_monthly(rows, f"{paths[kind]}/batch={number}", mode="overwrite")
         batch.unpersist()
 
     return feed.writeStream.foreachBatch(write)
@@ -74,22 +79,46 @@ def breach_batches(rows: DataFrame, emit: Callable[[DataFrame, int], None]) -> D
 
 
 class Versions:
-    """A small keyed table as one folder per batch. A batch reads the version before it and writes its own, so a batch
-    that is run again after a failure gives the same version."""
+    """A keyed table in buckets, of which a batch reads and writes those it touches. A batch writes new folders and then a
+    list of the folder in use of each bucket; it reads by the list of the batch before it, so a batch that is run again
+    after a failure gives the same. Folders that neither the last two lists name are deleted."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], buckets: int = 32):
+        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
 
-    def before(self, number: int) -> DataFrame:
-        if number == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={number - 1}")
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def _folders(self, number: int) -> dict[int, int]:
+        """The version in use of each bucket after a batch; one row per bucket."""
+        if number < 0:
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").parquet(f"{self.root}/list/v={number}").collect()}
 
-    def put(self, number: int, df: DataFrame) -> None:
-        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/v={number}")
+    def _read(self, folders: dict[int, int]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/data/v={v}/bucket={b}" for b, v in folders.items()])
+
+    def put(self, number: int, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """``merge`` of the stored rows of the batch's buckets and the batch."""
+        before = self._folders(number - 1)
+        touched = {r[0] for r in batch.select(self._bucket()).distinct().collect()}  # at most as many as there are buckets
+        out = merge(self._read({b: v for b, v in before.items() if b in touched}), batch).select(*self.schema.fieldNames())
+        out.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={number}")
+        now = before | dict.fromkeys(touched, number)
+        self.spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/list/v={number}")
+        for bucket, version in self._folders(number - 2).items():
+            if before.get(bucket) != version and now.get(bucket) != version:
+                self._delete(f"{self.root}/data/v={version}/bucket={bucket}")
+
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
     def at(self, number: int) -> DataFrame:
-        return self.before(number + 1)
+        return self._read(self._folders(number))
 
 
 STORED = T.StructType([T.StructField(c, T.TimestampType() if c.endswith("_at") else T.LongType() if c == "occurrence_count" else T.StringType()) for c in anomalies.STORED])
@@ -98,12 +127,12 @@ HEARTBEATS = T.StructType([T.StructField("tenant_id", T.StringType()), T.StructF
 
 def dedup_batches(events: DataFrame, store: Versions) -> DataStreamWriter:
     """ST7: each batch of events (with fingerprint) recorded in the stored table."""
-    return events.writeStream.foreachBatch(lambda batch, n: store.put(n, anomalies.record(store.before(n), batch)))
+    return events.writeStream.foreachBatch(lambda batch, n: store.put(n, batch, anomalies.record))
 
 
 def freshness_batches(ingested: DataFrame, store: Versions) -> DataStreamWriter:
     """ST8: each batch of ingested rows as heartbeats; ``freshness.scan`` classifies a version at any time."""
-    return ingested.writeStream.foreachBatch(lambda batch, n: store.put(n, freshness.merge_heartbeats(store.before(n), freshness.heartbeats(batch))))
+    return ingested.writeStream.foreachBatch(lambda batch, n: store.put(n, batch, lambda old, new: freshness.merge_heartbeats(old, freshness.heartbeats(new))))
 
 
 class Routing:

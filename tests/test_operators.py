@@ -150,6 +150,48 @@ def test_truncated_args(spark):
     assert row.args_truncated == '{"a":"' + "x" * 512 + '…","b":"y"}' and row.confidence_band == "exact"
 
 
+def test_canonical_json(spark):
+    """As Python's json with sorted keys, the least separators and ASCII only; also of what is kept in order or nested."""
+    import hashlib
+    import json
+
+    texts = ['{"k": 87}', '{"b": 1, "a": {"d": [1, 2, {"z": null, "y": true}], "c": "x y"}}', '{"é": "ü 日本 😀", "a": -1.5}', "{}", '[3, "a"]', '"t\\n"']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "no json", None])], "k long, t string")
+    got = {r.k: (r.c, r.h) for r in df.select("k", C.canonical_json("t").alias("c"), usage.args_hash(F.col("t")).alias("h")).collect()}
+    for k, t in enumerate(texts):
+        want = json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"))
+        assert got[k] == (want, hashlib.sha256(want.encode()).hexdigest())
+    assert got[len(texts)] == got[len(texts) + 1] == (None, None)
+
+
+def test_truncation_keeps_other_values(spark):
+    args = '{"n": 87, "long": "' + "y" * 513 + '", "o": {"b": 1, "a": "x"}, "q": "a\\"b", "none": null}'
+    df = spark.createDataFrame([(1, args, "x"), (2, "{}", "x"), (3, None, "x")], "k long, args_json string, confidence_note string")
+    got = {r.k: r.args_truncated for r in usage.enrich(df).collect()}
+    assert got[1] == '{"long":"' + "y" * 512 + '…","n":87,"none":null,"o":{"a":"x","b":1},"q":"a\\"b"}' and got[2] is None and got[3] is None
+
+
+def test_argument_bounds(spark):
+    events = spark.createDataFrame([], "id long, tenant_id string, ts timestamp, severity string, scope string")
+    for wrong in ({"limit": 0}, {"limit": 1001}, {"severity_min": "odd"}):
+        with pytest.raises(ValueError):
+            anomalies.recent(events, C.at(NOW), 30, **wrong)
+    with pytest.raises(ValueError):
+        usage.recent_calls(events, limit=5000)
+
+
+def test_quota_decisions_by_minutes_are_those_of_one_window(spark):
+    rows = [(k, T, "tool", at(f"2026-01-05 {k // 120:02d}:{k % 60:02d}:{(k * 7) % 60:02d}"), None if k % 5 == 0 else k) for k in range(600)]
+    calls = spark.createDataFrame(rows, "event_id long, tenant_id string, tool_name string, ts timestamp, response_bytes long")
+    limits = spark.createDataFrame([(T, "tool", 400, 60_000)], "tenant_id string, tool_name string, call_limit long, byte_limit long")
+    got = {r.event_id: (r.calls_so_far, r.bytes_so_far, r.allowed, r.reason) for r in usage.quota_decisions(calls, limits).collect()}
+    n = size = 0
+    for k, _, _, ts, b in sorted(rows, key=lambda r: (r[3], r[0])):
+        n, size = n + 1, size + (b or 0)
+        seen = None if got[k][1] is None else size
+        assert got[k] == (n, seen, n <= 400 and size <= 60_000, "call_limit_exceeded" if n > 400 else "byte_limit_exceeded" if size > 60_000 else "ok")
+
+
 def test_month_layout_prunes(spark, tmp_path):
     df = spark.createDataFrame([(T, at("2026-01-05 00:00:00"), "d"), (T, at("2025-11-05 00:00:00"), "d")], "tenant_id string, ts_bucket timestamp, device string")
     path = str(tmp_path / "t")

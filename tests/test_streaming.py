@@ -107,15 +107,38 @@ def test_breaches(spark, sources, tmp_path):
 
 def test_dedup_state(spark, tmp_path):
     events = anomalies.with_fingerprint(view(spark, SF, "anomaly_raw")).withColumns({"summary": F.lit("s"), "metadata_json": F.lit(None).cast("string")})
-    store = streams.Versions(spark, str(tmp_path / "store"), streams.STORED)
+    store = streams.Versions(spark, str(tmp_path / "store"), streams.STORED, ["tenant_id", "fingerprint"], 4)
     last = run(streams.dedup_batches(streamed(spark, events, tmp_path, "ev"), store), tmp_path, "st7")
     columns = ["tenant_id", "fingerprint", "severity", "occurrence_count", "first_seen_at", "last_seen_at"]
     assert rows_of(store.at(last), columns) == rows_of(anomalies.condense(events), columns)
 
 
+def test_versions_touch_and_keep_few_folders(spark, tmp_path):
+    """A batch that is run again gives the same; only touched buckets are written, and old folders go."""
+    store = streams.Versions(spark, str(tmp_path / "v"), spark.createDataFrame([], "k long, n long").schema, ["k"], 4)
+    add = lambda old, new: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
+    batches = [[(k, 1) for k in range(8)], [(0, 5)], [(0, 5)], [(0, 5), (3, 1)], []]
+    for n, rows in enumerate(batches):
+        for _ in range(2):
+            store.put(n, spark.createDataFrame(rows, "k long, n long"), add)
+    assert sorted((r.k, r.n) for r in store.at(4).collect()) == [(0, 16), (1, 1), (2, 1), (3, 2), *((k, 1) for k in range(4, 8))]
+    assert sorted((r.k, r.n) for r in store.at(3).collect()) == sorted((r.k, r.n) for r in store.at(4).collect())
+    folders = [x for x in (tmp_path / "v" / "data").glob("v=*/bucket=*")]
+    assert len(folders) <= 8 and not (tmp_path / "v" / "data" / "v=1").exists() or not list((tmp_path / "v" / "data" / "v=1").glob("bucket=*"))
+
+
+def test_state_batch_run_again_is_stored_once(spark, sources, tmp_path):
+    path = F.concat(F.lit("interfaces/interface[name="), F.col("interface"), F.lit("]/state/oper-status"))
+    raw = view(spark, SF, "iface_raw").select("device", "timestamp", F.array(F.struct(F.array(F.struct(path.alias("path"), F.col("oper_status").alias("val"))).alias("update"))).alias("notification"))
+    paths = {k: str(tmp_path / k) for k in ("interface", "bgp", "queue")}
+    for again in range(2):  # another checkpoint: the same batches, as after a lost driver
+        run(streams.state_batches(streamed(spark, raw, tmp_path, f"again{again}"), lambda: sources, paths), tmp_path, f"st3-{again}")
+    assert spark.read.parquet(paths["interface"]).count() == raw.count()
+
+
 def test_freshness_state(spark, tmp_path):
     rows = view(spark, SF, "heartbeat_raw")
-    store = streams.Versions(spark, str(tmp_path / "fresh"), streams.HEARTBEATS)
+    store = streams.Versions(spark, str(tmp_path / "fresh"), streams.HEARTBEATS, ["tenant_id", "source_kind", "device"], 4)
     last = run(streams.freshness_batches(streamed(spark, rows, tmp_path, "hb"), store), tmp_path, "st8")
     columns = ["tenant_id", "source_kind", "device", "last_ingest_ts", "last_sample_count"]
     assert rows_of(store.at(last), columns) == rows_of(freshness.heartbeats(rows), columns)
