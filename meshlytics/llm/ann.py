@@ -2,13 +2,15 @@
 
 Codebooks of 16 centres per pair of components (four bits) are fitted on a bounded sample. Both the fit and the codes
 weigh the part of the residual that is parallel to the vector more than the rest, since that is what moves the largest
-inner products (Guo and others, 2020). Every vector is coded. A search deals queries and vectors to a grid of blocks of
-bounded size; a task scans its block's codes with the query's four-bit tables and reranks the best by exact inner
+inner products (Guo and others, 2020). Every vector is coded once: the index is a table with a row for each block of
+vectors, which holds its ids, packed codes and vectors. Queries are blocks too, and a task gets one of each; it scans the
+codes with each query's four-bit tables, two tables of a byte's codes at a time, and reranks the best by exact inner
 products; the best of all blocks are the result. Equal vectors of a block are scanned once and keep their smallest ids.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
 take no part; ties go to the smaller id; rows that share an id count once, the first by value; with fewer than ``top``
-candidates all are returned; an empty table gives no rows.
+candidates all are returned; an empty table gives no rows; other columns, whatever their names, are neither read nor
+returned.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .common import read_table, saved, ship
 
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 10_000
-#: Rows of a block of vectors, and of a block of queries, about.
-BLOCK, QUERIES_IN_BLOCK = 16_384, 4096
+#: Rows of a block of vectors, and of a block of queries, about; and the most components that a block holds.
+BLOCK, QUERIES_IN_BLOCK, BLOCK_VALUES = 16_384, 4096, 4_000_000
 #: Candidates of a block that are reranked exactly, per neighbour asked for.
 RERANK = 16
 CENTRES, WIDTH = 16, 2
@@ -105,20 +107,26 @@ def fit(x: np.ndarray, weight: float, rounds: int = 6, seed: int = 5) -> np.ndar
     return books
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Codes (rows x parts) of four bits as bytes (parts / 2 x rows), two to a byte; an odd last part goes with a zero."""
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], 1)
+    return np.ascontiguousarray((codes[:, 0::2] * CENTRES + codes[:, 1::2]).T)
+
+
 def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray):
-    """For each query the sums of table entries of all rows. Two parts make one table of 256, so that a byte, the codes
-    of both, is one look-up."""
+    """For each query the sums of table entries of all rows, whose ``codes`` are packed. The two tables of a byte's codes are
+    added up for each pair of entries first, so that a byte is one look-up."""
     parts = books.shape[0]
     tables = np.einsum("qpw,pcw->qpc", queries.reshape(len(queries), parts, WIDTH), books).astype(np.float32)
     if parts % 2:
         tables = np.concatenate([tables, np.zeros((len(queries), 1, CENTRES), np.float32)], 1)
-        codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], 1)
     both = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(queries), -1, CENTRES * CENTRES)
-    packed = (codes[:, 0::2] * CENTRES + codes[:, 1::2]).T.astype(np.intp).copy()
+    at = codes.astype(np.intp)
     for q in range(len(queries)):
-        s = both[q, 0][packed[0]]
-        for p in range(1, len(packed)):
-            s += both[q, p][packed[p]]
+        s = both[q, 0][at[0]]
+        for p in range(1, len(at)):
+            s += both[q, p][at[p]]
         yield s
 
 
@@ -152,41 +160,53 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     weight = eta(some)
     books = fit(some, weight)
     shared = spark.sparkContext.broadcast(books)  # 16 centres for each pair of components
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked.count() // QUERIES_IN_BLOCK))
-    own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    dealt = asked.withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    out = "query_id long, vec_id long, score double"
+    per_block = max(1, min(block, BLOCK_VALUES // wide))
+    blocks, query_blocks = max(1, -(-n // per_block)), max(1, -(-asked.count() // QUERIES_IN_BLOCK))
+    lists = lambda x: x.astype("<i8").tobytes()
+
+    def index(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy()
+        # Equal vectors tie at each query: only the smallest ids among them can be neighbours, one more for the query itself.
+        first, group = np.unique(np.stack(pdf["x"].to_numpy()), axis=0, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        starts = np.searchsorted(group[order], np.arange(len(first)))
+        codes = packed(encode(np.pad(first, ((0, 0), (0, wide - d))), shared.value, weight))
+        return pd.DataFrame({"b": pdf["b"].iloc[:1], "ids": [lists(ids[order])], "starts": [lists(starts)], "codes": [codes.tobytes()], "vectors": [first.astype("<f8").tobytes()]})
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"q": pdf["q"].iloc[:1], "ids": [lists(pdf["id"].to_numpy())], "vectors": [np.stack(pdf["x"].to_numpy()).astype("<f8").tobytes()]})
+
+    indexed = saved(rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("b").applyInPandas(index, "b long, ids binary, starts binary, codes binary, vectors binary"), "index")
+    batches = saved(asked.withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))).groupBy("q").applyInPandas(gather, "q long, ids binary, vectors binary"), "batches")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
 
     def task(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(own) and len(asked):
-            own = own.sort_values("id")
-            ids, x = own["id"].to_numpy(), np.stack(own["x"].to_numpy())
-            # Equal vectors tie at each query: only the smallest ids among them can be neighbours, one more for the query itself.
-            first, group = np.unique(x, axis=0, return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            starts = np.searchsorted(group[order], np.arange(len(first)))
-            ends = np.append(starts[1:], len(order))
-            padded = np.pad(first, ((0, 0), (0, wide - d)))
-            codes = encode(padded, shared.value, weight)
-            qid, qx = asked["id"].to_numpy(), np.stack(asked["x"].to_numpy())
+            row, ask = own.iloc[0], asked.iloc[0]
+            ids, starts = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["starts"], "<i8")
+            ends = np.append(starts[1:], len(ids))
+            first = np.frombuffer(row["vectors"], "<f8").reshape(-1, d)
+            codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(first))
+            qid, qx = np.frombuffer(ask["ids"], "<i8"), np.frombuffer(ask["vectors"], "<f8").reshape(-1, d)
             for low in range(0, len(qid), 256):
                 part = qx[low : low + 256]
                 for i, rough in enumerate(scan(np.pad(part, ((0, 0), (0, wide - d))), codes, shared.value)):
                     near, score = rerank_rows(rough, first, part[i], top, top * rerank)
-                    rank = np.lexsort((ids[order[starts[near]]], -score))
                     got, last = [], None
-                    for r in rank:
+                    for r in np.lexsort((ids[starts[near]], -score)):
                         if len(got) >= top and score[r] != last:
                             break
                         last = score[r]
-                        members = order[starts[near[r]] : min(ends[near[r]], starts[near[r]] + top + 1)]
-                        got += [(v, score[r]) for v in ids[members] if v != qid[low + i]]
+                        members = ids[starts[near[r]] : min(ends[near[r]], starts[near[r]] + top + 1)]
+                        got += [(v, score[r]) for v in members if v != qid[low + i]]
                     got.sort(key=lambda g: (-g[1], g[0]))
                     found += [(qid[low + i], v, s) for v, s in got[:top]]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    best = own.groupBy("b", "q").cogroup(dealt.groupBy("b", "q")).applyInPandas(task, out)
+    cells = indexed.withColumn("q", every(query_blocks)).groupBy("b", "q").cogroup(batches.withColumn("b", every(blocks)).groupBy("b", "q"))
+    best = cells.applyInPandas(task, "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -1,15 +1,16 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Vectors of a label are dealt by hash to shards of bounded size, equal vectors as one. A task builds each shard's graph;
-then every vector queries every shard of its label: a beam search down the levels, then on along edges between vectors
-that are near enough. In each cell of shards and queries some queries are audited against all vectors of the shard, and
+Vectors of a label are dealt by hash to shards of bounded size, equal vectors as one. A task builds each shard's graph, a
+row of the index; then every vector queries every shard of its label: a beam search down the levels, then on along edges
+between vectors that are near enough. Queries are dealt to smaller parts, each a row too, and a cell is a shard and a part,
+so that there are many tasks and only packed rows are shuffled. In each cell some queries are audited against all vectors of the shard, and
 the beam is doubled until no link is missed among them, at last to the whole shard. Cosines are verified in double
 precision. A cell returns a count for each query and a forest of its links, so that groups of any size stay linear.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label,
 link with nothing; vectors of different lengths don't either; a null id is a component of its own (null) that is kept;
-rows that share an id count as one vector, the first by label and value, and are each returned; an empty table gives no
-rows; other columns are not read.
+rows that share an id count as one vector, the first by label and value, and are each returned; a pair at exactly the
+threshold is a link; an empty table gives no rows; other columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read_table, saved, ship
+from .common import components, discard, read_table, saved, ship
 
-#: Vectors of a shard, about.
-SHARD = 8192
+#: Vectors of a shard, about, and queries of a cell.
+SHARD, PART = 8192, 2048
 #: Neighbours on the upper levels and on the lowest, the beam while building and at first while searching.
 M, M0, BUILD_BEAM, BEAM = 12, 24, 40, 24
 #: Queries of a cell that are audited.
-AUDIT = 256
+AUDIT = 128
 
 
 class Graph:
@@ -170,32 +171,36 @@ def unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, shard: int = SHARD, beam: int = BEAM, part: int = PART) -> DataFrame:
     """A row per row of ``vectors``: ``key``, ``n_links``, ``component_id`` and ``kept``."""
     ship(vectors.sparkSession)
     live = saved(usable(vectors, key, vector, label), "vectors")
     groups = saved(live.groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "groups")
-    sizes = groups.groupBy("label", F.size("x").alias("d")).agg(F.ceil(F.count("*") / shard).alias("shards"))
-    dealt = groups.withColumn("d", F.size("x")).join(sizes, ["label", "d"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")))
+    sizes = groups.groupBy("label", F.size("x").alias("d")).agg(F.ceil(F.count("*") / shard).alias("shards"), F.ceil(F.count("*") / part).alias("parts"))
+    dealt = groups.withColumn("d", F.size("x")).join(sizes, ["label", "d"]).withColumns({"shard": F.pmod(F.xxhash64("rep"), F.col("shards")), "part": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts"))})
     dealt = saved(dealt, "dealt")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         graph = Graph(unit(pdf["x"])).build()
-        return pd.DataFrame({"label": pdf["label"].iloc[:1], "d": pdf["d"].iloc[:1], "shard": pdf["shard"].iloc[:1], "shards": pdf["shards"].iloc[:1], "graph": [graph.dump()], "ids": [pdf["rep"].to_numpy().astype("<i8").tobytes()], "ws": [pdf["w"].to_numpy().astype("<i8").tobytes()]})
+        return pdf[["label", "d", "shard", "parts"]].iloc[:1].assign(graph=[graph.dump()], ids=[pdf["rep"].to_numpy().astype("<i8").tobytes()], ws=[pdf["w"].to_numpy().astype("<i8").tobytes()])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        return pdf[["label", "d", "part", "shards"]].iloc[:1].assign(reps=[pdf["rep"].to_numpy().astype("<i8").tobytes()], xs=[unit(pdf["x"]).astype("<f8").tobytes()])
 
     kind = dealt.schema["label"].dataType.simpleString()
-    index = saved(dealt.groupBy("label", "d", "shard").applyInPandas(build, f"label {kind}, d int, shard long, shards long, graph binary, ids binary, ws binary"), "index")
-    steps = F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)
-    cells = index.withColumn("part", F.explode(steps))
-    asked = dealt.select("label", "d", F.col("shard").alias("part"), "rep", "w", "x", F.explode(steps).alias("shard"))
+    index = saved(dealt.groupBy("label", "d", "shard").applyInPandas(build, f"label {kind}, d int, shard long, parts long, graph binary, ids binary, ws binary"), "index")
+    parts = saved(dealt.groupBy("label", "d", "part").applyInPandas(gather, f"label {kind}, d int, part long, shards long, reps binary, xs binary"), "parts")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    cells, asked = index.withColumn("part", every("parts")), parts.withColumn("shard", every("shards"))
 
     def query(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
             return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
         graph, ids, ws = Graph.load(own["graph"].iloc[0]), np.frombuffer(own["ids"].iloc[0], "<i8"), np.frombuffer(own["ws"].iloc[0], "<i8")
-        asked = asked.sort_values("rep")
-        qid, q = asked["rep"].to_numpy(), unit(asked["x"])
+        qid = np.frombuffer(asked["reps"].iloc[0], "<i8")
+        q = np.frombuffer(asked["xs"].iloc[0], "<f8").reshape(len(qid), -1)
         width = beam
         audit = np.random.default_rng(len(qid)).permutation(len(qid))[:AUDIT]
         truth = graph.x @ q[audit].T >= least
@@ -229,7 +234,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     found = cells.groupBy("label", "d", "shard", "part").cogroup(asked.groupBy("label", "d", "shard", "part")).applyInPandas(query, "id long, n long, root long")
     found = saved(found, "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
-    comps = saved(components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))), "components")
+    comps = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    discard(index, parts, dealt)
     per_group = groups.join(counts, "rep", "left").join(comps, groups["rep"] == comps["node"], "left")
     per_group = per_group.select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     each = live.join(per_group, ["label", "x"]).select(F.col("id").alias("_id"), "n_links", "component_id")

@@ -175,6 +175,35 @@ def test_search(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_by_odd_parts_and_index(spark):
+    """Six components are three parts, the last alone in its byte; packing loses nothing."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6))
+    books = ann.fit(x, ann.eta(x))
+    codes = ann.encode(x, books, ann.eta(x))
+    rough = np.stack(list(ann.scan(x[:5], ann.packed(codes), books)))
+    decoded = books[np.arange(3)[None], codes].reshape(300, 6)
+    assert np.allclose(rough, x[:5] @ decoded.T, atol=1e-4)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[::20], "vec_id long, embedding array<double>"), top=5, block=64).collect()
+    want = {(q, int(v)) for q in range(0, 300, 20) for v in np.argsort(-(x @ x[q]) + 1e9 * (np.arange(300) == q))[:5]}
+    assert len(got) == 75 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 74
+
+
+def test_many_links(spark):
+    """A third of the vectors are near to each other: counts and components without all pairs, ties and copies too."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=32)
+    x = [centre + rng.normal(size=32) * 0.15 for _ in range(300)] + [centre] * 50 + list(rng.normal(size=(500, 32)))
+    rows = [(k, v.tolist(), "a") for k, v in enumerate(x)]
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), shard=128).collect()}
+    u = np.stack(x) / np.linalg.norm(np.stack(x), axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    assert near[:350, :350].mean() > 0.5 and {k: r.n_links for k, r in got.items()} == dict(enumerate((near.sum(1) - 1).tolist()))
+    want = smallest_reachable(range(len(x)), [(a, b) for a, b in np.argwhere(near).tolist() if a < b])
+    assert {k: r.component_id for k, r in got.items()} == want
+
+
 def test_near_vectors(spark):
     rows, df = vectors(spark)
     got = embedding_dedup.near_vectors(df, shard=60, beam=4).collect()
