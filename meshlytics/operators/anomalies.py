@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.columns import SEVERITY_RANK, anomaly_scope, fingerprint, severity_at_least, severity_rank, trailing, within
 
 
@@ -48,7 +49,7 @@ def narrative(fact_rows: DataFrame, tenants: DataFrame, window_minutes: int) ->
     joined = lambda c, k: F.array_join(F.transform(F.slice(c, 1, k), lambda x: x["text"]), ", ")
     noun = F.when(F.col("total") == 1, "event").otherwise("events")
     text = F.format_string(f"%d anomaly %s in the last {window_minutes} minutes — %s. Dominant types: %s. Most activity on %s.", F.col("total"), noun, joined("s", 9), joined("t", 3), F.get("c", F.lit(0))["text"])
-    return tenants.select("tenant_id").join(rows, "tenant_id", "left").select("tenant_id", F.when(F.col("total").isNull(), "No anomalies detected in the requested window.").otherwise(text).alias("narrative"))
+    return tenants.select("tenant_id").join(rows, "tenant_id", "left").select("tenant_id", F.when(F.col("total").isNull(), texts.NO_ANOMALIES).otherwise(text).alias("narrative"))
 
 
 def escalate(current: Column, new: Column) -> Column:

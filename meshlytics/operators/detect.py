@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.columns import direction, either_at_least, peak, trailing
 from .baselines import latest_baseline
 from .state import latest, queue_sums
@@ -24,7 +25,7 @@ def threshold_breaches(utilization: DataFrame, as_of: Column, order: tuple[str,
     return rows.select(
         "tenant_id", as_of.alias("ts"), F.concat(F.lit("device:"), "device", F.lit("/interface:"), "interface").alias("scope"),
         F.lit("threshold_breach").alias("anomaly_type"), severity.alias("severity"),
-        F.format_string("%s on %s is at %.1f%% %s utilization.", F.col("interface"), F.col("device"), u, direction()).alias("summary"),
+        F.format_string(texts.BREACH, F.col("interface"), F.col("device"), u, direction()).alias("summary"),
         F.to_json(F.struct("in_util_pct", "out_util_pct", F.date_format("ts_bucket", "yyyy-MM-dd'T'HH:mm:ss").alias("sample_ts"))).alias("metadata_json"),
     )
 
@@ -42,7 +43,7 @@ def spikes(flows: DataFrame, baselines: DataFrame, as_of: Column, lookback_minut
     """Q15b."""
     z = F.col("z_score")
     rows = spike_scores(flows, baselines, as_of, lookback_minutes, normalize_minutes).where(z >= Z_MEDIUM)
-    text = F.format_string(f"Traffic spike on %s (%s): %.2f GB in last {lookback_minutes} min vs baseline %.2f GB (Z=%.1f).", F.col("interface"), F.col("device"), F.col("current_bytes") / 1e9, F.col("mean_value") / 1e9, z)
+    text = F.format_string(texts.SPIKE.replace("{minutes}", str(lookback_minutes)), F.col("interface"), F.col("device"), F.col("current_bytes") / 1e9, F.col("mean_value") / 1e9, z)
     return rows.select(
         "tenant_id", as_of.alias("ts"), F.concat(F.lit("device:"), "device", F.lit("/interface:"), "interface").alias("scope"), F.lit("spike").alias("anomaly_type"),
         F.when(z >= Z_CRITICAL, "critical").when(z >= Z_HIGH, "high").otherwise("medium").alias("severity"), text.alias("summary"),
@@ -59,9 +60,9 @@ def rdma_stress(queues: DataFrame, as_of: Column, lookback_minutes: int = STRESS
     def event(kind, severity, text, *data):
         return F.struct(F.lit(kind).alias("anomaly_type"), F.lit(severity).alias("severity"), text.alias("summary"), F.to_json(F.struct(*data)).alias("metadata_json"))
 
-    drop = event("lossless_drop", "critical", F.format_string(f"Lossless drop: queue %d on %s@%s has %d drops AND %d PFC pauses in last {lookback_minutes} min — RDMA transport will retransmit and stall.", "queue_id", "interface", "device", drops, pfc), drops.alias("drops"), pfc.alias("pfc_total"), ecn.alias("ecn_marks"))
-    storm = event("pfc_storm", "high", F.format_string(f"PFC pause storm on queue %d (%s@%s): %d pause frames in last {lookback_minutes} min — sustained receiver-side congestion.", "queue_id", "interface", "device", pfc), F.col("pfc_pause_rx").alias("pfc_rx"), F.col("pfc_pause_tx").alias("pfc_tx"), F.lit(PFC_STORM).alias("threshold"))
-    spike = event("ecn_spike", "medium", F.format_string(f"ECN marking spike on queue %d (%s@%s): %d marked packets in last {lookback_minutes} min — DCQCN is throttling senders.", "queue_id", "interface", "device", ecn), ecn.alias("ecn_marks"), F.lit(ECN_SPIKE).alias("threshold"))
+    drop = event("lossless_drop", "critical", F.format_string(texts.QUEUE_DROP.replace("{minutes}", str(lookback_minutes)), "queue_id", "interface", "device", drops, pfc), drops.alias("drops"), pfc.alias("pfc_total"), ecn.alias("ecn_marks"))
+    storm = event("pfc_storm", "high", F.format_string(texts.QUEUE_STORM.replace("{minutes}", str(lookback_minutes)), "queue_id", "interface", "device", pfc), F.col("pfc_pause_rx").alias("pfc_rx"), F.col("pfc_pause_tx").alias("pfc_tx"), F.lit(PFC_STORM).alias("threshold"))
+    spike = event("ecn_spike", "medium", F.format_string(texts.QUEUE_ECN.replace("{minutes}", str(lookback_minutes)), "queue_id", "interface", "device", ecn), ecn.alias("ecn_marks"), F.lit(ECN_SPIKE).alias("threshold"))
     found = F.filter(F.array(F.when(lossless, drop), F.when(~lossless & (pfc >= PFC_STORM), storm), F.when(~lossless & (ecn >= ECN_SPIKE), spike)), lambda e: e.isNotNull())
     scope = F.format_string("device:%s/interface:%s/queue:%d", "device", "interface", "queue_id")
     return rows.withColumn("e", F.explode(found)).select("tenant_id", as_of.alias("ts"), scope.alias("scope"), "e.*").select(*EVENT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.columns import flow_scope, half_open, peak, protocol_name, share, trailing
 
 PAIR = ["src_ip", "dst_ip", "protocol"]
@@ -73,9 +74,9 @@ def hot_links(peaks: DataFrame, contributors: DataFrame) -> DataFrame:
     link = ["tenant_id", "device", "interface"]
     top = contributors.groupBy(*link).agg(F.min_by(F.struct("src_ip", "dst_ip", "protocol_name", "pct_of_link"), "rank").alias("top"), F.count("*").alias("n_flows"))
     rows = peaks.join(top, link, "full_outer").withColumns({"peak_util_pct": F.coalesce("peak_util_pct", F.lit(0.0)), "n_samples": F.coalesce("n_samples", F.lit(0)), "n_flows": F.coalesce("n_flows", F.lit(0))})
-    seen = F.format_string("%s on %s peaked at %.1f%% utilization. The dominant conversation is %s -> %s (%s), accounting for %.1f%% of flow bytes.", "interface", "device", "peak_util_pct", "top.src_ip", "top.dst_ip", "top.protocol_name", "top.pct_of_link")
-    none = F.format_string("No flow activity visible on %s:%s in the requested window. This usually means no sampled traffic reached the collector.", "device", "interface")
-    note = F.format_string("Derived from %d util samples and %d flow groupings.", "n_samples", "n_flows")
+    seen = F.format_string(texts.LINK_PEAK, "interface", "device", "peak_util_pct", "top.src_ip", "top.dst_ip", "top.protocol_name", "top.pct_of_link")
+    none = F.format_string(texts.NO_FLOWS, "device", "interface")
+    note = F.format_string(texts.DERIVED_FROM, "n_samples", "n_flows")
     return rows.select(*link, "peak_util_pct", "peak_ts", F.when(F.col("n_flows") > 0, seen).otherwise(none).alias("narrative"), note.alias("confidence_note"))
 
 

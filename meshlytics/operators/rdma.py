@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.columns import share, trailing
 from .state import queue_sums
 
@@ -44,12 +45,12 @@ def assess(shares: DataFrame, signals: DataFrame) -> DataFrame:
     n = lambda c: F.col(c) > 0
     severity = F.when(n("lossless"), "critical").when(n("sustained"), "high").when(n("ecn"), "medium").otherwise("low")
     main = (
-        F.when(n("lossless"), F.format_string("Lossless drop detected on %d queue(s): PFC pauses present AND drops > 0 on the same queue. RDMA transport will retransmit and stall.", "lossless"))
-        .when(n("sustained"), F.format_string("Sustained PFC pause activity on %d queue(s) (>1000 frames in window). Receiver-side congestion is applying backpressure — investigate ECMP imbalance or incast at the sink.", "sustained"))
-        .when(n("ecn"), F.format_string("ECN marking active on %d queue(s). DCQCN is throttling senders — fabric is healthy but congested.", "ecn"))
-        .when(n("q"), F.lit("PFC/ECN counters present but below thresholds; fabric is signaling normally."))
-        .when(F.col("roce_share") > HIGH_SHARE, F.format_string("High UDP share (%.0f%%) consistent with RoCE traffic, but no gNMI queue samples to confirm fabric health.", F.col("roce_share") * 100))
-        .otherwise(F.lit("No RoCE/RDMA stress signals in window."))
+        F.when(n("lossless"), F.format_string(texts.LOSSLESS_DROP, "lossless"))
+        .when(n("sustained"), F.format_string(texts.SUSTAINED_PAUSES, "sustained"))
+        .when(n("ecn"), F.format_string(texts.ECN_ACTIVE, "ecn"))
+        .when(n("q"), F.lit(texts.BELOW_THRESHOLDS))
+        .when(F.col("roce_share") > HIGH_SHARE, F.format_string(texts.HIGH_UDP_SHARE, F.col("roce_share") * 100))
+        .otherwise(F.lit(texts.NO_STRESS))
     )
-    lossy = F.when(~n("lossless") & n("lossy"), F.format_string("Drops observed on %d queue(s) without PFC — lossy classes are dropping but the lossless plane appears intact. Verify QoS class mapping for RoCE traffic.", "lossy"))
+    lossy = F.when(~n("lossless") & n("lossy"), F.format_string(texts.LOSSY_DROPS, "lossy"))
     return rows.select("tenant_id", "roce_share", severity.alias("severity"), F.filter(F.array(lossy, main), lambda x: x.isNotNull()).alias("drivers"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.columns import trailing, within
 
 
@@ -55,4 +56,4 @@ def state_note(devices: DataFrame, tables: list[DataFrame], as_of: Column, windo
         seen = own if seen is None else seen.unionByName(own)
     rows = devices.select(*key).distinct().join(seen.distinct().withColumn("_seen", F.lit(True)), key, "left")
     none = F.format_string(f"No gNMI samples for %s in last {window_minutes} min — the device sends none, or it is not among the devices that are asked.", "device")
-    return rows.select(*key, F.when(F.col("_seen"), F.lit("Exact (non-sampled) gNMI/OpenConfig snapshots.")).otherwise(none).alias("confidence_note"))
+    return rows.select(*key, F.when(F.col("_seen"), F.lit(texts.EXACT_STATE)).otherwise(none).alias("confidence_note"))
