@@ -26,7 +26,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Lets Python workers that share this machine import the package (a cluster gets it by ``--py-files``), and keeps the
-    batches that cross to them small, since rows hold whole texts."""
+    batches that cross to them small, since rows hold whole texts: results are lazy, so the session's
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` stays lowered to ``BATCH_ROWS``."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")

@@ -9,8 +9,8 @@ each). Counting is a Spark job, only sums and the sample's counts come to the dr
 whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the language that is first
-in order; without labelled rows every text is ``und``; repeated rows get the same result; other columns stay, but for
-those named like the results.
+in order; without labelled rows every text is ``und``; repeated rows get the same result; very long texts are one count
+each; an empty table gives no rows; other columns stay, but for those named like the results.
 """
 
 from __future__ import annotations
