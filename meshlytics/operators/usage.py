@@ -116,8 +116,9 @@ def rate_report(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: i
 
 def rate_decisions(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: int = 30, seconds: int = WINDOW_SECONDS, tie: str = "event_id") -> DataFrame:
     """Q20, exact: a call counts against later ones only if it was accepted itself, so calls are taken in turn. Calls of a
-    tool that are the window or more apart can't touch each other; each such stretch is a group of its own. Stretches are
-    numbered within blocks, and blocks by a table of one row per tool and block."""
+    tool that are the window or more apart can't touch each other, so stretches between such pauses are independent. Stretches are
+    numbered within blocks, and blocks by a table of one row per tool and block. A stretch is worked through in order by one
+    task, which keeps no more of it than the accepted calls of a window."""
     rows, _ = _blocks(calls, seconds)
     rows = rows.select("tool_name", "_block", "_us", tie)
     apart = seconds * 1_000_000
@@ -130,15 +131,20 @@ def rate_decisions(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other
     inside = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_in", inside).join(ends, ["tool_name", "_block"]).select("tool_name", (F.col("_base") + F.col("_in")).alias("_stretch"), tie, "_us")
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", tie])
-        most, kept, out = limits.get(pdf["tool_name"].iloc[0], other), [], []
-        for t in pdf["_us"].tolist():
-            kept = [k for k in kept if t - k < apart]
-            ok = len(kept) < most
-            out.append((ok, None if ok else int(seconds - (t - kept[0]) / 1e6)))
-            if ok:
-                kept.append(t)
-        return pd.DataFrame({tie: pdf[tie].to_numpy(), "tool_name": pdf["tool_name"].to_numpy(), "accepted": [x[0] for x in out], "retry_after_seconds": pd.array([x[1] for x in out], dtype="Int64")})
-
-    return rows.groupBy("tool_name", "_stretch").applyInPandas(decide, f"{tie} long, tool_name string, accepted boolean, retry_after_seconds long")
+    def decide(batches):
+        """Rows come by tool, stretch and time; all that is kept of them is the accepted calls of the window."""
+        at, kept = None, []
+        for pdf in batches:
+            out = []
+            for tool, stretch, t in zip(pdf["tool_name"].tolist(), pdf["_stretch"].tolist(), pdf["_us"].tolist()):
+                if (tool, stretch) != at:
+                    at, kept, most = (tool, stretch), [], limits.get(tool, other)
+                kept = [k for k in kept if t - k < apart]
+                ok = len(kept) < most
+                out.append((ok, None if ok else int(seconds - (t - kept[0]) / 1e6)))
+                if ok:
+                    kept.append(t)
+            yield pd.DataFrame({tie: pdf[tie].to_numpy(), "tool_name": pdf["tool_name"].to_numpy(), "accepted": [x[0] for x in out], "retry_after_seconds": pd.array([x[1] for x in out], dtype="Int64")})
+
+    ordered = rows.repartition("tool_name", "_stretch").sortWithinPartitions("tool_name", "_stretch", "_us", tie)
+    return ordered.mapInPandas(decide, f"{tie} long, tool_name string, accepted boolean, retry_after_seconds long")

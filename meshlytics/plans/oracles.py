@@ -262,6 +262,15 @@ ORACLES = {k: with_parts(v) for k, v in {
     "st6_breach_stream": "SELECT tenant_id, 'device:' || device || '/interface:' || interface AS scope, 'threshold_breach' AS anomaly_type FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, device, interface ORDER BY ts_bucket DESC) AS k FROM utilization) WHERE k = 1 AND u >= 60",
     "st7_dedup_stream": f"SELECT tenant_id, fingerprint, severity, n AS occurrence_count, {text('lo', 'first_seen_at')}, {text('hi', 'last_seen_at')} FROM conditions",
     "st8_freshness_stream": f"SELECT tenant_id, source_kind, device, {text('last_ingest_ts')}, last_sample_count, 'fresh' AS status FROM beats",
+    "q20_rate_decisions": """SELECT * FROM (
+      WITH RECURSIVE calls AS (
+        SELECT event_id, tool_name, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tool_name ORDER BY ts, event_id) AS n, CASE WHEN tool_name IN ('get_top_talkers', 'get_rdma_health', 'explain_hot_link') THEN 1 ELSE 2 END AS most FROM tool_call_raw
+      ), steps AS (
+        SELECT event_id, tool_name, n, true AS accepted, CAST(NULL AS BIGINT) AS retry_after_seconds, [us] AS kept FROM calls WHERE n = 1
+        UNION ALL
+        SELECT event_id, tool_name, n, len(f) < most, CASE WHEN len(f) >= most THEN CAST(trunc(3600 - (us - f[1]) / 1e6) AS BIGINT) END, CASE WHEN len(f) < most THEN list_append(f, us) ELSE f END
+        FROM (SELECT c.*, list_filter(s.kept, lambda k: c.us - k < 3600000000) AS f FROM steps s JOIN calls c ON c.tool_name = s.tool_name AND c.n = s.n + 1)
+      ) SELECT event_id, tool_name, accepted, retry_after_seconds FROM steps)""",
     "q20_rate_report": """SELECT event_id, n AS calls_before, n >= CASE WHEN tool_name IN ('get_top_talkers', 'get_rdma_health', 'explain_hot_link') THEN 1 ELSE 2 END AS over
       FROM (SELECT event_id, tool_name, count(*) OVER (PARTITION BY tool_name ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING) AS n FROM tool_call_raw)""",
 }.items()}
