@@ -117,6 +117,13 @@ def test_decoding_and_likelihood_are_those_of_all_segmentations():
                 assert abs((pii.likelihood(ends, gold, at)[0] - value) / 1e-5 + off[e][c]) < 1e-3  # finite difference
 
 
+def test_segmentations_that_tie_have_no_entities():
+    for line in ("+1 (269) 555-3296 4532015112830366", "10 20 30 40"):
+        ((cue, atoms),) = pii.sequences(line, 0)
+        assert pii.decode(atoms, {}, cue) == []  # all score nothing
+    assert pii.decode([], {}) == [] and pii.sequences("no numbers", 0) == []
+
+
 def test_pii_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "10.0.0.1", "mine", "mine", "mine", "mine"), (1, "10.0.0.1", "mine", "mine", "mine", "mine")], "doc_id long, text string, _base string, _runs string, _lessons string, N_IP string")
     assert [(r._base, r._runs, r._lessons, r.n_ip, r.spans) for r in pii.find(df).collect()] == [("mine", "mine", "mine", 1, "ip:0:8")] * 2
