@@ -109,6 +109,35 @@ def word_ids(words: pa.DictionaryArray, marks: np.ndarray, ids_of) -> tuple[np.n
     return ids, ends, stem
 
 
+#: Each byte of UTF-8 text as part of a word: A-Z in lower case, other ASCII that is no letter or digit as 0.
+WORD_BYTES = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
+
+
+def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all ``texts`` in a row (maximal runs of ASCII letters, digits and other characters than ASCII, A-Z in
+    lower case; null has none), how many words stand before each text (and in all), and each word's first byte and the byte
+    behind it in its text, as an array of two columns."""
+    texts = pc.fill_null(texts, "")
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    bounds -= bounds[0]
+    folded = WORD_BYTES[raw]
+    inside = folded != 0
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(raw))]  # a text's end is a word's end
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(folded[inside]))
+    before = np.searchsorted(starts, bounds)
+    own = np.repeat(bounds[:-1], np.diff(before))
+    return words, before, np.stack([starts - own, ends - own], 1)
+
+
 def free_names(taken: list[str], *names: str) -> list[str]:
     """``names``, with underscores behind them as far as columns in ``taken`` (Spark ignores case) have them."""
     used = {c.lower() for c in taken}
