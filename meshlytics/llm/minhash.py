@@ -3,7 +3,8 @@
 A text's set is its distinct word shingles, each a 64-bit hash; its sketch is the ``k`` smallest. Texts with equal sets
 are one node from then on. Inverted lists hold which nodes retain a value. Of each node only the values that are
 rarest among all nodes are listed: two sets as similar as asked for share more values of their sketches than the rest
-could hold, so they meet in a list (for sets that fit a sketch by count, for larger ones but for a chance below 1e-6).
+could hold, so they meet in a list (for sets that fit a sketch by count, for larger ones but for a chance of 2e-7 at the threshold, less above; with the
+estimates of both sizes of sketches, a link is lost with a chance below 1e-6 in all).
 
 Lists are worked through without making all their pairs: each list first compares its members to one hub; links are
 verified on the full sets and joined to components. Short lists whose members still differ in component are compared
@@ -22,6 +23,7 @@ their names, are neither read nor returned.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -41,6 +43,9 @@ WIDE = 512
 ROUNDS = 1
 #: Members of a block, about, and of a block of whole texts; lists up to SMALL are compared pair by pair.
 BLOCK, TEXT_BLOCK, SMALL = 512, 64, 16
+#: The chance that a pair at exactly the threshold shares too few values to meet in a list, and that its estimate is too
+#: low, with sketches of either size; smaller for any pair above. In all below 1e-6.
+LOST_IN_LISTS, LOST_BY_ESTIMATE = 2e-7, 1e-9
 #: Partners of a node that are verified in one run, about.
 RUN = 256
 
@@ -83,10 +88,22 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, k: int = K) -> Da
     return map_batches(docs.select(F.col(key).cast("long"), text), make, schema)
 
 
+@functools.cache
+def least_of_sketch(k: int, percent: int, chance: float) -> int:
+    """Of ``k`` values of the union's sketch each is in both sets with the sets' similarity. The largest number that the
+    values in both of similar sets stay below with a chance of at most ``chance``: the exact binomial tail."""
+    t, total, n = percent / 100, 0.0, 0
+    while n < k:
+        total += math.exp(math.lgamma(k + 1) - math.lgamma(n + 1) - math.lgamma(k - n + 1) + n * math.log(t) + (k - n) * math.log1p(-t)) if t < 1 else 0.0
+        if total > chance:
+            break
+        n += 1
+    return n
+
+
 def shared_at_least(k: int, percent: int) -> int:
-    """Values that the sketches of two similar sets share, but for a chance below 1e-6: 5.5 deviations under the mean."""
-    t = percent / 100
-    return max(1, math.floor(k * t - 5.5 * math.sqrt(k * t * (1 - t))))
+    """Values that the sketches of two similar sets share, but for a chance of ``LOST_IN_LISTS``."""
+    return max(1, least_of_sketch(k, percent, LOST_IN_LISTS))
 
 
 def rare_postings(nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -112,8 +129,8 @@ def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int) -> float:
 
 
 def near_enough(k: int, percent: int) -> float:
-    t = percent / 100
-    return t - 5 * math.sqrt(t * (1 - t) / k)
+    """The least estimate that is verified; similar sets stay below it with a chance of ``LOST_BY_ESTIMATE``."""
+    return least_of_sketch(k, percent, LOST_BY_ESTIMATE) / k
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:

@@ -13,7 +13,7 @@ with base spans spoilt (a wrong digit, a number over 255, digits missing), label
 its check, and forms that the patterns don't know. Model spans that touch base spans are dropped.
 
 Defined results: a null text counts as empty and has no spans; very long texts are one pass, and very long runs of
-numbers cost time in proportion to their length; segmentations of equal score go to the fewer entities; repeated rows get
+numbers and very many spans cost time in proportion to their length and number; segmentations of equal score go to the fewer entities; repeated rows get
 the same spans; an empty table gives no rows; other columns stay, but for those named like the results; without any base
 span to learn from, only base spans are returned.
 """
@@ -23,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros stand before."""
+    rest = digits.lstrip("0")
+    return len(rest) <= 3 and int(rest or 0) <= 255
+
+
 def only_digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -91,7 +99,7 @@ def base_in_line(line: str, low: int) -> list[tuple[int, int, int]]:
             done = m.end()
             out.append((low + start, 0, low + done))
         sign = line.find("@", max(done, sign + 1))
-    out += [(low + m.start(), 1, low + m.end()) for m in IP.finditer(line) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(low + m.start(), 1, low + m.end()) for m in IP.finditer(line) if all(octet(p) for p in m.group().split("."))]
     for m in CARD.finditer(line):
         d = only_digits(m.group())
         if 14 <= len(d) <= 19 and luhn(d):
@@ -288,12 +296,12 @@ def _lessons(text: str | None) -> list[str]:
     its piece of the line and the base spans in it."""
     out = []
     for low, line in lines_with_hints(text or ""):
-        base = base_in_line(line, 0)
+        base = sorted(base_in_line(line, 0))
         for cue, run in sequences(line, 0):
             if len(run) <= LEARN_ATOMS:
                 a, b = run[0][0], run[-1][1]
                 lead = f"{cue} " * bool(cue)
-                inside = sorted((s - a + len(lead), k, e - a + len(lead)) for s, k, e in base if a <= s and e <= b)
+                inside = [(s - a + len(lead), k, e - a + len(lead)) for s, k, e in base[bisect_left(base, (a,)) : bisect_left(base, (b,))] if e <= b]
                 out.append(f"{int(bool(inside))}{json.dumps([lead + line[a:b], inside])}")
     return out
 
@@ -315,10 +323,12 @@ def fit(rows: DataFrame, lessons: str, sample: int = SAMPLE) -> dict | None:
 def _spans(base: list, runs: list, w: dict | None) -> list[tuple[int, int, int]]:
     """Base spans, and those of the model that touch none of them."""
     out = [tuple(x) for x in base]
+    starts, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))  # ``base`` is sorted
     for cue, run in runs if w is not None else ():
         for s, e, label in decode(run, w, cue):
             a, b = run[s][0], run[e - 1][1]
-            if not any(x < b and a < y for x, _, y in base):
+            before = bisect_left(starts, b)
+            if not before or reach[before - 1] <= a:
                 out.append((a, label - 1, b))
     return sorted(out)
 

@@ -240,3 +240,55 @@ def test_treap_holds_all_points():
             assert tree.most[cell[0]] >= v
             cell = tree.children(cell, np.array([(r >> b & 1) << 1 | c >> b & 1]))
         assert tree.most[cell[0]] == v
+
+
+# Mends --------------------------------------------------------------------------------------------------------------
+def test_digit_runs_of_any_length_and_many_spans():
+    """Parts of any length are read, and time goes with the length of a text, not with its square."""
+    from time import perf_counter
+
+    from meshlytics.llm import pii
+
+    for n in (5_000, 100_000):
+        assert pii._scan("0" * n + ".1.1.1")[0] == [(0, 1, n + 6)]
+        assert pii._scan("1" * n + ".1.1.1")[0] == [] and pii._scan("1.1.1." + "0" * n + "256")[0] == []
+    every = {(k, "any"): 5.0 for k in range(1, 5)}  # weights that take whatever they can
+
+    def seconds(spans):
+        text = "x a@b.cd y 555 0100 2345\n" * spans
+        t = perf_counter()
+        base, runs = pii._scan(text)
+        found = pii._spans(base, runs, every)
+        pii._lessons("a@b.cd 10.0.0.1 " * spans)
+        assert len(base) == spans and len(found) >= 2 * spans
+        return perf_counter() - t
+
+    seconds(100)
+    assert seconds(50_000) < 30 * max(seconds(5_000), 0.05)
+    base, runs = pii._scan("call 10.0.0.1 or 10.0.0.2 now a@b.cd 5550100234 x")
+    slow = [x for cue, run in runs for s, e, label in pii.decode(run, every, cue) for x in [(run[s][0], label - 1, run[e - 1][1])] if not any(p < x[2] and x[0] < q for p, _, q in base)]
+    assert pii._spans(base, runs, every) == sorted([tuple(x) for x in base] + slow)
+
+
+def test_links_at_the_threshold_are_not_lost():
+    """Of pairs at exactly 0.85 none falls below the filters; the cuts are those of the exact tail."""
+    from meshlytics.llm import minhash
+
+    rng = np.random.default_rng(4)
+    for k in (64, 512):
+        t, p = 0.85, 1.0
+        low = minhash.near_enough(k, 85)
+        tail = sum(math.comb(k, i) * t**i * (1 - t) ** (k - i) for i in range(round(low * k)))
+        assert tail <= minhash.LOST_BY_ESTIMATE < tail + math.comb(k, round(low * k)) * t ** round(low * k) * (1 - t) ** (k - round(low * k))
+        tail = sum(math.comb(k, i) * t**i * (1 - t) ** (k - i) for i in range(minhash.shared_at_least(k, 85)))
+        p = 2 * (tail + minhash.LOST_BY_ESTIMATE)
+        assert p < 1e-6
+        missed = 0
+        for _ in range(3000):
+            union = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
+            own = rng.permutation(len(union))
+            a, b = np.sort(union[own[: len(union) - 150]]), np.sort(union[own[150:]])
+            sa, sb = a[:k], b[:k]
+            ok = minhash.estimate(sa, sb, len(a), len(b), k) >= low and len(np.intersect1d(sa, sb)) >= minhash.shared_at_least(k, 85)
+            missed += not ok
+        assert missed == 0
