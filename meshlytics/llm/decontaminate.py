@@ -36,7 +36,7 @@ EVERY = 8
 #: Phrases of a block, about.
 PHRASES = 100_000
 #: Bytes of texts that are cut into words at once.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
 WINDOW = 10
 
 

@@ -44,7 +44,7 @@ TERMS = 100_000
 #: Cells of rows and ranges that the items of a group hold at most.
 SLOTS = 16_000_000
 #: Bytes of texts that are cut into terms at once.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
 TOP = 10
 
 
