@@ -115,12 +115,21 @@ def rate_report(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: i
 
 
 def rate_decisions(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: int = 30, seconds: int = WINDOW_SECONDS, tie: str = "event_id") -> DataFrame:
-    """Q20, exact: a call counts against later ones only if it was accepted itself, so calls are taken in turn. Calls of a
-    tool that are the window or more apart can't touch each other, so stretches between such pauses are independent. Stretches are
-    numbered within blocks, and blocks by a table of one row per tool and block. A stretch is worked through in order by one
-    task, which keeps no more of it than the accepted calls of a window."""
-    rows, _ = _blocks(calls, seconds)
-    rows = rows.select("tool_name", "_block", "_us", tie)
+    """Q20, exact: a call counts against later ones only if it was accepted itself, so calls are taken in turn."""
+    return decided(calls, None, limits, other, seconds, tie).drop("us")
+
+
+def decided(calls: DataFrame, accepted: DataFrame | None, limits: dict[str, int], other: int, seconds: int, tie: str) -> DataFrame:
+    """The decisions on ``calls`` after those on earlier ones, of which the ``accepted`` are given (``tool_name``, ``us``).
+
+    Calls of a tool that are the window or more apart can't touch each other, so stretches between such pauses are independent.
+    Stretches are numbered within blocks, and blocks by a table of one row per tool and block. A stretch is worked through
+    in order by one task, which keeps no more of it than the accepted calls of a window; a stream (``streams.rate_batches``)
+    bounds it by its batches."""
+    rows, size = _blocks(calls, seconds)
+    rows = rows.select("tool_name", "_block", "_us", tie, F.lit(False).alias("_given"))
+    if accepted is not None:
+        rows = rows.unionByName(accepted.select("tool_name", F.call_function("div", F.col("us"), F.lit(size)).alias("_block"), F.col("us").alias("_us"), F.lit(0).cast(rows.schema[tie].dataType).alias(tie), F.lit(True).alias("_given")))
     apart = seconds * 1_000_000
     w = Window.partitionBy("tool_name", "_block").orderBy("_us", tie)
     rows = rows.withColumn("_start", F.coalesce((F.col("_us") - F.lag("_us").over(w) >= apart).cast("long"), F.lit(0)))
@@ -129,22 +138,30 @@ def rate_decisions(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other
     ends = ends.withColumn("_own", F.col("_n") + F.coalesce((F.col("_lo") - F.lag("_hi").over(by_tool) >= apart).cast("long"), F.lit(1)))
     ends = ends.withColumn("_base", F.sum("_own").over(by_tool.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("tool_name", "_block", "_base")
     inside = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_in", inside).join(ends, ["tool_name", "_block"]).select("tool_name", (F.col("_base") + F.col("_in")).alias("_stretch"), tie, "_us")
+    rows = rows.withColumn("_in", inside).join(ends, ["tool_name", "_block"]).select("tool_name", (F.col("_base") + F.col("_in")).alias("_stretch"), tie, "_us", "_given")
 
     def decide(batches):
         """Rows come by tool, stretch and time; all that is kept of them is the accepted calls of the window."""
         at, kept = None, []
         for pdf in batches:
             out = []
-            for tool, stretch, t in zip(pdf["tool_name"].tolist(), pdf["_stretch"].tolist(), pdf["_us"].tolist()):
+            for tool, stretch, t, given in zip(pdf["tool_name"].tolist(), pdf["_stretch"].tolist(), pdf["_us"].tolist(), pdf["_given"].tolist()):
                 if (tool, stretch) != at:
                     at, kept, most = (tool, stretch), [], limits.get(tool, other)
                 kept = [k for k in kept if t - k < apart]
-                ok = len(kept) < most
+                ok = given or len(kept) < most
                 out.append((ok, None if ok else int(seconds - (t - kept[0]) / 1e6)))
                 if ok:
                     kept.append(t)
-            yield pd.DataFrame({tie: pdf[tie].to_numpy(), "tool_name": pdf["tool_name"].to_numpy(), "accepted": [x[0] for x in out], "retry_after_seconds": pd.array([x[1] for x in out], dtype="Int64")})
+            done = pd.DataFrame({tie: pdf[tie], "tool_name": pdf["tool_name"], "us": pdf["_us"], "accepted": [x[0] for x in out], "retry_after_seconds": pd.array([x[1] for x in out], dtype="Int64")})
+            yield done[~pdf["_given"]]
+
+    ordered = rows.repartition("tool_name", "_stretch").sortWithinPartitions("tool_name", "_stretch", F.desc("_given"), "_us", tie)
+    return ordered.mapInPandas(decide, f"{tie} long, tool_name string, us long, accepted boolean, retry_after_seconds long")
+
 
-    ordered = rows.repartition("tool_name", "_stretch").sortWithinPartitions("tool_name", "_stretch", "_us", tie)
-    return ordered.mapInPandas(decide, f"{tie} long, tool_name string, accepted boolean, retry_after_seconds long")
+def still_counting(accepted: DataFrame, done: DataFrame, seconds: int) -> DataFrame:
+    """``tool_name`` and ``us`` of the accepted calls, of before and of ``done``, that are in the window of the tool's last call."""
+    both = accepted.select("tool_name", "us").unionByName(done.where("accepted").select("tool_name", "us"))
+    last = accepted.select("tool_name", "us").unionByName(done.select("tool_name", "us")).groupBy("tool_name").agg(F.max("us").alias("last"))
+    return both.join(last, "tool_name").where(F.col("last") - F.col("us") < seconds * 1_000_000).select("tool_name", "us")

@@ -262,6 +262,33 @@ ORACLES = {k: with_parts(v) for k, v in {
     "st6_breach_stream": "SELECT tenant_id, 'device:' || device || '/interface:' || interface AS scope, 'threshold_breach' AS anomaly_type FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, device, interface ORDER BY ts_bucket DESC) AS k FROM utilization) WHERE k = 1 AND u >= 60",
     "st7_dedup_stream": f"SELECT tenant_id, fingerprint, severity, n AS occurrence_count, {text('lo', 'first_seen_at')}, {text('hi', 'last_seen_at')} FROM conditions",
     "st8_freshness_stream": f"SELECT tenant_id, source_kind, device, {text('last_ingest_ts')}, last_sample_count, 'fresh' AS status FROM beats",
+    "q14_moments": f"SELECT * REPLACE (round(mean_value, 3) AS mean_value, round(stddev_value, 3) AS stddev_value), 'bytes' AS metric, {text(END, 'computed_at')} FROM baselines",
+    "q18_drop_months": """SELECT table_name, CAST(strftime(ts, '%Y%m') AS INT) AS month, count(*) AS n_rows, CASE WHEN ts < oldest THEN 'dropped' ELSE 'kept' END AS state FROM (
+      SELECT table_name, oldest, CASE WHEN minute(ts_bucket) % 2 = 1 THEN ts_bucket - INTERVAL 100 DAY ELSE ts_bucket END AS ts FROM (
+        SELECT 'flow_summary_minute' AS table_name, TIMESTAMP '2023-11-01 00:00:00' AS oldest, ts_bucket FROM flows UNION ALL SELECT 'queue_stats_minute', TIMESTAMP '2024-01-01 00:00:00', ts_bucket FROM queues)) GROUP BY 1, 2, 4""",
+    "st8_silence_stream": f"""SELECT tenant_id, source_kind, device, status, {text('changed_at')}, {text('since')} FROM (
+      WITH beats AS (SELECT DISTINCT tenant_id, source_kind, device, ts, CASE source_kind WHEN 'sflow' THEN 7200 ELSE 3600 END AS s FROM heartbeat_raw WHERE ts IS NOT NULL),
+      gaps AS (SELECT *, lead(ts) OVER (PARTITION BY tenant_id, source_kind, device ORDER BY ts) AS nx, (SELECT max(ts) FROM beats) AS last_ts FROM beats)
+      SELECT tenant_id, source_kind, device, 'stale' AS status, ts + to_seconds(s) AS changed_at, ts AS since FROM gaps WHERE ts + to_seconds(s) <= coalesce(nx, last_ts)
+      UNION ALL SELECT tenant_id, source_kind, device, 'silent', ts + to_seconds(5 * s), ts FROM gaps WHERE ts + to_seconds(5 * s) <= coalesce(nx, last_ts)
+      UNION ALL SELECT tenant_id, source_kind, device, 'recovered', nx, ts FROM gaps WHERE ts + to_seconds(s) <= nx)""",
+    "st1_late_stream": """SELECT kind, tenant_id, device, protocol, count(*) AS n, CAST(sum(bytes_estimated) AS BIGINT) AS bytes_estimated, CAST(sum(packets_estimated) AS BIGINT) AS packets_estimated FROM (
+      WITH parts AS (SELECT *, least(least((day(timestamp) - 1) // 8, 3) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, 3) AS part FROM flow_raw),
+      seen AS (SELECT p.part, (SELECT max(timestamp) FROM parts q WHERE q.part < p.part) AS seen FROM (SELECT DISTINCT part FROM parts) p),
+      placed AS (SELECT p.*, CASE WHEN coalesce(date_trunc('minute', timestamp) + INTERVAL 1 MINUTE <= seen - INTERVAL 2 MINUTE, false) THEN 'late' ELSE 'minute' END AS kind FROM parts p JOIN seen USING (part)),
+      sums AS (SELECT kind, date_trunc('minute', timestamp) AS ts, agent AS device, input_if_index, src_ip, dst_ip, protocol, sum(bytes * sampling_rate) AS bytes_estimated, sum(packets * sampling_rate) AS packets_estimated FROM placed GROUP BY ALL)
+      SELECT sums.*, coalesce(s.tenant_id, '00000000-0000-0000-0000-000000000001') AS tenant_id FROM sums LEFT JOIN collector_sources s ON s.source_kind = 'sflow' AND s.is_active AND s.source_identifier = device
+      WHERE kind = 'late' OR ts + INTERVAL 1 MINUTE <= (SELECT max(timestamp) FROM placed WHERE kind = 'minute') - INTERVAL 2 MINUTE) GROUP BY 1, 2, 3, 4""",
+    "s1_json_stream": """SELECT 'minutes' AS kind, tenant_id, device, count(*) AS n, CAST(sum(bytes_estimated) AS BIGINT) AS bytes_estimated FROM flows WHERE minute(ts_bucket) % 10 > 0
+        AND ts_bucket + INTERVAL 1 MINUTE <= (SELECT max(ts_bucket) FROM flows WHERE minute(ts_bucket) % 10 > 0) - INTERVAL 2 MINUTE GROUP BY 2, 3
+      UNION ALL SELECT 'document', NULL, NULL, count(DISTINCT (date_trunc('minute', timestamp), event_id % 64)), NULL FROM flow_raw WHERE minute(timestamp) % 10 = 0""",
+    "s2_json_stream": """SELECT 'utilization' AS kind, coalesce(tenant_id, '00000000-0000-0000-0000-000000000001') AS tenant_id, device, interface, n, in_bps FROM (
+        SELECT device, interface, count(*) AS n, CAST(sum(in_bps) AS BIGINT) AS in_bps FROM utilization WHERE event_id % 10 > 0 AND event_id % 17 > 0 GROUP BY 1, 2)
+        LEFT JOIN (SELECT tenant_id, source_identifier FROM collector_sources WHERE source_kind = 'sflow' AND is_active) ON source_identifier = device
+      UNION ALL SELECT 'document', NULL, NULL, NULL, count(*), NULL FROM counter_raw WHERE event_id % 10 = 0 HAVING count(*) > 0
+      UNION ALL SELECT 'value', NULL, NULL, NULL, count(*), NULL FROM counter_raw WHERE event_id % 10 > 0 AND event_id % 17 = 0 HAVING count(*) > 0""",
+    "s3_json_stream": """SELECT 'state' AS kind, tenant_id, device, interface, oper_status, admin_status, count(*) AS n FROM states WHERE event_id % 10 > 0 GROUP BY ALL
+      UNION ALL SELECT 'document', NULL, NULL, NULL, NULL, NULL, count(*) FROM iface_raw WHERE event_id % 10 = 0 HAVING count(*) > 0""",
     "q20_rate_decisions": """SELECT * FROM (
       WITH RECURSIVE calls AS (
         SELECT event_id, tool_name, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tool_name ORDER BY ts, event_id) AS n, CASE WHEN tool_name IN ('get_top_talkers', 'get_rdma_health', 'explain_hot_link') THEN 1 ELSE 2 END AS most FROM tool_call_raw
@@ -281,3 +308,4 @@ TYPES = {
     **dict.fromkeys(("q1a_top_talkers", "q1a_top_talkers_device", "q4b_link_contributors", "q10d_device_queues", "q13b_top_udp_pairs"), "CAST(rank AS INT) AS rank"), **dict.fromkeys(("q6a_recent_anomalies", "q19b_recent_calls"), "CAST(position AS INT) AS position"),
 }
 ORACLES |= {k: f"SELECT * REPLACE ({cast}) FROM (\n{ORACLES[k]})" for k, cast in TYPES.items()}
+ORACLES["q20_rate_stream"] = ORACLES["q20_rate_decisions"]

@@ -340,7 +340,7 @@ def q5_compare_windows(t):
 
 @query
 def q2a_interface_utilization(t):
-    return interfaces.interface_utilization(t.last(WEEK).utilization, as_of(), WEEK, "event_id").drop("trend")
+    return interfaces.interface_utilization(t.last(WEEK).utilization, as_of(), WEEK, "event_id", trend=False)
 
 
 @query
@@ -469,6 +469,18 @@ def q14_baselines(t):
     return baselines.compute_baselines(t.last(WEEK).flows, as_of())
 
 
+@query
+def q14_moments(t):
+    """The baselines from a table of moments of each hour: first without a tenth of two days' rows, which come late, then with
+    these days refreshed."""
+    at, rows = f"{folder(t.spark)}/moments", t.last(WEEK).flows
+    late = F.to_date("ts_bucket").isin("2024-01-26", "2024-01-29") & (F.pmod(F.xxhash64("src_ip", "dst_ip", "ts_bucket"), F.lit(10)) == 0)
+    baselines.refresh_moments(rows.where(~late), at, [f"2024-01-{d}" for d in range(24, 32)])
+    baselines.refresh_moments(rows, at, ["2024-01-26", "2024-01-29"])
+    found = baselines.baselines_from_moments(t.spark.read.parquet(at), rows, as_of())
+    return found.withColumns({c: F.round(c, 3) for c in ("mean_value", "stddev_value")})
+
+
 @query
 def q15a_threshold_detector(t):
     data = F.from_json("metadata_json", "in_util_pct double, out_util_pct double, sample_ts string")
@@ -573,6 +585,21 @@ def q18_retention(t):
     return retention.keep(t.flows, C.at("2024-04-20 00:00:00"), 90).select("tenant_id", "ts_bucket", "device", "bytes_estimated")
 
 
+@query
+def q18_drop_months(t):
+    """Flows and queues laid out by month, times of odd minutes 100 days earlier; old months dropped, and what is left then."""
+    at = folder(t.spark)
+    tables = {"flow_summary_minute": t.flows.select("ts_bucket", "device"), "queue_stats_minute": t.queues.select("ts_bucket", "device")}
+    for name, rows in tables.items():
+        moved = F.when(F.minute("ts_bucket") % 2 == 1, F.col("ts_bucket") - F.make_dt_interval(days=F.lit(100))).otherwise(F.col("ts_bucket"))
+        sinks.append_monthly(rows.withColumn("ts_bucket", moved), f"{at}/{name}")
+    dropped = retention.prune(t.spark, {name: f"{at}/{name}" for name in tables}, as_of()).withColumn("state", F.lit("dropped"))
+    for name in tables:
+        kept = t.spark.read.parquet(f"{at}/{name}").groupBy(F.col("month").cast("int").alias("month")).agg(F.count("*").alias("n_rows"))
+        dropped = dropped.unionByName(kept.withColumns({"table": F.lit(name), "state": F.lit("kept")}))
+    return dropped.withColumnRenamed("table", "table_name")
+
+
 @query
 def q18_dropped_months(t):
     return retention.dropped_months(t.queues, C.at("2024-03-05 00:00:00"), 30)

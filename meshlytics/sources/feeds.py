@@ -19,6 +19,19 @@ COUNTER_FEED = T.StructType([T.StructField(k, T.StringType()) for k in COUNTER_F
 NOTIFICATIONS = T.StructType([T.StructField("device", T.StringType()), T.StructField("timestamp", T.TimestampType()), T.StructField("notification", T.ArrayType(T.StructType([T.StructField("update", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("val", T.StringType())])))])))])
 
 
+#: Where a document that is no JSON, or not of the schema's shape, is found as it was written.
+BAD = "_bad"
+FETCHED = T.StructField("fetched_at", T.TimestampType())
+
+
+def json_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000, whole_files: bool = False) -> DataFrame:
+    """Files of JSON documents (one a line, or one a file) as a stream: the columns of ``schema``, ``fetched_at``, and ``BAD`` of documents
+    that can't be read, whose other columns are null or partial."""
+    fields = [*schema.fields, *([] if "timestamp" in schema.fieldNames() else [FETCHED]), T.StructField(BAD, T.StringType())]
+    reader = spark.readStream.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", BAD).option("mode", "PERMISSIVE")
+    return reader.option("multiLine", whole_files).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
 def _typed(c: Column, kind: str, default) -> Column:
     value = c if kind == "string" else c.try_cast(kind)
     return value if default is None else F.coalesce(value, F.lit(default).cast(kind))
@@ -35,7 +48,7 @@ def _readable(fields: dict, prefix: str) -> Column:
 
 def flow_records(feed: DataFrame, fetched_at: Column) -> DataFrame:
     """Records of ``{"flows": [...]}``; defaults for what is absent, rows with unreadable values or no agent dropped."""
-    rows = feed.select(F.explode("flows").alias("f")).where(F.col("f.agent").isNotNull() & _readable(FLOW_FIELDS, "f."))
+    rows = feed.select("*", F.explode("flows").alias("f")).where(F.col("f.agent").isNotNull() & _readable(FLOW_FIELDS, "f."))
     return rows.select(*[_typed(F.col(f"f.{k}"), *v).alias(FLOW_NAMES.get(k, k)) for k, v in FLOW_FIELDS.items()], fetched_at.alias("timestamp"))
 
 

@@ -1,18 +1,22 @@
-"""The operators over streams: ST1 - ST9. Transformations are those of the batch operators."""
+"""The operators over streams: ST1 - ST9, Q20. Transformations are those of the batch operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import anomalies, detect, freshness, normalize
+from ..operators import anomalies, detect, freshness, normalize, usage
 from ..operators.state import latest
 from ..sources import feeds
+from ..sources.files import delete, exists, names_in
 from ..sources.sinks import append_monthly
+from .timers import windows_from_panes
 
 
 def flow_minutes(records: DataFrame, sources: DataFrame, delay: str = "2 minutes", order: str = "timestamp") -> DataFrame:
@@ -50,22 +54,31 @@ def state_batches(feed: DataFrame, sources: Callable[[], DataFrame], paths: dict
     return feed.writeStream.foreachBatch(write)
 
 
-def sliding_spikes(flows: DataFrame, baselines: DataFrame, lookback: str = "5 minutes", every: str = "30 seconds", delay: str = "2 minutes") -> DataFrame:
+def window_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], lookback: int, every: int, delay: str, panes: bool = True) -> DataFrame:
+    """``ts`` (end), ``keys`` and ``sums`` of each sliding window of ``lookback`` seconds. ``panes`` needs RocksDB (``timers``); without, each
+    row is counted in every window that it is in, as the same rows a number of times. Both give the same but for rows
+    behind the watermark, which panes leave out of all windows."""
+    if panes:
+        return windows_from_panes(rows, keys, {k: F.coalesce(v, F.lit(0)) for k, v in sums.items()}, lookback, every, delay)
+    windows = rows.withWatermark("ts_bucket", delay).groupBy(F.window("ts_bucket", f"{lookback} seconds", f"{every} seconds").alias("w"), *keys).agg(*[v.alias(k) for k, v in sums.items()])
+    return windows.withColumn("ts", F.col("w.end")).drop("w")
+
+
+def sliding_spikes(flows: DataFrame, baselines: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = True) -> DataFrame:
     """ST4: spike scores of each sliding window, against the baseline of the hour of its end (a static table)."""
-    rows = flows.withWatermark("ts_bucket", delay).groupBy(F.window("ts_bucket", lookback, every).alias("w"), "tenant_id", "device", "interface").agg(F.sum("bytes_estimated").alias("current_bytes"))
+    rows = window_sums(flows, ["tenant_id", "device", "interface"], {"current_bytes": F.sum("bytes_estimated")}, lookback, every, delay, panes)
     known = baselines.where((F.col("sample_count") >= detect.MIN_BASELINE) & (F.col("stddev_value") != 0)).select("tenant_id", "device", "interface", "hour_of_day", "mean_value", "stddev_value")
-    scored = rows.withColumn("hour_of_day", F.hour("w.end")).join(known, ["tenant_id", "device", "interface", "hour_of_day"]).withColumn("z_score", (F.col("current_bytes") - F.col("mean_value")) / F.col("stddev_value"))
-    return scored.where(F.col("z_score") >= detect.Z_MEDIUM).select(F.col("w.end").alias("ts"), "tenant_id", "device", "interface", "current_bytes", "z_score")
+    scored = rows.withColumn("hour_of_day", F.hour("ts")).join(known, ["tenant_id", "device", "interface", "hour_of_day"]).withColumn("z_score", (F.col("current_bytes") - F.col("mean_value")) / F.col("stddev_value"))
+    return scored.where(F.col("z_score") >= detect.Z_MEDIUM).select("ts", "tenant_id", "device", "interface", "current_bytes", "z_score")
 
 
-def sliding_stress(queues: DataFrame, lookback: str = "5 minutes", every: str = "30 seconds", delay: str = "2 minutes") -> DataFrame:
+def sliding_stress(queues: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = True) -> DataFrame:
     """ST5: queue sums of each sliding window and the event type, as the batch detector has it."""
-    rows = queues.withWatermark("ts_bucket", delay).groupBy(F.window("ts_bucket", lookback, every).alias("w"), "tenant_id", "device", "interface", "queue_id").agg(
-        F.sum(F.col("pfc_pause_rx") + F.col("pfc_pause_tx")).alias("pfc"), F.sum("ecn_marked_packets").alias("ecn"), F.sum("dropped_packets").alias("drops"),
-    )
+    sums = {"pfc": F.sum(F.col("pfc_pause_rx") + F.col("pfc_pause_tx")), "ecn": F.sum("ecn_marked_packets"), "drops": F.sum("dropped_packets")}
+    rows = window_sums(queues, ["tenant_id", "device", "interface", "queue_id"], sums, lookback, every, delay, panes)
     lossless = (F.col("drops") > 0) & (F.col("pfc") > 0)
     kinds = F.filter(F.array(F.when(lossless, "lossless_drop"), F.when(~lossless & (F.col("pfc") >= detect.PFC_STORM), "pfc_storm"), F.when(~lossless & (F.col("ecn") >= detect.ECN_SPIKE), "ecn_spike")), lambda k: k.isNotNull())
-    return rows.withColumn("anomaly_type", F.explode(kinds)).select(F.col("w.end").alias("ts"), "tenant_id", "device", "interface", "queue_id", "anomaly_type", "pfc", "ecn", "drops")
+    return rows.withColumn("anomaly_type", F.explode(kinds)).select("ts", "tenant_id", "device", "interface", "queue_id", "anomaly_type", "pfc", "ecn", "drops")
 
 
 def breach_batches(rows: DataFrame, emit: Callable[[DataFrame, int], None]) -> DataStreamWriter:
@@ -110,12 +123,7 @@ class Versions:
         self.spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/list/v={number}")
         for bucket, version in self._folders(number - 2).items():
             if before.get(bucket) != version and now.get(bucket) != version:
-                self._delete(f"{self.root}/data/v={version}/bucket={bucket}")
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+                delete(self.spark, f"{self.root}/data/v={version}/bucket={bucket}")
 
     def at(self, number: int) -> DataFrame:
         return self._read(self._folders(number))
@@ -131,25 +139,93 @@ def dedup_batches(events: DataFrame, store: Versions) -> DataStreamWriter:
 
 
 def freshness_batches(ingested: DataFrame, store: Versions) -> DataStreamWriter:
-    """ST8: each batch of ingested rows as heartbeats; ``freshness.scan`` classifies a version at any time."""
+    """ST8: each batch of ingested rows as heartbeats; ``freshness.scan`` classifies a version at any time, and
+    ``timers.watch_freshness`` tells by itself when a source falls silent."""
     return ingested.writeStream.foreachBatch(lambda batch, n: store.put(n, batch, lambda old, new: freshness.merge_heartbeats(old, freshness.heartbeats(new))))
 
 
 class Routing:
-    """ST9: mappings that are read again for each batch, each good reading kept as a version below ``root``; the last
-    version stays in use if a reading fails."""
+    """ST9: mappings that are read again for each batch, each good reading kept as a version below ``root``. If a reading
+    fails (files, tables or the cluster; other errors are raised), the last whole version stays in use: that of this
+    process, or after a restart the last one found below ``root`` that was written to its end."""
 
     def __init__(self, read: Callable[[], DataFrame], root: str):
-        self.read, self.root, self.last, self.version, self.failures = read, root.rstrip("/"), None, 0, 0
+        self.read, self.root, self.failures = read, root.rstrip("/"), 0
+        spark = SparkSession.active()
+        whole = [int(x.removeprefix("v=")) for x in names_in(spark, self.root) if x.startswith("v=") and exists(spark, f"{self.root}/{x}/_SUCCESS")]
+        self.version = max(whole, default=-1)
+        self.last = spark.read.parquet(f"{self.root}/v={self.version}") if whole else None
 
     def __call__(self) -> DataFrame:
-        path = f"{self.root}/v={self.version}"
+        path = f"{self.root}/v={self.version + 1}"
         try:
             rows = self.read()
             rows.write.mode("overwrite").parquet(path)
-            self.last, self.version = rows.sparkSession.read.schema(rows.schema).parquet(path), self.version + 1
-        except Exception:
+        except (OSError, PySparkException, Py4JJavaError):
             self.failures += 1
             if self.last is None:
                 raise
+            return self.last
+        self.last, self.version = rows.sparkSession.read.schema(rows.schema).parquet(path), self.version + 1
         return self.last
+
+
+ACCEPTED = T.StructType([T.StructField("tool_name", T.StringType()), T.StructField("us", T.LongType())])
+
+
+def rate_batches(calls: DataFrame, store: Versions, path: str, limits: dict[str, int] = usage.CALL_LIMITS, other: int = 30, seconds: int = usage.WINDOW_SECONDS, tie: str = "event_id") -> DataStreamWriter:
+    """Q20, exact, over a stream: each batch's calls are decided in order of time after those of the batches before. The decisions
+    are written below ``path``, a folder a batch; ``store`` (``ACCEPTED``, by tool) keeps the accepted calls that still count, at most
+    a tool's limit of them, and forgets those a window before the tool's last call."""
+
+    def decide(batch: DataFrame, number: int) -> None:
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            usage.decided(new, old, limits, other, seconds, tie).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            return usage.still_counting(old, batch.sparkSession.read.parquet(f"{path}/batch={number}"), seconds)
+
+        store.put(number, batch, merge)
+
+    return calls.writeStream.foreachBatch(decide)
+
+
+def split_late(records: DataFrame, path: str, delay: int, ts: str = "timestamp", bucket: int = 60) -> DataStreamWriter:
+    """ST1: rows that come after their minute was closed go to ``path``/late, others to ``path``/ontime, a folder a batch. A minute is
+    closed once ``delay`` seconds have passed behind it by the latest time of the batches before, which is kept with each
+    batch. ``flow_minutes`` over ``ontime`` with the same delay drops nothing, so both together are all rows. A batch that is run
+    again leaves what it has written whole."""
+
+    def split(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{path}/seen/batch={number - 1}").first()["us"] if number else None
+        closed = (F.unix_seconds(ts) - F.pmod(F.unix_seconds(ts), F.lit(bucket)) + bucket) * 1_000_000 <= F.lit(before).cast("long") - delay * 1_000_000
+        late = F.coalesce(closed, F.lit(False))
+        batch.persist()
+        last = batch.agg(F.max(F.unix_micros(ts)).alias("us")).select(F.greatest(F.col("us"), F.lit(before).cast("long")).alias("us"))
+        for name, rows in (("late", batch.where(late)), ("ontime", batch.where(~late)), ("seen", last.coalesce(1))):
+            if not exists(spark, f"{path}/{name}/batch={number}/_SUCCESS"):
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.unpersist()
+
+    return records.writeStream.foreachBatch(split)
+
+
+def feed_batches(feed: DataFrame, path: str, flows: bool = False, counters: bool = False) -> DataStreamWriter:
+    """S1 - S3 as files of JSON documents (``feeds.json_stream``): each batch's readable documents as records below ``path``/records,
+    what can't be read below ``path``/quarantine (``kind``, ``document``). Notifications are the default: their records are updates."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        bad = batch.where(F.col(feeds.BAD).isNotNull()).select(F.lit("document").alias("kind"), F.col(feeds.BAD).alias("document"))
+        docs = batch.where(F.col(feeds.BAD).isNull()).drop(feeds.BAD)
+        if flows:
+            rows = feeds.flow_records(docs, F.col("fetched_at"))
+        elif counters:
+            rows, aside = feeds.counter_records(docs, F.col("fetched_at"))
+            bad = bad.unionByName(aside.select(F.lit("value").alias("kind"), F.to_json(F.struct("*")).alias("document")))
+        else:
+            rows = docs
+        rows.write.mode("overwrite").parquet(f"{path}/records/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{path}/quarantine/batch={number}")
+        batch.unpersist()
+
+    return feed.writeStream.foreachBatch(take)
