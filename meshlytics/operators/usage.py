@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical_json, within
+from ..functions.columns import canonical_json, shortened_json, within
 
 #: Fixed values.
 TRUNCATE, WINDOW_SECONDS = 512, 60
@@ -20,16 +20,7 @@ def args_hash(args: Column) -> Column:
 
 def truncate_args(args: Column) -> Column:
     """The object with long strings among its values cut, keys sorted; null if it is empty or none."""
-    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
-
-    def value(v: Column) -> Column:
-        string = F.variant_get(v, "$", "string")
-        long = (F.schema_of_variant(v) == "STRING") & (F.length(string) > TRUNCATE)
-        return F.when(long, quoted(F.concat(F.substring(string, 1, TRUNCATE), F.lit("…")))).otherwise(F.to_json(v))
-
-    entries = F.array_sort(F.transform(F.map_entries(F.from_json(args, "map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), value(e["value"]).alias("v"))))
-    pairs = F.transform(entries, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"]))
-    return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+    return shortened_json(args, TRUNCATE, "…")
 
 
 def confidence_band(note: Column | str) -> Column:

@@ -234,6 +234,7 @@ ORACLES = {k: with_parts(v) for k, v in {
     "q18_retention": f"SELECT tenant_id, {text('ts_bucket')}, device, bytes_estimated FROM flows WHERE ts_bucket >= TIMESTAMP '2024-01-01 00:00:00'",
     "q18_dropped_months": "SELECT CAST(strftime(ts_bucket, '%Y%m') AS INT) AS month, count(*) AS n_rows FROM queues WHERE ts_bucket < TIMESTAMP '2024-02-01 00:00:00' GROUP BY 1",
     "q19a_call_enrichment": f"""SELECT event_id, sha256({SORTED}) AS args_hash, replace({SORTED}, repeat('z', 600), repeat('z', 512) || '…') AS args_truncated, CASE WHEN contains(lower(confidence_note), 'exact') THEN 'exact' WHEN contains(lower(confidence_note), 'degrad') OR contains(lower(confidence_note), 'stale') THEN 'degraded' WHEN contains(lower(confidence_note), 'sampl') THEN 'sampled' END AS confidence_band FROM (SELECT * REPLACE ({CALL_ARGS} AS args_json) FROM tool_call_raw)""",
+    "q19a_number_texts": """SELECT event_id, sha256('{"d":"\\u007f","e":1e+20,"i":12345678901234567890123456789012345678901234,"k":' || event_id % 7 || ',"n":' || event_id || '.5,"s":1e-07,"v":1.0}') AS args_hash FROM tool_call_raw""",
     "q19b_recent_calls": "SELECT tenant_id, position, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, event_id DESC) AS position FROM tool_call_raw WHERE tool_name = 'get_device_state') WHERE position <= 100",
     "q19c_quota_usage": f"SELECT * EXCLUDE (period_start), {text('period_start')} FROM daily",
     "q19d_quota_decisions": """SELECT event_id, c AS calls_so_far, b AS bytes_so_far, NOT (coalesce(c > call_limit, false) OR coalesce(b > byte_limit, false)) AS allowed, CASE WHEN c > call_limit THEN 'call_limit_exceeded' WHEN b > byte_limit THEN 'byte_limit_exceeded' ELSE 'ok' END AS reason
@@ -309,3 +310,4 @@ TYPES = {
 }
 ORACLES |= {k: f"SELECT * REPLACE ({cast}) FROM (\n{ORACLES[k]})" for k, cast in TYPES.items()}
 ORACLES["q20_rate_stream"] = ORACLES["q20_rate_decisions"]
+ORACLES["k2_bucketed_upsert"] = ORACLES["k2_upsert"]

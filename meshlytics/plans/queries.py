@@ -176,6 +176,17 @@ def k2_upsert(t):
     return sinks.upsert(per(rows.where(F.col("ts") < cut)), per(rows.where(F.col("ts") >= cut)), ["tenant_id", "source_kind", "device"], {"samples": lambda a, b: a + b})
 
 
+@query
+def k2_bucketed_upsert(t):
+    """The same by a table in sorted buckets, of which a batch replaces the parts that it touches."""
+    rows = t.view("heartbeat_raw").groupBy("tenant_id", "source_kind", "device", (F.dayofmonth("ts") > 15).alias("late")).agg(F.max("ts").alias("last_ts"), F.sum("sample_count").alias("samples"))
+    key = ["tenant_id", "source_kind", "device"]
+    table = sinks.BucketedTable(t.spark, f"{folder(t.spark)}/heartbeats", key, parts=8, buckets=4)
+    table.create(rows.where("not late").drop("late"))
+    table.upsert(rows.where("late").drop("late"), {"last_ts": F.greatest, "samples": lambda a, b: a + b})
+    return table.read()
+
+
 @query
 def k3_month_layout(t):
     """A trailing window of flows laid out by month; times of odd rows are moved back by 40 days, so that there are months to
@@ -611,6 +622,16 @@ def q19a_call_enrichment(t):
     return usage.enrich(calls).select("event_id", "args_hash", "args_truncated", "confidence_band")
 
 
+#: Arguments with numbers as people write them, a control character and a key that occurs twice; the SQL has what is hashed.
+NUMBER_ARGS = """concat('{"v": 1.0, "e": 1E20, "s": 1e-7, "i": 12345678901234567890123456789012345678901234, "d": "\\u007F", "k": 3, "n": ', CAST(event_id AS STRING), '.50, "k": ', CAST(event_id % 7 AS STRING), '}')"""
+
+
+@query
+def q19a_number_texts(t):
+    calls = t.calls.withColumn("args_json", F.expr(NUMBER_ARGS))
+    return usage.enrich(calls).select("event_id", "args_hash")
+
+
 @query
 def q19b_recent_calls(t):
     return usage.recent_calls(t.calls, "get_device_state").select("tenant_id", "position", "event_id", "status")

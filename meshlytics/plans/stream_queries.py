@@ -130,14 +130,14 @@ def st4_spike_stream(spark, sf_dir):
     rows = stream(spark, sf_dir, "flow_raw").select(C.minute_bucket("timestamp").alias("ts_bucket"), F.col("agent").alias("device"), F.col("input_if_index").cast("string").alias("interface"), (F.col("bytes") * F.col("sampling_rate")).alias("bytes_estimated"))
     known = baselines.compute_baselines(Tables(spark, sf_dir).flows, C.at(AS_OF))
     with timers.with_rocksdb(spark):
-        return appended(streams.sliding_spikes(normalize.route(rows, sources, "sflow"), known), spark).withColumn("z_score", F.round("z_score", 6))
+        return appended(streams.sliding_spikes(normalize.route(rows, sources, "sflow"), known, panes=True), spark).withColumn("z_score", F.round("z_score", 6))
 
 
 @query
 def st5_stress_stream(spark, sf_dir):
     rows = normalize.normalize_queue_stats(stream(spark, sf_dir, "queue_raw"), view(spark, sf_dir, "collector_sources"))
     with timers.with_rocksdb(spark):
-        return appended(streams.sliding_stress(rows), spark)
+        return appended(streams.sliding_stress(rows, panes=True), spark)
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,49 @@ def upsert(existing: DataFrame, new: DataFrame, key: list[str], merge: dict[str,
     return both.select(*key, *out)
 
 
+class BucketedTable:
+    """K2 without a rewrite: a keyed table in ``parts`` (folders) of ``buckets`` sorted files each, both by hash of the key.
+
+    An upsert reads the parts that its keys fall into and joins them bucket by bucket, so the stored side is not shuffled
+    (a task sorts its bucket, which is one sorted file, once more unless ``spark.sql.legacy.bucketedTableScan.outputOrdering``
+    is set); it replaces just these parts, at the commit of the write. Files of other parts stay as they are. Null keys are keys like others and are kept in a part of their own
+    by hash, but never match."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], parts: int = 64, buckets: int = 32):
+        self.spark, self.path, self.key, self.parts, self.buckets = spark, path, key, parts, buckets
+        self.name = f"bucketed_{uuid.uuid4().hex}"
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
+
+    def create(self, rows: DataFrame) -> None:
+        """The first rows; one of each key."""
+        dealt = rows.withColumn("part", self._part()).repartition(self.buckets, *self.key)
+        dealt.write.partitionBy("part").bucketBy(self.buckets, *self.key).sortBy(*self.key).option("path", self.path).format("parquet").saveAsTable(self.name)
+
+    def stored(self, parts: list[int] | None = None) -> DataFrame:
+        table = self.spark.table(self.name)
+        return table if parts is None else table.where(F.col("part").isin(parts))
+
+    def read(self) -> DataFrame:
+        return self.stored().drop("part")
+
+    def merged(self, new: DataFrame, merge: dict[str, Callable] | None = None) -> DataFrame:
+        """The rows of the touched parts after the upsert."""
+        touched = [r[0] for r in new.select(self._part()).distinct().collect()]  # at most as many as there are parts
+        rows = upsert(self.stored(touched).drop("part"), new.select(*self.read().columns), self.key, merge)
+        return rows.withColumn("part", self._part())
+
+    def upsert(self, new: DataFrame, merge: dict[str, Callable] | None = None) -> None:
+        """``new`` (one row of a key) over what is stored; see ``upsert`` for ``merge``."""
+        setting, before = "spark.sql.sources.partitionOverwriteMode", self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        self.spark.conf.set(setting, "dynamic")
+        try:
+            self.merged(new, merge).select(*self.spark.table(self.name).columns).write.mode("overwrite").insertInto(self.name)
+        finally:
+            self.spark.conf.set(setting, before)
+
+
 def replace_snapshot(df: DataFrame, root: str, version: int) -> str:
     """A new version of a small mutable table beside the old one; a path is never read and overwritten in one plan."""
     path = f"{root.rstrip('/')}/v={version}"

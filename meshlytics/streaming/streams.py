@@ -54,7 +54,7 @@ def state_batches(feed: DataFrame, sources: Callable[[], DataFrame], paths: dict
     return feed.writeStream.foreachBatch(write)
 
 
-def window_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], lookback: int, every: int, delay: str, panes: bool = True) -> DataFrame:
+def window_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], lookback: int, every: int, delay: str, panes: bool) -> DataFrame:
     """``ts`` (end), ``keys`` and ``sums`` of each sliding window of ``lookback`` seconds. ``panes`` needs RocksDB (``timers``); without, each
     row is counted in every window that it is in, as the same rows a number of times. Both give the same but for rows
     behind the watermark, which panes leave out of all windows."""
@@ -64,7 +64,7 @@ def window_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], lookb
     return windows.withColumn("ts", F.col("w.end")).drop("w")
 
 
-def sliding_spikes(flows: DataFrame, baselines: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = True) -> DataFrame:
+def sliding_spikes(flows: DataFrame, baselines: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = False) -> DataFrame:
     """ST4: spike scores of each sliding window, against the baseline of the hour of its end (a static table)."""
     rows = window_sums(flows, ["tenant_id", "device", "interface"], {"current_bytes": F.sum("bytes_estimated")}, lookback, every, delay, panes)
     known = baselines.where((F.col("sample_count") >= detect.MIN_BASELINE) & (F.col("stddev_value") != 0)).select("tenant_id", "device", "interface", "hour_of_day", "mean_value", "stddev_value")
@@ -72,7 +72,7 @@ def sliding_spikes(flows: DataFrame, baselines: DataFrame, lookback: int = 300,
     return scored.where(F.col("z_score") >= detect.Z_MEDIUM).select("ts", "tenant_id", "device", "interface", "current_bytes", "z_score")
 
 
-def sliding_stress(queues: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = True) -> DataFrame:
+def sliding_stress(queues: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = False) -> DataFrame:
     """ST5: queue sums of each sliding window and the event type, as the batch detector has it."""
     sums = {"pfc": F.sum(F.col("pfc_pause_rx") + F.col("pfc_pause_tx")), "ecn": F.sum("ecn_marked_packets"), "drops": F.sum("dropped_packets")}
     rows = window_sums(queues, ["tenant_id", "device", "interface", "queue_id"], sums, lookback, every, delay, panes)
