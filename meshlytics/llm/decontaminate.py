@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, byte_slices, discard, gathered, map_batches, read_table, saved, ship
+from .common import ascii_words, byte_slices, gathered, map_batches, read_table, release, saved, ship, with_columns
 
 #: Words of a shard, about; one longer document is a shard of its own.
 SHARD = 1_000_000
@@ -233,7 +233,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int =
                 row = dict.fromkeys(FIELDS, b"") | {"vocabulary": pa.array([], pa.string())}
             out = [pa.array([base + number], pa.int64()), one_list(own_keys), one_list(pa.array(own, pa.int64())), one_list(row["vocabulary"]), *[pa.array([row[x]], pa.binary()) for x in FIELDS[1:]]]
             words, keys, sizes, total, number = [], [], [], 0, number + 1
-            pa.default_memory_pool().release_unused()
+            release()
             return pa.RecordBatch.from_arrays(out, schema.fieldNames())
 
         for batch in batches:
@@ -329,7 +329,7 @@ def find_in(shards: DataFrame, block: pa.Table, window: int) -> DataFrame:
                 lists = lambda values, at: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(docs, docs[-1] + 1)), pa.int32()), values)
                 shard = pa.array(np.full(len(docs), batch.column(batch.schema.get_field_index("shard"))[k].as_py()), pa.int64())
                 yield pa.RecordBatch.from_arrays([shard, pa.array(docs, pa.int64()), lists(spans, of), lists(owners.take(pa.array(owner)), owner_doc)], schema.fieldNames())
-            pa.default_memory_pool().release_unused()
+            release()
 
     return shards.select("shard", *FIELDS, "keys").mapInArrow(search, schema)
 
@@ -378,8 +378,6 @@ def remove(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the passages of ``items``. ``key`` is unique: it joins the spans to the texts."""
-    from .common import with_columns
-
     found = contamination(saved(index(docs, key, text), "fm_index"), items).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     joined = docs.join(found, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key")
     return with_columns(joined, lambda t, s: [remove(t, s)], [docs.schema[text]], [text, "_spans"], drop=("_spans",)).select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, byte_slices, gathered, map_batches, read_table, saved, ship
+from .common import ascii_words, byte_slices, gathered, map_batches, read_table, release, saved, ship
 
 #: Documents of a shard, and the most points of its grid, about.
 SHARD, POINTS = 8192, 4_000_000
@@ -81,7 +81,7 @@ def postings(docs: DataFrame, key: str, text: str, terms: pa.Array) -> DataFrame
                 offsets = pa.array(np.searchsorted(pairs, np.arange(high - low + 1) * max(len(terms), 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pairs % max(len(terms), 1)).astype(np.int32), times.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(before), pa.int64()), *lists], schema.fieldNames())
-        pa.default_memory_pool().release_unused()
+        release()
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(make, schema)
 
@@ -237,7 +237,7 @@ def search_shards(rows: DataFrame, item_rows: np.ndarray, sizes: np.ndarray, pla
                     parts, docs, points = [], 0, 0
         if parts:
             yield shard(parts)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ GROUP = 16_384
 #: Rounds of exchange.
 ROUNDS = 3
 #: Bytes of text that are encoded at once, and words that are remembered.
-SLICE_BYTES, MEMO = 2_000_000, 300_000
+SLICE_BYTES, MEMO = 2_000_000, 200_000
 
 
 def default_tokenizer() -> str:
