@@ -51,6 +51,7 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: its lineage ends there and lost executors cost nothing."""
     folder = work_dir(df.sparkSession)
     df.write.parquet(f"{folder}/{name}")
+    release()  # what the driver has held while it fitted or planned
     out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
     out.saved_in = folder
     return out
