@@ -5,7 +5,9 @@ row of the index; then every vector queries every shard of its label: a beam sea
 between vectors that are near enough. Queries are dealt to smaller parts, each a row too, and a cell is a shard and a part,
 so that there are many tasks and only packed rows are shuffled. In each cell some queries are audited against all vectors of the shard, and
 the beam is doubled until no link is missed among them, at last to the whole shard. Cosines are verified in double
-precision. A cell returns a count for each query and a forest of its links, so that groups of any size stay linear.
+precision. A cell returns a count for each query and a forest of its links, so that groups of any size stay linear. When
+the beam is set, as many other queries (if the cell has them) are compared with all vectors of the shard: what the search missed of their links is
+returned, so that one minus missed over links is the recall, measured on queries that the beam was not set by.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label,
 link with nothing; vectors of different lengths don't either; a null id is a component of its own (null) that is kept;
@@ -29,8 +31,10 @@ from .common import components, discard, read_table, saved, ship
 SHARD, PART = 8192, 2048
 #: Neighbours on the upper levels and on the lowest, the beam while building and at first while searching.
 M, M0, BUILD_BEAM, BEAM = 12, 24, 40, 24
-#: Queries of a cell that are audited.
+#: Queries of a cell that its beam is set by, and others that its recall is measured on.
 AUDIT = 128
+#: What is returned of the audits.
+AUDITED = ["beam", "audit_links", "audit_missed"]
 
 
 class Graph:
@@ -172,7 +176,9 @@ def unit(rows: pd.Series) -> np.ndarray:
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, shard: int = SHARD, beam: int = BEAM, part: int = PART) -> DataFrame:
-    """A row per row of ``vectors``: ``key``, ``n_links``, ``component_id`` and ``kept``."""
+    """A row per row of ``vectors``: ``key``, ``n_links``, ``component_id`` and ``kept``; then ``beam`` (the widest it was searched
+    with), ``audit_links`` and ``audit_missed`` (links to different vectors that comparing it with all finds, and those of them the
+    search missed; 0 where it was not audited; equal vectors share theirs), all 0 for rows that take no part."""
     ship(vectors.sparkSession)
     live = saved(usable(vectors, key, vector, label), "vectors")
     groups = saved(live.groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "groups")
@@ -197,12 +203,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     def query(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
-            return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
+            return pd.DataFrame({c: [] for c in ("id", "n", "root", "beam", "links", "missed")}).astype("int64")
         graph, ids, ws = Graph.load(own["graph"].iloc[0]), np.frombuffer(own["ids"].iloc[0], "<i8"), np.frombuffer(own["ws"].iloc[0], "<i8")
         qid = np.frombuffer(asked["reps"].iloc[0], "<i8")
         q = np.frombuffer(asked["xs"].iloc[0], "<f8").reshape(len(qid), -1)
         width = beam
-        audit = np.random.default_rng(len(qid)).permutation(len(qid))[:AUDIT]
+        order = np.random.default_rng(len(qid)).permutation(len(qid))
+        audit, measured = order[:AUDIT], set(order[AUDIT : 2 * AUDIT].tolist())
         truth = graph.x @ q[audit].T >= least
         while width < len(ids):
             if all(np.array_equal(np.sort(graph.within(q[a], least, width)), np.flatnonzero(truth[:, k])) for k, a in enumerate(audit)):
@@ -216,36 +223,42 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 v = up
             return v
 
-        counts = np.zeros(len(qid), np.int64)
+        counts, links, missed = np.zeros((3, len(qid)), np.int64)
         for k in range(len(qid)):
             found = graph.within(q[k], least, width) if width < len(ids) else np.flatnonzero(graph.x @ q[k] >= least)
             found = found[ids[found] != qid[k]]
             counts[k] = ws[found].sum()
+            if k in measured:
+                real = np.flatnonzero((graph.x @ q[k] >= least) & (ids != qid[k]))
+                links[k], missed[k] = len(real), len(np.setdiff1d(real, found))
             mine = find(int(qid[k]))
             for y in ids[found].tolist():
                 other = find(y)
                 if other != mine:
                     mine, other = min(mine, other), max(mine, other)
                     root[other] = mine
-        n = dict(zip(qid.tolist(), counts.tolist()))
-        nodes = sorted(set(root) | set(n))
-        return pd.DataFrame({"id": nodes, "n": [n.get(v, 0) for v in nodes], "root": [find(v) for v in nodes]}).astype("int64")
+        nodes = np.array(sorted(root), np.int64)  # all queries are among them
+        out = pd.DataFrame({"id": nodes, "root": [find(v) for v in nodes.tolist()]})
+        of = pd.DataFrame({"id": qid, "n": counts, "beam": min(width, len(ids)), "links": links, "missed": missed})
+        return out.merge(of, "left", "id").fillna(0).astype("int64")[["id", "n", "root", "beam", "links", "missed"]]
 
-    found = cells.groupBy("label", "d", "shard", "part").cogroup(asked.groupBy("label", "d", "shard", "part")).applyInPandas(query, "id long, n long, root long")
+    found = cells.groupBy("label", "d", "shard", "part").cogroup(asked.groupBy("label", "d", "shard", "part")).applyInPandas(query, "id long, n long, root long, beam long, links long, missed long")
     found = saved(found, "links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
+    audits = [F.max("beam").alias("beam"), F.sum("links").alias("audit_links"), F.sum("missed").alias("audit_missed")]
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"), *audits).withColumnRenamed("id", "rep")
     comps = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     discard(index, parts, dealt)
     per_group = groups.join(counts, "rep", "left").join(comps, groups["rep"] == comps["node"], "left")
-    per_group = per_group.select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    each = live.join(per_group, ["label", "x"]).select(F.col("id").alias("_id"), "n_links", "component_id")
+    per_group = per_group.select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), *AUDITED)
+    each = live.join(per_group, ["label", "x"]).select(F.col("id").alias("_id"), "n_links", "component_id", *AUDITED)
     out = vectors.select(F.col(key)).join(each, F.col(key) == F.col("_id"), "left")
     component = F.coalesce("component_id", F.col(key))
-    return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(key, number("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"), *map(number, AUDITED))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All embeddings, labels alike, cosine 0.93: vec_id, n_links, component_id, kept."""
+    """All embeddings, labels alike, cosine 0.93: vec_id, n_links, component_id, kept, beam, audit_links, audit_missed."""
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 

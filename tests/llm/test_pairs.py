@@ -200,6 +200,9 @@ def test_many_links(spark):
     u = np.stack(x) / np.linalg.norm(np.stack(x), axis=1, keepdims=True)
     near = u @ u.T >= 0.93
     assert near[:350, :350].mean() > 0.5 and {k: r.n_links for k, r in got.items()} == dict(enumerate((near.sum(1) - 1).tolist()))
+    different = near[:, [*range(301), *range(350, 850)]].sum(1) - 1  # the copies of one vector are one text
+    audited = {k: r for k, r in got.items() if r.audit_links}
+    assert len(audited) > 20 and all(r.audit_links == different[k] and r.audit_missed == 0 and r.beam > 0 for k, r in audited.items())
     want = smallest_reachable(range(len(x)), [(a, b) for a, b in np.argwhere(near).tolist() if a < b])
     assert {k: r.component_id for k, r in got.items()} == want
 
@@ -220,4 +223,5 @@ def test_near_vectors(spark):
             assert (r.n_links, r.component_id, r.kept) == (n[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id)
         else:
             assert r.n_links == 0 and r.component_id == r.vec_id and r.kept
+            assert (r.beam, r.audit_links, r.audit_missed) == (int(r.vec_id == 9020), 0, 0)  # alone of its length, it queries its own shard
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
