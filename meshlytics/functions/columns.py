@@ -96,6 +96,7 @@ def is_open() -> Column:
 
 
 def is_unacknowledged() -> Column:
+    """P9."""
     return F.col("acknowledged_at").isNull()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..functions.columns import SEVERITY_RANK, anomaly_scope, fingerprint, severity_at_least, severity_rank, trailing, within
+from ..functions.columns import SEVERITY_RANK, anomaly_scope, fingerprint, is_open, is_unacknowledged, severity_at_least, severity_rank, trailing, within
 
 
 def recent(events: DataFrame, as_of: Column, since_minutes: int, scope: str = "global", severity_min: str = "medium", limit: int = 50, tie: str = "id") -> DataFrame:
@@ -98,5 +98,6 @@ def apply_commands(stored: DataFrame, commands: DataFrame) -> DataFrame:
     ``changed`` tells the rows that did change."""
     times = commands.groupBy("tenant_id", "fingerprint").agg(F.min(F.when(F.col("action") == "ack", F.col("at"))).alias("_ack"), F.min(F.when(F.col("action") == "resolve", F.col("at"))).alias("_res"))
     rows = stored.join(times, ["tenant_id", "fingerprint"], "left")
-    changed = (F.col("acknowledged_at").isNull() & F.col("_ack").isNotNull()) | (F.col("resolved_at").isNull() & F.col("_res").isNotNull())
-    return rows.withColumn("changed", changed).withColumns({"acknowledged_at": F.coalesce("acknowledged_at", "_ack"), "resolved_at": F.coalesce("resolved_at", "_res")}).drop("_ack", "_res")
+    changed = (is_unacknowledged() & F.col("_ack").isNotNull()) | (is_open() & F.col("_res").isNotNull())
+    times = {"acknowledged_at": F.coalesce("acknowledged_at", "_ack"), "resolved_at": F.coalesce("resolved_at", "_res")}
+    return rows.withColumn("changed", changed).withColumns(times).drop("_ack", "_res")

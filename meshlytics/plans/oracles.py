@@ -243,7 +243,8 @@ ORACLES = {k: with_parts(v) for k, v in {
       FROM daily d LEFT JOIN limits l ON l.tenant_id = d.tenant_id AND l.tool_name = d.tool_name WHERE period_start = TIMESTAMP '2024-01-20 00:00:00'""",
     "p_predicates": f"""SELECT tenant_id, count(*) FILTER ({week()}) AS p2, count(*) FILTER (ts_bucket >= {WEEK_AGO} AND ts_bucket < {DAY_AGO}) AS p3, count(*) FILTER (device = 'sw1') AS p4, count(*) FILTER (in_util_pct >= 60 OR out_util_pct >= 60) AS p7,
       count(*) FILTER (in_util_pct > out_util_pct) AS p8, max(u) AS peak FROM utilization GROUP BY 1""",
-    "p_anomaly_predicates": """SELECT tenant_id, count(*) AS p1, count(*) FILTER (contains(scope, 'interface:1')) AS p5, count(*) FILTER (severity IN ('high', 'critical')) AS p6, count(*) FILTER (severity IN ('medium', 'high', 'critical')) AS p6_unknown, count(*) FILTER (event_id % 3 = 0) AS p9 FROM anomaly_raw GROUP BY 1""",
+    "p_anomaly_predicates": """SELECT tenant_id, count(*) AS p1, count(*) FILTER (contains(scope, 'interface:1')) AS p5, count(*) FILTER (severity IN ('high', 'critical')) AS p6, count(*) FILTER (severity IN ('medium', 'high', 'critical')) AS p6_unknown, count(*) FILTER (event_id % 3 = 0) AS p9,
+      count(*) FILTER (event_id % 4 = 0) AS p9_unacknowledged FROM anomaly_raw GROUP BY 1""",
     "st1_flow_stream": f"SELECT * EXCLUDE (ts_bucket), {text('ts_bucket')} FROM flows WHERE ts_bucket + INTERVAL 1 MINUTE <= (SELECT max(timestamp) FROM flow_raw) - INTERVAL 2 MINUTE",
     "st2_counter_stream": f"SELECT event_id, tenant_id, {text('ts_bucket')}, device, interface, in_bps, out_bps, error_count, round(in_util_pct, 6) AS in_util_pct, round(out_util_pct, 6) AS out_util_pct FROM utilization",
     "st3_state_stream": f"""SELECT kind, tenant_id, device, part, {text('ts_bucket')}, state, CAST(strftime(ts_bucket, '%Y%m') AS INT) AS month FROM (SELECT 'interface' AS kind, tenant_id, device, interface AS part, ts_bucket, oper_status || ' ' || admin_status AS state FROM states

@@ -221,8 +221,11 @@ def p_predicates(t):
 def p_anomaly_predicates(t):
     """P1, P5, P6, P9 as counts."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    rows = t.anomalies.withColumn("resolved_at", F.when(F.col("event_id") % 3 > 0, F.col("ts")))
-    return rows.groupBy("tenant_id").agg(F.count("*").alias("p1"), n(F.col("scope").contains("interface:1")).alias("p5"), n(C.severity_at_least("high")).alias("p6"), n(C.severity_at_least("odd")).alias("p6_unknown"), n(C.is_open()).alias("p9"))
+    times = {c: F.when(F.col("event_id") % k > 0, F.col("ts")) for c, k in (("resolved_at", 3), ("acknowledged_at", 4))}
+    return t.anomalies.withColumns(times).groupBy("tenant_id").agg(
+        F.count("*").alias("p1"), n(F.col("scope").contains("interface:1")).alias("p5"), n(C.severity_at_least("high")).alias("p6"),
+        n(C.severity_at_least("odd")).alias("p6_unknown"), n(C.is_open()).alias("p9"), n(C.is_unacknowledged()).alias("p9_unacknowledged"),
+    )
 
 
 # Transforms --------------------------------------------------------------------------------------------------------------

@@ -82,14 +82,3 @@ class BucketedTable:
             self.merged(new, merge).select(*self.spark.table(self.name).columns).write.mode("overwrite").insertInto(self.name)
         finally:
             self.spark.conf.set(setting, before)
-
-
-def replace_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """A new version of a small mutable table beside the old one; a path is never read and overwritten in one plan."""
-    path = f"{root.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/v={version}")
