@@ -143,7 +143,10 @@ def rerank_rows(rough: np.ndarray, x: np.ndarray, query: np.ndarray, top: int, m
     return near, score
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 20, rerank: int = RERANK, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 20, rerank: int = RERANK,
+    sample: int = SAMPLE, block: int = BLOCK
+) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: of each query its ``top`` nearest of ``vectors``, its own id left out."""
     spark = vectors.sparkSession
     ship(spark)
@@ -155,7 +158,9 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     wide = d + d % WIDTH
     rows, asked = rows.where(F.size("x") == d), saved(asked.where(F.size("x") == d), "queries")
     least = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    some = np.array([r["x"] for r in rows.where(F.xxhash64("id") <= F.lit(least)).select("x").collect()]) if least is not None else np.ones((1, d))
+    some = np.array(
+        [r["x"] for r in rows.where(F.xxhash64("id") <= F.lit(least)).select("x").collect()]
+    ) if least is not None else np.ones((1, d))
     some = np.pad(some, ((0, 0), (0, wide - d)))
     weight = eta(some)
     books = fit(some, weight)
@@ -172,13 +177,33 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         order = np.argsort(group, kind="stable")
         starts = np.searchsorted(group[order], np.arange(len(first)))
         codes = packed(encode(np.pad(first, ((0, 0), (0, wide - d))), shared.value, weight))
-        return pd.DataFrame({"b": pdf["b"].iloc[:1], "ids": [lists(ids[order])], "starts": [lists(starts)], "codes": [codes.tobytes()], "vectors": [first.astype("<f8").tobytes()]})
+        return pd.DataFrame(
+            {
+                "b": pdf["b"].iloc[:1], "ids": [lists(ids[order])], "starts": [lists(starts)], "codes": [codes.tobytes()],
+                "vectors": [first.astype("<f8").tobytes()]
+            }
+        )
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"q": pdf["q"].iloc[:1], "ids": [lists(pdf["id"].to_numpy())], "vectors": [np.stack(pdf["x"].to_numpy()).astype("<f8").tobytes()]})
-
-    indexed = saved(rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("b").applyInPandas(index, "b long, ids binary, starts binary, codes binary, vectors binary"), "index")
-    batches = saved(asked.withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))).groupBy("q").applyInPandas(gather, "q long, ids binary, vectors binary"), "batches")
+        return pd.DataFrame(
+            {
+                "q": pdf["q"].iloc[:1], "ids": [lists(pdf["id"].to_numpy())],
+                "vectors": [np.stack(pdf["x"].to_numpy()).astype("<f8").tobytes()]
+            }
+        )
+
+    indexed = saved(
+        rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("b").applyInPandas(
+            index, "b long, ids binary, starts binary, codes binary, vectors binary"
+        ),
+        "index"
+    )
+    batches = saved(
+        asked.withColumn(
+            "q", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))
+        ).groupBy("q").applyInPandas(gather, "q long, ids binary, vectors binary"),
+        "batches"
+    )
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
 
     def task(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +228,9 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                         got += [(v, score[r]) for v in members if v != qid[low + i]]
                     got.sort(key=lambda g: (-g[1], g[0]))
                     found += [(qid[low + i], v, s) for v, s in got[:top]]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(
+            {"query_id": "int64", "vec_id": "int64", "score": "float64"}
+        )
 
     cells = indexed.withColumn("q", every(query_blocks)).groupBy("b", "q").cogroup(batches.withColumn("b", every(blocks)).groupBy("b", "q"))
     best = cells.applyInPandas(task, "query_id long, vec_id long, score double")

@@ -171,7 +171,9 @@ def map_batches(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE_ROWS):
-                yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in fn(batch.slice(low, SLICE_ROWS))], names)
+                yield pa.RecordBatch.from_arrays(
+                    [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in fn(batch.slice(low, SLICE_ROWS))], names
+                )
             release()
 
     return df.mapInArrow(run, schema)
@@ -208,7 +210,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(low, "u").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
+        )
         old, e = e, saved(small.where("u <> v").distinct(), "edges")
         discard(old)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -158,14 +158,21 @@ def build(words: np.ndarray, vocabulary: pa.Array, sizes: np.ndarray) -> dict:
     text[is_word] = words + docs
     text[ends] = np.arange(docs)[::-1]  # each end is another symbol, the last the smallest
     order = sorted_suffixes(text)
-    before = np.where(text[order - 1] >= docs, text[order - 1] - docs + 1, 0).astype(np.uint32)  # ends are 0; what stands before place 0 is one
+    before = np.where(  # ends are 0; what stands before place 0 is one
+        text[order - 1] >= docs, text[order - 1] - docs + 1, 0
+    ).astype(np.uint32)
     rows, zeros = Wavelet.of(before)
     keep = np.zeros(len(text), bool)
     first = np.repeat(starts[:-1], sizes + 1)
     keep[(np.arange(len(text)) - first) % EVERY == 0] = True
     marked = keep[order]
-    counts = np.concatenate([[docs], docs + np.cumsum(np.bincount(words, minlength=len(vocabulary)))])  # suffixes that begin with a smaller symbol
-    values = [counts.astype("<u4"), rows.astype("<u8"), zeros.astype("<u4"), packed(marked).astype("<u8"), order[marked].astype("<u4"), starts.astype("<u4")]
+    counts = np.concatenate(  # suffixes that begin with a smaller symbol
+        [[docs], docs + np.cumsum(np.bincount(words, minlength=len(vocabulary)))]
+    )
+    values = [
+        counts.astype("<u4"), rows.astype("<u8"), zeros.astype("<u4"), packed(marked).astype("<u8"), order[marked].astype("<u4"),
+        starts.astype("<u4")
+    ]
     return dict(zip(FIELDS, [vocabulary, *[x.tobytes() for x in values]]))
 
 
@@ -214,7 +221,13 @@ class Index:
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """The index table: a row per shard, with the keys and sizes of its documents."""
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("vocabulary", T.ArrayType(T.StringType())), *[T.StructField(x, T.BinaryType()) for x in FIELDS[1:]]])
+    schema = T.StructType(
+        [
+            T.StructField("shard", T.LongType()), T.StructField("keys", T.ArrayType(kind)),
+            T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("vocabulary", T.ArrayType(T.StringType())),
+            *[T.StructField(x, T.BinaryType()) for x in FIELDS[1:]]
+        ]
+    )
     ship(docs.sparkSession)
 
     def make(batches):
@@ -231,7 +244,10 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int =
                 row = build(np.asarray(known.indices, np.int64), known.dictionary, own)
             else:
                 row = dict.fromkeys(FIELDS, b"") | {"vocabulary": pa.array([], pa.string())}
-            out = [pa.array([base + number], pa.int64()), one_list(own_keys), one_list(pa.array(own, pa.int64())), one_list(row["vocabulary"]), *[pa.array([row[x]], pa.binary()) for x in FIELDS[1:]]]
+            out = [
+                pa.array([base + number], pa.int64()), one_list(own_keys), one_list(pa.array(own, pa.int64())), one_list(row["vocabulary"]),
+                *[pa.array([row[x]], pa.binary()) for x in FIELDS[1:]]
+            ]
             words, keys, sizes, total, number = [], [], [], 0, number + 1
             release()
             return pa.RecordBatch.from_arrays(out, schema.fieldNames())
@@ -296,7 +312,12 @@ def find_in(shards: DataFrame, block: pa.Table, window: int) -> DataFrame:
     table[row, window - sizes[row] + inside] = np.asarray(terms.indices, np.int64) + 1
     spark_item = shards.sparkSession.createDataFrame(block.slice(0, 0)).schema["item"].dataType
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("place", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(spark_item))])
+    schema = T.StructType(
+        [
+            T.StructField("shard", T.LongType()), T.StructField("place", T.LongType()), T.StructField("spans", T.ArrayType(span)),
+            T.StructField("items", T.ArrayType(spark_item))
+        ]
+    )
     words = terms.dictionary
 
     def search(batches):
@@ -306,7 +327,9 @@ def find_in(shards: DataFrame, block: pa.Table, window: int) -> DataFrame:
                 if not len(row["vocabulary"].values):
                     continue
                 own = Index({x: v.values if x == "vocabulary" else v.as_buffer() for x, v in row.items()})
-                local = np.concatenate([[0], np.asarray(pc.fill_null(pc.index_in(words, own.vocabulary), -2), np.int64) + 1])  # -1: not in this shard
+                local = np.concatenate(  # -1: not in this shard
+                    [[0], np.asarray(pc.fill_null(pc.index_in(words, own.vocabulary), -2), np.int64) + 1]
+                )
                 low, high = own.search(local[table])
                 hit = np.flatnonzero(high > low)
                 if not len(hit):
@@ -326,9 +349,14 @@ def find_in(shards: DataFrame, block: pa.Table, window: int) -> DataFrame:
                 pair = np.unique(doc * len(known) + which)
                 owner = gathered(np.arange(len(owners)), first[pair % len(known)], np.diff(first)[pair % len(known)])
                 owner_doc = np.repeat(pair // len(known), np.diff(first)[pair % len(known)])
-                lists = lambda values, at: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(docs, docs[-1] + 1)), pa.int32()), values)
+                lists = lambda values, at: pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(at, np.append(docs, docs[-1] + 1)), pa.int32()), values
+                )
                 shard = pa.array(np.full(len(docs), batch.column(batch.schema.get_field_index("shard"))[k].as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays([shard, pa.array(docs, pa.int64()), lists(spans, of), lists(owners.take(pa.array(owner)), owner_doc)], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays(
+                    [shard, pa.array(docs, pa.int64()), lists(spans, of), lists(owners.take(pa.array(owner)), owner_doc)],
+                    schema.fieldNames()
+                )
             release()
 
     return shards.select("shard", *FIELDS, "keys").mapInArrow(search, schema)
@@ -336,11 +364,21 @@ def find_in(shards: DataFrame, block: pa.Table, window: int) -> DataFrame:
 
 def merged(spans):
     """Sorted spans, those that overlap or touch as one."""
-    step = lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x)))
+    step = lambda done, x: F.when(
+        (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
+        F.concat(
+            F.slice(done, F.lit(1), F.size(done) - 1),
+            F.array(
+                F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))
+            )
+        )
+    ).otherwise(F.concat(done, F.array(x)))
     return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:bigint,end:bigint>>"), step)
 
 
-def contamination(shards: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = PHRASES) -> DataFrame:
+def contamination(
+    shards: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = PHRASES
+) -> DataFrame:
     """A row per document of the index table ``shards``: ``key``, ``n_words``, ``spans`` (runs of hit words: start, end
     exclusive) and ``items`` (ids of items with a phrase in it, sorted, each once)."""
     table = saved(phrases(items, item_key, item_text, window), "phrases")
@@ -350,10 +388,15 @@ def contamination(shards: DataFrame, items: DataFrame, item_key: str = "item_id"
     for k in range(number):
         part = find_in(shards, table.where(own == k).select("phrase", "item").distinct().toArrow(), window)
         found = part if found is None else found.unionByName(part)
-    hits = found.groupBy("shard", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("items"))))).alias("items"))
+    hits = found.groupBy("shard", "place").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("items"))))).alias("items")
+    )
     if number > 1:
         hits = hits.withColumn("spans", merged(F.col("spans")))
-    docs = shards.select("shard", F.posexplode(F.arrays_zip("keys", "sizes")).alias("place", "x")).select("shard", F.col("place").cast("long").alias("place"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("n_words"))
+    docs = shards.select("shard", F.posexplode(F.arrays_zip("keys", "sizes")).alias("place", "x")).select(
+        "shard", F.col("place").cast("long").alias("place"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("n_words")
+    )
     out = docs.join(hits, ["shard", "place"], "left")
     empty = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType))
     return out.select("key", "n_words", empty("spans").alias("spans"), empty("items").alias("items"))
@@ -378,7 +421,9 @@ def remove(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the passages of ``items``. ``key`` is unique: it joins the spans to the texts."""
-    found = contamination(saved(index(docs, key, text), "fm_index"), items).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    found = contamination(saved(index(docs, key, text), "fm_index"), items).where(F.size("spans") > 0).select(
+        F.col("key").alias("_key"), F.col("spans").alias("_spans")
+    )
     joined = docs.join(found, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key")
     return with_columns(joined, lambda t, s: [remove(t, s)], [docs.schema[text]], [text, "_spans"], drop=("_spans",)).select(*docs.columns)
 
@@ -389,7 +434,10 @@ def op12_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contamination(shards, read_table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return rows.select(F.col("key").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return rows.select(
+        F.col("key").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
 
 
 QUERIES = {"op12_fm_decontamination": op12_fm_decontamination}

@@ -56,7 +56,10 @@ class Graph:
         for k in range(self.top + 1):
             at = [v for v in range(len(self.x)) if self.edges[k][v] is not None]
             flat = [self.edges[k][v] for v in at]
-            out |= {f"v{k}": np.array(at, np.int32), f"n{k}": np.array([len(e) for e in flat], np.int32), f"e{k}": np.array([y for e in flat for y in e], np.int32)}
+            out |= {
+                f"v{k}": np.array(at, np.int32), f"n{k}": np.array([len(e) for e in flat], np.int32),
+                f"e{k}": np.array([y for e in flat for y in e], np.int32)
+            }
         np.savez(f := io.BytesIO(), **out)
         return f.getvalue()
 
@@ -163,7 +166,9 @@ class Graph:
 def usable(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """``id``, ``label`` and ``x`` of the vectors that can link, one per id."""
     x = F.col(vector).cast("array<double>")
-    rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), x.alias("x"))
+    rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull()).select(
+        F.col(key).cast("long").alias("id"), F.col(label).alias("label"), x.alias("x")
+    )
     rows = rows.where((F.size("x") > 0) & F.coalesce(F.forall("x", lambda v: v.isNotNull()), F.lit(False)))
     rows = rows.where(F.forall("x", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0))
     return rows.groupBy("id").agg(F.min(F.struct("label", "x")).alias("r")).select("id", "r.label", "r.x")
@@ -175,29 +180,48 @@ def unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, shard: int = SHARD, beam: int = BEAM, part: int = PART) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, shard: int = SHARD,
+    beam: int = BEAM, part: int = PART
+) -> DataFrame:
     """A row per row of ``vectors``: ``key``, ``n_links``, ``component_id`` and ``kept``; then ``beam`` (the widest it was searched
     with), ``audit_links`` and ``audit_missed`` (links to different vectors that comparing it with all finds, and those of them the
     search missed; 0 where it was not audited; equal vectors share theirs), all 0 for rows that take no part."""
     ship(vectors.sparkSession)
     live = saved(usable(vectors, key, vector, label), "vectors")
     groups = saved(live.groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "groups")
-    sizes = groups.groupBy("label", F.size("x").alias("d")).agg(F.ceil(F.count("*") / shard).alias("shards"), F.ceil(F.count("*") / part).alias("parts"))
-    dealt = groups.withColumn("d", F.size("x")).join(sizes, ["label", "d"]).withColumns({"shard": F.pmod(F.xxhash64("rep"), F.col("shards")), "part": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts"))})
+    sizes = groups.groupBy("label", F.size("x").alias("d")).agg(
+        F.ceil(F.count("*") / shard).alias("shards"), F.ceil(F.count("*") / part).alias("parts")
+    )
+    dealt = groups.withColumn("d", F.size("x")).join(sizes, ["label", "d"]).withColumns(
+        {"shard": F.pmod(F.xxhash64("rep"), F.col("shards")), "part": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts"))}
+    )
     dealt = saved(dealt, "dealt")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         graph = Graph(unit(pdf["x"])).build()
-        return pdf[["label", "d", "shard", "parts"]].iloc[:1].assign(graph=[graph.dump()], ids=[pdf["rep"].to_numpy().astype("<i8").tobytes()], ws=[pdf["w"].to_numpy().astype("<i8").tobytes()])
+        return pdf[["label", "d", "shard", "parts"]].iloc[:1].assign(
+            graph=[graph.dump()], ids=[pdf["rep"].to_numpy().astype("<i8").tobytes()], ws=[pdf["w"].to_numpy().astype("<i8").tobytes()]
+        )
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        return pdf[["label", "d", "part", "shards"]].iloc[:1].assign(reps=[pdf["rep"].to_numpy().astype("<i8").tobytes()], xs=[unit(pdf["x"]).astype("<f8").tobytes()])
+        return pdf[["label", "d", "part", "shards"]].iloc[:1].assign(
+            reps=[pdf["rep"].to_numpy().astype("<i8").tobytes()], xs=[unit(pdf["x"]).astype("<f8").tobytes()]
+        )
 
     kind = dealt.schema["label"].dataType.simpleString()
-    index = saved(dealt.groupBy("label", "d", "shard").applyInPandas(build, f"label {kind}, d int, shard long, parts long, graph binary, ids binary, ws binary"), "index")
-    parts = saved(dealt.groupBy("label", "d", "part").applyInPandas(gather, f"label {kind}, d int, part long, shards long, reps binary, xs binary"), "parts")
+    index = saved(
+        dealt.groupBy("label", "d", "shard").applyInPandas(
+            build, f"label {kind}, d int, shard long, parts long, graph binary, ids binary, ws binary"
+        ),
+        "index"
+    )
+    parts = saved(
+        dealt.groupBy("label", "d", "part").applyInPandas(gather, f"label {kind}, d int, part long, shards long, reps binary, xs binary"),
+        "parts"
+    )
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     cells, asked = index.withColumn("part", every("parts")), parts.withColumn("shard", every("shards"))
 
@@ -242,19 +266,27 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         of = pd.DataFrame({"id": qid, "n": counts, "beam": min(width, len(ids)), "links": links, "missed": missed})
         return out.merge(of, "left", "id").fillna(0).astype("int64")[["id", "n", "root", "beam", "links", "missed"]]
 
-    found = cells.groupBy("label", "d", "shard", "part").cogroup(asked.groupBy("label", "d", "shard", "part")).applyInPandas(query, "id long, n long, root long, beam long, links long, missed long")
+    found = cells.groupBy("label", "d", "shard", "part").cogroup(asked.groupBy("label", "d", "shard", "part")).applyInPandas(
+        query, "id long, n long, root long, beam long, links long, missed long"
+    )
     found = saved(found, "links")
     audits = [F.max("beam").alias("beam"), F.sum("links").alias("audit_links"), F.sum("missed").alias("audit_missed")]
     counts = found.groupBy("id").agg(F.sum("n").alias("n"), *audits).withColumnRenamed("id", "rep")
     comps = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     discard(index, parts, dealt)
     per_group = groups.join(counts, "rep", "left").join(comps, groups["rep"] == comps["node"], "left")
-    per_group = per_group.select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), *AUDITED)
+    per_group = per_group.select(
+        "label", "x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
+        *AUDITED
+    )
     each = live.join(per_group, ["label", "x"]).select(F.col("id").alias("_id"), "n_links", "component_id", *AUDITED)
     out = vectors.select(F.col(key)).join(each, F.col(key) == F.col("_id"), "left")
     component = F.coalesce("component_id", F.col(key))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(key, number("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"), *map(number, AUDITED))
+    return out.select(
+        key, number("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"),
+        *map(number, AUDITED)
+    )
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

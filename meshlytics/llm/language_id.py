@@ -46,7 +46,12 @@ def counts(text: str, slots: int = SLOTS) -> np.ndarray | None:
     c = np.concatenate([[32], c, [32]]).astype(np.uint32)
     two = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
     three = two[:-1] * np.uint32(0x85EBCA6B) + c[2:]
-    keys = np.concatenate([c[1:-1] * np.uint32(0xC2B2AE35) + np.uint32(1), two * np.uint32(0x27D4EB2F) + np.uint32(2), three * np.uint32(0x165667B1) + np.uint32(3)])
+    keys = np.concatenate(
+        [
+            c[1:-1] * np.uint32(0xC2B2AE35) + np.uint32(1), two * np.uint32(0x27D4EB2F) + np.uint32(2),
+            three * np.uint32(0x165667B1) + np.uint32(3)
+        ]
+    )
     keys ^= keys >> np.uint32(15)
     keys *= np.uint32(0x2C1B3C6D)
     return np.bincount(keys >> np.uint32(32 - slots.bit_length() + 1), minlength=slots)
@@ -72,7 +77,10 @@ class Model:
         return self.languages[k], float(p[k] / p.sum())
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], slots: int, languages: int, passes: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(
+    rows: list[tuple[np.ndarray, np.ndarray, int]], slots: int, languages: int, passes: int = 4, alpha: float = 0.5, beta: float = 1.0,
+    l1: float = 0.02, l2: float = 0.05, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights (slots x languages) and biases from rows of slots, values and class."""
     z, n = np.zeros((slots + 1, languages)), np.zeros((slots + 1, languages))
 
@@ -128,9 +136,13 @@ def quotas(sizes: list[int], sample: int) -> list[int]:
     return [min(n, max(1, even + rest * n // total)) for n in sizes]
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, slots: int = SLOTS) -> Model:
+def fit(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, slots: int = SLOTS
+) -> Model:
     """The model of the rows of ``labelled`` that have a text and a language."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("y"), F.col(text).alias("t"))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(key).cast("string").alias("k"), F.col(lang).alias("y"), F.col(text).alias("t")
+    )
     seen, total = document_frequencies(rows.select("t"), slots)
     # First the hashes alone, then the texts of the least ones: no task holds more texts than it returns.
     rows = rows.withColumn("h", F.xxhash64("k", "t"))
@@ -138,20 +150,31 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     known = {r["y"]: r["n"] for r in hashes.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not known:
         return Model([], np.zeros((slots, 0)), np.zeros(slots), np.zeros(0), 1.0)
-    quota = labelled.sparkSession.createDataFrame([(y, n, q) for (y, n), q in zip(known.items(), quotas(list(known.values()), sample))], "y string, all long, quota long")
+    quota = labelled.sparkSession.createDataFrame(
+        [(y, n, q) for (y, n), q in zip(known.items(), quotas(list(known.values()), sample))], "y string, all long, quota long"
+    )
     # Hashes are even, so about a quota of each language is under its share; these few are ranked.
     share = (F.col("quota") + 6 * F.sqrt("quota") + 40) / F.col("all")
     under = (F.col("quota") == F.col("all")) | (F.col("h").cast("double") < (F.least(F.lit(1.0), share) - 0.5) * 2.0**64)
-    least = hashes.join(F.broadcast(quota), "y").where(under).withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where("rank <= quota").select("y", "h")
+    least = hashes.join(F.broadcast(quota), "y").where(under).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    ).where("rank <= quota").select("y", "h")
     rows = rows.join(F.broadcast(least), ["y", "h"]).dropDuplicates(["y", "h"]).select("k", "y", "t")
 
     def count(batch):
         found = [counts(t, slots) for t in batch.column(2).to_pylist()]
         at = [None if n is None else n.nonzero()[0].astype("<u4") for n in found]
-        return [batch.column(1), pa.array([None if a is None else a.tobytes() for a in at], pa.binary()), pa.array([None if a is None else n[a].astype("<u4").tobytes() for a, n in zip(at, found)], pa.binary())]
+        return [
+            batch.column(1), pa.array([None if a is None else a.tobytes() for a in at], pa.binary()),
+            pa.array([None if a is None else n[a].astype("<u4").tobytes() for a, n in zip(at, found)], pa.binary())
+        ]
 
     schema = T.StructType([T.StructField("y", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
-    got = [(r["y"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(float)) for r in map_batches(rows, count, schema).collect() if r["at"] is not None]
+    got = [
+        (
+            r["y"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(float)
+        ) for r in map_batches(rows, count, schema).collect() if r["at"] is not None
+    ]
     got.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))  # the order of arrival must not matter
     languages = sorted({y for y, _, _ in got})
     if not languages:
@@ -184,7 +207,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", drop_text: bool
         found = [shared.value.predict(t.as_py()) for t in texts]
         return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
 
-    return with_columns(docs, add, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], [text], drop=(text,) if drop_text else ())
+    return with_columns(
+        docs, add, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], [text],
+        drop=(text,) if drop_text else ()
+    )
 
 
 def held_out(key: str = "doc_id"):
@@ -195,7 +221,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, held_out, lang_pred, score; learnt from rows that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
-    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, drop_text=True).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(
+        docs.select("doc_id", held_out().alias("held_out"), "text"), model, drop_text=True
+    ).select("doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES = {"op10_language_id": op10_language_id}

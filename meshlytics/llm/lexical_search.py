@@ -65,7 +65,12 @@ def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
 
 def postings(docs: DataFrame, key: str, text: str, terms: pa.Array) -> DataFrame:
     """A row per document: ``key``, ``n`` (terms with repeats), ``terms`` (places in the given ones) and ``times``."""
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.LongType()))])
+    schema = T.StructType(
+        [
+            T.StructField("key", docs.schema[key].dataType), T.StructField("n", T.LongType()),
+            T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.LongType()))
+        ]
+    )
     ship(docs.sparkSession)
 
     def make(batches):
@@ -79,8 +84,14 @@ def postings(docs: DataFrame, key: str, text: str, terms: pa.Array) -> DataFrame
                 own = at >= 0
                 pairs, times = np.unique(doc[own] * max(len(terms), 1) + at[own], return_counts=True)
                 offsets = pa.array(np.searchsorted(pairs, np.arange(high - low + 1) * max(len(terms), 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pairs % max(len(terms), 1)).astype(np.int32), times.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(before), pa.int64()), *lists], schema.fieldNames())
+                lists = [
+                    pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (
+                        (pairs % max(len(terms), 1)).astype(np.int32), times.astype(np.int64)
+                    )
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low), pa.array(np.diff(before), pa.int64()), *lists], schema.fieldNames()
+                )
         release()
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(make, schema)
@@ -193,7 +204,10 @@ def best_documents(tree: Treap, rows: np.ndarray, sizes: np.ndarray, top: int, b
         start = np.cumsum(size) - size
 
 
-def search_shards(rows: DataFrame, item_rows: np.ndarray, sizes: np.ndarray, place: np.ndarray, weights: np.ndarray, documents: int, length: int, top: int, size: int = SHARD, beam: int = BEAM, slots: int = SLOTS) -> DataFrame:
+def search_shards(
+    rows: DataFrame, item_rows: np.ndarray, sizes: np.ndarray, place: np.ndarray, weights: np.ndarray, documents: int, length: int,
+    top: int, size: int = SHARD, beam: int = BEAM, slots: int = SLOTS
+) -> DataFrame:
     """``number`` of an item, ``key`` and ``score``: the best of each shard of the rows of ``postings``. ``place``: a term's row in the grid,
     ``weights`` by row."""
     schema = T.StructType([T.StructField("number", T.IntegerType()), rows.schema["key"], T.StructField("score", T.LongType())])
@@ -223,7 +237,10 @@ def search_shards(rows: DataFrame, item_rows: np.ndarray, sizes: np.ndarray, pla
                 out[2].append(best.score[found])
                 low = high
         number, at, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), table.column("key").chunk(0).take(pa.array(at, pa.int64())), pa.array(score, pa.int64())], schema.fieldNames())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(number, pa.int32()), table.column("key").chunk(0).take(pa.array(at, pa.int64())), pa.array(score, pa.int64())],
+            schema.fieldNames()
+        )
 
     def run(batches):
         parts, docs, points = [], 0, 0
@@ -242,7 +259,10 @@ def search_shards(rows: DataFrame, item_rows: np.ndarray, sizes: np.ndarray, pla
     return rows.mapInArrow(run, schema)
 
 
-def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", top: int = TOP, block: int = TERMS, shard: int = SHARD, beam: int = BEAM, slots: int = SLOTS) -> DataFrame:
+def search(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    top: int = TOP, block: int = TERMS, shard: int = SHARD, beam: int = BEAM, slots: int = SLOTS
+) -> DataFrame:
     """``item``, ``rank``, ``key`` and ``score`` of each item's best documents."""
     spark = docs.sparkSession
     pairs = saved(item_terms(items, item_key, item_text), "terms")
@@ -254,15 +274,22 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         items_, terms = part.column("item").combine_chunks().dictionary_encode("encode"), part.column("term").combine_chunks().dictionary_encode()
         rows = saved(postings(docs, key, text, terms.dictionary), "postings")
         documents, length = rows.agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        frequency = dict(tuple(r) for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # a block's terms at most
+        frequency = dict(  # a block's terms at most
+            tuple(r) for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()
+        )
         by_term = np.array([weight(documents, frequency.get(t, 0)) for t in range(len(terms.dictionary))], np.int64)
         order = np.argsort(-by_term, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         holder, at = np.asarray(items_.indices, np.int64), place[np.asarray(terms.indices, np.int64)]
         by = np.lexsort((at, holder))
-        found = search_shards(rows, at[by], np.bincount(holder, minlength=len(items_.dictionary)), place, by_term[order], documents, max(length, 1), top, shard, beam, slots)
-        label = spark.createDataFrame(pa.table({"number": pa.array(np.arange(len(items_.dictionary)), pa.int32()), "item": items_.dictionary}))
+        found = search_shards(
+            rows, at[by], np.bincount(holder, minlength=len(items_.dictionary)), place, by_term[order], documents, max(length, 1), top,
+            shard, beam, slots
+        )
+        label = spark.createDataFrame(
+            pa.table({"number": pa.array(np.arange(len(items_.dictionary)), pa.int32()), "item": items_.dictionary})
+        )
         found = found.join(F.broadcast(label), "number").drop("number")  # a block's items at most
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("key"))

@@ -102,7 +102,9 @@ def digest_of(form: Column) -> Column:
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """``license`` and ``digest``, one row per digest."""
     table = spark.createDataFrame(known, "license string, _known string")
-    return table.select("license", digest_of(F.array_join(canonical_lines(F.col("_known")), " ")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    return table.select(
+        "license", digest_of(F.array_join(canonical_lines(F.col("_known")), " ")).alias("digest")
+    ).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, text: str = "text", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -115,7 +117,9 @@ def scan(docs: DataFrame, text: str = "text", known: list[tuple[str, str]] = KNO
     rows = docs.select(*names, canonical_lines(F.col(text)).alias(lines))
     # The known list is part of the code, so its digests make a literal.
     table = F.create_map(*[F.lit(x) for row in digests.collect() for x in (row["digest"], row["license"])])
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(table, digest_of(x))), lambda x: x.isNotNull())))
+    found = F.array_sort(
+        F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(table, digest_of(x))), lambda x: x.isNotNull()))
+    )
     rows = rows.withColumns({"notices": F.array_join(found, ","), "digest": digest_of(F.array_join(lines, " "))})
     return rows.drop(lines).join(F.broadcast(digests), "digest", "left").select(*names, "digest", "license", "notices")
 

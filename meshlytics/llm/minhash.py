@@ -71,7 +71,12 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, key: str, text: str, words: int, k: int = K) -> DataFrame:
     """``id``, ``n`` (size of the set), ``fp`` (of the whole set; null if empty) and ``sketch``."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.StringType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    schema = T.StructType(
+        [
+            T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.StringType()),
+            T.StructField("sketch", T.ArrayType(T.LongType()))
+        ]
+    )
 
     def make(batch):
         from xxhash import xxh3_128_hexdigest
@@ -83,7 +88,10 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, k: int = K) -> Da
             fp.append(xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
             parts.append(s[:k].view(np.int64).copy())  # a view would keep the whole set
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-        return [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))]
+        return [
+            batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.string()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+        ]
 
     return map_batches(docs.select(F.col(key).cast("long"), text), make, schema)
 
@@ -94,7 +102,9 @@ def least_of_sketch(k: int, percent: int, chance: float) -> int:
     values in both of similar sets stay below with a chance of at most ``chance``: the exact binomial tail."""
     t, total, n = percent / 100, 0.0, 0
     while n < k:
-        total += math.exp(math.lgamma(k + 1) - math.lgamma(n + 1) - math.lgamma(k - n + 1) + n * math.log(t) + (k - n) * math.log1p(-t)) if t < 1 else 0.0
+        total += math.exp(
+            math.lgamma(k + 1) - math.lgamma(n + 1) - math.lgamma(k - n + 1) + n * math.log(t) + (k - n) * math.log1p(-t)
+        ) if t < 1 else 0.0
         if total > chance:
             break
         n += 1
@@ -115,7 +125,9 @@ def rare_postings(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     whole = n - F.ceil(n * percent / 100) + 1
     prefix = F.when(n * 100 <= k * percent, whole).otherwise(size - shared_at_least(k, percent) + 1)
     take = F.least(prefix - (size - F.size("held")), F.size("held")).cast("int")  # values that one node alone retains come first
-    return held.where(take > 0).select("id", "n", F.explode(F.slice("held", F.lit(1), take)).alias("h")).select("id", "n", F.col("h.v").alias("v"))
+    return held.where(take > 0).select(
+        "id", "n", F.explode(F.slice("held", F.lit(1), take)).alias("h")
+    ).select("id", "n", F.col("h.v").alias("v"))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int) -> float:
@@ -143,7 +155,11 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataF
     def keep(batch):
         a, b, na, nb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("a", "b", "na", "nb"))
         sa, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("sa", "sb"))
-        ok = [i for i in range(len(a)) if estimate(sa[i].values.to_numpy().view(np.uint64), sb[i].values.to_numpy().view(np.uint64), na[i], nb[i], k) >= least]
+        ok = [
+            i for i in range(len(a)) if estimate(
+                sa[i].values.to_numpy().view(np.uint64), sb[i].values.to_numpy().view(np.uint64), na[i], nb[i], k
+            ) >= least
+        ]
         return [pa.array(a[ok]), pa.array(b[ok])]
 
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -157,7 +173,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     left, right = texts.select(F.col("id").alias("a"), "text"), texts.select(F.col("id").alias("b"), "text")
-    heads = runs.join(left, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "text")
+    heads = runs.join(left, "a").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"),
+        "text"
+    )
     rest = pairs.join(runs, "a").withColumn("run", F.pmod(F.xxhash64("b"), "runs").cast("int"))
     rest = rest.join(right, "b").select("a", "run", F.lit(1).alias("role"), "b", "text")
     rows = heads.unionByName(rest).repartition("a", "run").sortWithinPartitions("a", "run", "role")
@@ -201,7 +220,9 @@ def still_apart(postings: DataFrame, links: DataFrame, compared: bool = True) ->
     ``compared`` the members of these lists: their one pair is done."""
     comps = components(links)
     now = postings.join(comps, postings["id"] == comps["node"], "left").select("v", "id", "n", F.coalesce("component", "id").alias("comp"))
-    open_lists = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {2 if compared else 1}").select("v", "size")
+    open_lists = now.groupBy("v").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")
+    ).where(f"lo <> hi and size > {2 if compared else 1}").select("v", "size")
     out = saved(now.join(open_lists, "v"), "apart")
     discard(comps)
     return out
@@ -246,7 +267,9 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def promising(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[np.ndarray], k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def promising(
+    ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[np.ndarray], k: int, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs across components are links for sure (both sketches are whole sets), and which may be, by the values
     that their sketches share."""
     both, small, large = overlaps(sketches), np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
@@ -261,13 +284,20 @@ def in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
     are made: its rows only meet those of the others."""
     comps = rows.groupBy(group, "comp").agg(F.count("*").alias("c"))
     shape = comps.groupBy(group).agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"))
-    shape = shape.select(group, F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / size).cast("int").alias("rest_blocks"), F.ceil(F.col("main.c") / size).cast("int").alias("main_blocks"))
+    shape = shape.select(
+        group, F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / size).cast("int").alias("rest_blocks"),
+        F.ceil(F.col("main.c") / size).cast("int").alias("main_blocks")
+    )
     dealt = rows.join(shape, group)
     is_main = F.col("comp") == F.col("main")
     own = F.when(is_main, F.col("rest_blocks") + F.pmod(F.xxhash64("id"), "main_blocks")).otherwise(F.pmod(F.xxhash64("id"), "rest_blocks"))
     others = F.when(is_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks"))
-    dealt = dealt.where("rest_blocks > 0").withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("main", "rest_blocks", "main_blocks", "own", "other")
+    dealt = dealt.where("rest_blocks > 0").withColumn("own", own.cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), others - 1))
+    )
+    return dealt.withColumns(
+        {"i": F.least("own", "other"), "j": F.greatest("own", "other")}
+    ).drop("main", "rest_blocks", "main_blocks", "own", "other")
 
 
 def block_links(apart: DataFrame, nodes: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
@@ -286,12 +316,16 @@ def block_links(apart: DataFrame, nodes: DataFrame, k: int, percent: int, block:
     return dealt.groupBy("v", "i", "j").applyInPandas(compare, "a long, b long, sure boolean").distinct()
 
 
-def cluster_links(maybe: DataFrame, links: DataFrame, texts: DataFrame, words: int, k: int, percent: int, block: int = TEXT_BLOCK) -> DataFrame:
+def cluster_links(
+    maybe: DataFrame, links: DataFrame, texts: DataFrame, words: int, k: int, percent: int, block: int = TEXT_BLOCK
+) -> DataFrame:
     """The links among the pairs that may be some, of which ``maybe`` is a forest: its trees' texts meet in blocks, where each
     promising pair across components is compared on full sets until its components are joined."""
     trees = components(maybe).select(F.col("node").alias("id"), F.col("component").alias("tree"))
     comps = components(links)
-    members = saved(trees.join(comps, trees["id"] == comps["node"], "left").select("tree", "id", F.coalesce("component", "id").alias("comp")), "trees")
+    members = saved(
+        trees.join(comps, trees["id"] == comps["node"], "left").select("tree", "id", F.coalesce("component", "id").alias("comp")), "trees"
+    )
     dealt = in_blocks(members, "tree", block).join(texts, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -317,7 +351,9 @@ def cluster_links(maybe: DataFrame, links: DataFrame, texts: DataFrame, words: i
     return dealt.groupBy("tree", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, k: int = K, rounds: int = ROUNDS
+) -> DataFrame:
     """A row per row of ``docs``: ``key``, ``n_shingles``, ``component_id`` (the smallest key reachable by links) and
     ``kept``. Links: sets of ``words``-word shingles, 100 * shared >= ``percent`` * all of both."""
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
@@ -325,13 +361,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows = saved(sketches(docs, key, text, words, k), "sketches")
     live = rows.where(F.col("id").isNotNull() & F.col("fp").isNotNull())
     first = saved(live.groupBy("fp").agg(F.min("id").alias("id")), "first")
-    links, scratch = linked(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), live.join(first, ["fp", "id"]), words, percent, k, rounds)
+    links, scratch = linked(
+        docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), live.join(first, ["fp", "id"]), words, percent, k,
+        rounds
+    )
     comps = components(links)
     discard(*scratch)
     same = rows.join(first.select("fp", F.col("id").alias("first")), "fp", "left")
     out = same.join(comps, same["first"] == comps["node"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+    )
 
 
 def by_hash(docs: DataFrame, key: str, text: str, *how) -> DataFrame:
@@ -341,7 +383,10 @@ def by_hash(docs: DataFrame, key: str, text: str, *how) -> DataFrame:
     names = ids.select("id", "name").where("id is not null").distinct()
     least = found.select("id", "component_id").distinct().join(names, "id").groupBy("component_id").agg(F.min("name").alias("least"))
     out = found.join(names, "id", "left").join(least, "component_id", "left")
-    return out.select(F.col("name").alias(key), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("name") == F.col("least"), F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("name").alias(key), "n_shingles", F.col("least").alias("component_id"),
+        F.coalesce(F.col("name") == F.col("least"), F.lit(True)).alias("kept")
+    )
 
 
 def linked(texts: DataFrame, nodes: DataFrame, words: int, percent: int, k: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:

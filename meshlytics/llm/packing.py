@@ -46,11 +46,17 @@ def default_tokenizer() -> str:
 #: How a tokenizer must split texts for its words to be encoded one by one: no token goes past white space, letters are
 #: apart from other characters. Fixed values, as in the file.
 BY_WORDS = {
-    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    },
     "pre_tokenizer": {
         "type": "Sequence",
         "pretokenizers": [
-            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {
+                "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed",
+                "invert": True
+            },
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
         ],
     },
@@ -116,10 +122,18 @@ def encoder(path: str, memo: int) -> WordEncoder:
     return WordEncoder(path, memo)
 
 
-PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+PIECES = T.StructType(
+    [
+        T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
+        T.StructField("ids_crc32", T.LongType())
+    ]
+)
 
 
-def tokenize_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, memo: int = MEMO, with_ids: bool = False) -> DataFrame:
+def tokenize_pieces(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None,
+    memo: int = MEMO, with_ids: bool = False
+) -> DataFrame:
     """A row per piece: ``key``, piece, start, length, ids_crc32, and ``ids`` (array<int>) if asked for."""
     path = tokenizer or default_tokenizer()
     schema = T.StructType([docs.schema[key], *PIECES.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
@@ -141,7 +155,10 @@ def tokenize_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
                     if with_ids:
                         ids.append(part.view("<i4"))
         keys = batch.column(0).take(pa.array(rows, pa.int64()))
-        return [keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
+        return [
+            keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+            *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
+        ]
 
     return map_batches(docs.select(key, text), cut, schema)
 
@@ -195,7 +212,9 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int = 2048, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(
+    items: DataFrame, key: list[str], length: str = "length", capacity: int = 2048, group: int = GROUP, rounds: int = ROUNDS
+) -> DataFrame:
     """``items`` with ``sequence_id``, ``offset``, ``group_bins`` and ``group_bound``, all long: of the group that packed the
     item last, how many sequences it made and how many it needed at least. They replace columns of their names.
 
@@ -208,7 +227,9 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
     # Written with the table, the numbers are those of one run; keys may be null or repeated.
     rows = saved(items.withColumn(number_of, F.monotonically_increasing_id()), "items")
     full = rows.where(F.col(length) >= capacity)
-    rest = rows.where(F.col(length) < capacity).select(F.xxhash64(*key).alias("h"), F.col(number_of).alias("item"), F.col(length).cast("long").alias("n"))
+    rest = rows.where(F.col(length) < capacity).select(
+        F.xxhash64(*key).alias("h"), F.col(number_of).alias("item"), F.col(length).cast("long").alias("n")
+    )
     out_schema = "item long, n long, bin long, place long, bins long, bound long, opened boolean"
 
     def job(number: int):
@@ -231,7 +252,9 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
             first = np.concatenate([[0], np.cumsum(fill)])[bins[order]]
             place = np.empty(len(n), np.int64)
             place[order] = ends - n[order] - first
-            return pdf[["item"]].assign(n=n, bin=(number << 58) | (g << 18) | bins, place=place, bins=count, bound=bound, opened=opened[bins])
+            return pdf[["item"]].assign(
+                n=n, bin=(number << 58) | (g << 18) | bins, place=place, bins=count, bound=bound, opened=opened[bins]
+            )
 
         return repack
 
@@ -241,7 +264,9 @@ def pack(items: DataFrame, key: list[str], length: str = "length", capacity: int
         groups = max(1, -(-count // group))
         by = F.xxhash64("h", "item") if number == 0 else F.xxhash64("bin")
         dealt = todo if number == 0 else todo.select("item", "n", "bin", F.xxhash64("item").alias("h"))
-        packed = saved(dealt.withColumn("g", F.pmod(by, F.lit(groups))).groupBy("g").applyInPandas(job(number), out_schema), f"packed{number}")
+        packed = saved(
+            dealt.withColumn("g", F.pmod(by, F.lit(groups))).groupBy("g").applyInPandas(job(number), out_schema), f"packed{number}"
+        )
         todo = packed.where("opened")
         before = todo.count() if number < rounds else 0
         last = before == 0 or (groups == 1 and number > 0)

@@ -40,15 +40,23 @@ LONGEST = 6
 #: The most sequences with base spans that the model is fitted on, and without; and the most atoms of one.
 SAMPLE, LEARN_ATOMS = 400, 64
 #: Words that tell what a number behind them is, or is not. Fixed values.
-CUES = frozenset("call phone tel telephone fax mobile cell card visa credit account ip host server address mail email contact version release order invoice isbn date serial id".split())
+CUES = frozenset(
+    "call phone tel telephone fax mobile cell card visa credit account ip host server address mail email contact version release order invoice isbn date serial id".split()
+)
 #: Numbers that are no personal data. Fixed values.
-OTHERS = ["2024-01-31 10:15:00", "31.12.2024 23:59", "1,234,567.89", "10:15:30.123456", "20240131101530", "version 3.10.200", "978-3-16-148410-0", "1 000 000 000", "12 34 56 78", "@name 2024", "order 100200300", "1999-2031", "3.14159265358979", "100 200 300 400", "0-306-40615-2", "1706696100", "10 20 30 40"]
+OTHERS = [
+    "2024-01-31 10:15:00", "31.12.2024 23:59", "1,234,567.89", "10:15:30.123456", "20240131101530", "version 3.10.200", "978-3-16-148410-0",
+    "1 000 000 000", "12 34 56 78", "@name 2024", "order 100200300", "1999-2031", "3.14159265358979", "100 200 300 400", "0-306-40615-2",
+    "1706696100", "10 20 30 40"
+]
 #: How often each of these counts as one more sequence.
 OTHERS_WEIGHT = 20
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: Its parts, so that long runs without a match cost no more than their length.
-LOCAL, DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+LOCAL, DOMAIN = frozenset(
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: A match can only begin where a run of digits does; looking behind keeps long runs cheap.
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -152,7 +160,9 @@ def features(atoms: list, cue: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
         f += ["octets" if all(int(g) < 256 for g in groups) else "no octets"] * (2 in kinds)
         f += ["luhn" if luhn("".join(groups)) else "no luhn"] * (3 in kinds)
     f += [f"has {c}" for c in "+()-./:," if c in span]
-    f += ["plus inside"] * ("+" in span[1:]) + ["mark inside"] * any(x[4] or y[3] for x, y in zip(atoms, atoms[1:])) + [f"cue {cue}"] * bool(cue)
+    f += ["plus inside"] * ("+" in span[1:]) + ["mark inside"] * any(
+        x[4] or y[3] for x, y in zip(atoms, atoms[1:])
+    ) + [f"cue {cue}"] * bool(cue)
     return tuple(kinds), tuple(f)
 
 
@@ -229,7 +239,11 @@ def train(data: list[tuple[list, str, set[tuple[int, int, int]]]], steps: int =
     names = sorted({(k, x) for ends, _ in same for here in ends for _, k, f in here for x in f})
     place = {x: i for i, x in enumerate(names)}
     w, seen, total = np.zeros(len(names)), np.full(len(names), 1e-8), max(sum(same.values()), 1)
-    rows = [(ends, gold, times / total, [[np.array([place[k, x] for x in f], int) for _, k, f in here] for here in ends]) for (ends, gold), times in same.items()]
+    rows = [
+        (
+            ends, gold, times / total, [[np.array([place[k, x] for x in f], int) for _, k, f in here] for here in ends]
+        ) for (ends, gold), times in same.items()
+    ]
     for _ in range(steps):
         g = -l2 * w
         for ends, gold, share, at in rows:
@@ -265,7 +279,10 @@ def variants(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, li
     put(lambda k, x: fours(x, " ") if k == 2 else grouped(rest(x), "-") if k == 3 else x, True)
     put(lambda k, x: only_digits(x) if k == 2 else "+" + grouped(x, ".") if k == 3 else x, True)
     put(lambda k, x: rest(x) if k == 3 else x, True)
-    spoilt = {0: lambda x: "@" + x.split("@")[1].split(".")[0], 1: lambda x: GROUPS.sub("9" + x[0] + "7", x, count=1), 2: lambda x: x[:-1] + str((int(x[-1]) + 1) % 10), 3: lambda x: x[: len(x) - 5]}
+    spoilt = {
+        0: lambda x: "@" + x.split("@")[1].split(".")[0], 1: lambda x: GROUPS.sub("9" + x[0] + "7", x, count=1),
+        2: lambda x: x[:-1] + str((int(x[-1]) + 1) % 10), 3: lambda x: x[: len(x) - 5]
+    }
     put(lambda k, x: spoilt[k](x), False)
     return out
 
@@ -275,7 +292,9 @@ def labelled(line: str, spans: list[tuple[int, int, int]]):
     kinds = {(s, e): k + 1 for s, k, e in spans}
     for cue, run in sequences(line, 0):
         starts, ends = {x[0]: i for i, x in enumerate(run)}, {x[1]: i + 1 for i, x in enumerate(run)}
-        yield run, cue, {(starts[s], ends[e], k) for (s, e), k in kinds.items() if s in starts and e in ends and 0 < ends[e] - starts[s] <= LONGEST}
+        yield run, cue, {
+            (starts[s], ends[e], k) for (s, e), k in kinds.items() if s in starts and e in ends and 0 < ends[e] - starts[s] <= LONGEST
+        }
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
@@ -301,7 +320,11 @@ def _lessons(text: str | None) -> list[str]:
             if len(run) <= LEARN_ATOMS:
                 a, b = run[0][0], run[-1][1]
                 lead = f"{cue} " * bool(cue)
-                inside = [(s - a + len(lead), k, e - a + len(lead)) for s, k, e in base[bisect_left(base, (a,)) : bisect_left(base, (b,))] if e <= b]
+                inside = [
+                    (s - a + len(lead), k, e - a + len(lead)) for s, k, e in base[
+                        bisect_left(base, (a,)) : bisect_left(base, (b,))
+                    ] if e <= b
+                ]
                 out.append(f"{int(bool(inside))}{json.dumps([lead + line[a:b], inside])}")
     return out
 
@@ -342,20 +365,30 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.select(*[c for c in docs.columns if c == text or c in without(docs, *RESULTS)])
     found, sequence, lessons = free_names([*docs.columns, *RESULTS], "_base", "_runs", "_lessons")
     strings = T.StringType()
-    fields = [*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", strings), T.StructField(found, strings), T.StructField(sequence, strings), T.StructField(lessons, T.ArrayType(strings))]
+    fields = [
+        *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", strings), T.StructField(found, strings),
+        T.StructField(sequence, strings), T.StructField(lessons, T.ArrayType(strings))
+    ]
 
     def scan(texts):
         every = texts.to_pylist()
         pairs = [_scan(t) for t in every]
         n = [pa.array([sum(x[1] == k for x in base) for base, _ in pairs], pa.int64()) for k in range(len(KINDS))]
         sha = [hashlib.sha256(spans_text(base).encode()).hexdigest() for base, _ in pairs]
-        return [*n, pa.array(sha, pa.string()), pa.array([json.dumps(b) for b, _ in pairs], pa.string()), pa.array([json.dumps(r) for _, r in pairs], pa.string()), pa.array([_lessons(t) for t in every], pa.list_(pa.string()))]
+        return [
+            *n, pa.array(sha, pa.string()), pa.array([json.dumps(b) for b, _ in pairs], pa.string()),
+            pa.array([json.dumps(r) for _, r in pairs], pa.string()), pa.array([_lessons(t) for t in every], pa.list_(pa.string()))
+        ]
 
     rows = saved(with_columns(docs, scan, fields, [text], drop=(text,)), "pii")
     w = fit(rows, lessons)
 
     def add(bases, all_runs):
-        return [pa.array([spans_text(_spans(json.loads(b), json.loads(r), w)) for b, r in zip(bases.to_pylist(), all_runs.to_pylist())], pa.string())]
+        return [
+            pa.array(
+                [spans_text(_spans(json.loads(b), json.loads(r), w)) for b, r in zip(bases.to_pylist(), all_runs.to_pylist())], pa.string()
+            )
+        ]
 
     return with_columns(rows.drop(lessons), add, [T.StructField("spans", strings)], [found, sequence], drop=(found, sequence))
 
@@ -364,7 +397,13 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in angle brackets. Two passes over the texts: one to learn,
     one to find and replace; no texts are shuffled."""
     learn = [T.StructField("lessons", T.ArrayType(T.StringType()))]
-    lessons = saved(with_columns(docs.select(F.col(text).alias("text")), lambda x: [pa.array([_lessons(t) for t in x.to_pylist()], pa.list_(pa.string()))], learn, ["text"], drop=("text",)).where(F.size("lessons") > 0), "lessons")
+    lessons = saved(
+        with_columns(
+            docs.select(F.col(text).alias("text")), lambda x: [pa.array([_lessons(t) for t in x.to_pylist()], pa.list_(pa.string()))],
+            learn, ["text"], drop=("text",)
+        ).where(F.size("lessons") > 0),
+        "lessons"
+    )
     w = fit(lessons, "lessons")
     discard(lessons)
 

@@ -30,7 +30,9 @@ def turns_of(conversations: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 def _render(turns: Column) -> Column:
-    one = lambda x: F.concat(F.lit(BEGIN), F.coalesce(x["role"], F.lit("")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit(END + "\n"))
+    one = lambda x: F.concat(
+        F.lit(BEGIN), F.coalesce(x["role"], F.lit("")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit(END + "\n")
+    )
     return F.array_join(F.transform(turns, one), "")
 
 
@@ -39,7 +41,9 @@ def _mask(turns: Column) -> Column:
         head = F.length(F.coalesce(x["role"], F.lit(""))) + len(BEGIN) + 1
         body = F.length(F.coalesce(x["text"], F.lit(""))) + len(END)
         learnt = F.concat(head.cast("string"), F.lit(":0,"), body.cast("string"), F.lit(":1,1:0"))
-        return F.when(F.coalesce(x["role"] == LEARNT, F.lit(False)), learnt).otherwise(F.concat((head + body + 1).cast("string"), F.lit(":0")))
+        return F.when(F.coalesce(x["role"] == LEARNT, F.lit(False)), learnt).otherwise(
+            F.concat((head + body + 1).cast("string"), F.lit(":0"))
+        )
 
     return F.array_join(F.transform(turns, runs), ",")
 
@@ -58,7 +62,10 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     rows = rows.withColumn("n_prompt_turns", F.least(F.when(at == 0, shared).otherwise(at - 1), shared).cast("long"))
     n = F.col("n_prompt_turns").cast("int")
     rest = lambda c: F.slice(F.col(c), n + 1, F.greatest(F.size(c) - n, F.lit(0)))
-    out = {"prompt": _render(F.slice(F.col(left), F.lit(1), n)), "chosen": _render(rest(left)), "chosen_mask": _mask(rest(left)), "rejected": _render(rest(right)), "rejected_mask": _mask(rest(right))}
+    out = {
+        "prompt": _render(F.slice(F.col(left), F.lit(1), n)), "chosen": _render(rest(left)), "chosen_mask": _mask(rest(left)),
+        "rejected": _render(rest(right)), "rejected_mask": _mask(rest(right))
+    }
     return rows.withColumns(out).drop(left, right)
 
 
@@ -67,8 +74,13 @@ def stale_pairs(turns: DataFrame) -> DataFrame:
     there is none before. Turns that follow stay on both sides."""
     is_reply = lambda x: F.coalesce(x["role"] == LEARNT, F.lit(False))
     places = F.filter(F.transform("turns", lambda x, k: F.when(is_reply(x), k)), lambda k: k.isNotNull())
-    rows = turns.withColumn("_p", places).withColumns({"_last": F.try_element_at("_p", F.lit(-1)), "_prev": F.try_element_at("_p", F.lit(-2))})
-    stale = lambda x, k: F.when((k == F.col("_last")) & F.col("_prev").isNotNull(), F.struct(x["role"].alias("role"), F.get("turns", F.col("_prev"))["text"].alias("text"))).when(k == F.col("_last"), F.lit(None)).otherwise(x)
+    rows = turns.withColumn("_p", places).withColumns(
+        {"_last": F.try_element_at("_p", F.lit(-1)), "_prev": F.try_element_at("_p", F.lit(-2))}
+    )
+    stale = lambda x, k: F.when(
+        (k == F.col("_last")) & F.col("_prev").isNotNull(),
+        F.struct(x["role"].alias("role"), F.get("turns", F.col("_prev"))["text"].alias("text"))
+    ).when(k == F.col("_last"), F.lit(None)).otherwise(x)
     worse = F.filter(F.transform("turns", stale), lambda x: x.isNotNull())
     return rows.select("conv_id", F.col("turns").alias("chosen"), worse.alias("rejected"))
 

@@ -67,8 +67,13 @@ def keys(rows: DataFrame) -> DataFrame:
 def halves(rows: DataFrame) -> DataFrame:
     """Each row twice: the part left out is its first half, or its second."""
     half = F.floor(F.col("length") / 2).cast("int")
-    parts = F.array(F.struct(F.col("start").alias("s"), half.alias("l")), F.struct((F.col("start") + half).alias("s"), (F.col("length") - half).alias("l")))
-    return rows.withColumn("part", F.explode(parts)).select("word", "size", "d", F.col("part.s").alias("start"), F.col("part.l").alias("length"))
+    parts = F.array(
+        F.struct(F.col("start").alias("s"), half.alias("l")),
+        F.struct((F.col("start") + half).alias("s"), (F.col("length") - half).alias("l"))
+    )
+    return rows.withColumn("part", F.explode(parts)).select(
+        "word", "size", "d", F.col("part.s").alias("start"), F.col("part.l").alias("length")
+    )
 
 
 def verified(rows: DataFrame) -> DataFrame:
@@ -82,7 +87,9 @@ def verified(rows: DataFrame) -> DataFrame:
 def near_words(words: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, list[DataFrame]]:
     """The pairs ``a``, ``b`` of ``word`` that differ by one code point, each once, and the tables that hold them."""
     size = F.char_length("word").cast("int")
-    as_ = lambda d: words.select("word", (size - d).alias("size"), F.lit(d).alias("d"), F.lit(0).alias("start"), (size - d).alias("length"))
+    as_ = lambda d: words.select(
+        "word", (size - d).alias("size"), F.lit(d).alias("d"), F.lit(0).alias("start"), (size - d).alias("length")
+    )
     open_rows = halves(halves(as_(0).unionByName(as_(1).where("size > 0"))))
     found, scratch = None, []
     while True:
@@ -107,7 +114,12 @@ def roots(forms: DataFrame) -> DataFrame:
     now = saved(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = saved(now.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        step = saved(
+            now.join(further, "root", "left").select(
+                "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
+            ),
+            "roots"
+        )
         discard(now)
         if step.where("moved").isEmpty():
             return step.select("word", "root")
@@ -124,7 +136,10 @@ def group_variants(words: DataFrame, ratio: int = RATIO, crowd: int = CROWD) ->
     best = named.groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "b")).alias("best"))
     rows = words.join(best, words["word"] == best["a"], "left")
     is_form = -F.col("best.m") >= ratio * F.col("n")
-    rows = rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best.b")).alias("form"), F.when(is_form, -F.col("best.m")).alias("form_n"))
+    rows = rows.select(
+        "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best.b")).alias("form"),
+        F.when(is_form, -F.col("best.m")).alias("form_n")
+    )
     rows = saved(rows, "forms")
     discard(*scratch)
     last = roots(rows.where("form is not null"))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from meshlytics.llm import packing
 from meshlytics.llm import sentencepiece_codec as codec
 
-TEXTS = ["", " ", "  a  b ", "\n", "a\n b", "a \n\n  ", "日本 語▁x", "<s> </s> <unk> <0x0A>", "\t tab nb", "é é", "😀 emoji  ", "12 345", "don't it's", "a.b., x", "क़ख़ ab", "word " * 3000, "<|endoftext|> x"]
+TEXTS = [
+    "", " ", "  a  b ", "\n", "a\n b", "a \n\n  ", "日本 語▁x", "<s> </s> <unk> <0x0A>", "\t tab nb", "é é", "😀 emoji  ", "12 345",
+    "don't it's", "a.b., x", "क़ख़ ab", "word " * 3000, "<|endoftext|> x"
+]
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +65,9 @@ def test_small_memo_gives_the_same(peer):
 def test_whole_texts_are_checked(spark):
     rows = [(1, "some words, and more."), (1, "some words, and more."), (2, None), (3, "x " * 30000)]
     got = codec.encode(spark.createDataFrame(rows, "doc_id long, text string"), whole_every=1).collect()
-    assert [(r.parity, r.whole_parity) for r in sorted(got, key=lambda r: r.doc_id)] == [(True, True), (True, True), (None, None), (True, True)]
+    assert [
+        (r.parity, r.whole_parity) for r in sorted(got, key=lambda r: r.doc_id)
+    ] == [(True, True), (True, True), (None, None), (True, True)]
     assert {r.whole_parity for r in codec.encode(spark.createDataFrame(rows, "doc_id long, text string"), parity=False).collect()} == {None}
 
 
@@ -72,16 +77,26 @@ def trained(tmp_path_factory):
     import duckdb
     from sentencepiece import SentencePieceTrainer
 
-    texts = [x[0][:400] for x in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text <> '' ORDER BY doc_id LIMIT 150").fetchall()]
+    texts = [
+        x[0][:400] for x in duckdb.sql(
+            "SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text <> '' ORDER BY doc_id LIMIT 150"
+        ).fetchall()
+    ]
     out, folder = {}, tmp_path_factory.mktemp("models")
     forms = {
-        "nfkc": {}, "identity": {"normalization_rule_name": "identity"}, "folded": {"normalization_rule_name": "nfkc_cf", "byte_fallback": True, "vocab_size": 900},
-        "plain": {"add_dummy_prefix": False, "remove_extra_whitespaces": False}, "user": {"user_defined_symbols": ["<sep>", "the"], "unk_surface": "?"}, "users": {"user_defined_symbols": ["a", "an", "nt", "ee", "日本", "\u2581the", "a long piece of text", "ñ"]},
+        "nfkc": {}, "identity": {"normalization_rule_name": "identity"},
+        "folded": {"normalization_rule_name": "nfkc_cf", "byte_fallback": True, "vocab_size": 900},
+        "plain": {"add_dummy_prefix": False, "remove_extra_whitespaces": False},
+        "user": {"user_defined_symbols": ["<sep>", "the"], "unk_surface": "?"},
+        "users": {"user_defined_symbols": ["a", "an", "nt", "ee", "日本", "\u2581the", "a long piece of text", "ñ"]},
     }
     for kind in ("unigram", "bpe"):
         for name, settings_ in forms.items():
             path = folder / f"{kind}_{name}"
-            SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=str(path), model_type=kind, minloglevel=2, **{"vocab_size": 600, "hard_vocab_limit": False} | settings_)
+            SentencePieceTrainer.train(
+                sentence_iterator=iter(texts), model_prefix=str(path), model_type=kind, minloglevel=2,
+                **{"vocab_size": 600, "hard_vocab_limit": False} | settings_
+            )
             out[kind, name] = f"{path}.model"
     return texts, out
 
@@ -89,7 +104,10 @@ def trained(tmp_path_factory):
 def test_trained_models(trained):
     from sentencepiece import SentencePieceProcessor
 
-    odd = ["   ", "क़ख़", "ﬁne Ⅷ ½ ＡＢ", "x　y", "▁", "▁▁ x", "ÀÉ é", "\r\n x", "\r\n", "a <sep> the x<sep>y", "<0x41>", "aa###bb%%%", "é́ ½", "✗✗ ✗"]
+    odd = [
+        "   ", "क़ख़", "ﬁne Ⅷ ½ ＡＢ", "x　y", "▁", "▁▁ x", "ÀÉ é", "\r\n x", "\r\n", "a <sep> the x<sep>y", "<0x41>", "aa###bb%%%", "é́ ½",
+        "✗✗ ✗"
+    ]
     for (kind, name), path in trained[1].items():
         peer, own = SentencePieceProcessor(model_file=path), codec.Codec(path, True, 100)
         texts = [*TEXTS, *odd, *(t[:300] for t in trained[0])]
@@ -101,13 +119,18 @@ def test_trained_models(trained):
         size = own.tokenizer.get_vocab_size()
         runs = [*want, *(np.random.default_rng(k).integers(0, len(own.model["pieces"]), 12).tolist() for k in range(50) if size)]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64)
-        assert own.decode_all(np.array([i for x in runs for i in x], np.uint32), bounds) == [own._decode(x).encode() for x in runs], (kind, name)
+        assert own.decode_all(
+            np.array([i for x in runs for i in x], np.uint32), bounds
+        ) == [own._decode(x).encode() for x in runs], (kind, name)
 
 
 def test_suffix_marker_is_refused(tmp_path):
     from sentencepiece import SentencePieceTrainer
 
-    SentencePieceTrainer.train(sentence_iterator=iter(["some words here", "more words there"]), model_prefix=str(tmp_path / "m"), vocab_size=30, hard_vocab_limit=False, treat_whitespace_as_suffix=True, minloglevel=2)
+    SentencePieceTrainer.train(
+        sentence_iterator=iter(["some words here", "more words there"]), model_prefix=str(tmp_path / "m"), vocab_size=30,
+        hard_vocab_limit=False, treat_whitespace_as_suffix=True, minloglevel=2
+    )
     with pytest.raises(ValueError):
         codec.parse_model(str(tmp_path / "m.model"))
 
@@ -193,13 +216,18 @@ def test_groups_exchange(spark):
     sums = [r.s for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("s")).collect()]
     alone = packing.pack(items, ["id"], group=40, rounds=0).select("sequence_id").distinct().count()
     assert max(sums) <= 2048 and packed.count() == 600
-    bounds = packed.groupBy("group_bins").agg(F.max(F.expr("group_bins - group_bound")).alias("gap"), F.min(F.expr("group_bins - group_bound")).alias("least")).collect()
+    bounds = packed.groupBy("group_bins").agg(
+        F.max(F.expr("group_bins - group_bound")).alias("gap"), F.min(F.expr("group_bins - group_bound")).alias("least")
+    ).collect()
     assert all(0 <= r.least <= r.gap <= r.group_bins for r in bounds)
     assert len(sums) <= alone and len(sums) <= max(packing.best_fit_decreasing(lengths, 2048)) + 1 + 0.03 * len(sums)
 
 
 def test_packing_keeps_clashing_columns(spark):
-    items = spark.createDataFrame([(k % 3, 700, f"x{k}", "old", k) for k in range(9)] + [(None, 2048, "full", "old", 9)], "id long, length long, _item string, Sequence_ID string, n long")
+    items = spark.createDataFrame(
+        [(k % 3, 700, f"x{k}", "old", k) for k in range(9)] + [(None, 2048, "full", "old", 9)],
+        "id long, length long, _item string, Sequence_ID string, n long"
+    )
     got = packing.pack(items, ["id"]).collect()
     assert sorted(r._item for r in got) == sorted(["full", *(f"x{k}" for k in range(9))]) and sorted(r.n for r in got) == list(range(10))
     assert all(isinstance(r.sequence_id, int) for r in got) and len({r.sequence_id for r in got}) == 6

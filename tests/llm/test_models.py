@@ -11,12 +11,18 @@ from meshlytics.llm import language_id, minhash, pii
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+PATTERNS = [
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]"
+]
 
 
 def brute(text):
     digits = lambda m: pii.only_digits(m.group())
-    ok = [lambda m: True, lambda m: all(int(p) <= 255 for p in m.group().split(".")), lambda m: 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m)), lambda m: 10 <= len(digits(m)) <= 15]
+    ok = [
+        lambda m: True, lambda m: all(int(p) <= 255 for p in m.group().split(".")),
+        lambda m: 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m)), lambda m: 10 <= len(digits(m)) <= 15
+    ]
     return sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text) if ok[k](m))
 
 
@@ -38,7 +44,10 @@ def test_long_runs_are_cheap():
 
 def test_pii(spark):
     rows = [(k, f"call +1 (269) 555-32{k:02d} or x{k}@mail.example.com, from 10.0.0.{k} or 4532 0151 1283 0366.", "e") for k in range(20)]
-    rows += [(100, "+1 (269) 555-3296 4532015112830366 end", "e"), (101, None, "e"), (102, "", "e"), (103, "no data 12 here", "e"), (103, "no data 12 here", "e"), (104, "4532015112830366, x " * 20_000, "e")]
+    rows += [
+        (100, "+1 (269) 555-3296 4532015112830366 end", "e"), (101, None, "e"), (102, "", "e"), (103, "no data 12 here", "e"),
+        (103, "no data 12 here", "e"), (104, "4532015112830366, x " * 20_000, "e")
+    ]
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
     for k, t, _ in rows:
         base = brute(t or "")
@@ -63,7 +72,11 @@ def test_model_decides(spark):
         return d + next(c for c in "0123456789" if pii.luhn(d + c))
 
     digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
-    forms = [lambda: f"call +1 ({digits(3)}) 555-{digits(4)} now", lambda: f"at +44 20 {digits(4)} {digits(4)} or", lambda: f"pay {card()} then", lambda: f"by x{digits(2)}@mail.example.com and", lambda: f"from 10.{random.randrange(256)}.0.{random.randrange(256)} on", lambda: f"version {digits(1)}.{digits(1)} of {digits(4)}"]
+    forms = [
+        lambda: f"call +1 ({digits(3)}) 555-{digits(4)} now", lambda: f"at +44 20 {digits(4)} {digits(4)} or", lambda: f"pay {card()} then",
+        lambda: f"by x{digits(2)}@mail.example.com and", lambda: f"from 10.{random.randrange(256)}.0.{random.randrange(256)} on",
+        lambda: f"version {digits(1)}.{digits(1)} of {digits(4)}"
+    ]
     rows = [(k, random.choice(forms)()) for k in range(400)]
     planted = {
         "+1 (269) 555-3296 4532015112830366 end": {("phone", "+1 (269) 555-3296"), ("card", "4532015112830366")},
@@ -125,7 +138,10 @@ def test_segmentations_that_tie_have_no_entities():
 
 
 def test_pii_keeps_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "10.0.0.1", "mine", "mine", "mine", "mine"), (1, "10.0.0.1", "mine", "mine", "mine", "mine")], "doc_id long, text string, _base string, _runs string, _lessons string, N_IP string")
+    df = spark.createDataFrame(
+        [(1, "10.0.0.1", "mine", "mine", "mine", "mine"), (1, "10.0.0.1", "mine", "mine", "mine", "mine")],
+        "doc_id long, text string, _base string, _runs string, _lessons string, N_IP string"
+    )
     assert [(r._base, r._runs, r._lessons, r.n_ip, r.spans) for r in pii.find(df).collect()] == [("mine", "mine", "mine", 1, "ip:0:8")] * 2
     assert [(r._base, r.text) for r in pii.redact(df).collect()] == [("mine", "<IP>")] * 2
 
@@ -133,9 +149,13 @@ def test_pii_keeps_clashing_columns(spark):
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs.where(~language_id.held_out()))
-    got = language_id.identify(docs.withColumn("score", F.lit("old")), model).where(language_id.held_out()).select("lang", "lang_pred", "score").collect()
+    got = language_id.identify(
+        docs.withColumn("score", F.lit("old")), model
+    ).where(language_id.held_out()).select("lang", "lang_pred", "score").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) >= 0.9 and all(0 <= r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "the of and " * 50_000), (4, "the of and")], "doc_id long, text string")
+    odd = spark.createDataFrame(
+        [(1, None), (2, ""), (3, "12 !"), (4, "the of and " * 50_000), (4, "the of and")], "doc_id long, text string"
+    )
     rows = Counter((r.doc_id, r.lang_pred) for r in language_id.identify(odd, model).collect())
     assert rows[1, "und"] == rows[2, "und"] == rows[3, "und"] == 1 and rows[4, "und"] == 0 and sum(rows.values()) == 5
     none = language_id.fit(odd.withColumn("lang", F.lit(None).cast("string")))
@@ -146,7 +166,9 @@ def test_language(spark):
 def test_rare_language_and_frequencies_of_all_rows(spark):
     """A language with 1 of 500 rows is learnt from a sample of 200, and document frequencies are those of all rows."""
     rng = np.random.default_rng(5)
-    rows = [(k, " ".join("abcdefgh"[i] for i in rng.integers(0, 8, 30)), "xx") for k in range(1497)] + [(5000 + k, f"zuz zyz zuz {'zy' * (k + 1)}", "zz") for k in range(3)]
+    rows = [
+        (k, " ".join("abcdefgh"[i] for i in rng.integers(0, 8, 30)), "xx") for k in range(1497)
+    ] + [(5000 + k, f"zuz zyz zuz {'zy' * (k + 1)}", "zz") for k in range(3)]
     rows += [(9000, "12 34", "yy"), (9001, None, "yy"), (9002, "abc", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     model = language_id.fit(df, sample=200)
@@ -178,7 +200,11 @@ def test_language_by_brute_force():
         got = language_id.counts(text)
         assert {k: v for k, v in enumerate(got.tolist()) if v} == dict(want), text
     rng = np.random.default_rng(1)
-    rows = [(np.array([*np.flatnonzero(x), 6]), np.array([*x[x != 0], 1.0]), int(y)) for x, y in zip(rng.integers(0, 3, (40, 6)).astype(float), rng.integers(0, 3, 40))]
+    rows = [
+        (
+            np.array([*np.flatnonzero(x), 6]), np.array([*x[x != 0], 1.0]), int(y)
+        ) for x, y in zip(rng.integers(0, 3, (40, 6)).astype(float), rng.integers(0, 3, 40))
+    ]
     w, bias = language_id.ftrl(rows, 6, 3, passes=2)
     z, n, alpha, beta, l1, l2 = np.zeros((7, 3)), np.zeros((7, 3)), 0.5, 1.0, 0.02, 0.05
     order = np.random.default_rng(7)
@@ -186,7 +212,9 @@ def test_language_by_brute_force():
         for r in order.permutation(40):
             x = np.zeros(7)
             x[rows[r][0]] = rows[r][1]
-            v = np.array([[0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - np.sign(z[i, c]) * l1) / ((beta + n[i, c] ** 0.5) / alpha + l2) for c in range(3)] for i in range(7)])
+            v = np.array(
+                [[0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - np.sign(z[i, c]) * l1) / ((beta + n[i, c] ** 0.5) / alpha + l2) for c in range(3)] for i in range(7)]
+            )
             p = np.exp(x @ v) / np.exp(x @ v).sum()
             p[rows[r][2]] -= 1
             for i in np.flatnonzero(x):
@@ -194,7 +222,9 @@ def test_language_by_brute_force():
                     g = x[i] * p[c]
                     z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / alpha * v[i, c]
                     n[i, c] += g * g
-    dense = np.array([[0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - np.sign(z[i, c]) * l1) / ((beta + n[i, c] ** 0.5) / alpha + l2) for c in range(3)] for i in range(7)])
+    dense = np.array(
+        [[0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - np.sign(z[i, c]) * l1) / ((beta + n[i, c] ** 0.5) / alpha + l2) for c in range(3)] for i in range(7)]
+    )
     assert np.allclose(w, dense[:6]) and np.allclose(bias, dense[6])
 
 
@@ -217,7 +247,13 @@ def test_held_out_is_the_crc(spark):
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "123 456", "en", "s", 7), (None, "the of and in that", "en", None, None)], docs.schema)
+    extra = spark.createDataFrame(
+        [
+            (10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "123 456", "en", "s", 7),
+            (None, "the of and in that", "en", None, None)
+        ],
+        docs.schema
+    )
     current = docs.unionByName(extra)
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "line_dedup", "minhash_near_dedup", "pii", "best_fit_packing"]
@@ -245,8 +281,14 @@ def test_stages(spark):
 
 def test_near_dedup_keeps_different_texts_of_an_id(spark):
     stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
-    rows = [(1, "one two three four five six"), (1, "other words are standing here"), (2, "One two three four five six"), (None, "one two three four five six"), (None, "a text of its own here"), (3, "repeated row of some words"), (3, "repeated row of some words"), (4, ""), (5, None)]
-    docs = spark.createDataFrame([(k, t, "en", "s", 1, "x") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    rows = [
+        (1, "one two three four five six"), (1, "other words are standing here"), (2, "One two three four five six"),
+        (None, "one two three four five six"), (None, "a text of its own here"), (3, "repeated row of some words"),
+        (3, "repeated row of some words"), (4, ""), (5, None)
+    ]
+    docs = spark.createDataFrame(
+        [(k, t, "en", "s", 1, "x") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string"
+    )
     got = stage(spark, docs, SF)
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([rows[0], rows[1], rows[4], rows[5], rows[7], rows[8]])
@@ -255,7 +297,13 @@ def test_near_dedup_keeps_different_texts_of_an_id(spark):
 def test_run(spark, tmp_path):
     """``run`` gives what its stages give one after the other, over null, empty and repeated rows too."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    extra = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "the of and in that", "en", "s", 7), (10**6 + 2, "the of and in that", "en", "s", 7)], docs.schema)
+    extra = spark.createDataFrame(
+        [
+            (10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "the of and in that", "en", "s", 7),
+            (10**6 + 2, "the of and in that", "en", "s", 7)
+        ],
+        docs.schema
+    )
     docs.unionByName(extra).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     current = spark.read.parquet(f"{tmp_path}/documents.parquet")

@@ -92,14 +92,20 @@ def variants(seed, size, letters="abé"):
 @pytest.mark.parametrize("crowd", [200, 3])
 def test_variants_by_brute_force(spark, crowd):
     words = variants(crowd, 40)
-    words |= {"prefixed" + a + b: 2 for a in "abcdefghij" for b in "abcdefgh"} | {"prefixedzz": 50, "prefixedzzz": 600, "ab" * 40: 2, "ab" * 39 + "aab": 30}
+    words |= {"prefixed" + a + b: 2 for a in "abcdefghij" for b in "abcdefgh"} | {
+        "prefixedzz": 50, "prefixedzzz": 600, "ab" * 40: 2, "ab" * 39 + "aab": 30
+    }
     got = spelling.group_variants(spark.createDataFrame(list(words.items()), "word string, n long"), crowd=crowd)
     assert {tuple(r) for r in got.collect()} == grouped(words)
 
 
 def test_vocabulary_and_edge_cases(spark):
     rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice(["Sevenly", "sevenly", "ÀÉîöüßÿ", "short", "longer1longerer", "x" * 5000]) for _ in range(30))) for i in range(40)]
+    rows = [
+        (
+            i, " ".join(rng.choice(["Sevenly", "sevenly", "ÀÉîöüßÿ", "short", "longer1longerer", "x" * 5000]) for _ in range(30))
+        ) for i in range(40)
+    ]
     rows += [(None, "nullable nullable"), (7, None), (8, ""), (9, "12 34"), rows[0]]
     n = Counter()
     for doc, text in rows:
@@ -148,12 +154,17 @@ def passages():
     rng = random.Random(11)
     vocabulary = ["a", "b", "cé", "d9", "E", "日本"]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(k, text(rng.choice([1, 3, 12, 25]) if k else 2)) for k in range(6)] + [(6, ""), (7, None), (None, text(11)), (3, text(14)), (8, text(40)), (9, "no such words at all")]
+    items = [(k, text(rng.choice([1, 3, 12, 25]) if k else 2)) for k in range(6)] + [
+        (6, ""), (7, None), (None, text(11)), (3, text(14)), (8, text(40)), (9, "no such words at all")
+    ]
     docs = []
     for k in range(120):
         parts = [text(rng.randint(0, 40))] + [rng.choice(items)[1] or "" for _ in range(rng.randint(0, 2))] + [text(rng.randint(0, 9))]
         docs.append((k, ", ".join(parts)))
-    docs += [(500, None), (501, ""), (502, "..."), docs[3], docs[3], (None, items[4][1]), (503, text(20_000)), (504, items[10][1]), (505, items[10][1].upper() + ".")]
+    docs += [
+        (500, None), (501, ""), (502, "..."), docs[3], docs[3], (None, items[4][1]), (503, text(20_000)), (504, items[10][1]),
+        (505, items[10][1].upper() + ".")
+    ]
     return docs, items
 
 
@@ -179,7 +190,9 @@ def test_decontamination_by_brute_force(spark, passages, shard, block):
 
 
 def test_removal_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, "keep THIS; one-two three four, and that", "x"), (2, None, "y"), (3, "clean", "z")], "doc_id long, text string, spans string")
+    docs = spark.createDataFrame(
+        [(1, "keep THIS; one-two three four, and that", "x"), (2, None, "y"), (3, "clean", "z")], "doc_id long, text string, spans string"
+    )
     items = spark.createDataFrame([("q", "One two three FOUR")], "item_id string, text string")
     out = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items).collect()}
     assert out == {1: "keep THIS; , and that", 2: None, 3: "clean"}
@@ -216,10 +229,16 @@ def test_search_by_brute_force(spark, block, shard, beam, slots):
     vocabulary = [f"w{k}" for k in range(60)]
     text = lambda n: " ".join(vocabulary[min(int(rng.paretovariate(0.7)), 59)] for _ in range(n))
     docs = [(k, text(rng.choice([0, 1, 5, 30, 80]))) for k in range(200)]
-    docs += [(900 - k, docs[7][1] + " w33 w34") for k in range(40)] + [(None, docs[7][1]), (950, None), (5, text(40)), (5, "w33 w34"), (951, text(30_000))]
-    items = [(k, text(rng.choice([1, 3, 20]))) for k in range(12)] + [(20, "W33 w34, w33"), (21, "unknown"), (22, None), (None, "w40 w41"), (3, "w5 w50")]
+    docs += [(900 - k, docs[7][1] + " w33 w34") for k in range(40)] + [
+        (None, docs[7][1]), (950, None), (5, text(40)), (5, "w33 w34"), (951, text(30_000))
+    ]
+    items = [(k, text(rng.choice([1, 3, 20]))) for k in range(12)] + [
+        (20, "W33 w34, w33"), (21, "unknown"), (22, None), (None, "w40 w41"), (3, "w5 w50")
+    ]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"key": F.lit("clash"), "n": F.lit(1)})
-    got = lexical_search.search(frame, spark.createDataFrame(items, "item_id long, text string"), block=block, shard=shard, beam=beam, slots=slots)
+    got = lexical_search.search(
+        frame, spark.createDataFrame(items, "item_id long, text string"), block=block, shard=shard, beam=beam, slots=slots
+    )
     assert Counter(tuple(r) for r in got.collect()) == ranked(docs, items)
 
 
@@ -266,7 +285,11 @@ def test_digit_runs_of_any_length_and_many_spans():
     seconds(100)
     assert seconds(50_000) < 30 * max(seconds(5_000), 0.05)
     base, runs = pii._scan("call 10.0.0.1 or 10.0.0.2 now a@b.cd 5550100234 x")
-    slow = [x for cue, run in runs for s, e, label in pii.decode(run, every, cue) for x in [(run[s][0], label - 1, run[e - 1][1])] if not any(p < x[2] and x[0] < q for p, _, q in base)]
+    slow = [
+        x for cue, run in runs for s, e, label in pii.decode(run, every, cue) for x in [(run[s][0], label - 1, run[e - 1][1])] if not any(
+            p < x[2] and x[0] < q for p, _, q in base
+        )
+    ]
     assert pii._spans(base, runs, every) == sorted([tuple(x) for x in base] + slow)
 
 

@@ -26,7 +26,9 @@ def smallest_reachable(nodes, links):
 
 def test_components(spark):
     random.seed(1)
-    links = [(random.randrange(300), random.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
+    links = [
+        (random.randrange(300), random.randrange(300)) for _ in range(200)
+    ] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = smallest_reachable(range(600), links)
     assert all(got.get(v, v) == want[v] for v in range(600))
@@ -67,7 +69,9 @@ def test_near_texts(spark, words, percent):
         return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
 
     sets = [shingle_set(t) for t in texts]
-    links = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    links = [
+        (a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
     want = smallest_reachable(range(len(texts)), links)
     for r in got:
         if r.doc_id is None:
@@ -105,7 +109,9 @@ def test_blocks_find_what_hubs_miss(spark):
     sets = [np.unique(np.concatenate([common_part, rng.integers(0, 2**60, 20)])) for _ in range(60)]
     sets += [np.unique(np.append(s[:-1], rng.integers(0, 2**60))) for s in sets[:10]]
     nodes = spark.createDataFrame([(k, len(s), s.tolist()) for k, s in enumerate(sets)], "id long, n long, sketch array<long>")
-    apart = spark.createDataFrame([(1, k, len(s), k, len(sets)) for k, s in enumerate(sets)], "v long, id long, n long, comp long, size long")
+    apart = spark.createDataFrame(
+        [(1, k, len(s), k, len(sets)) for k, s in enumerate(sets)], "v long, id long, n long, comp long, size long"
+    )
     got = minhash.block_links(apart, nodes, 512, 85, block=16).collect()
     assert {(r.a, r.b) for r in got} == {(k, 60 + k) for k in range(10)} and all(r.sure for r in got)
 
@@ -137,8 +143,14 @@ def test_each_two_components_meet_in_a_block(spark):
 
 
 def test_near_texts_by_text_ids(spark):
-    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other words are here now"), (None, "one two three four five six"), ("c", "")]
-    got = sorted(((r.doc_id or "", r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
+    rows = [
+        ("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other words are here now"),
+        (None, "one two three four five six"), ("c", "")
+    ]
+    got = sorted(
+        ((r.doc_id or "", r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()),
+        key=str
+    )
     assert got == [("", None, True), ("a", "a", True), ("b", "a", False), ("c", "c", True), ("c", "c", True)]
 
 
@@ -148,8 +160,14 @@ def vectors(spark):
     x = [c + rng.normal(size=16) * s for c in centres for s in (0.02, 0.15, 0.3) for _ in range(25)] + list(rng.normal(size=(200, 16)))
     x += [x[0]] * 40 + [2 * x[3]]
     rows = [(k, [float(np.float32(v)) for v in e], None if k % 31 == 0 else k % 2, "z") for k, e in enumerate(x)]
-    odd = [(9001, None, 0, "z"), (9002, [0.0] * 16, 0, "z"), (9003, [float("nan")] + [1.0] * 15, 0, "z"), (9004, [float("inf")] + [1.0] * 15, 0, "z"), (9005, [None] + [1.0] * 15, 0, "z"), (9006, [], 0, "z"), (9020, [1.0, 2.0], 0, "z"), (None, rows[0][1], 0, "z")]
-    return rows, spark.createDataFrame([*rows, *odd, rows[1]], "vec_id long, embedding array<float>, label int, score string").repartition(4)
+    odd = [
+        (9001, None, 0, "z"), (9002, [0.0] * 16, 0, "z"), (9003, [float("nan")] + [1.0] * 15, 0, "z"),
+        (9004, [float("inf")] + [1.0] * 15, 0, "z"), (9005, [None] + [1.0] * 15, 0, "z"), (9006, [], 0, "z"), (9020, [1.0, 2.0], 0, "z"),
+        (None, rows[0][1], 0, "z")
+    ]
+    return rows, spark.createDataFrame(
+        [*rows, *odd, rows[1]], "vec_id long, embedding array<float>, label int, score string"
+    ).repartition(4)
 
 
 def test_search(spark):
@@ -185,7 +203,10 @@ def test_search_by_odd_parts_and_index(spark):
     decoded = books[np.arange(3)[None], codes].reshape(300, 6)
     assert np.allclose(rough, x[:5] @ decoded.T, atol=1e-4)
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[::20], "vec_id long, embedding array<double>"), top=5, block=64).collect()
+    got = ann.search(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>"),
+        spark.createDataFrame(rows[::20], "vec_id long, embedding array<double>"), top=5, block=64
+    ).collect()
     want = {(q, int(v)) for q in range(0, 300, 20) for v in np.argsort(-(x @ x[q]) + 1e9 * (np.arange(300) == q))[:5]}
     assert len(got) == 75 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 74
 
@@ -196,7 +217,11 @@ def test_many_links(spark):
     centre = rng.normal(size=32)
     x = [centre + rng.normal(size=32) * 0.15 for _ in range(300)] + [centre] * 50 + list(rng.normal(size=(500, 32)))
     rows = [(k, v.tolist(), "a") for k, v in enumerate(x)]
-    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), shard=128).collect()}
+    got = {
+        r.vec_id: r for r in embedding_dedup.near_vectors(
+            spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), shard=128
+        ).collect()
+    }
     u = np.stack(x) / np.linalg.norm(np.stack(x), axis=1, keepdims=True)
     near = u @ u.T >= 0.93
     assert near[:350, :350].mean() > 0.5 and {k: r.n_links for k, r in got.items()} == dict(enumerate((near.sum(1) - 1).tolist()))
