@@ -40,7 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     id and text one stays."""
     (row,) = free_names(docs.columns, "_row")
     known = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    groups = minhash.near_duplicates(known.select(row, "text"), key=row).select(F.col(row).alias("row"), F.col("component_id").alias("group"))
+    groups = minhash.near_duplicates(known.select(row, "text"), key=row).select(
+        F.col(row).alias("row"), F.col("component_id").alias("group")
+    )
     named = known.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).distinct().join(groups.distinct(), "row")
     least = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("least"))
     kept = saved(least.select(F.col("least.row").alias(row)), "kept")
