@@ -136,7 +136,9 @@ def safe_str(raw: Column | str) -> Column:
 def parse_time(raw: Column | str) -> Column:
     """Nanoseconds since 1970 if all digits, else ISO 8601; null if neither."""
     raw = col(raw)
-    return F.when(raw.rlike("^[0-9]+$"), F.timestamp_micros(F.call_function("div", raw.try_cast("bigint"), F.lit(1000)))).otherwise(F.try_to_timestamp(raw))
+    return F.when(
+        raw.rlike("^[0-9]+$"), F.timestamp_micros(F.call_function("div", raw.try_cast("bigint"), F.lit(1000)))
+    ).otherwise(F.try_to_timestamp(raw))
 
 
 # Names and ranks -------------------------------------------------------------------------------------------------------
@@ -205,7 +207,10 @@ def fingerprint(tenant: Column | str, kind: Column | str, scope: Column | str, c
     cause counts as none."""
     cause = F.lit("") if cause is None else canonical_json(cause)
     cause = F.when(cause.isNull() | cause.isin(NO_CAUSE), F.lit("")).otherwise(cause)
-    return F.sha2(F.concat_ws("|", F.coalesce(col(tenant), F.lit("")), F.coalesce(col(kind), F.lit("")), F.coalesce(col(scope), F.lit("")), cause), 256)
+    return F.sha2(
+        F.concat_ws("|", F.coalesce(col(tenant), F.lit("")), F.coalesce(col(kind), F.lit("")), F.coalesce(col(scope), F.lit("")), cause),
+        256
+    )
 
 
 def presented(df: DataFrame, digits: dict[str, int]) -> DataFrame:

@@ -27,9 +27,16 @@ def speed_name(bps: Column) -> Column:
 
 def infer_groups(state: DataFrame, as_of: Column, window_minutes: int = 60) -> DataFrame:
     """Interfaces of a device that are up and of one speed, two at least."""
-    up = state.where(trailing("ts_bucket", as_of, window_minutes) & (F.col("oper_status") == "UP")).select("tenant_id", "device", "interface", F.coalesce("speed_bps", F.lit(0)).alias("speed")).distinct()
-    groups = up.groupBy("tenant_id", "device", "speed").agg(F.sort_array(F.collect_list("interface")).alias("members")).where(F.size("members") >= 2)
-    return groups.select("tenant_id", "device", F.concat(F.lit("auto-"), speed_name(F.col("speed"))).alias("group_name"), "members", F.lit("inferred_by_speed").alias("source"))
+    up = state.where(trailing("ts_bucket", as_of, window_minutes) & (F.col("oper_status") == "UP")).select(
+        "tenant_id", "device", "interface", F.coalesce("speed_bps", F.lit(0)).alias("speed")
+    ).distinct()
+    groups = up.groupBy("tenant_id", "device", "speed").agg(
+        F.sort_array(F.collect_list("interface")).alias("members")
+    ).where(F.size("members") >= 2)
+    return groups.select(
+        "tenant_id", "device", F.concat(F.lit("auto-"), speed_name(F.col("speed"))).alias("group_name"), "members",
+        F.lit("inferred_by_speed").alias("source")
+    )
 
 
 def resolve_groups(configured: DataFrame, inferred: DataFrame) -> DataFrame:
@@ -47,13 +54,22 @@ def group_imbalance(groups: DataFrame, members: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("interface", "avg_util_pct"))).alias("members"),
     ).where("n_members >= 2")
     low = F.col("mean_util_pct") < MIN_MEAN_PCT
-    out = sums.withColumns({"cv": F.when(low, 0.0).otherwise(F.col("_sd") / F.col("mean_util_pct")), "max_mean_ratio": F.when(low, 1.0).otherwise(F.col("max_util_pct") / F.col("mean_util_pct"))})
+    out = sums.withColumns(
+        {
+            "cv": F.when(low, 0.0).otherwise(F.col("_sd") / F.col("mean_util_pct")),
+            "max_mean_ratio": F.when(low, 1.0).otherwise(F.col("max_util_pct") / F.col("mean_util_pct"))
+        }
+    )
     flagged = ~low & ((F.col("cv") > CV_LIMIT) | (F.col("max_mean_ratio") > RATIO_LIMIT))
-    return out.withColumns({"is_imbalanced": flagged, "reason": F.when(low, "below_min_util").when(flagged, "imbalanced").otherwise("balanced")}).drop("_sd")
+    return out.withColumns(
+        {"is_imbalanced": flagged, "reason": F.when(low, "below_min_util").when(flagged, "imbalanced").otherwise("balanced")}
+    ).drop("_sd")
 
 
 def overall_severity(groups: DataFrame) -> DataFrame:
     """Q12e: per tenant, by the worst rounded ratio of flagged groups."""
     worst = F.max(F.when(F.col("is_imbalanced"), F.round("max_mean_ratio", 2)))
     rows = groups.groupBy("tenant_id").agg(worst.alias("_w"), F.sum(F.col("is_imbalanced").cast("int")).alias("n_imbalanced"))
-    return rows.select("tenant_id", "n_imbalanced", F.when(F.col("_w") >= 3, "high").when(F.col("_w") >= 2, "medium").otherwise("low").alias("severity"))
+    return rows.select(
+        "tenant_id", "n_imbalanced", F.when(F.col("_w") >= 3, "high").when(F.col("_w") >= 2, "medium").otherwise("low").alias("severity")
+    )

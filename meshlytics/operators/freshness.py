@@ -14,7 +14,9 @@ KEY = ["tenant_id", "source_kind", "device"]
 
 def heartbeats(ingested: DataFrame) -> DataFrame:
     """The last ingest of each source and its sample count; ties of time go to the larger count."""
-    return ingested.groupBy(*KEY).agg(F.max("ts").alias("last_ingest_ts"), F.max_by("sample_count", F.struct("ts", "sample_count")).alias("last_sample_count")).withColumn("status", F.lit("fresh"))
+    return ingested.groupBy(*KEY).agg(
+        F.max("ts").alias("last_ingest_ts"), F.max_by("sample_count", F.struct("ts", "sample_count")).alias("last_sample_count")
+    ).withColumn("status", F.lit("fresh"))
 
 
 def merge_heartbeats(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -44,11 +46,14 @@ def silent_events(scanned: DataFrame, as_of: Column) -> DataFrame:
     when = F.date_format("last_ingest_ts", "yyyy-MM-dd'T'HH:mm:ss")
     cause = F.to_json(F.struct("device", "source_kind"))
     rows = scanned.where(F.col("status") == "silent").withColumns({
-        "ts": as_of, "anomaly_type": F.lit("collector_silent"), "severity": F.lit("critical"), "scope": F.concat(F.lit("device:"), "device"),
+        "ts": as_of, "anomaly_type": F.lit("collector_silent"), "severity": F.lit("critical"),
+        "scope": F.concat(F.lit("device:"), "device"),
         "summary": F.format_string("%s collector for %s has not ingested since %s", F.col("source_kind"), F.col("device"), when),
         "metadata_json": F.to_json(F.struct(when.alias("last_ingest_ts"), "last_sample_count")), "_cause": cause,
     })
-    return rows.withColumn("fingerprint", fingerprint("tenant_id", "anomaly_type", "scope", F.col("_cause"))).select("tenant_id", "ts", "anomaly_type", "severity", "scope", "summary", "metadata_json", "fingerprint")
+    return rows.withColumn("fingerprint", fingerprint("tenant_id", "anomaly_type", "scope", F.col("_cause"))).select(
+        "tenant_id", "ts", "anomaly_type", "severity", "scope", "summary", "metadata_json", "fingerprint"
+    )
 
 
 def listing(sources: DataFrame, status_in: str | None = None) -> DataFrame:

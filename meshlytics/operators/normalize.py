@@ -15,13 +15,21 @@ FLOW_KEY = ["ts_bucket", "device", "interface", "src_ip", "dst_ip", "protocol"]
 def route(df: DataFrame, sources: DataFrame, kind: str, identifier: str = "device") -> DataFrame:
     """The tenant of the active mapping of (kind, identifier), else the default one. ``sources`` has one active row
     per identifier; Spark broadcasts it while it is small and sorts and merges beyond."""
-    active = sources.where(F.col("is_active") & (F.col("source_kind") == kind)).groupBy("source_identifier").agg(F.min("tenant_id").alias("_t"))
-    return df.join(active, df[identifier] == active["source_identifier"], "left").withColumn("tenant_id", F.coalesce("_t", F.lit(DEFAULT_TENANT))).drop("_t", "source_identifier")
+    active = sources.where(
+        F.col("is_active") & (F.col("source_kind") == kind)
+    ).groupBy("source_identifier").agg(F.min("tenant_id").alias("_t"))
+    return df.join(
+        active, df[identifier] == active["source_identifier"], "left"
+    ).withColumn("tenant_id", F.coalesce("_t", F.lit(DEFAULT_TENANT))).drop("_t", "source_identifier")
 
 
 def normalize_flows(records: DataFrame, order: str = "timestamp") -> DataFrame:
     """Sampling-corrected sums per minute and key; the sampling rate is that of the last record by ``order``."""
-    rows = records.select(minute_bucket("timestamp").alias("ts_bucket"), F.col("agent").alias("device"), F.col("input_if_index").cast("string").alias("interface"), "src_ip", "dst_ip", "protocol", "bytes", "packets", "sampling_rate", F.col(order).alias("_o"))
+    rows = records.select(
+        minute_bucket("timestamp").alias("ts_bucket"), F.col("agent").alias("device"),
+        F.col("input_if_index").cast("string").alias("interface"), "src_ip", "dst_ip", "protocol", "bytes", "packets", "sampling_rate",
+        F.col(order).alias("_o")
+    )
     return rows.groupBy(*FLOW_KEY).agg(
         F.sum(F.col("bytes") * F.col("sampling_rate")).alias("bytes_estimated"),
         F.sum(F.col("packets") * F.col("sampling_rate")).alias("packets_estimated"),
@@ -34,13 +42,16 @@ def normalize_counters(counters: DataFrame, delta: bool = False) -> DataFrame:
     rows = counters
     if delta:
         w = Window.partitionBy("agent", "if_name").orderBy("timestamp")
-        rows = rows.withColumns({c: F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0)) for c in ("if_in_octets", "if_out_octets")}).where(F.col("if_in_octets").isNotNull())
+        rows = rows.withColumns(
+            {c: F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0)) for c in ("if_in_octets", "if_out_octets")}
+        ).where(F.col("if_in_octets").isNotNull())
     speed = F.when(F.col("if_speed") > 0, F.col("if_speed")).otherwise(F.lit(DEFAULT_SPEED))
     bps = lambda c: (F.col(c) * 8 / COUNTER_SECONDS).cast("bigint")
     util = lambda c: F.least(F.lit(100.0), bps(c) / speed * 100)
     return rows.select(
         minute_bucket("timestamp").alias("ts_bucket"), F.col("agent").alias("device"), F.col("if_name").alias("interface"),
-        bps("if_in_octets").alias("in_bps"), bps("if_out_octets").alias("out_bps"), util("if_in_octets").alias("in_util_pct"), util("if_out_octets").alias("out_util_pct"),
+        bps("if_in_octets").alias("in_bps"), bps("if_out_octets").alias("out_bps"), util("if_in_octets").alias("in_util_pct"),
+        util("if_out_octets").alias("out_util_pct"),
         (F.col("if_in_errors") + F.col("if_out_errors")).alias("error_count"),
         *[c for c in ("event_id",) if c in counters.columns],
     )
@@ -75,10 +86,17 @@ def backfill_fingerprint(events: DataFrame) -> DataFrame:
     """Old events get an MD5 fingerprint and count as seen and resolved at their time."""
     old = F.col("fingerprint").isNull()
     key = F.md5(F.concat_ws("|", F.coalesce("tenant_id", F.lit("")), F.coalesce("anomaly_type", F.lit("")), F.coalesce("scope", F.lit(""))))
-    return events.withColumns({"fingerprint": F.coalesce("fingerprint", key), **{c: F.when(old, F.col("ts")).otherwise(F.col(c)) for c in ("first_seen_at", "last_seen_at", "resolved_at")}})
+    return events.withColumns(
+        {
+            "fingerprint": F.coalesce("fingerprint", key),
+            **{c: F.when(old, F.col("ts")).otherwise(F.col(c)) for c in ("first_seen_at", "last_seen_at", "resolved_at")}
+        }
+    )
 
 
 def list_sources(sources: DataFrame, tenants: DataFrame) -> DataFrame:
     """E13."""
     named = tenants.select(F.col("id").alias("tenant_id"), F.col("slug").alias("tenant_slug"))
-    return sources.join(named, "tenant_id").select("source_kind", "source_identifier", "tenant_slug", "is_active").orderBy("source_kind", "source_identifier")
+    return sources.join(named, "tenant_id").select(
+        "source_kind", "source_identifier", "tenant_slug", "is_active"
+    ).orderBy("source_kind", "source_identifier")

@@ -15,7 +15,10 @@ UDP, SUSTAINED_PFC, HIGH_SHARE = 17, 1000, 0.5
 def udp_share(flows: DataFrame, as_of: Column, window_minutes: int) -> DataFrame:
     """Both sums in one pass."""
     rows = flows.where(trailing("ts_bucket", as_of, window_minutes))
-    sums = rows.groupBy("tenant_id").agg(F.coalesce(F.sum(F.when(F.col("protocol") == UDP, F.col("bytes_estimated"))), F.lit(0)).cast("bigint").alias("udp_bytes"), F.sum("bytes_estimated").alias("total_bytes"))
+    sums = rows.groupBy("tenant_id").agg(
+        F.coalesce(F.sum(F.when(F.col("protocol") == UDP, F.col("bytes_estimated"))), F.lit(0)).cast("bigint").alias("udp_bytes"),
+        F.sum("bytes_estimated").alias("total_bytes")
+    )
     return sums.withColumn("roce_share", share(F.col("udp_bytes"), F.col("total_bytes"), 1.0))
 
 
@@ -30,7 +33,9 @@ def top_udp_pairs(flows: DataFrame, as_of: Column, window_minutes: int, limit: i
 def queues_with_signals(queues: DataFrame, as_of: Column, window_minutes: int, device: str | None = None) -> DataFrame:
     """Q13c."""
     sums = queue_sums(queues if device is None else queues.where(F.col("device") == device), as_of, window_minutes)
-    return sums.where((F.col("pfc_pause_rx") != 0) | (F.col("pfc_pause_tx") != 0) | (F.col("ecn_marked_packets") != 0) | (F.col("dropped_packets") != 0))
+    return sums.where(
+        (F.col("pfc_pause_rx") != 0) | (F.col("pfc_pause_tx") != 0) | (F.col("ecn_marked_packets") != 0) | (F.col("dropped_packets") != 0)
+    )
 
 
 def assess(shares: DataFrame, signals: DataFrame) -> DataFrame:
@@ -53,4 +58,6 @@ def assess(shares: DataFrame, signals: DataFrame) -> DataFrame:
         .otherwise(F.lit(texts.NO_STRESS))
     )
     lossy = F.when(~n("lossless") & n("lossy"), F.format_string(texts.LOSSY_DROPS, "lossy"))
-    return rows.select("tenant_id", "roce_share", severity.alias("severity"), F.filter(F.array(lossy, main), lambda x: x.isNotNull()).alias("drivers"))
+    return rows.select(
+        "tenant_id", "roce_share", severity.alias("severity"), F.filter(F.array(lossy, main), lambda x: x.isNotNull()).alias("drivers")
+    )

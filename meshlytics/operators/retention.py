@@ -35,7 +35,11 @@ def drop_months(spark: SparkSession, path: str, as_of: Column, days: int) -> Dat
     their ``n_rows``. Months are folders, so none of their rows is read (they are counted by the files' footers) and files of
     months that stay are not touched. Run again, or after a run that was cut short, it deletes what is left to delete."""
     first = spark.range(1).select(oldest_kept(as_of, days)).first()[0]
-    found = {x: int(m[1]) for p in (f"{path}/month=*", f"{path}/batch=*/month=*") for x in matching(spark, p) if (m := re.search(r"month=(\d{6})$", x))}
+    found = {
+        x: int(m[1]) for p in (
+            f"{path}/month=*", f"{path}/batch=*/month=*"
+        ) for x in matching(spark, p) if (m := re.search(r"month=(\d{6})$", x))
+    }
     old = {x: month for x, month in found.items() if month < first}
     counts: dict[int, int] = {}
     for folder, month in sorted(old.items()):

@@ -35,7 +35,8 @@ def latest_bgp(sessions: DataFrame, as_of: Column, window_minutes: int = 15, ord
 def queue_sums(queues: DataFrame, as_of: Column, window_minutes: int) -> DataFrame:
     rows = queues.where(trailing("ts_bucket", as_of, window_minutes))
     return rows.groupBy("tenant_id", "device", "interface", "queue_id").agg(
-        F.max("max_depth_bytes").alias("peak_depth_bytes"), F.sum("pfc_pause_rx").alias("pfc_pause_rx"), F.sum("pfc_pause_tx").alias("pfc_pause_tx"),
+        F.max("max_depth_bytes").alias("peak_depth_bytes"), F.sum("pfc_pause_rx").alias("pfc_pause_rx"),
+        F.sum("pfc_pause_tx").alias("pfc_pause_tx"),
         F.sum("ecn_marked_packets").alias("ecn_marked_packets"), F.sum("dropped_packets").alias("dropped_packets"),
     )
 
@@ -55,5 +56,8 @@ def state_note(devices: DataFrame, tables: list[DataFrame], as_of: Column, windo
         own = t.where(trailing("ts_bucket", as_of, window_minutes)).select(*key)
         seen = own if seen is None else seen.unionByName(own)
     rows = devices.select(*key).distinct().join(seen.distinct().withColumn("_seen", F.lit(True)), key, "left")
-    none = F.format_string(f"No gNMI samples for %s in last {window_minutes} min — the device sends none, or it is not among the devices that are asked.", "device")
+    none = F.format_string(
+        f"No gNMI samples for %s in last {window_minutes} min — the device sends none, or it is not among the devices that are asked.",
+        "device"
+    )
     return rows.select(*key, F.when(F.col("_seen"), F.lit(texts.EXACT_STATE)).otherwise(none).alias("confidence_note"))

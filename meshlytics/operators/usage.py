@@ -26,12 +26,19 @@ def truncate_args(args: Column) -> Column:
 def confidence_band(note: Column | str) -> Column:
     """The first word that occurs decides."""
     low = F.lower(F.col(note) if isinstance(note, str) else note)
-    return F.when(low.contains("exact"), "exact").when(low.contains("degrad") | low.contains("stale"), "degraded").when(low.contains("sampl"), "sampled")
+    return F.when(low.contains("exact"), "exact").when(
+        low.contains("degrad") | low.contains("stale"), "degraded"
+    ).when(low.contains("sampl"), "sampled")
 
 
 def enrich(calls: DataFrame) -> DataFrame:
     """Q19a."""
-    return calls.withColumns({"args_hash": args_hash(F.col("args_json")), "args_truncated": truncate_args(F.col("args_json")), "confidence_band": confidence_band("confidence_note")})
+    return calls.withColumns(
+        {
+            "args_hash": args_hash(F.col("args_json")), "args_truncated": truncate_args(F.col("args_json")),
+            "confidence_band": confidence_band("confidence_note")
+        }
+    )
 
 
 def recent_calls(calls: DataFrame, tool: str | None = None, limit: int = 100, tie: str = "event_id") -> DataFrame:
@@ -44,7 +51,9 @@ def recent_calls(calls: DataFrame, tool: str | None = None, limit: int = 100, ti
 
 def quota_usage(attempts: DataFrame) -> DataFrame:
     """Calls and bytes per tenant, tool and day; refused attempts count."""
-    return attempts.groupBy("tenant_id", "tool_name", F.date_trunc("day", F.col("ts")).alias("period_start")).agg(F.count("*").alias("calls_this_period"), F.sum("response_bytes").alias("bytes_out_this_period"))
+    return attempts.groupBy("tenant_id", "tool_name", F.date_trunc("day", F.col("ts")).alias("period_start")).agg(
+        F.count("*").alias("calls_this_period"), F.sum("response_bytes").alias("bytes_out_this_period")
+    )
 
 
 def quota_decisions(attempts: DataFrame, limits: DataFrame, tie: str = "event_id") -> DataFrame:
@@ -56,16 +65,27 @@ def quota_decisions(attempts: DataFrame, limits: DataFrame, tie: str = "event_id
     key = ["tenant_id", "tool_name", "_minute"]
     rows = attempts.withColumn("_minute", F.date_trunc("minute", F.col("ts")))
     minutes = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("response_bytes").alias("_b"))
-    before = Window.partitionBy("tenant_id", "tool_name", F.date_trunc("day", "_minute")).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    minutes = minutes.select(*[F.col(c).alias(f"{c}_") for c in key], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.sum("_b").over(before).alias("_b"))
+    before = Window.partitionBy(
+        "tenant_id", "tool_name", F.date_trunc("day", "_minute")
+    ).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.select(
+        *[F.col(c).alias(f"{c}_") for c in key], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+        F.sum("_b").over(before).alias("_b")
+    )
     w = Window.partitionBy(*key).orderBy("ts", tie).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(minutes, [rows[c].eqNullSafe(minutes[f"{c}_"]) for c in key])
     own = F.sum("response_bytes").over(w)
     size = F.when(own.isNotNull() | F.col("_b").isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce("_b", F.lit(0)))
-    rows = rows.withColumns({"calls_so_far": F.count("*").over(w) + F.col("_n"), "bytes_so_far": size}).drop("_n", "_b", "_minute", *[f"{c}_" for c in key])
+    rows = rows.withColumns(
+        {"calls_so_far": F.count("*").over(w) + F.col("_n"), "bytes_so_far": size}
+    ).drop("_n", "_b", "_minute", *[f"{c}_" for c in key])
     rows = rows.join(limits, ["tenant_id", "tool_name"], "left")
-    calls, size = F.coalesce(F.col("calls_so_far") > F.col("call_limit"), F.lit(False)), F.coalesce(F.col("bytes_so_far") > F.col("byte_limit"), F.lit(False))
-    return rows.withColumns({"allowed": ~(calls | size), "reason": F.when(calls, "call_limit_exceeded").when(size, "byte_limit_exceeded").otherwise("ok")})
+    calls, size = F.coalesce(
+        F.col("calls_so_far") > F.col("call_limit"), F.lit(False)
+    ), F.coalesce(F.col("bytes_so_far") > F.col("byte_limit"), F.lit(False))
+    return rows.withColumns(
+        {"allowed": ~(calls | size), "reason": F.when(calls, "call_limit_exceeded").when(size, "byte_limit_exceeded").otherwise("ok")}
+    )
 
 
 def set_limits(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -105,7 +125,9 @@ def rate_report(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: i
     return rows.withColumn("over", F.col("calls_before") >= F.col("max_calls")).drop("_us", "_block", "_next")
 
 
-def rate_decisions(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: int = 30, seconds: int = WINDOW_SECONDS, tie: str = "event_id") -> DataFrame:
+def rate_decisions(
+    calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: int = 30, seconds: int = WINDOW_SECONDS, tie: str = "event_id"
+) -> DataFrame:
     """Q20, exact: a call counts against later ones only if it was accepted itself, so calls are taken in turn."""
     return decided(calls, None, limits, other, seconds, tie).drop("us")
 
@@ -120,23 +142,34 @@ def decided(calls: DataFrame, accepted: DataFrame | None, limits: dict[str, int]
     rows, size = _blocks(calls, seconds)
     rows = rows.select("tool_name", "_block", "_us", tie, F.lit(False).alias("_given"))
     if accepted is not None:
-        rows = rows.unionByName(accepted.select("tool_name", F.call_function("div", F.col("us"), F.lit(size)).alias("_block"), F.col("us").alias("_us"), F.lit(0).cast(rows.schema[tie].dataType).alias(tie), F.lit(True).alias("_given")))
+        rows = rows.unionByName(
+            accepted.select(
+                "tool_name", F.call_function("div", F.col("us"), F.lit(size)).alias("_block"), F.col("us").alias("_us"),
+                F.lit(0).cast(rows.schema[tie].dataType).alias(tie), F.lit(True).alias("_given")
+            )
+        )
     apart = seconds * 1_000_000
     w = Window.partitionBy("tool_name", "_block").orderBy("_us", tie)
     rows = rows.withColumn("_start", F.coalesce((F.col("_us") - F.lag("_us").over(w) >= apart).cast("long"), F.lit(0)))
     ends = rows.groupBy("tool_name", "_block").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.sum("_start").alias("_n"))
     by_tool = Window.partitionBy("tool_name").orderBy("_block")
     ends = ends.withColumn("_own", F.col("_n") + F.coalesce((F.col("_lo") - F.lag("_hi").over(by_tool) >= apart).cast("long"), F.lit(1)))
-    ends = ends.withColumn("_base", F.sum("_own").over(by_tool.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("tool_name", "_block", "_base")
+    ends = ends.withColumn(
+        "_base", F.sum("_own").over(by_tool.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    ).select("tool_name", "_block", "_base")
     inside = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_in", inside).join(ends, ["tool_name", "_block"]).select("tool_name", (F.col("_base") + F.col("_in")).alias("_stretch"), tie, "_us", "_given")
+    rows = rows.withColumn("_in", inside).join(ends, ["tool_name", "_block"]).select(
+        "tool_name", (F.col("_base") + F.col("_in")).alias("_stretch"), tie, "_us", "_given"
+    )
 
     def decide(batches):
         """Rows come by tool, stretch and time; all that is kept of them is the accepted calls of the window."""
         at, kept = None, []
         for pdf in batches:
             out = []
-            for tool, stretch, t, given in zip(pdf["tool_name"].tolist(), pdf["_stretch"].tolist(), pdf["_us"].tolist(), pdf["_given"].tolist()):
+            for tool, stretch, t, given in zip(
+                pdf["tool_name"].tolist(), pdf["_stretch"].tolist(), pdf["_us"].tolist(), pdf["_given"].tolist()
+            ):
                 if (tool, stretch) != at:
                     at, kept, most = (tool, stretch), [], limits.get(tool, other)
                 kept = [k for k in kept if t - k < apart]
@@ -144,7 +177,12 @@ def decided(calls: DataFrame, accepted: DataFrame | None, limits: dict[str, int]
                 out.append((ok, None if ok else int(seconds - (t - kept[0]) / 1e6)))
                 if ok:
                     kept.append(t)
-            done = pd.DataFrame({tie: pdf[tie], "tool_name": pdf["tool_name"], "us": pdf["_us"], "accepted": [x[0] for x in out], "retry_after_seconds": pd.array([x[1] for x in out], dtype="Int64")})
+            done = pd.DataFrame(
+                {
+                    tie: pdf[tie], "tool_name": pdf["tool_name"], "us": pdf["_us"], "accepted": [x[0] for x in out],
+                    "retry_after_seconds": pd.array([x[1] for x in out], dtype="Int64")
+                }
+            )
             yield done[~pdf["_given"]]
 
     ordered = rows.repartition("tool_name", "_stretch").sortWithinPartitions("tool_name", "_stretch", F.desc("_given"), "_us", tie)
@@ -154,5 +192,7 @@ def decided(calls: DataFrame, accepted: DataFrame | None, limits: dict[str, int]
 def still_counting(accepted: DataFrame, done: DataFrame, seconds: int) -> DataFrame:
     """``tool_name`` and ``us`` of the accepted calls, of before and of ``done``, that are in the window of the tool's last call."""
     both = accepted.select("tool_name", "us").unionByName(done.where("accepted").select("tool_name", "us"))
-    last = accepted.select("tool_name", "us").unionByName(done.select("tool_name", "us")).groupBy("tool_name").agg(F.max("us").alias("last"))
+    last = accepted.select("tool_name", "us").unionByName(
+        done.select("tool_name", "us")
+    ).groupBy("tool_name").agg(F.max("us").alias("last"))
     return both.join(last, "tool_name").where(F.col("last") - F.col("us") < seconds * 1_000_000).select("tool_name", "us")

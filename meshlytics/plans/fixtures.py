@@ -146,7 +146,9 @@ def view(spark: SparkSession, sf_dir: str, name: str, last_minutes: int | None =
     if last_minutes is not None and "events" in tables:
         kind, end = tables["events"].schema["ts"].dataType, datetime.fromisoformat(AS_OF)
         time = lambda x: F.lit(str(x)).cast(kind)
-        tables["events"] = tables["events"].where((F.col("ts") >= time(end - timedelta(minutes=last_minutes))) & (F.col("ts") < time(end + timedelta(minutes=1))))
+        tables["events"] = tables["events"].where(
+            (F.col("ts") >= time(end - timedelta(minutes=last_minutes))) & (F.col("ts") < time(end + timedelta(minutes=1)))
+        )
     sql = reduce(lambda s, t: s.replace(f"FROM {t}", f"FROM {{{t}}}"), tables, VIEWS[name])
     df = spark.sql(sql, **tables)
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})

@@ -306,8 +306,13 @@ ORACLES = {k: with_parts(v) for k, v in {
 
 #: Columns whose types differ between the engines' functions (row numbers, hours).
 TYPES = {
-    "s2_counter_feed": "CAST(errors AS BIGINT) AS errors", "s3c_queue_stats": "CAST(ecn_marked_packets AS BIGINT) AS ecn_marked_packets", "q7a_anomaly_facts": "CAST(first_position AS INT) AS first_position", "q14_baselines": "CAST(hour_of_day AS INT) AS hour_of_day",
-    **dict.fromkeys(("q1a_top_talkers", "q1a_top_talkers_device", "q4b_link_contributors", "q10d_device_queues", "q13b_top_udp_pairs"), "CAST(rank AS INT) AS rank"), **dict.fromkeys(("q6a_recent_anomalies", "q19b_recent_calls"), "CAST(position AS INT) AS position"),
+    "s2_counter_feed": "CAST(errors AS BIGINT) AS errors", "s3c_queue_stats": "CAST(ecn_marked_packets AS BIGINT) AS ecn_marked_packets",
+    "q7a_anomaly_facts": "CAST(first_position AS INT) AS first_position", "q14_baselines": "CAST(hour_of_day AS INT) AS hour_of_day",
+    **dict.fromkeys(
+        ("q1a_top_talkers", "q1a_top_talkers_device", "q4b_link_contributors", "q10d_device_queues", "q13b_top_udp_pairs"),
+        "CAST(rank AS INT) AS rank"
+    ),
+    **dict.fromkeys(("q6a_recent_anomalies", "q19b_recent_calls"), "CAST(position AS INT) AS position"),
 }
 ORACLES |= {k: f"SELECT * REPLACE ({cast}) FROM (\n{ORACLES[k]})" for k, cast in TYPES.items()}
 ORACLES["q20_rate_stream"] = ORACLES["q20_rate_decisions"]

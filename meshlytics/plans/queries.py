@@ -75,7 +75,9 @@ class Tables:
 
     @property
     def groups(self) -> DataFrame:
-        configured = normalize.route(self.view("ecmp_groups").withColumn("members", F.split("members_csv", ",")), self.view("collector_sources"), "gnmi")
+        configured = normalize.route(
+            self.view("ecmp_groups").withColumn("members", F.split("members_csv", ",")), self.view("collector_sources"), "gnmi"
+        )
         return fabric.resolve_groups(configured, fabric.infer_groups(self.last(DAY).states, as_of(), DAY))
 
     @property
@@ -90,7 +92,10 @@ class Tables:
     def limits(self) -> DataFrame:
         """Limits that follow from the calls: the mean calls and bytes of a tenant's tool a day, bytes only for some."""
         daily = usage.quota_usage(self.calls)
-        return daily.groupBy("tenant_id", "tool_name").agg(F.floor(F.avg("calls_this_period")).alias("call_limit"), F.when(F.max("calls_this_period") % 2 == 0, F.max("bytes_out_this_period") - 1).alias("byte_limit"))
+        return daily.groupBy("tenant_id", "tool_name").agg(
+            F.floor(F.avg("calls_this_period")).alias("call_limit"),
+            F.when(F.max("calls_this_period") % 2 == 0, F.max("bytes_out_this_period") - 1).alias("byte_limit")
+        )
 
 
 # Sources and sinks -----------------------------------------------------------------------------------------------------
@@ -101,61 +106,111 @@ def s1_flow_feed(t):
     raw = t.view("flow_raw")
     bad = F.when(F.col("event_id") % 13 == 0, F.lit("n/a")).otherwise(F.col("bytes").cast("string"))
     rate = F.when(F.col("event_id") % 7 != 0, F.col("sampling_rate").cast("string"))
-    record = F.struct("agent", F.col("input_if_index").cast("string").alias("inputifindex"), F.col("src_ip").alias("srcip"), F.col("dst_ip").alias("dstip"), F.col("protocol").cast("string").alias("protocol"), bad.alias("bytes"), F.col("packets").cast("string").alias("packets"), rate.alias("samplingrate"))
-    text = raw.groupBy(F.date_trunc("minute", "timestamp").alias("h"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part")).agg(F.to_json(F.struct(F.collect_list(record).alias("flows"))).alias("doc"))
+    record = F.struct(
+        "agent", F.col("input_if_index").cast("string").alias("inputifindex"), F.col("src_ip").alias("srcip"),
+        F.col("dst_ip").alias("dstip"), F.col("protocol").cast("string").alias("protocol"), bad.alias("bytes"),
+        F.col("packets").cast("string").alias("packets"), rate.alias("samplingrate")
+    )
+    text = raw.groupBy(
+        F.date_trunc("minute", "timestamp").alias("h"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part")
+    ).agg(F.to_json(F.struct(F.collect_list(record).alias("flows"))).alias("doc"))
     feed = text.select("h", F.from_json("doc", feeds.FLOW_FEED).alias("d")).select("h", "d.flows")
     rows = feeds.flow_records(feed, F.lit(None).cast("timestamp"))
-    return rows.groupBy("agent", "protocol", "sampling_rate").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.max("output_if_index").alias("max_output"))
+    return rows.groupBy("agent", "protocol", "sampling_rate").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"),
+        F.max("output_if_index").alias("max_output")
+    )
 
 
 @query
 def s2_counter_feed(t):
     raw = t.view("counter_raw")
-    record = F.struct("agent", F.col("if_index").cast("string").alias("ifindex"), F.when(F.col("event_id") % 3 > 0, F.col("if_name")).alias("ifname"), F.when(F.col("event_id") % 11 > 0, F.col("if_speed").cast("string")).alias("ifspeed"), F.when(F.col("event_id") % 17 > 0, F.col("if_in_octets").cast("string")).otherwise("bad").alias("ifinoctets"), F.col("if_out_octets").cast("string").alias("ifoutoctets"))
+    record = F.struct(
+        "agent", F.col("if_index").cast("string").alias("ifindex"), F.when(F.col("event_id") % 3 > 0, F.col("if_name")).alias("ifname"),
+        F.when(F.col("event_id") % 11 > 0, F.col("if_speed").cast("string")).alias("ifspeed"),
+        F.when(F.col("event_id") % 17 > 0, F.col("if_in_octets").cast("string")).otherwise("bad").alias("ifinoctets"),
+        F.col("if_out_octets").cast("string").alias("ifoutoctets")
+    )
     feed = raw.select(F.from_json(F.to_json(record), feeds.COUNTER_FEED).alias("c")).select("c.*")
     good, aside = feeds.counter_records(feed, F.lit(None).cast("timestamp"))
-    rows = good.groupBy("agent", "if_name").agg(F.count("*").alias("n"), F.sum("if_speed").alias("speed"), F.sum("if_in_octets").alias("in_octets"), F.sum(F.col("if_in_errors") + F.col("if_out_errors")).cast("long").alias("errors"))
-    return rows.unionByName(aside.groupBy("agent").agg(F.count("*").alias("n")).withColumns({"if_name": F.lit("(aside)"), "speed": F.lit(None).cast("long"), "in_octets": F.lit(None).cast("long"), "errors": F.lit(None).cast("long")}))
+    rows = good.groupBy("agent", "if_name").agg(
+        F.count("*").alias("n"), F.sum("if_speed").alias("speed"), F.sum("if_in_octets").alias("in_octets"),
+        F.sum(F.col("if_in_errors") + F.col("if_out_errors")).cast("long").alias("errors")
+    )
+    return rows.unionByName(
+        aside.groupBy("agent").agg(F.count("*").alias("n")).withColumns(
+            {
+                "if_name": F.lit("(aside)"), "speed": F.lit(None).cast("long"), "in_octets": F.lit(None).cast("long"),
+                "errors": F.lit(None).cast("long")
+            }
+        )
+    )
 
 
 def _notified(rows: DataFrame, path, leaves: dict[str, str]) -> DataFrame:
     """Rows as notification documents, and flattened again."""
-    updates = F.array(*[F.struct(F.concat(path, F.lit(f"/state/{leaf}")).alias("path"), F.col(c).cast("string").alias("val")) for leaf, c in leaves.items()])
-    text = rows.select("device", "timestamp", F.to_json(F.struct(F.array(F.struct(updates.alias("update"))).alias("notification"))).alias("doc"))
+    updates = F.array(
+        *[F.struct(F.concat(path, F.lit(f"/state/{leaf}")).alias("path"), F.col(c).cast("string").alias("val")) for leaf, c in leaves.items()]
+    )
+    text = rows.select(
+        "device", "timestamp", F.to_json(F.struct(F.array(F.struct(updates.alias("update"))).alias("notification"))).alias("doc")
+    )
     kind = feeds.NOTIFICATIONS["notification"].dataType.simpleString()
-    feed = text.select("device", "timestamp", F.from_json("doc", f"notification {kind}").alias("d")).select("device", "timestamp", "d.notification")
+    feed = text.select(
+        "device", "timestamp", F.from_json("doc", f"notification {kind}").alias("d")
+    ).select("device", "timestamp", "d.notification")
     return feeds.flatten_notifications(feed)
 
 
 @query
 def s3_notifications(t):
-    updates = _notified(t.view("iface_raw"), F.concat(F.lit("interfaces/interface[name="), F.col("interface"), F.lit("]")), {"oper-status": "oper_status", "mtu": "mtu"})
+    updates = _notified(
+        t.view("iface_raw"), F.concat(F.lit("interfaces/interface[name="), F.col("interface"), F.lit("]")),
+        {"oper-status": "oper_status", "mtu": "mtu"}
+    )
     return updates.groupBy("device", "path", "val").agg(F.count("*").alias("n"))
 
 
 @query
 def s3a_interface_states(t):
     rows = t.view("iface_raw").withColumn("oper_raw", F.concat(F.lit("oc:"), F.lower("oper_status")))
-    updates = _notified(rows, F.concat(F.lit("interfaces/interface[name="), F.col("interface"), F.lit("]")), {"admin-status": "admin_status", "oper-status": "oper_raw", "speed": "speed_bps", "mtu": "mtu"})
+    updates = _notified(
+        rows, F.concat(F.lit("interfaces/interface[name="), F.col("interface"), F.lit("]")),
+        {"admin-status": "admin_status", "oper-status": "oper_raw", "speed": "speed_bps", "mtu": "mtu"}
+    )
     return feeds.interface_states(updates).select("device", "interface", "timestamp", "admin_status", "oper_status", "speed_bps", "mtu")
 
 
 @query
 def s3b_bgp_neighbors(t):
-    updates = _notified(t.view("bgp_raw"), F.concat(F.lit("bgp/neighbors/neighbor[neighbor-address="), F.col("peer_address"), F.lit("]")), {"session-state": "session_state", "peer-as": "peer_as", "uptime": "uptime_seconds", "received-prefixes": "prefixes_received"})
-    return feeds.bgp_neighbors(updates).select("device", "peer_address", "timestamp", "session_state", "peer_as", "uptime_seconds", "prefixes_received")
+    updates = _notified(
+        t.view("bgp_raw"), F.concat(F.lit("bgp/neighbors/neighbor[neighbor-address="), F.col("peer_address"), F.lit("]")),
+        {"session-state": "session_state", "peer-as": "peer_as", "uptime": "uptime_seconds", "received-prefixes": "prefixes_received"}
+    )
+    return feeds.bgp_neighbors(updates).select(
+        "device", "peer_address", "timestamp", "session_state", "peer_as", "uptime_seconds", "prefixes_received"
+    )
 
 
 @query
 def s3c_queue_stats(t):
-    path = F.concat(F.lit("qos/interfaces/interface[interface-id="), F.col("interface"), F.lit("]/output/queues/queue[name="), F.col("queue_id").cast("string"), F.lit("]"))
-    updates = _notified(t.view("queue_raw"), path, {"max-queue-len": "max_depth_bytes", "pfc-pause-rx": "pfc_pause_rx", "dropped-pkts": "dropped_packets"})
-    return feeds.queue_stats(updates).select("device", "interface", "queue_id", "timestamp", "max_depth_bytes", "pfc_pause_rx", "ecn_marked_packets", "dropped_packets")
+    path = F.concat(
+        F.lit("qos/interfaces/interface[interface-id="), F.col("interface"), F.lit("]/output/queues/queue[name="),
+        F.col("queue_id").cast("string"), F.lit("]")
+    )
+    updates = _notified(
+        t.view("queue_raw"), path, {"max-queue-len": "max_depth_bytes", "pfc-pause-rx": "pfc_pause_rx", "dropped-pkts": "dropped_packets"}
+    )
+    return feeds.queue_stats(updates).select(
+        "device", "interface", "queue_id", "timestamp", "max_depth_bytes", "pfc_pause_rx", "ecn_marked_packets", "dropped_packets"
+    )
 
 
 @query
 def s4_scan(t):
-    return t.last(WEEK).utilization.where(C.trailing("ts_bucket", as_of(), WEEK) & (F.col("device") == "sw1")).select("tenant_id", "ts_bucket", "interface", "in_bps", "error_count")
+    return t.last(WEEK).utilization.where(
+        C.trailing("ts_bucket", as_of(), WEEK) & (F.col("device") == "sw1")
+    ).select("tenant_id", "ts_bucket", "interface", "in_bps", "error_count")
 
 
 @query
@@ -172,14 +227,21 @@ def k2_upsert(t):
     """Sample counts of sources to mid-month, upserted by those after: summed counts, the later time."""
     rows = t.view("heartbeat_raw")
     cut = C.at("2024-01-16 00:00:00")
-    per = lambda df: df.groupBy("tenant_id", "source_kind", "device").agg(F.max("ts").alias("last_ts"), F.sum("sample_count").alias("samples"))
-    return sinks.upsert(per(rows.where(F.col("ts") < cut)), per(rows.where(F.col("ts") >= cut)), ["tenant_id", "source_kind", "device"], {"samples": lambda a, b: a + b})
+    per = lambda df: df.groupBy("tenant_id", "source_kind", "device").agg(
+        F.max("ts").alias("last_ts"), F.sum("sample_count").alias("samples")
+    )
+    return sinks.upsert(
+        per(rows.where(F.col("ts") < cut)), per(rows.where(F.col("ts") >= cut)), ["tenant_id", "source_kind", "device"],
+        {"samples": lambda a, b: a + b}
+    )
 
 
 @query
 def k2_bucketed_upsert(t):
     """The same by a table in sorted buckets, of which a batch replaces the parts that it touches."""
-    rows = t.view("heartbeat_raw").groupBy("tenant_id", "source_kind", "device", (F.dayofmonth("ts") > 15).alias("late")).agg(F.max("ts").alias("last_ts"), F.sum("sample_count").alias("samples"))
+    rows = t.view("heartbeat_raw").groupBy(
+        "tenant_id", "source_kind", "device", (F.dayofmonth("ts") > 15).alias("late")
+    ).agg(F.max("ts").alias("last_ts"), F.sum("sample_count").alias("samples"))
     key = ["tenant_id", "source_kind", "device"]
     table = sinks.BucketedTable(t.spark, f"{folder(t.spark)}/heartbeats", key, parts=8, buckets=4)
     table.create(rows.where("not late").drop("late"))
@@ -212,7 +274,9 @@ def p_predicates(t):
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     rows = t.utilization
     return rows.groupBy("tenant_id").agg(
-        n(C.trailing("ts_bucket", as_of(), WEEK)).alias("p2"), n(C.half_open("ts_bucket", C.minutes_before(as_of(), WEEK), C.minutes_before(as_of(), DAY))).alias("p3"), n(F.col("device") == "sw1").alias("p4"),
+        n(C.trailing("ts_bucket", as_of(), WEEK)).alias("p2"),
+        n(C.half_open("ts_bucket", C.minutes_before(as_of(), WEEK), C.minutes_before(as_of(), DAY))).alias("p3"),
+        n(F.col("device") == "sw1").alias("p4"),
         n(C.either_at_least(60.0)).alias("p7"), n(C.direction() == "inbound").alias("p8"), F.max(C.peak()).alias("peak"),
     )
 
@@ -266,20 +330,37 @@ def e7_queue_stats(t):
 
 @query
 def e8_status_cleanup(t):
-    raw = t.view("iface_raw").withColumn("raw", F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 5 == 1, F.concat(F.lit("oc-if:"), F.lower("oper_status"))).when(F.col("event_id") % 5 == 2, F.lit("weird")).otherwise(F.col("oper_status")))
-    return raw.groupBy(C.admin_state("raw").alias("admin"), C.oper_state("raw").alias("oper"), C.bgp_state("raw").alias("bgp")).agg(F.count("*").alias("n"))
+    raw = t.view("iface_raw").withColumn(
+        "raw",
+        F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(
+            F.col("event_id") % 5 == 1, F.concat(F.lit("oc-if:"), F.lower("oper_status"))
+        ).when(F.col("event_id") % 5 == 2, F.lit("weird")).otherwise(F.col("oper_status"))
+    )
+    return raw.groupBy(
+        C.admin_state("raw").alias("admin"), C.oper_state("raw").alias("oper"), C.bgp_state("raw").alias("bgp")
+    ).agg(F.count("*").alias("n"))
 
 
 @query
 def e9_number_text_cleanup(t):
-    raw = t.view("flow_raw").withColumn("raw", F.when(F.col("event_id") % 4 == 0, F.lit("  ")).when(F.col("event_id") % 4 == 1, F.concat(F.lit(" x"), F.col("agent"), F.lit(" "))).otherwise(F.col("bytes").cast("string")))
+    raw = t.view("flow_raw").withColumn(
+        "raw",
+        F.when(F.col("event_id") % 4 == 0, F.lit("  ")).when(
+            F.col("event_id") % 4 == 1, F.concat(F.lit(" x"), F.col("agent"), F.lit(" "))
+        ).otherwise(F.col("bytes").cast("string"))
+    )
     return raw.select("event_id", C.safe_int("raw").alias("as_int"), C.safe_str("raw").alias("as_str"))
 
 
 @query
 def e10_time_cleanup(t):
     nanos = F.concat(F.unix_seconds("timestamp").cast("string"), F.lit("123456789"))
-    raw = t.view("flow_raw").withColumn("raw", F.when(F.col("event_id") % 3 == 0, nanos).when(F.col("event_id") % 3 == 1, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("never"))
+    raw = t.view("flow_raw").withColumn(
+        "raw",
+        F.when(F.col("event_id") % 3 == 0, nanos).when(
+            F.col("event_id") % 3 == 1, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+        ).otherwise("never")
+    )
     return raw.select("event_id", C.parse_time("raw").alias("parsed"))
 
 
@@ -292,7 +373,12 @@ def e11_tenant_backfill(t):
 @query
 def e12_fingerprint_backfill(t):
     none = F.lit(None).cast("timestamp")
-    rows = t.anomalies.withColumns({"fingerprint": F.when(F.col("event_id") % 2 == 0, F.lit("known")), "first_seen_at": none, "last_seen_at": none, "resolved_at": none})
+    rows = t.anomalies.withColumns(
+        {
+            "fingerprint": F.when(F.col("event_id") % 2 == 0, F.lit("known")), "first_seen_at": none, "last_seen_at": none,
+            "resolved_at": none
+        }
+    )
     return normalize.backfill_fingerprint(rows).select("event_id", "fingerprint", "first_seen_at", "resolved_at")
 
 
@@ -309,7 +395,9 @@ def q1a_top_talkers(t):
 
 @query
 def q1a_top_talkers_device(t):
-    return flows.top_talkers(t.last(WEEK).flows, as_of(), WEEK, "device:sw1", 5).select("tenant_id", "rank", "src_ip", "dst_ip", "protocol_name", "bytes_estimated")
+    return flows.top_talkers(t.last(WEEK).flows, as_of(), WEEK, "device:sw1", 5).select(
+        "tenant_id", "rank", "src_ip", "dst_ip", "protocol_name", "bytes_estimated"
+    )
 
 
 @query
@@ -344,12 +432,16 @@ def q4b_link_contributors(t):
 
 @query
 def q4c_hot_links(t):
-    return flows.hot_links(flows.link_peak(t.last(WEEK).utilization, as_of(), WEEK), flows.link_contributors(t.last(WEEK).flows, as_of(), WEEK)).select("tenant_id", "device", "interface", "peak_ts", "narrative", "confidence_note")
+    return flows.hot_links(
+        flows.link_peak(t.last(WEEK).utilization, as_of(), WEEK), flows.link_contributors(t.last(WEEK).flows, as_of(), WEEK)
+    ).select("tenant_id", "device", "interface", "peak_ts", "narrative", "confidence_note")
 
 
 @query
 def q5_compare_windows(t):
-    return flows.compare_windows(t.flows, (C.at("2024-01-16 00:00:00"), C.at("2024-01-23 00:00:00")), (C.at("2024-01-23 00:00:00"), C.at("2024-01-30 00:00:00")))
+    return flows.compare_windows(
+        t.flows, (C.at("2024-01-16 00:00:00"), C.at("2024-01-23 00:00:00")), (C.at("2024-01-23 00:00:00"), C.at("2024-01-30 00:00:00"))
+    )
 
 
 @query
@@ -359,7 +451,9 @@ def q2a_interface_utilization(t):
 
 @query
 def q2b_trend(t):
-    return interfaces.interface_utilization(t.last(WEEK).utilization, as_of(), WEEK, "event_id").select("tenant_id", "device", "interface", "trend")
+    return interfaces.interface_utilization(
+        t.last(WEEK).utilization, as_of(), WEEK, "event_id"
+    ).select("tenant_id", "device", "interface", "trend")
 
 
 @query
@@ -385,7 +479,10 @@ def q7a_anomaly_facts(t):
 
 @query
 def q7b_anomaly_narrative(t):
-    return anomalies.narrative(anomalies.facts(anomalies.recent(t.last(WEEK).anomalies, as_of(), WEEK, severity_min="low", limit=25, tie="event_id")), t.tenants, WEEK)
+    return anomalies.narrative(
+        anomalies.facts(anomalies.recent(t.last(WEEK).anomalies, as_of(), WEEK, severity_min="low", limit=25, tie="event_id")), t.tenants,
+        WEEK
+    )
 
 
 # Inventory and state -----------------------------------------------------------------------------------------------------------
@@ -401,17 +498,23 @@ def q9_list_interfaces(t):
 
 @query
 def q10a_latest_interfaces(t):
-    return state.latest_interfaces(t.last(DAY).states, as_of(), DAY, ("ts_bucket", "event_id")).select("tenant_id", "device", "interface", "ts_bucket", "admin_status", "oper_status", "speed_bps")
+    return state.latest_interfaces(t.last(DAY).states, as_of(), DAY, ("ts_bucket", "event_id")).select(
+        "tenant_id", "device", "interface", "ts_bucket", "admin_status", "oper_status", "speed_bps"
+    )
 
 
 @query
 def q10b_interfaces_down(t):
-    return state.interfaces_down(state.latest_interfaces(t.last(DAY).states, as_of(), DAY, ("ts_bucket", "event_id"))).select("tenant_id", "device", "interface")
+    return state.interfaces_down(
+        state.latest_interfaces(t.last(DAY).states, as_of(), DAY, ("ts_bucket", "event_id"))
+    ).select("tenant_id", "device", "interface")
 
 
 @query
 def q10c_bgp_state(t):
-    return state.latest_bgp(t.last(DAY).bgp, as_of(), DAY, ("ts_bucket", "event_id")).select("tenant_id", "device", "peer_address", "ts_bucket", "session_state", "is_down")
+    return state.latest_bgp(t.last(DAY).bgp, as_of(), DAY, ("ts_bucket", "event_id")).select(
+        "tenant_id", "device", "peer_address", "ts_bucket", "session_state", "is_down"
+    )
 
 
 @query
@@ -443,7 +546,9 @@ def q12b_ecmp_groups(t):
 
 @query
 def q12c_speed_groups(t):
-    return fabric.infer_groups(t.last(DAY).states, as_of(), DAY).select("tenant_id", "device", "group_name", F.array_join("members", ",").alias("members"))
+    return fabric.infer_groups(t.last(DAY).states, as_of(), DAY).select(
+        "tenant_id", "device", "group_name", F.array_join("members", ",").alias("members")
+    )
 
 
 @query
@@ -474,7 +579,9 @@ def q13c_queue_signals(t):
 @query
 def q13d_rdma_assessment(t):
     rows = rdma.assess(rdma.udp_share(t.last(DAY).flows, as_of(), DAY), rdma.queues_with_signals(t.last(DAY).queues, as_of(), DAY))
-    return rows.select("tenant_id", "severity", F.array_join("drivers", " | ").alias("drivers"), F.round("roce_share", 6).alias("roce_share"))
+    return rows.select(
+        "tenant_id", "severity", F.array_join("drivers", " | ").alias("drivers"), F.round("roce_share", 6).alias("roce_share")
+    )
 
 
 # Baselines and detectors -----------------------------------------------------------------------------------------------------------
@@ -499,19 +606,27 @@ def q14_moments(t):
 def q15a_threshold_detector(t):
     data = F.from_json("metadata_json", "in_util_pct double, out_util_pct double, sample_ts string")
     rows = detect.threshold_breaches(t.utilization, as_of(), ("ts_bucket", "event_id")).withColumn("d", data)
-    return rows.withColumns({"in_util_pct": F.round("d.in_util_pct", 6), "out_util_pct": F.round("d.out_util_pct", 6), "sample_ts": F.col("d.sample_ts")}).drop("metadata_json", "d")
+    return rows.withColumns(
+        {"in_util_pct": F.round("d.in_util_pct", 6), "out_util_pct": F.round("d.out_util_pct", 6), "sample_ts": F.col("d.sample_ts")}
+    ).drop("metadata_json", "d")
 
 
 @query
 def q15b_spike_detector(t):
-    data = F.from_json("metadata_json", "z_score double, current_bytes long, baseline_mean double, baseline_stddev double, baseline_sample_count long")
+    data = F.from_json(
+        "metadata_json", "z_score double, current_bytes long, baseline_mean double, baseline_stddev double, baseline_sample_count long"
+    )
     rows = detect.spikes(t.flows, baselines.compute_baselines(t.last(WEEK).flows, as_of()), as_of(), DAY).withColumn("d", data)
-    return rows.select("*", "d.*").withColumns({"baseline_mean": F.round("baseline_mean", 3), "baseline_stddev": F.round("baseline_stddev", 3)}).drop("metadata_json", "d")
+    return rows.select("*", "d.*").withColumns(
+        {"baseline_mean": F.round("baseline_mean", 3), "baseline_stddev": F.round("baseline_stddev", 3)}
+    ).drop("metadata_json", "d")
 
 
 @query
 def q15b_spike_scores(t):
-    return detect.spike_scores(t.flows, baselines.compute_baselines(t.last(WEEK).flows, as_of()), as_of(), DAY).select("tenant_id", "device", "interface", "current_bytes", "sample_count", "z_score")
+    return detect.spike_scores(
+        t.flows, baselines.compute_baselines(t.last(WEEK).flows, as_of()), as_of(), DAY
+    ).select("tenant_id", "device", "interface", "current_bytes", "sample_count", "z_score")
 
 
 @query
@@ -520,7 +635,10 @@ def q15c_rdma_stress(t):
 
 
 def _events(t):
-    return detect.run_all(t.utilization, t.last(DAY).flows, t.last(DAY).queues, baselines.compute_baselines(t.last(WEEK).flows, as_of()), t.tenants, as_of(), DAY, ("ts_bucket", "event_id"))
+    return detect.run_all(
+        t.utilization, t.last(DAY).flows, t.last(DAY).queues, baselines.compute_baselines(t.last(WEEK).flows, as_of()), t.tenants, as_of(),
+        DAY, ("ts_bucket", "event_id")
+    )
 
 
 @query
@@ -555,15 +673,23 @@ def q16b_record_anomalies(t):
 @query
 def q16c_escalation(t):
     before, after = _halves(t)
-    a, b = anomalies.condense(before, "event_id").select("fingerprint", F.col("severity").alias("old")), anomalies.condense(after, "event_id").select("fingerprint", F.col("severity").alias("new"))
+    a, b = anomalies.condense(before, "event_id").select(
+        "fingerprint", F.col("severity").alias("old")
+    ), anomalies.condense(after, "event_id").select("fingerprint", F.col("severity").alias("new"))
     return a.join(b, "fingerprint").select("fingerprint", anomalies.escalate(F.col("old"), F.col("new")).alias("severity"))
 
 
 @query
 def q16d_ack_resolve(t):
     stored = anomalies.condense(anomalies.with_fingerprint(t.anomalies), "event_id")
-    commands = stored.where("occurrence_count % 2 = 0").select("tenant_id", "fingerprint", F.lit("ack").alias("action"), F.col("last_seen_at").alias("at"))
-    commands = commands.unionByName(stored.where("occurrence_count % 3 = 0").select("tenant_id", "fingerprint", F.lit("resolve").alias("action"), F.col("first_seen_at").alias("at")))
+    commands = stored.where("occurrence_count % 2 = 0").select(
+        "tenant_id", "fingerprint", F.lit("ack").alias("action"), F.col("last_seen_at").alias("at")
+    )
+    commands = commands.unionByName(
+        stored.where("occurrence_count % 3 = 0").select(
+            "tenant_id", "fingerprint", F.lit("resolve").alias("action"), F.col("first_seen_at").alias("at")
+        )
+    )
     return anomalies.apply_commands(stored, commands).select("tenant_id", "fingerprint", "acknowledged_at", "resolved_at", "changed")
 
 
@@ -576,7 +702,9 @@ def _sources(t):
 def q17a_heartbeats(t):
     rows = t.view("heartbeat_raw")
     cut = C.at("2024-01-16 00:00:00")
-    return freshness.merge_heartbeats(freshness.heartbeats(rows.where(F.col("ts") < cut)), freshness.heartbeats(rows.where(F.col("ts") >= cut)))
+    return freshness.merge_heartbeats(
+        freshness.heartbeats(rows.where(F.col("ts") < cut)), freshness.heartbeats(rows.where(F.col("ts") >= cut))
+    )
 
 
 @query
@@ -586,7 +714,9 @@ def q17b_classify(t):
 
 @query
 def q17c_silent_sources(t):
-    return freshness.silent_events(freshness.scan(_sources(t), as_of()), as_of()).select("tenant_id", "scope", "severity", "summary", "fingerprint")
+    return freshness.silent_events(freshness.scan(_sources(t), as_of()), as_of()).select(
+        "tenant_id", "scope", "severity", "summary", "fingerprint"
+    )
 
 
 @query
@@ -605,7 +735,9 @@ def q18_drop_months(t):
     at = folder(t.spark)
     tables = {"flow_summary_minute": t.flows.select("ts_bucket", "device"), "queue_stats_minute": t.queues.select("ts_bucket", "device")}
     for name, rows in tables.items():
-        moved = F.when(F.minute("ts_bucket") % 2 == 1, F.col("ts_bucket") - F.make_dt_interval(days=F.lit(100))).otherwise(F.col("ts_bucket"))
+        moved = F.when(
+            F.minute("ts_bucket") % 2 == 1, F.col("ts_bucket") - F.make_dt_interval(days=F.lit(100))
+        ).otherwise(F.col("ts_bucket"))
         sinks.append_monthly(rows.withColumn("ts_bucket", moved), f"{at}/{name}")
     dropped = retention.prune(t.spark, {name: f"{at}/{name}" for name in tables}, as_of()).withColumn("state", F.lit("dropped"))
     for name in tables:

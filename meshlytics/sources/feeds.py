@@ -9,14 +9,38 @@ from pyspark.sql import types as T
 from ..functions.columns import admin_state, bgp_state, oper_state, parse_time, safe_int, safe_str
 
 #: The feeds' field names, their types and what absent fields are.
-FLOW_FIELDS = {"agent": ("string", None), "inputifindex": ("int", 0), "outputifindex": ("int", 0), "srcip": ("string", "0.0.0.0"), "dstip": ("string", "0.0.0.0"), "protocol": ("int", 0), "bytes": ("bigint", 0), "packets": ("bigint", 0), "samplingrate": ("int", 1)}
-FLOW_NAMES = {"inputifindex": "input_if_index", "outputifindex": "output_if_index", "srcip": "src_ip", "dstip": "dst_ip", "samplingrate": "sampling_rate"}
-COUNTER_FIELDS = {"agent": ("string", None), "ifindex": ("int", None), "ifname": ("string", None), "ifspeed": ("bigint", 1_000_000_000), "ifinoctets": ("bigint", 0), "ifoutoctets": ("bigint", 0), "ifinerrors": ("int", 0), "ifouterrors": ("int", 0)}
-COUNTER_NAMES = {"ifindex": "if_index", "ifname": "if_name", "ifspeed": "if_speed", "ifinoctets": "if_in_octets", "ifoutoctets": "if_out_octets", "ifinerrors": "if_in_errors", "ifouterrors": "if_out_errors"}
+FLOW_FIELDS = {
+    "agent": ("string", None), "inputifindex": ("int", 0), "outputifindex": ("int", 0), "srcip": ("string", "0.0.0.0"),
+    "dstip": ("string", "0.0.0.0"), "protocol": ("int", 0), "bytes": ("bigint", 0), "packets": ("bigint", 0), "samplingrate": ("int", 1)
+}
+FLOW_NAMES = {
+    "inputifindex": "input_if_index", "outputifindex": "output_if_index", "srcip": "src_ip", "dstip": "dst_ip",
+    "samplingrate": "sampling_rate"
+}
+COUNTER_FIELDS = {
+    "agent": ("string", None), "ifindex": ("int", None), "ifname": ("string", None), "ifspeed": ("bigint", 1_000_000_000),
+    "ifinoctets": ("bigint", 0), "ifoutoctets": ("bigint", 0), "ifinerrors": ("int", 0), "ifouterrors": ("int", 0)
+}
+COUNTER_NAMES = {
+    "ifindex": "if_index", "ifname": "if_name", "ifspeed": "if_speed", "ifinoctets": "if_in_octets", "ifoutoctets": "if_out_octets",
+    "ifinerrors": "if_in_errors", "ifouterrors": "if_out_errors"
+}
 #: All leaves are read as text, so that one bad value drops its row and not the file.
 FLOW_FEED = T.StructType([T.StructField("flows", T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in FLOW_FIELDS])))])
 COUNTER_FEED = T.StructType([T.StructField(k, T.StringType()) for k in COUNTER_FIELDS])
-NOTIFICATIONS = T.StructType([T.StructField("device", T.StringType()), T.StructField("timestamp", T.TimestampType()), T.StructField("notification", T.ArrayType(T.StructType([T.StructField("update", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("val", T.StringType())])))])))])
+NOTIFICATIONS = T.StructType(
+    [
+        T.StructField("device", T.StringType()), T.StructField("timestamp", T.TimestampType()),
+        T.StructField(
+            "notification",
+            T.ArrayType(
+                T.StructType(
+                    [T.StructField("update", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("val", T.StringType())])))]
+                )
+            )
+        )
+    ]
+)
 
 
 #: Where a document that is no JSON, or not of the schema's shape, is found as it was written.
@@ -49,26 +73,34 @@ def _readable(fields: dict, prefix: str) -> Column:
 def flow_records(feed: DataFrame, fetched_at: Column) -> DataFrame:
     """Records of ``{"flows": [...]}``; defaults for what is absent, rows with unreadable values or no agent dropped."""
     rows = feed.select("*", F.explode("flows").alias("f")).where(F.col("f.agent").isNotNull() & _readable(FLOW_FIELDS, "f."))
-    return rows.select(*[_typed(F.col(f"f.{k}"), *v).alias(FLOW_NAMES.get(k, k)) for k, v in FLOW_FIELDS.items()], fetched_at.alias("timestamp"))
+    return rows.select(
+        *[_typed(F.col(f"f.{k}"), *v).alias(FLOW_NAMES.get(k, k)) for k, v in FLOW_FIELDS.items()], fetched_at.alias("timestamp")
+    )
 
 
 def counter_records(feed: DataFrame, fetched_at: Column, agent: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Counters, and the rows put aside because a value can't be read."""
     ok = F.col("agent").isNotNull() & F.col("ifindex").isNotNull() & _readable(COUNTER_FIELDS, "")
     rows = feed.where(ok) if agent is None else feed.where(ok & (F.col("agent") == agent))
-    good = rows.select(*[_typed(F.col(k), *v).alias(COUNTER_NAMES.get(k, k)) for k, v in COUNTER_FIELDS.items()], fetched_at.alias("timestamp"))
+    good = rows.select(
+        *[_typed(F.col(k), *v).alias(COUNTER_NAMES.get(k, k)) for k, v in COUNTER_FIELDS.items()], fetched_at.alias("timestamp")
+    )
     return good.withColumn("if_name", F.coalesce("if_name", F.concat(F.lit("if"), F.col("if_index").cast("string")))), feed.where(~ok)
 
 
 def flatten_notifications(feed: DataFrame) -> DataFrame:
     """S3: device, timestamp, pos, path, val; ``pos`` orders the updates of one notification file row."""
     outer = feed.select("device", "timestamp", F.posexplode("notification").alias("i", "n"))
-    return outer.select("device", "timestamp", "i", F.posexplode("n.update").alias("j", "u")).select("device", "timestamp", F.struct("i", "j").alias("pos"), "u.path", "u.val")
+    return outer.select("device", "timestamp", "i", F.posexplode("n.update").alias("j", "u")).select(
+        "device", "timestamp", F.struct("i", "j").alias("pos"), "u.path", "u.val"
+    )
 
 
 def _pivot(updates: DataFrame, keys: dict[str, str], leaves: list[str]) -> DataFrame:
     """One row per device, time and keys taken from the path; of each leaf the last value."""
-    named = updates.withColumns({k: F.regexp_extract("path", pattern, 1) for k, pattern in keys.items()}).withColumn("leaf", F.element_at(F.split("path", "/"), -1))
+    named = updates.withColumns(
+        {k: F.regexp_extract("path", pattern, 1) for k, pattern in keys.items()}
+    ).withColumn("leaf", F.element_at(F.split("path", "/"), -1))
     rows = named.where(F.col("leaf").isin(leaves))
     for k in keys:
         rows = rows.where(F.col(k) != "")
@@ -78,25 +110,46 @@ def _pivot(updates: DataFrame, keys: dict[str, str], leaves: list[str]) -> DataF
 
 def interface_states(updates: DataFrame) -> DataFrame:
     """S3a."""
-    rows = _pivot(updates, {"interface": r"interface\[name=([^\]]*)"}, ["admin-status", "oper-status", "last-change", "speed", "mtu", "description"])
+    rows = _pivot(
+        updates, {"interface": r"interface\[name=([^\]]*)"}, ["admin-status", "oper-status", "last-change", "speed", "mtu", "description"]
+    )
     rows = rows.where(F.col("`oper-status`").isNotNull() | F.col("`admin-status`").isNotNull())
-    return rows.select("device", "interface", admin_state(F.col("`admin-status`")).alias("admin_status"), oper_state(F.col("`oper-status`")).alias("oper_status"), parse_time(F.col("`last-change`")).alias("last_change"), safe_int("speed").alias("speed_bps"), safe_int("mtu").cast("int").alias("mtu"), safe_str("description").alias("description"), "timestamp")
+    return rows.select(
+        "device", "interface", admin_state(F.col("`admin-status`")).alias("admin_status"),
+        oper_state(F.col("`oper-status`")).alias("oper_status"), parse_time(F.col("`last-change`")).alias("last_change"),
+        safe_int("speed").alias("speed_bps"), safe_int("mtu").cast("int").alias("mtu"), safe_str("description").alias("description"),
+        "timestamp"
+    )
 
 
 def bgp_neighbors(updates: DataFrame) -> DataFrame:
     """S3b."""
-    rows = _pivot(updates, {"peer_address": r"neighbor-address=([^\]]*)"}, ["session-state", "peer-as", "uptime", "received-prefixes", "sent-prefixes", "last-error"]).where(F.col("`session-state`").isNotNull())
-    return rows.select("device", "peer_address", safe_int(F.col("`peer-as`")).cast("int").alias("peer_as"), bgp_state(F.col("`session-state`")).alias("session_state"), safe_int("uptime").alias("uptime_seconds"), safe_int(F.col("`received-prefixes`")).alias("prefixes_received"), safe_int(F.col("`sent-prefixes`")).alias("prefixes_sent"), safe_str(F.col("`last-error`")).alias("last_error"), "timestamp")
+    rows = _pivot(
+        updates, {"peer_address": r"neighbor-address=([^\]]*)"},
+        ["session-state", "peer-as", "uptime", "received-prefixes", "sent-prefixes", "last-error"]
+    ).where(F.col("`session-state`").isNotNull())
+    return rows.select(
+        "device", "peer_address", safe_int(F.col("`peer-as`")).cast("int").alias("peer_as"),
+        bgp_state(F.col("`session-state`")).alias("session_state"), safe_int("uptime").alias("uptime_seconds"),
+        safe_int(F.col("`received-prefixes`")).alias("prefixes_received"), safe_int(F.col("`sent-prefixes`")).alias("prefixes_sent"),
+        safe_str(F.col("`last-error`")).alias("last_error"), "timestamp"
+    )
 
 
-QUEUE_LEAVES = {"max-queue-len": "max_depth_bytes", "avg-queue-len": "avg_depth_bytes", "pfc-pause-rx": "pfc_pause_rx", "pfc-pause-tx": "pfc_pause_tx", "ecn-marked-pkts": "ecn_marked_packets", "dropped-pkts": "dropped_packets"}
+QUEUE_LEAVES = {
+    "max-queue-len": "max_depth_bytes", "avg-queue-len": "avg_depth_bytes", "pfc-pause-rx": "pfc_pause_rx", "pfc-pause-tx": "pfc_pause_tx",
+    "ecn-marked-pkts": "ecn_marked_packets", "dropped-pkts": "dropped_packets"
+}
 
 
 def queue_stats(updates: DataFrame) -> DataFrame:
     """Queue names that are no numbers are hashed into 0 - 1023."""
     rows = _pivot(updates, {"interface": r"interface-id=([^\]]*)", "queue": r"queue\[name=([^\]]*)"}, [*QUEUE_LEAVES, "traffic-class"])
     number = F.coalesce(F.col("queue").try_cast("int"), F.pmod(F.xxhash64("queue"), F.lit(1024)).cast("int"))
-    return rows.select("device", "interface", number.alias("queue_id"), safe_int(F.col("`traffic-class`")).cast("int").alias("traffic_class"), *[F.coalesce(safe_int(F.col(f"`{k}`")), F.lit(0)).cast("bigint").alias(v) for k, v in QUEUE_LEAVES.items()], "timestamp")
+    return rows.select(
+        "device", "interface", number.alias("queue_id"), safe_int(F.col("`traffic-class`")).cast("int").alias("traffic_class"),
+        *[F.coalesce(safe_int(F.col(f"`{k}`")), F.lit(0)).cast("bigint").alias(v) for k, v in QUEUE_LEAVES.items()], "timestamp"
+    )
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -21,13 +21,18 @@ from .timers import windows_from_panes
 
 def flow_minutes(records: DataFrame, sources: DataFrame, delay: str = "2 minutes", order: str = "timestamp") -> DataFrame:
     """ST1: records to minutes; a minute is emitted once the watermark has passed it, later rows are dropped."""
-    rows = records.withWatermark("timestamp", delay).withColumns({"device": F.col("agent"), "interface": F.col("input_if_index").cast("string"), "_o": F.col(order)})
+    rows = records.withWatermark("timestamp", delay).withColumns(
+        {"device": F.col("agent"), "interface": F.col("input_if_index").cast("string"), "_o": F.col(order)}
+    )
     keys = ["device", "interface", "src_ip", "dst_ip", "protocol"]
     sums = rows.groupBy(F.window("timestamp", "1 minute").alias("w"), *keys).agg(
-        F.sum(F.col("bytes") * F.col("sampling_rate")).alias("bytes_estimated"), F.sum(F.col("packets") * F.col("sampling_rate")).alias("packets_estimated"),
+        F.sum(F.col("bytes") * F.col("sampling_rate")).alias("bytes_estimated"),
+        F.sum(F.col("packets") * F.col("sampling_rate")).alias("packets_estimated"),
         F.max_by("sampling_rate", F.struct("_o", "sampling_rate")).alias("sampling_rate"),
     )
-    return normalize.route(sums.select(F.col("w.start").alias("ts_bucket"), *keys, "bytes_estimated", "packets_estimated", "sampling_rate"), sources, "sflow")
+    return normalize.route(
+        sums.select(F.col("w.start").alias("ts_bucket"), *keys, "bytes_estimated", "packets_estimated", "sampling_rate"), sources, "sflow"
+    )
 
 
 def utilization(counters: DataFrame, sources: DataFrame) -> DataFrame:
@@ -60,25 +65,45 @@ def window_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], lookb
     behind the watermark, which panes leave out of all windows."""
     if panes:
         return windows_from_panes(rows, keys, {k: F.coalesce(v, F.lit(0)) for k, v in sums.items()}, lookback, every, delay)
-    windows = rows.withWatermark("ts_bucket", delay).groupBy(F.window("ts_bucket", f"{lookback} seconds", f"{every} seconds").alias("w"), *keys).agg(*[v.alias(k) for k, v in sums.items()])
+    windows = rows.withWatermark("ts_bucket", delay).groupBy(
+        F.window("ts_bucket", f"{lookback} seconds", f"{every} seconds").alias("w"), *keys
+    ).agg(*[v.alias(k) for k, v in sums.items()])
     return windows.withColumn("ts", F.col("w.end")).drop("w")
 
 
-def sliding_spikes(flows: DataFrame, baselines: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = False) -> DataFrame:
+def sliding_spikes(
+    flows: DataFrame, baselines: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = False
+) -> DataFrame:
     """ST4: spike scores of each sliding window, against the baseline of the hour of its end (a static table)."""
-    rows = window_sums(flows, ["tenant_id", "device", "interface"], {"current_bytes": F.sum("bytes_estimated")}, lookback, every, delay, panes)
-    known = baselines.where((F.col("sample_count") >= detect.MIN_BASELINE) & (F.col("stddev_value") != 0)).select("tenant_id", "device", "interface", "hour_of_day", "mean_value", "stddev_value")
-    scored = rows.withColumn("hour_of_day", F.hour("ts")).join(known, ["tenant_id", "device", "interface", "hour_of_day"]).withColumn("z_score", (F.col("current_bytes") - F.col("mean_value")) / F.col("stddev_value"))
+    rows = window_sums(
+        flows, ["tenant_id", "device", "interface"], {"current_bytes": F.sum("bytes_estimated")}, lookback, every, delay, panes
+    )
+    known = baselines.where((F.col("sample_count") >= detect.MIN_BASELINE) & (F.col("stddev_value") != 0)).select(
+        "tenant_id", "device", "interface", "hour_of_day", "mean_value", "stddev_value"
+    )
+    scored = rows.withColumn("hour_of_day", F.hour("ts")).join(known, ["tenant_id", "device", "interface", "hour_of_day"]).withColumn(
+        "z_score", (F.col("current_bytes") - F.col("mean_value")) / F.col("stddev_value")
+    )
     return scored.where(F.col("z_score") >= detect.Z_MEDIUM).select("ts", "tenant_id", "device", "interface", "current_bytes", "z_score")
 
 
 def sliding_stress(queues: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = False) -> DataFrame:
     """ST5: queue sums of each sliding window and the event type, as the batch detector has it."""
-    sums = {"pfc": F.sum(F.col("pfc_pause_rx") + F.col("pfc_pause_tx")), "ecn": F.sum("ecn_marked_packets"), "drops": F.sum("dropped_packets")}
+    sums = {
+        "pfc": F.sum(F.col("pfc_pause_rx") + F.col("pfc_pause_tx")), "ecn": F.sum("ecn_marked_packets"), "drops": F.sum("dropped_packets")
+    }
     rows = window_sums(queues, ["tenant_id", "device", "interface", "queue_id"], sums, lookback, every, delay, panes)
     lossless = (F.col("drops") > 0) & (F.col("pfc") > 0)
-    kinds = F.filter(F.array(F.when(lossless, "lossless_drop"), F.when(~lossless & (F.col("pfc") >= detect.PFC_STORM), "pfc_storm"), F.when(~lossless & (F.col("ecn") >= detect.ECN_SPIKE), "ecn_spike")), lambda k: k.isNotNull())
-    return rows.withColumn("anomaly_type", F.explode(kinds)).select("ts", "tenant_id", "device", "interface", "queue_id", "anomaly_type", "pfc", "ecn", "drops")
+    kinds = F.filter(
+        F.array(
+            F.when(lossless, "lossless_drop"), F.when(~lossless & (F.col("pfc") >= detect.PFC_STORM), "pfc_storm"),
+            F.when(~lossless & (F.col("ecn") >= detect.ECN_SPIKE), "ecn_spike")
+        ),
+        lambda k: k.isNotNull()
+    )
+    return rows.withColumn("anomaly_type", F.explode(kinds)).select(
+        "ts", "tenant_id", "device", "interface", "queue_id", "anomaly_type", "pfc", "ecn", "drops"
+    )
 
 
 def breach_batches(rows: DataFrame, emit: Callable[[DataFrame, int], None]) -> DataStreamWriter:
@@ -106,7 +131,11 @@ class Versions:
         """The version in use of each bucket after a batch; one row per bucket."""
         if number < 0:
             return {}
-        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").parquet(f"{self.root}/list/v={number}").collect()}
+        return {
+            r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").parquet(
+                f"{self.root}/list/v={number}"
+            ).collect()
+        }
 
     def _read(self, folders: dict[int, int]) -> DataFrame:
         if not folders:
@@ -118,9 +147,13 @@ class Versions:
         before = self._folders(number - 1)
         touched = {r[0] for r in batch.select(self._bucket()).distinct().collect()}  # at most as many as there are buckets
         out = merge(self._read({b: v for b, v in before.items() if b in touched}), batch).select(*self.schema.fieldNames())
-        out.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={number}")
+        out.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.root}/data/v={number}"
+        )
         now = before | dict.fromkeys(touched, number)
-        self.spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/list/v={number}")
+        self.spark.createDataFrame(
+            list(now.items()), "bucket int, version long"
+        ).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/list/v={number}")
         for bucket, version in self._folders(number - 2).items():
             if before.get(bucket) != version and now.get(bucket) != version:
                 delete(self.spark, f"{self.root}/data/v={version}/bucket={bucket}")
@@ -129,8 +162,16 @@ class Versions:
         return self._read(self._folders(number))
 
 
-STORED = T.StructType([T.StructField(c, T.TimestampType() if c.endswith("_at") else T.LongType() if c == "occurrence_count" else T.StringType()) for c in anomalies.STORED])
-HEARTBEATS = T.StructType([T.StructField("tenant_id", T.StringType()), T.StructField("source_kind", T.StringType()), T.StructField("device", T.StringType()), T.StructField("last_ingest_ts", T.TimestampType()), T.StructField("last_sample_count", T.IntegerType()), T.StructField("status", T.StringType())])
+STORED = T.StructType(
+    [T.StructField(c, T.TimestampType() if c.endswith("_at") else T.LongType() if c == "occurrence_count" else T.StringType()) for c in anomalies.STORED]
+)
+HEARTBEATS = T.StructType(
+    [
+        T.StructField("tenant_id", T.StringType()), T.StructField("source_kind", T.StringType()), T.StructField("device", T.StringType()),
+        T.StructField("last_ingest_ts", T.TimestampType()), T.StructField("last_sample_count", T.IntegerType()),
+        T.StructField("status", T.StringType())
+    ]
+)
 
 
 def dedup_batches(events: DataFrame, store: Versions) -> DataStreamWriter:
@@ -141,7 +182,9 @@ def dedup_batches(events: DataFrame, store: Versions) -> DataStreamWriter:
 def freshness_batches(ingested: DataFrame, store: Versions) -> DataStreamWriter:
     """ST8: each batch of ingested rows as heartbeats; ``freshness.scan`` classifies a version at any time, and
     ``timers.watch_freshness`` tells by itself when a source falls silent."""
-    return ingested.writeStream.foreachBatch(lambda batch, n: store.put(n, batch, lambda old, new: freshness.merge_heartbeats(old, freshness.heartbeats(new))))
+    return ingested.writeStream.foreachBatch(
+        lambda batch, n: store.put(n, batch, lambda old, new: freshness.merge_heartbeats(old, freshness.heartbeats(new)))
+    )
 
 
 class Routing:
@@ -152,7 +195,11 @@ class Routing:
     def __init__(self, read: Callable[[], DataFrame], root: str):
         self.read, self.root, self.failures = read, root.rstrip("/"), 0
         spark = SparkSession.active()
-        whole = [int(x.removeprefix("v=")) for x in names_in(spark, self.root) if x.startswith("v=") and exists(spark, f"{self.root}/{x}/_SUCCESS")]
+        whole = [
+            int(x.removeprefix("v=")) for x in names_in(spark, self.root) if x.startswith("v=") and exists(
+                spark, f"{self.root}/{x}/_SUCCESS"
+            )
+        ]
         self.version = max(whole, default=-1)
         self.last = spark.read.parquet(f"{self.root}/v={self.version}") if whole else None
 
@@ -173,7 +220,10 @@ class Routing:
 ACCEPTED = T.StructType([T.StructField("tool_name", T.StringType()), T.StructField("us", T.LongType())])
 
 
-def rate_batches(calls: DataFrame, store: Versions, path: str, limits: dict[str, int] = usage.CALL_LIMITS, other: int = 30, seconds: int = usage.WINDOW_SECONDS, tie: str = "event_id") -> DataStreamWriter:
+def rate_batches(
+    calls: DataFrame, store: Versions, path: str, limits: dict[str, int] = usage.CALL_LIMITS, other: int = 30,
+    seconds: int = usage.WINDOW_SECONDS, tie: str = "event_id"
+) -> DataStreamWriter:
     """Q20, exact, over a stream: each batch's calls are decided in order of time after those of the batches before. The decisions
     are written below ``path``, a folder a batch; ``store`` (``ACCEPTED``, by tool) keeps the accepted calls that still count, at most
     a tool's limit of them, and forgets those a window before the tool's last call."""
@@ -197,7 +247,9 @@ def split_late(records: DataFrame, path: str, delay: int, ts: str = "timestamp",
     def split(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{path}/seen/batch={number - 1}").first()["us"] if number else None
-        closed = (F.unix_seconds(ts) - F.pmod(F.unix_seconds(ts), F.lit(bucket)) + bucket) * 1_000_000 <= F.lit(before).cast("long") - delay * 1_000_000
+        closed = (
+            F.unix_seconds(ts) - F.pmod(F.unix_seconds(ts), F.lit(bucket)) + bucket
+        ) * 1_000_000 <= F.lit(before).cast("long") - delay * 1_000_000
         late = F.coalesce(closed, F.lit(False))
         batch.persist()
         last = batch.agg(F.max(F.unix_micros(ts)).alias("us")).select(F.greatest(F.col("us"), F.lit(before).cast("long")).alias("us"))

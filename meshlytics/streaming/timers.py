@@ -118,14 +118,18 @@ def windows_from_panes(rows: DataFrame, keys: list[str], sums: dict[str, Column]
     keeps those of a ``lookback`` as one state row. A timer adds up the panes of each window that the watermark has passed,
     and so gives the rows of ``groupBy(window(...))``, which has a copy of each row, and a state row, for every window.
     """
-    panes = rows.withWatermark("ts_bucket", delay).groupBy(F.window("ts_bucket", f"{every} seconds").alias("w"), *keys).agg(*[v.alias(k) for k, v in sums.items()])
+    panes = rows.withWatermark("ts_bucket", delay).groupBy(
+        F.window("ts_bucket", f"{every} seconds").alias("w"), *keys
+    ).agg(*[v.alias(k) for k, v in sums.items()])
     panes = panes.select(F.window_time("w").alias("time"), F.unix_seconds("w.start").alias("pane"), *keys, *sums)
     names, kinds = list(sums), {f.name: f.dataType.simpleString() for f in panes.schema.fields}
     fields = [*keys, "_end", *names]
 
     class Panes(StatefulProcessor):
         def init(self, handle) -> None:
-            self.handle, self.state = handle, handle.getValueState("panes", "next long, starts array<bigint>, " + ", ".join(f"s{k} array<bigint>" for k in range(len(names))))
+            self.handle, self.state = handle, handle.getValueState(
+                "panes", "next long, starts array<bigint>, " + ", ".join(f"s{k} array<bigint>" for k in range(len(names)))
+            )
 
         def _emit(self, key: tuple, end: int, held: dict, now: int) -> Iterator[pd.DataFrame]:
             """The windows up to ``now``; what may still be asked for stays."""

@@ -17,17 +17,27 @@ def at(text):
     return dt.datetime.fromisoformat(text)
 
 
-@pytest.mark.parametrize(("utils", "reason"), [([40, 41, 39, 42], "balanced"), ([80, 10, 10, 10], "imbalanced"), ([1, 0, 0, 0], "below_min_util")])
+@pytest.mark.parametrize(
+    ("utils", "reason"), [([40, 41, 39, 42], "balanced"), ([80, 10, 10, 10], "imbalanced"), ([1, 0, 0, 0], "below_min_util")]
+)
 def test_imbalance(spark, utils, reason):
-    members = spark.createDataFrame([(T, "d", str(i), float(u)) for i, u in enumerate(utils)], "tenant_id string, device string, interface string, avg_util_pct double")
-    groups = spark.createDataFrame([(T, "d", "g", ["0", "1", "2", "3", "9"], "configured")], "tenant_id string, device string, group_name string, members array<string>, source string")
+    members = spark.createDataFrame(
+        [(T, "d", str(i), float(u)) for i, u in enumerate(utils)], "tenant_id string, device string, interface string, avg_util_pct double"
+    )
+    groups = spark.createDataFrame(
+        [(T, "d", "g", ["0", "1", "2", "3", "9"], "configured")],
+        "tenant_id string, device string, group_name string, members array<string>, source string"
+    )
     row = fabric.group_imbalance(groups, members).first()
     assert row["reason"] == reason and row["n_members"] == 4
 
 
 def test_single_member_is_no_group(spark):
     members = spark.createDataFrame([(T, "d", "0", 50.0)], "tenant_id string, device string, interface string, avg_util_pct double")
-    groups = spark.createDataFrame([(T, "d", "g", ["0", "1"], "configured")], "tenant_id string, device string, group_name string, members array<string>, source string")
+    groups = spark.createDataFrame(
+        [(T, "d", "g", ["0", "1"], "configured")],
+        "tenant_id string, device string, group_name string, members array<string>, source string"
+    )
     assert fabric.group_imbalance(groups, members).count() == 0
 
 
@@ -35,7 +45,8 @@ QUEUE = "tenant_id string, device string, interface string, queue_id int, pfc_pa
 
 
 @pytest.mark.parametrize(("queues", "share", "severity", "n"), [
-    ([(10, 0, 0, 5)], 0.0, "critical", 1), ([(2000, 0, 0, 0)], 0.0, "high", 1), ([(1000, 0, 0, 0)], 0.0, "low", 1), ([(0, 0, 7, 0)], 0.0, "medium", 1),
+    ([(10, 0, 0, 5)], 0.0, "critical", 1), ([(2000, 0, 0, 0)], 0.0, "high", 1), ([(1000, 0, 0, 0)], 0.0, "low", 1),
+    ([(0, 0, 7, 0)], 0.0, "medium", 1),
     ([(0, 0, 0, 3), (0, 0, 7, 0)], 0.0, "medium", 2), ([], 0.9, "low", 1), ([], 0.1, "low", 1),
 ])
 def test_rdma_severity(spark, queues, share, severity, n):
@@ -45,15 +56,29 @@ def test_rdma_severity(spark, queues, share, severity, n):
     assert row["severity"] == severity and len(row["drivers"]) == n
 
 
-@pytest.mark.parametrize(("kind", "seconds", "status"), [("sflow", 170, "fresh"), ("sflow", 180, "stale"), ("sflow", 900, "silent"), ("gnmi", 90, "stale"), ("gnmi", 540, "silent"), ("other", 299, "fresh"), ("other", 301, "stale")])
+@pytest.mark.parametrize(
+    ("kind", "seconds", "status"),
+    [
+        ("sflow", 170, "fresh"), ("sflow", 180, "stale"), ("sflow", 900, "silent"), ("gnmi", 90, "stale"), ("gnmi", 540, "silent"),
+        ("other", 299, "fresh"), ("other", 301, "stale")
+    ]
+)
 def test_freshness(spark, kind, seconds, status):
     last = at(NOW) - dt.timedelta(seconds=seconds)
-    row = spark.createDataFrame([(kind, last)], "k string, t timestamp").select(freshness.classify(C.at(NOW), F.col("t"), F.col("k")).alias("s")).first()
+    row = spark.createDataFrame([(kind, last)], "k string, t timestamp").select(
+        freshness.classify(C.at(NOW), F.col("t"), F.col("k")).alias("s")
+    ).first()
     assert row["s"] == status
 
 
 def test_fingerprint_tells_causes_apart(spark):
-    df = spark.createDataFrame([("t", "pfc_storm", "device:s", '{"queue":3}'), ("t", "pfc_storm", "device:s", '{"queue":4}'), ("t", "pfc_storm", "device:s", None)], "a string, b string, c string, d string")
+    df = spark.createDataFrame(
+        [
+            ("t", "pfc_storm", "device:s", '{"queue":3}'), ("t", "pfc_storm", "device:s", '{"queue":4}'),
+            ("t", "pfc_storm", "device:s", None)
+        ],
+        "a string, b string, c string, d string"
+    )
     found = [r[0] for r in df.select(C.fingerprint("a", "b", "c", F.col("d"))).collect()]
     import hashlib
 
@@ -61,8 +86,14 @@ def test_fingerprint_tells_causes_apart(spark):
 
 
 def test_status_time_and_text_clean_up(spark):
-    df = spark.createDataFrame([("oc:up", "1767225600123456789", " x "), (None, "2026-01-01T00:00:00Z", " "), ("odd", "never", None)], "s string, t string, x string")
-    rows = df.select(C.admin_state("s").alias("a"), C.oper_state("s").alias("o"), C.bgp_state("s").alias("b"), C.parse_time("t").alias("t"), C.safe_str("x").alias("x")).collect()
+    df = spark.createDataFrame(
+        [("oc:up", "1767225600123456789", " x "), (None, "2026-01-01T00:00:00Z", " "), ("odd", "never", None)],
+        "s string, t string, x string"
+    )
+    rows = df.select(
+        C.admin_state("s").alias("a"), C.oper_state("s").alias("o"), C.bgp_state("s").alias("b"), C.parse_time("t").alias("t"),
+        C.safe_str("x").alias("x")
+    ).collect()
     assert [(r.a, r.o, r.b) for r in rows] == [("UP", "UP", "IDLE"), ("UNKNOWN", "UNKNOWN", "IDLE"), ("UNKNOWN", "UNKNOWN", "IDLE")]
     assert rows[0].t.microsecond == 123456 and rows[1].t is not None and rows[2].t is None
     assert [r.x for r in rows] == ["x", None, None]
@@ -73,7 +104,10 @@ def test_parsers_keep_last_leaf_and_drop_incomplete(spark):
         return {"path": path, "val": val}
 
     i = "interfaces/interface[name=Ethernet0]/state/"
-    feed = spark.createDataFrame([("leaf1", at(NOW), [{"update": [up(i + "oper-status", "DOWN"), up(i + "oper-status", "UP"), up(i + "admin-status", "UP"), up(i + "mtu", "x")]}, {"update": [up("interfaces/interface[name=Ethernet9]/state/mtu", "9000")]}])], feeds.NOTIFICATIONS)
+    feed = spark.createDataFrame(
+        [("leaf1", at(NOW), [{"update": [up(i + "oper-status", "DOWN"), up(i + "oper-status", "UP"), up(i + "admin-status", "UP"), up(i + "mtu", "x")]}, {"update": [up("interfaces/interface[name=Ethernet9]/state/mtu", "9000")]}])],
+        feeds.NOTIFICATIONS
+    )
     rows = feeds.interface_states(feeds.flatten_notifications(feed)).collect()
     assert len(rows) == 1 and rows[0].oper_status == "UP" and rows[0].mtu is None
     q = "qos/interfaces/interface[interface-id=Ethernet0]/output/queues/queue[name=%s]/state/dropped-pkts"
@@ -101,7 +135,13 @@ def test_record_counts_up_escalates_and_reopens(spark):
     base = [(T, "k", "s", "medium", "one", None, at("2026-01-01 00:00:00"), "f")]
     schema = "tenant_id string, anomaly_type string, scope string, severity string, summary string, metadata_json string, ts timestamp, fingerprint string"
     stored = anomalies.condense(spark.createDataFrame(base, schema))
-    worse = spark.createDataFrame([(T, "k", "s", "critical", "two", None, at("2026-01-02 00:00:00"), "f"), (T, "k", "s", "low", "three", None, at("2026-01-03 00:00:00"), "f")], schema)
+    worse = spark.createDataFrame(
+        [
+            (T, "k", "s", "critical", "two", None, at("2026-01-02 00:00:00"), "f"),
+            (T, "k", "s", "low", "three", None, at("2026-01-03 00:00:00"), "f")
+        ],
+        schema
+    )
     row = anomalies.record(stored, worse).first()
     assert (row.occurrence_count, row.severity, row.summary) == (3, "critical", "three")
     resolved = stored.withColumn("resolved_at", C.at(NOW))
@@ -109,10 +149,14 @@ def test_record_counts_up_escalates_and_reopens(spark):
 
 
 def test_spike_needs_samples_and_spread(spark):
-    flow = spark.createDataFrame([(T, at(NOW), "d", "i", 1000)], "tenant_id string, ts_bucket timestamp, device string, interface string, bytes_estimated long")
+    flow = spark.createDataFrame(
+        [(T, at(NOW), "d", "i", 1000)], "tenant_id string, ts_bucket timestamp, device string, interface string, bytes_estimated long"
+    )
     schema = "tenant_id string, device string, interface string, hour_of_day int, mean_value double, stddev_value double, sample_count long, computed_at timestamp"
     for base, n in (((100.0, 10.0, 3), 1), ((100.0, 0.0, 3), 0), ((100.0, 10.0, 2), 0)):
-        known = spark.createDataFrame([(T, "d", "i", 12, *base, at(NOW)), (T, "d", "i", 12, 0.0, 1e9, 9, at("2026-01-01 00:00:00"))], schema)
+        known = spark.createDataFrame(
+            [(T, "d", "i", 12, *base, at(NOW)), (T, "d", "i", 12, 0.0, 1e9, 9, at("2026-01-01 00:00:00"))], schema
+        )
         assert detect.spikes(flow, known, C.at(NOW)).count() == n
 
 
@@ -124,7 +168,10 @@ def test_baseline_uses_population_deviation(spark):
 
 
 def test_counter_speed_and_cap(spark):
-    df = spark.createDataFrame([("a", 1, "e", 0, 10**12, 30, 1, 2, at(NOW))], "agent string, if_index int, if_name string, if_speed long, if_in_octets long, if_out_octets long, if_in_errors int, if_out_errors int, timestamp timestamp")
+    df = spark.createDataFrame(
+        [("a", 1, "e", 0, 10**12, 30, 1, 2, at(NOW))],
+        "agent string, if_index int, if_name string, if_speed long, if_in_octets long, if_out_octets long, if_in_errors int, if_out_errors int, timestamp timestamp"
+    )
     row = normalize.normalize_counters(df).first()
     assert (row.in_util_pct, row.out_bps, row.error_count) == (100.0, 8, 3)
 
@@ -135,7 +182,11 @@ def test_rate_decisions_match_a_plain_limiter(spark):
     random.seed(4)
     times = sorted(random.choice(range(0, 40_000_000_000, 7_000_000)) for _ in range(700))
     rows = [(k, "tool", at("2026-01-01 00:00:00") + dt.timedelta(microseconds=t)) for k, t in enumerate(times)]
-    got = {r.event_id: r.accepted for r in usage.rate_decisions(spark.createDataFrame(rows, "event_id long, tool_name string, ts timestamp"), {"tool": 1}).collect()}
+    got = {
+        r.event_id: r.accepted for r in usage.rate_decisions(
+            spark.createDataFrame(rows, "event_id long, tool_name string, ts timestamp"), {"tool": 1}
+        ).collect()
+    }
     kept, want = [], {}
     for k, t in enumerate(times):
         kept = [x for x in kept if t - x < 60_000_000]
@@ -155,7 +206,10 @@ def test_canonical_json(spark):
     import hashlib
     import json
 
-    texts = ['{"k": 87}', '{"b": 1, "a": {"d": [1, 2, {"z": null, "y": true}], "c": "x y"}}', '{"é": "ü 日本 😀", "a": -1.5}', "{}", '[3, "a"]', '"t\\n"']
+    texts = [
+        '{"k": 87}', '{"b": 1, "a": {"d": [1, 2, {"z": null, "y": true}], "c": "x y"}}', '{"é": "ü 日本 😀", "a": -1.5}', "{}", '[3, "a"]',
+        '"t\\n"'
+    ]
     df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "no json", None])], "k long, t string")
     got = {r.k: (r.c, r.h) for r in df.select("k", C.canonical_json("t").alias("c"), usage.args_hash(F.col("t")).alias("h")).collect()}
     for k, t in enumerate(texts):
@@ -189,11 +243,15 @@ def test_quota_decisions_by_minutes_are_those_of_one_window(spark):
     for k, _, _, ts, b in sorted(rows, key=lambda r: (r[3], r[0])):
         n, size = n + 1, size + (b or 0)
         seen = None if got[k][1] is None else size
-        assert got[k] == (n, seen, n <= 400 and size <= 60_000, "call_limit_exceeded" if n > 400 else "byte_limit_exceeded" if size > 60_000 else "ok")
+        assert got[k] == (
+            n, seen, n <= 400 and size <= 60_000, "call_limit_exceeded" if n > 400 else "byte_limit_exceeded" if size > 60_000 else "ok"
+        )
 
 
 def test_month_layout_prunes(spark, tmp_path):
-    df = spark.createDataFrame([(T, at("2026-01-05 00:00:00"), "d"), (T, at("2025-11-05 00:00:00"), "d")], "tenant_id string, ts_bucket timestamp, device string")
+    df = spark.createDataFrame(
+        [(T, at("2026-01-05 00:00:00"), "d"), (T, at("2025-11-05 00:00:00"), "d")], "tenant_id string, ts_bucket timestamp, device string"
+    )
     path = str(tmp_path / "t")
     sinks.append_monthly(df, path)
     sinks.append_monthly(df, path)

@@ -41,7 +41,9 @@ BEATS = "tenant_id string, source_kind string, device string, ts timestamp, samp
 def test_silence_by_event_time_in_batches(spark, tmp_path):
     """The same changes however the rows are dealt to batches, and the statuses of the batch classification at the end."""
     beat = lambda kind, device, second: ("t", kind, device, START + dt.timedelta(seconds=second), 1)
-    rows = [beat("sflow", "a", s) for s in (0, 60, 100, 400, 2000, 2010)] + [beat("gnmi", "a", 0), beat("gnmi", "b", 3000), beat("other", "c", 100), beat("other", "c", 100), beat("other", "c", 3100)]
+    rows = [beat("sflow", "a", s) for s in (0, 60, 100, 400, 2000, 2010)] + [
+        beat("gnmi", "a", 0), beat("gnmi", "b", 3000), beat("other", "c", 100), beat("other", "c", 100), beat("other", "c", 3100)
+    ]
     rows.sort(key=lambda r: r[3])
     rows.append(("t", "sflow", "nulltime", None, 1))
     seen = []
@@ -51,7 +53,9 @@ def test_silence_by_event_time_in_batches(spark, tmp_path):
             out = str(tmp_path / f"out{n}")
             run(timers.watch_freshness(feed).writeStream.format("parquet").option("path", out).outputMode("append"), tmp_path, f"cp{n}")
             changes = spark.read.parquet(out)
-            seen.append({(r.source_kind, r.device, r.status, (r.changed_at - START).seconds, (r.since - START).seconds) for r in changes.collect()})
+            seen.append(
+                {(r.source_kind, r.device, r.status, (r.changed_at - START).seconds, (r.since - START).seconds) for r in changes.collect()}
+            )
             now = F.lit(str(START + dt.timedelta(seconds=3100))).cast("timestamp")
             known = freshness.scan(freshness.heartbeats(spark.createDataFrame(rows, BEATS).where("ts is not null")), now)
             want = {(r.source_kind, r.device, r.status) for r in known.collect()}
@@ -59,7 +63,12 @@ def test_silence_by_event_time_in_batches(spark, tmp_path):
             assert {(k, d, status.get((k, d), "fresh")) for k, d, _ in want} == want
     assert seen[0] == seen[1] == seen[2]
     a = sorted(x[2:] for x in seen[0] if x[:2] == ("sflow", "a"))
-    assert a == sorted([("stale", 280, 100), ("recovered", 400, 100), ("stale", 580, 400), ("silent", 1300, 400), ("recovered", 2000, 400), ("stale", 2190, 2010), ("silent", 2910, 2010)])
+    assert a == sorted(
+        [
+            ("stale", 280, 100), ("recovered", 400, 100), ("stale", 580, 400), ("silent", 1300, 400), ("recovered", 2000, 400),
+            ("stale", 2190, 2010), ("silent", 2910, 2010)
+        ]
+    )
 
 
 def test_silence_by_the_clock_without_rows(spark, tmp_path):
@@ -70,13 +79,19 @@ def test_silence_by_the_clock_without_rows(spark, tmp_path):
     feed = folder_stream(spark, tmp_path, BEATS, [row(now)])
     out, deadline = str(tmp_path / "out"), time.time() + 60
     with timers.with_rocksdb(spark):
-        q = timers.watch_freshness(feed, scale, clock=True).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+        q = timers.watch_freshness(feed, scale, clock=True).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "cp")
+        ).trigger(processingTime="1 second").start()
         try:
-            found = lambda: {r.status for r in spark.read.schema("status string").parquet(out).collect()} if os.path.exists(out) else set()
+            found = lambda: {
+                r.status for r in spark.read.schema("status string").parquet(out).collect()
+            } if os.path.exists(out) else set()
             while time.time() < deadline and not {"stale", "silent"} <= found():
                 time.sleep(1)
             assert found() == {"stale", "silent"}
-            spark.createDataFrame(row(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)), BEATS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            spark.createDataFrame(
+                row(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)), BEATS
+            ).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
             while time.time() < deadline and "recovered" not in found():
                 time.sleep(1)
             assert "recovered" in found()
@@ -96,7 +111,12 @@ def test_windows_from_panes_are_the_sliding_ones(spark, tmp_path):
         m = 0
         while m < 300:
             m += rng.choice([0, 0, 1, 1, 2, 40])
-            rows.append(("t", START + dt.timedelta(minutes=m), f"d{d}", "i", d % 2, rng.choice([0, 700]), rng.choice([0, 700]), rng.choice([0, 300]), rng.choice([0, 0, 3])))
+            rows.append(
+                (
+                    "t", START + dt.timedelta(minutes=m), f"d{d}", "i", d % 2, rng.choice([0, 700]), rng.choice([0, 700]),
+                    rng.choice([0, 300]), rng.choice([0, 0, 3])
+                )
+            )
     rows.sort(key=lambda r: r[1])
     batches = [rows[k : k + len(rows) // 5 + 1] for k in range(0, len(rows), len(rows) // 5 + 1)]
     got, state = {}, {}
@@ -104,7 +124,9 @@ def test_windows_from_panes_are_the_sliding_ones(spark, tmp_path):
         at = tmp_path / str(panes)
         feed = folder_stream(spark, at, QUEUES, batches)
         with timers.with_rocksdb(spark):
-            q = run(streams.sliding_stress(feed, panes=panes).writeStream.format("parquet").option("path", f"{at}/out").outputMode("append"), at)
+            q = run(
+                streams.sliding_stress(feed, panes=panes).writeStream.format("parquet").option("path", f"{at}/out").outputMode("append"), at
+            )
         got[panes] = Counter(tuple(r) for r in spark.read.parquet(f"{at}/out").collect())
         state[panes] = max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress)
     assert got[True] == got[False] and len(got[True]) > 50
@@ -139,12 +161,21 @@ def test_rate_stream_over_batches_and_a_restart(spark, tmp_path):
     schema = spark.createDataFrame([], CALLS).schema
     for k in range(4):  # a start for each part: the stream finds its place and its state again
         spark.createDataFrame(calls[cut[k] : cut[k + 1]], CALLS).write.mode("append").parquet(str(tmp_path / "in"))
-        q = run(streams.rate_batches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "out"), limits, 5, 60), tmp_path)
+        q = run(
+            streams.rate_batches(
+                spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "out"), limits, 5, 60
+            ),
+            tmp_path
+        )
         held = store.at(q.lastProgress["batchId"]).groupBy("tool_name").count().collect()
         assert all(r["count"] <= limits.get(r.tool_name, 5) for r in held)
     got = {r.event_id: (r.accepted, r.retry_after_seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == decisions(calls, limits, 5, 60)
-    assert got == {r.event_id: (r.accepted, r.retry_after_seconds) for r in usage.rate_decisions(spark.createDataFrame(calls, CALLS), limits, 5, 60).collect()}
+    assert got == {
+        r.event_id: (r.accepted, r.retry_after_seconds) for r in usage.rate_decisions(
+            spark.createDataFrame(calls, CALLS), limits, 5, 60
+        ).collect()
+    }
     # The same batch once more, as after a lost driver: nothing changes.
     before = store.at(3).orderBy("tool_name", "us").collect()
     spark.createDataFrame(calls[cut[3] :], CALLS).write.parquet(str(tmp_path / "again"))
@@ -156,18 +187,29 @@ def test_rate_stream_over_batches_and_a_restart(spark, tmp_path):
 def test_late_rows_beside_the_minutes(spark, tmp_path):
     """Closed minutes and late rows together are all rows."""
     raw = view(spark, SF, "flow_raw")
-    records = raw.withColumn("k", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("timestamp", "event_id"))).cache()
+    records = raw.withColumn(
+        "k", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("timestamp", "event_id"))
+    ).cache()
     n = records.count()
     schema = raw.schema
     for part in range(3):
-        own = records.where((F.col("k") * 3 > n * part) & (F.col("k") * 3 <= n * (part + 1)) & (F.col("event_id") % 7 != 0) if part < 2 else (F.col("k") * 3 > n * 2) | (F.col("event_id") % 7 == 0))
+        own = records.where(
+            (F.col("k") * 3 > n * part) & (
+                F.col("k") * 3 <= n * (part + 1)
+            ) & (F.col("event_id") % 7 != 0) if part < 2 else (F.col("k") * 3 > n * 2) | (F.col("event_id") % 7 == 0)
+        )
         own.drop("k").write.mode("append").parquet(str(tmp_path / "in"))
         run(streams.split_late(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "split"), 120), tmp_path)
     late, ontime = spark.read.parquet(str(tmp_path / "split/late")), spark.read.parquet(str(tmp_path / "split/ontime"))
     assert late.count() > 0 and late.count() + ontime.count() == n and late.select("event_id").union(ontime.select("event_id")).distinct().count() == n
     sources = view(spark, SF, "collector_sources")
     rows = spark.readStream.schema(schema).parquet(str(tmp_path / "split/ontime/batch=*"))
-    run(streams.flow_minutes(rows, sources, "2 minutes", "event_id").writeStream.format("parquet").option("path", str(tmp_path / "minutes")).outputMode("append"), tmp_path, "cp2")
+    run(
+        streams.flow_minutes(
+            rows, sources, "2 minutes", "event_id"
+        ).writeStream.format("parquet").option("path", str(tmp_path / "minutes")).outputMode("append"),
+        tmp_path, "cp2"
+    )
     minutes = spark.read.parquet(str(tmp_path / "minutes"))
     last = minutes.agg(F.max("ts_bucket")).first()[0]
     total = lambda df, c="bytes_estimated": df.where(F.col("ts_bucket") <= F.lit(last)).agg(F.sum(c)).first()[0] or 0
@@ -175,7 +217,10 @@ def test_late_rows_beside_the_minutes(spark, tmp_path):
     assert total(minutes) + total(of_late) == total(normalize.normalize_flows(raw, "event_id"))
     # A batch that is run again leaves its folders as they are.
     before = {f: f.stat().st_mtime_ns for f in (tmp_path / "split").rglob("*.parquet")}
-    run(streams.split_late(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "split"), 120), tmp_path, "cp_again")
+    run(
+        streams.split_late(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "split"), 120), tmp_path,
+        "cp_again"
+    )
     assert {f: f.stat().st_mtime_ns for f in (tmp_path / "split").rglob("*.parquet")} == before
 
 
@@ -225,7 +270,9 @@ def test_dropping_months_leaves_the_others_alone(spark, tmp_path):
 
 
 def test_moments_merge_to_the_full_recompute(spark, tmp_path):
-    flows = normalize.route(normalize.normalize_flows(view(spark, SF, "flow_raw"), "event_id"), view(spark, SF, "collector_sources"), "sflow").cache()
+    flows = normalize.route(
+        normalize.normalize_flows(view(spark, SF, "flow_raw"), "event_id"), view(spark, SF, "collector_sources"), "sflow"
+    ).cache()
     at = str(tmp_path / "moments")
     late = F.pmod(F.xxhash64("src_ip", "ts_bucket"), F.lit(5)) == 0
     baselines.refresh_moments(flows.where(~late), at, [f"2024-01-{d:02d}" for d in range(1, 32)])
@@ -241,7 +288,9 @@ def test_moments_merge_to_the_full_recompute(spark, tmp_path):
         assert got.keys() == want.keys() and want
         for k, r in got.items():
             assert r.sample_count == want[k].sample_count
-            assert r.mean_value == pytest.approx(want[k].mean_value, rel=1e-9) and r.stddev_value == pytest.approx(want[k].stddev_value, rel=1e-9, abs=1e-6)
+            assert r.mean_value == pytest.approx(want[k].mean_value, rel=1e-9) and r.stddev_value == pytest.approx(
+                want[k].stddev_value, rel=1e-9, abs=1e-6
+            )
     assert "PartitionFilters: [isnotnull(day" in plan._jdf.queryExecution().toString()
 
 
@@ -254,8 +303,16 @@ def test_trend_without_sorting_a_link(spark):
         slope = rng.choice([-40, 0, 40])
         for k in range(rng.choice([1, 2, 3, 50, 301])):
             u = None if rng.random() < 0.1 else 50 + slope * k / 300 + rng.random()
-            rows.append(("t" if link else None, "d", str(link), START + dt.timedelta(minutes=rng.randrange(0, 600) if link % 2 else k // 4), u, None if rng.random() < 0.1 else 10.0, k))
-    df = spark.createDataFrame(rows, "tenant_id string, device string, interface string, ts_bucket timestamp, in_util_pct double, out_util_pct double, event_id long")
+            rows.append(
+                (
+                    "t" if link else None, "d", str(link), START + dt.timedelta(minutes=rng.randrange(0, 600) if link % 2 else k // 4), u,
+                    None if rng.random() < 0.1 else 10.0, k
+                )
+            )
+    df = spark.createDataFrame(
+        rows,
+        "tenant_id string, device string, interface string, ts_bucket timestamp, in_util_pct double, out_util_pct double, event_id long"
+    )
     out = interfaces.interface_utilization(df, C.at("2026-01-02 00:00:00"), 2000, "event_id")
     got = {r.interface: r for r in out.collect()}
     for link in {r[2] for r in rows}:
@@ -273,22 +330,35 @@ def test_trend_without_sorting_a_link(spark):
 def test_json_feeds_with_quarantine(spark, tmp_path):
     (tmp_path / "feed").mkdir()
     flow = {"agent": "sw1", "inputifindex": 1, "bytes": 10, "packets": 2}
-    docs = [{"fetched_at": "2026-01-01T10:00:00.000Z", "flows": [flow, flow | {"bytes": "n/a"}, {"bytes": 5}]}, {"fetched_at": "2026-01-01T10:01:00.000Z", "flows": []}, {"flows": [flow]}]
+    docs = [
+        {"fetched_at": "2026-01-01T10:00:00.000Z", "flows": [flow, flow | {"bytes": "n/a"}, {"bytes": 5}]},
+        {"fetched_at": "2026-01-01T10:01:00.000Z", "flows": []}, {"flows": [flow]}
+    ]
     lines = [json.dumps(d) for d in docs] + ['{"flows": [{"agent": "sw1", ', "no json at all", '{"flows": "nothing"}']
     for k, line in enumerate(lines):
         (tmp_path / "feed" / f"{k}.json").write_text(line + "\n")
-    q = run(streams.feed_batches(feeds.json_stream(spark, str(tmp_path / "feed"), feeds.FLOW_FEED, 2), str(tmp_path / "out"), flows=True), tmp_path)
+    q = run(
+        streams.feed_batches(feeds.json_stream(spark, str(tmp_path / "feed"), feeds.FLOW_FEED, 2), str(tmp_path / "out"), flows=True),
+        tmp_path
+    )
     assert q.lastProgress["batchId"] == 2
     rows = spark.read.parquet(str(tmp_path / "out/records")).collect()
-    assert sorted((r.agent, r.bytes, r.sampling_rate, str(r.timestamp)) for r in rows) == [("sw1", 10, 1, "2026-01-01 10:00:00"), ("sw1", 10, 1, "None")]
+    assert sorted(
+        (r.agent, r.bytes, r.sampling_rate, str(r.timestamp)) for r in rows
+    ) == [("sw1", 10, 1, "2026-01-01 10:00:00"), ("sw1", 10, 1, "None")]
     bad = [r.document for r in spark.read.parquet(str(tmp_path / "out/quarantine")).collect()]
     assert sorted(bad) == sorted(lines[3:])
     whole = tmp_path / "whole"
     whole.mkdir()
     (whole / "a.json").write_text(json.dumps(docs[0], indent=2))
     (whole / "b.json").write_text('{\n"flows": [\n')
-    run(streams.feed_batches(feeds.json_stream(spark, str(whole), feeds.FLOW_FEED, whole_files=True), str(tmp_path / "out2"), flows=True), tmp_path, "cp2")
-    assert spark.read.parquet(str(tmp_path / "out2/records")).count() == 1 and spark.read.parquet(str(tmp_path / "out2/quarantine")).count() == 1
+    run(
+        streams.feed_batches(feeds.json_stream(spark, str(whole), feeds.FLOW_FEED, whole_files=True), str(tmp_path / "out2"), flows=True),
+        tmp_path, "cp2"
+    )
+    assert spark.read.parquet(str(tmp_path / "out2/records")).count() == 1 and spark.read.parquet(
+        str(tmp_path / "out2/quarantine")
+    ).count() == 1
 
 
 def test_upsert_by_buckets(spark, tmp_path):
@@ -320,13 +390,25 @@ def test_upsert_by_buckets(spark, tmp_path):
 def test_json_as_python_writes_it(spark):
     import hashlib
 
-    texts = ['{"a": 1.0}', '{"a": 1e20, "b": 1E-7, "c": 100.0, "d": -0.0, "e": 1e400}', '{"i": ' + "7" * 44 + "}", '{"d": "\x7f \\u007f \\ud800 /"}', '{"k": 1, "a": {"z": 2.50, "b": [1.10, 3]}, "k": 2}', "[NaN, -Infinity]", "1.5e3", '{"deep": ' + "[" * 300 + "]" * 300 + "}"]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, "{"), (98, None), (97, "[" * 200_000), (96, "9" * 5000)], "k long, t string")
-    got = {r.k: (r.c, r.h, r.s) for r in df.select("k", C.canonical_json("t").alias("c"), usage.args_hash(F.col("t")).alias("h"), usage.truncate_args(F.col("t")).alias("s")).collect()}
+    texts = [
+        '{"a": 1.0}', '{"a": 1e20, "b": 1E-7, "c": 100.0, "d": -0.0, "e": 1e400}', '{"i": ' + "7" * 44 + "}",
+        '{"d": "\x7f \\u007f \\ud800 /"}', '{"k": 1, "a": {"z": 2.50, "b": [1.10, 3]}, "k": 2}', "[NaN, -Infinity]", "1.5e3",
+        '{"deep": ' + "[" * 300 + "]" * 300 + "}"
+    ]
+    df = spark.createDataFrame(
+        [(k, t) for k, t in enumerate(texts)] + [(99, "{"), (98, None), (97, "[" * 200_000), (96, "9" * 5000)], "k long, t string"
+    )
+    got = {
+        r.k: (r.c, r.h, r.s) for r in df.select(
+            "k", C.canonical_json("t").alias("c"), usage.args_hash(F.col("t")).alias("h"), usage.truncate_args(F.col("t")).alias("s")
+        ).collect()
+    }
     for k, t in enumerate(texts):
         want = json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"))
         assert got[k][:2] == (want, hashlib.sha256(want.encode()).hexdigest()), t
     assert got[0][2] == '{"a":1.0}' and got[5][2] is None
     assert all(got[k] == (None, None, None) for k in (96, 97, 98, 99))
-    same = spark.createDataFrame([("{}",), (None,), ("[]",)], "c string").select(C.fingerprint(F.lit("t"), F.lit("k"), F.lit("s"), F.col("c")).alias("f")).distinct()
+    same = spark.createDataFrame([("{}",), (None,), ("[]",)], "c string").select(
+        C.fingerprint(F.lit("t"), F.lit("k"), F.lit("s"), F.col("c")).alias("f")
+    ).distinct()
     assert [r.f for r in same.collect()] == [hashlib.sha256(b"t|k|s|").hexdigest()]

@@ -26,7 +26,9 @@ def streamed(spark, df, tmp_path, name, files=3):
 
 
 def collected(spark, df, tmp_path, name):
-    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
+    q = df.writeStream.format("memory").queryName(name).option(
+        "checkpointLocation", str(tmp_path / f"cp_{name}")
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     return spark.table(name)
 
@@ -50,7 +52,10 @@ def test_flow_minutes(spark, sources, tmp_path):
     got = collected(spark, streams.flow_minutes(feed, sources, "40 days", "event_id"), tmp_path, "st1").where("device <> 'sentinel'")
     want = normalize.route(normalize.normalize_flows(view(spark, SF, "flow_raw"), "event_id"), sources, "sflow")
     last = got.agg(F.max("ts_bucket")).first()[0]
-    columns = ["ts_bucket", "device", "interface", "src_ip", "dst_ip", "protocol", "bytes_estimated", "packets_estimated", "sampling_rate", "tenant_id"]
+    columns = [
+        "ts_bucket", "device", "interface", "src_ip", "dst_ip", "protocol", "bytes_estimated", "packets_estimated", "sampling_rate",
+        "tenant_id"
+    ]
     if last is not None:
         assert rows_of(got, columns) == rows_of(want.where(F.col("ts_bucket") <= F.lit(last)), columns)
     assert got.count() >= 0
@@ -66,7 +71,9 @@ def test_utilization(spark, sources, tmp_path):
 def test_state_batches_and_routing(spark, sources, tmp_path):
     path = F.concat(F.lit("interfaces/interface[name="), F.col("interface"), F.lit("]/state/oper-status"))
     update = F.struct(path.alias("path"), F.col("oper_status").alias("val"))
-    raw = view(spark, SF, "iface_raw").select("device", "timestamp", F.array(F.struct(F.array(update).alias("update"))).alias("notification"))
+    raw = view(spark, SF, "iface_raw").select(
+        "device", "timestamp", F.array(F.struct(F.array(update).alias("update"))).alias("notification")
+    )
     feed = streamed(spark, raw, tmp_path, "st")
     calls = []
 
@@ -88,12 +95,21 @@ def test_sliding_detectors(spark, sources, tmp_path):
     start = dt.datetime(2026, 1, 1, 10, 0)
     schema = "tenant_id string, ts_bucket timestamp, device string, interface string, bytes_estimated long"
     rows = [("t", start + dt.timedelta(minutes=m), "d", "i", 1000 if m == 10 else 100) for m in range(40)]
-    known = spark.createDataFrame([("t", "d", "i", 10, 500.0, 50.0, 5)], "tenant_id string, device string, interface string, hour_of_day int, mean_value double, stddev_value double, sample_count long")
-    got = collected(spark, streams.sliding_spikes(streamed(spark, spark.createDataFrame(rows, schema), tmp_path, "sp", 1), known), tmp_path, "st4")
+    known = spark.createDataFrame(
+        [("t", "d", "i", 10, 500.0, 50.0, 5)],
+        "tenant_id string, device string, interface string, hour_of_day int, mean_value double, stddev_value double, sample_count long"
+    )
+    got = collected(
+        spark, streams.sliding_spikes(streamed(spark, spark.createDataFrame(rows, schema), tmp_path, "sp", 1), known), tmp_path, "st4"
+    )
     ends = {r.ts for r in got.collect()}
     assert ends and all(start + dt.timedelta(minutes=10) < e <= start + dt.timedelta(minutes=15) for e in ends)
     schema = "tenant_id string, ts_bucket timestamp, device string, interface string, queue_id int, pfc_pause_rx long, pfc_pause_tx long, ecn_marked_packets long, dropped_packets long"
-    rows = [("t", start + dt.timedelta(minutes=m), "d", "i", m % 2, 900 if m == 10 else 0, 200 if m == 12 else 0, 600 if m == 11 else 0, 0) for m in range(40)]
+    rows = [
+        (
+            "t", start + dt.timedelta(minutes=m), "d", "i", m % 2, 900 if m == 10 else 0, 200 if m == 12 else 0, 600 if m == 11 else 0, 0
+        ) for m in range(40)
+    ]
     got = collected(spark, streams.sliding_stress(streamed(spark, spark.createDataFrame(rows, schema), tmp_path, "qs", 1)), tmp_path, "st5")
     assert {(r.queue_id, r.anomaly_type) for r in got.collect()} == {(0, "pfc_storm"), (1, "ecn_spike")}
 
@@ -106,7 +122,9 @@ def test_breaches(spark, sources, tmp_path):
 
 
 def test_dedup_state(spark, tmp_path):
-    events = anomalies.with_fingerprint(view(spark, SF, "anomaly_raw")).withColumns({"summary": F.lit("s"), "metadata_json": F.lit(None).cast("string")})
+    events = anomalies.with_fingerprint(view(spark, SF, "anomaly_raw")).withColumns(
+        {"summary": F.lit("s"), "metadata_json": F.lit(None).cast("string")}
+    )
     store = streams.Versions(spark, str(tmp_path / "store"), streams.STORED, ["tenant_id", "fingerprint"], 4)
     last = run(streams.dedup_batches(streamed(spark, events, tmp_path, "ev"), store), tmp_path, "st7")
     columns = ["tenant_id", "fingerprint", "severity", "occurrence_count", "first_seen_at", "last_seen_at"]
@@ -124,12 +142,17 @@ def test_versions_touch_and_keep_few_folders(spark, tmp_path):
     assert sorted((r.k, r.n) for r in store.at(4).collect()) == [(0, 16), (1, 1), (2, 1), (3, 2), *((k, 1) for k in range(4, 8))]
     assert sorted((r.k, r.n) for r in store.at(3).collect()) == sorted((r.k, r.n) for r in store.at(4).collect())
     folders = [x for x in (tmp_path / "v" / "data").glob("v=*/bucket=*")]
-    assert len(folders) <= 8 and not (tmp_path / "v" / "data" / "v=1").exists() or not list((tmp_path / "v" / "data" / "v=1").glob("bucket=*"))
+    assert len(folders) <= 8 and not (tmp_path / "v" / "data" / "v=1").exists() or not list(
+        (tmp_path / "v" / "data" / "v=1").glob("bucket=*")
+    )
 
 
 def test_state_batch_run_again_is_stored_once(spark, sources, tmp_path):
     path = F.concat(F.lit("interfaces/interface[name="), F.col("interface"), F.lit("]/state/oper-status"))
-    raw = view(spark, SF, "iface_raw").select("device", "timestamp", F.array(F.struct(F.array(F.struct(path.alias("path"), F.col("oper_status").alias("val"))).alias("update"))).alias("notification"))
+    raw = view(spark, SF, "iface_raw").select(
+        "device", "timestamp",
+        F.array(F.struct(F.array(F.struct(path.alias("path"), F.col("oper_status").alias("val"))).alias("update"))).alias("notification")
+    )
     paths = {k: str(tmp_path / k) for k in ("interface", "bgp", "queue")}
     for again in range(2):  # another checkpoint: the same batches, as after a lost driver
         run(streams.state_batches(streamed(spark, raw, tmp_path, f"again{again}"), lambda: sources, paths), tmp_path, f"st3-{again}")
