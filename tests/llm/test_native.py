@@ -160,3 +160,14 @@ def test_preferences(spark):
     )
     assert [len(r.turns) for r in preference_format.turns_of(conv).collect()] == [3]
     assert preference_format.turns_of(conv.limit(0)).count() == 0
+
+
+def test_very_many_boilerplate_lines_of_long_texts(spark):
+    """Each line is looked up in one of many lists of hashes; what stays is what a plain count says."""
+    texts = [[f"line {k}" if k % 3 else f"line {k} of {page}" for k in range(1, 6001)] + ["line 1", ""] for page in range(6)]
+    df = spark.createDataFrame([(k, "h", "\n".join(x)) for k, x in enumerate(texts)], "doc_id long, source string, text string")
+    pages_with = Counter(line for x in texts for line in set(x))
+    want = {k: "\n".join(line for line in x if line == "" or pages_with[line] < 5) for k, x in enumerate(texts)}
+    got = line_dedup.dedup_lines(df, max_ratio=0.5, min_pages=5).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert {(r.n_lines, r.n_dropped) for r in got} == {(6002, 4001)}
