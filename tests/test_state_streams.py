@@ -412,3 +412,36 @@ def test_json_as_python_writes_it(spark):
         C.fingerprint(F.lit("t"), F.lit("k"), F.lit("s"), F.col("c")).alias("f")
     ).distinct()
     assert [r.f for r in same.collect()] == [hashlib.sha256(b"t|k|s|").hexdigest()]
+
+
+def test_many_panes_of_a_key_at_once(spark, tmp_path):
+    """Weeks of one queue that arrive in one batch: the windows' work must grow with their number, not with its square."""
+    n = 40_000
+    rows = spark.range(n).select(
+        F.lit("t").alias("tenant_id"), F.timestamp_seconds(F.lit(1_700_000_040) + F.col("id") * 60).alias("ts_bucket"),
+        F.lit("d").alias("device"), F.lit("i").alias("interface"), F.lit(0).alias("queue_id"), F.lit(1000).cast("long").alias("pfc_pause_rx"),
+        *[F.lit(0).cast("long").alias(c) for c in ("pfc_pause_tx", "ecn_marked_packets", "dropped_packets")]
+    )
+    rows.write.parquet(f"{tmp_path}/in")
+    feed, begun = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), time.time()
+    with timers.with_rocksdb(spark):
+        run(streams.sliding_stress(feed, panes=True).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append"), tmp_path)
+    assert time.time() - begun < 90
+    out = spark.read.parquet(f"{tmp_path}/out")
+    ends = out.agg(F.count("*"), F.countDistinct("ts"), F.sum("pfc"), F.max("pfc")).first()
+    assert tuple(ends) == (2 * n - 6, 2 * n - 6, 1000 * sum(min(5, k // 2 + 1) for k in range(2 * n - 6)), 5000)
+
+
+def test_windows_are_not_sent_through_the_driver(spark, tmp_path):
+    """However small Spark takes a stream to be, its windows are no side of a join that is broadcast."""
+    flows = "tenant_id string, ts_bucket timestamp, device string, interface string, bytes_estimated long"
+    rows = [("t", START + dt.timedelta(minutes=m), "d", "i", 1000 if m == 10 else 100) for m in range(40)]
+    known = spark.createDataFrame(
+        [("t", "d", "i", 10, 500.0, 50.0, 5)] * 50,
+        "tenant_id string, device string, interface string, hour_of_day int, mean_value double, stddev_value double, sample_count long"
+    )
+    feed = folder_stream(spark, tmp_path, flows, [rows])
+    q = run(
+        streams.sliding_spikes(feed, known).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append"), tmp_path
+    )
+    assert "Broadcast" not in q._jsq.explainInternal(False) and spark.read.parquet(f"{tmp_path}/out").count() > 0
