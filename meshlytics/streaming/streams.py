@@ -74,13 +74,14 @@ def window_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], lookb
 def sliding_spikes(
     flows: DataFrame, baselines: DataFrame, lookback: int = 300, every: int = 30, delay: str = "2 minutes", panes: bool = False
 ) -> DataFrame:
-    """ST4: spike scores of each sliding window, against the baseline of the hour of its end (a static table)."""
+    """ST4: spike scores of each sliding window, against the baseline of the hour of its end (a static table). The join sorts and
+    merges: Spark knows no size of the windows, and would send all of them through the driver if it took them for the smaller side."""
     rows = window_sums(
         flows, ["tenant_id", "device", "interface"], {"current_bytes": F.sum("bytes_estimated")}, lookback, every, delay, panes
     )
     known = baselines.where((F.col("sample_count") >= detect.MIN_BASELINE) & (F.col("stddev_value") != 0)).select(
         "tenant_id", "device", "interface", "hour_of_day", "mean_value", "stddev_value"
-    )
+    ).hint("merge")
     scored = rows.withColumn("hour_of_day", F.hour("ts")).join(known, ["tenant_id", "device", "interface", "hour_of_day"]).withColumn(
         "z_score", (F.col("current_bytes") - F.col("mean_value")) / F.col("stddev_value")
     )
