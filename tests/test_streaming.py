@@ -166,3 +166,17 @@ def test_freshness_state(spark, tmp_path):
     columns = ["tenant_id", "source_kind", "device", "last_ingest_ts", "last_sample_count"]
     assert rows_of(store.at(last), columns) == rows_of(freshness.heartbeats(rows), columns)
     assert baselines.MIN_SAMPLES == 3 and feeds.FLOW_FEED is not None
+
+
+def test_breaches_of_one_minute_take_the_last_sample(spark, sources, tmp_path):
+    """Of samples of the same minute the one of the largest event counts, however they are dealt."""
+    schema = "event_id long, timestamp timestamp, agent string, if_index int, if_name string, if_speed long, if_in_octets long, if_out_octets long, if_in_errors int, if_out_errors int"
+    rows = [
+        (k, dt.datetime(2026, 1, 1, 10, 0, k % 60), f"d{d}", d, str(d), 1_000_000_000, 3_000_000_000 if (k == 39) == (d == 0) else 0, 0, 0, 0)
+        for k in range(40) for d in range(2)
+    ]
+    for k, order in enumerate((rows, rows[::-1])):
+        feed = streamed(spark, spark.createDataFrame(order, schema).coalesce(1), tmp_path, f"tie{k}", 1)
+        seen = []
+        run(streams.breach_batches(streams.utilization(feed, sources), lambda df, n, seen=seen: seen.extend(df.collect())), tmp_path, f"st6-{k}")
+        assert [r.scope for r in seen] == ["device:d0/interface:0"]
