@@ -111,18 +111,30 @@ def _blocks(calls: DataFrame, seconds: int) -> tuple[DataFrame, int]:
 
 
 def rate_report(calls: DataFrame, limits: dict[str, int] = CALL_LIMITS, other: int = 30, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Q20, rolling: calls that have as many or more others of the same tool in the seconds before. A call near the end of
-    its block is also a row of the next block, where it only counts."""
+    """Q20, rolling: calls that have as many or more others of the same tool in the seconds before.
+
+    Each call counts up right after its time and down when it leaves the window, and calls read the sum so far: a sum from a
+    block's start is carried on from row to row, where a sliding frame is summed anew for each. A call that leaves in the next
+    block counts up there too. Steps other than the call's own hold no other columns."""
     most = F.lit(other)
     for tool, n in limits.items():
         most = F.when(F.col("tool_name") == tool, n).otherwise(most)
     rows, size = _blocks(calls, seconds)
-    late = F.col("_us") - F.col("_block") * size > size - seconds * 1_000_000
-    both = F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("_next", F.explode(both)).withColumn("_block", F.col("_block") + F.col("_next"))
-    w = Window.partitionBy("tool_name", "_block").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
-    rows = rows.withColumns({"calls_before": F.count("*").over(w), "max_calls": most}).where(F.col("_next") == 0)
-    return rows.withColumn("over", F.col("calls_before") >= F.col("max_calls")).drop("_us", "_block", "_next")
+    leaves = F.col("_us") + seconds * 1_000_000
+    after = F.call_function("div", leaves, F.lit(size))
+    step = lambda own, block, at, n: F.struct(
+        F.lit(own).alias("own"), block.alias("block"), at.alias("at"), F.lit(n).cast("long").alias("n")
+    )
+    up, down = F.col("_us") * 2 + 1, leaves * 2  # at the same time, leaving comes first and the others' steps up don't count
+    steps = F.array(
+        step(True, F.col("_block"), up, 1), F.when(after > F.col("_block"), step(False, after, up, 1)),
+        F.when(after.isNotNull(), step(False, after, down, -1))
+    )
+    rows = rows.withColumn("_step", F.explode(F.filter(steps, lambda x: x.isNotNull())))
+    rows = rows.select("tool_name", "_step", *[F.when(F.col("_step.own"), F.col(c)).alias(c) for c in calls.columns if c != "tool_name"])
+    w = Window.partitionBy("tool_name", "_step.block").orderBy("_step.at").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"calls_before": F.coalesce(F.sum("_step.n").over(w), F.lit(0)), "max_calls": most}).where("_step.own")
+    return rows.withColumn("over", F.col("calls_before") >= F.col("max_calls")).select(*calls.columns, "calls_before", "max_calls", "over")
 
 
 def rate_decisions(
