@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, read_table, ship, with_columns
+from .common import map_batches, read_table, release, ship, with_columns
 
 SLOTS = 1 << 15
 #: The most labelled rows that the model is fitted on; every fourth of them only for the temperature.
@@ -116,6 +116,7 @@ def document_frequencies(texts: DataFrame, slots: int) -> tuple[np.ndarray, int]
                 if (n := counts(t.as_py(), slots)) is not None:
                     seen[:-1] += n > 0
                     seen[-1] += 1
+            release()
         at = seen.nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["slot", "n"])
 
@@ -161,13 +162,16 @@ def fit(
     ).where("rank <= quota").select("y", "h")
     rows = rows.join(F.broadcast(least), ["y", "h"]).dropDuplicates(["y", "h"]).select("k", "y", "t")
 
+    def sparse(text):
+        """The slots and their counts as bytes; a count of all slots is held for one text at a time."""
+        if (n := counts(text, slots)) is None:
+            return None, None
+        at = n.nonzero()[0]
+        return at.astype("<u4").tobytes(), n[at].astype("<u4").tobytes()
+
     def count(batch):
-        found = [counts(t, slots) for t in batch.column(2).to_pylist()]
-        at = [None if n is None else n.nonzero()[0].astype("<u4") for n in found]
-        return [
-            batch.column(1), pa.array([None if a is None else a.tobytes() for a in at], pa.binary()),
-            pa.array([None if a is None else n[a].astype("<u4").tobytes() for a, n in zip(at, found)], pa.binary())
-        ]
+        found = [sparse(t.as_py()) for t in batch.column(2)]
+        return [batch.column(1), *[pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]]
 
     schema = T.StructType([T.StructField("y", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
     got = [

@@ -34,7 +34,7 @@ GROUP = 16_384
 #: Rounds of exchange.
 ROUNDS = 3
 #: Bytes of text that are encoded at once, and words that are remembered.
-SLICE_BYTES, MEMO = 2_000_000, 200_000
+SLICE_BYTES, MEMO = 1_000_000, 60_000
 
 
 def default_tokenizer() -> str:
@@ -160,7 +160,7 @@ def tokenize_pieces(
             *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
         ]
 
-    return map_batches(docs.select(key, text), cut, schema)
+    return map_batches(docs.select(key, text), cut, schema, lambda: encoder.cache_clear())
 
 
 def best_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:

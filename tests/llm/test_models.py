@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from meshlytics.llm import language_id, minhash, pii
 from pyspark.sql import functions as F
 
@@ -312,3 +313,28 @@ def test_run(spark, tmp_path):
     want = Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in current.collect())
     assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got.collect()) == want and len(want) > 20
     assert sum(n for (k, *_), n in want.items() if k == 10**6 + 2) == 1 and not any(k in (10**6, 10**6 + 1) for k, *_ in want)
+
+
+def test_learning_holds_one_dense_count(spark, monkeypatch):
+    """The counts of many sampled texts are kept sparse: a dense one is of one text at a time."""
+    import gc
+    import weakref
+
+    df = spark.createDataFrame([(k, f"words of text {'ab' * k}", "en") for k in range(40)], "doc_id long, text string, lang string").coalesce(1)
+    plain, live, most = language_id.counts, [], []
+
+    def watched(text, slots=language_id.SLOTS):
+        n = plain(text, slots)
+        live.append(weakref.ref(n))
+        most.append(sum(x() is not None for x in live))
+        return n
+
+    got = []
+    monkeypatch.setattr(language_id, "counts", watched)
+    monkeypatch.setattr(language_id, "map_batches", lambda rows, fn, schema: got.append((rows, fn)) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        language_id.fit(df)
+    ((rows, fn),) = got
+    table = rows.toArrow().combine_chunks().to_batches()[0]
+    live.clear(), most.clear(), gc.collect()
+    assert len(fn(table)[1]) == 40 and max(most) <= 2
