@@ -14,6 +14,7 @@ by hash; an empty table packs into nothing; other columns of ``pack`` stay, but
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -72,9 +73,10 @@ def byte_characters() -> dict[int, int]:
 class WordEncoder:
     """Ids of texts: of each word once, then from memory. Words are runs without ASCII white space; words of Latin letters,
     less one mark behind, go straight to the tokenizer's model, other words through all of the tokenizer. Tokenizers
-    that split texts in another way encode whole texts."""
+    that split texts in another way encode whole texts. A task has one core, so one thread: each of the library's takes memory."""
 
     def __init__(self, path: str, memo: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -160,7 +162,12 @@ def tokenize_pieces(
             *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
         ]
 
-    return map_batches(docs.select(key, text), cut, schema, lambda: encoder.cache_clear())
+    def forget():
+        # The words alone: a tokenizer that is dropped does not give its memory back, so each task's new one would add to it.
+        if encoder.cache_info().currsize:
+            encoder(path, memo).memo.clear()
+
+    return map_batches(docs.select(key, text), cut, schema, forget)
 
 
 def best_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:

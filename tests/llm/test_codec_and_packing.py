@@ -1,7 +1,11 @@
 """Operators 1 and 5 against the libraries themselves and against simple packing."""
 
+import os
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +173,42 @@ def test_other_tokenizers_take_whole_texts():
     assert not e.by_words and ids_of(e, TEXTS) == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_a_task_leaves_one_tokenizer_and_no_words(spark, monkeypatch):
+    """Workers live on: each task's words go, and no task adds a tokenizer to those before."""
+    got, seen = [], []
+    monkeypatch.setattr(packing, "map_batches", lambda df, fn, schema, forget: got.append((fn, forget)) or df)
+    packing.tokenize_pieces(spark.createDataFrame([], "doc_id long, text string"), memo=77)
+    ((cut, forget),) = got
+    packing.encoder.cache_clear()
+    forget()
+    assert not packing.encoder.cache_info().currsize  # a task without rows loads nothing
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", "naïve 12 words."])], ["doc_id", "text"])
+    want = [x.to_pylist() for x in cut(batch)]
+    for _ in range(3):
+        assert [x.to_pylist() for x in cut(batch)] == want
+        seen.append(packing.encoder(packing.default_tokenizer(), 77))
+        assert seen[-1].memo.young
+        forget()
+        assert not seen[-1].memo.young and not seen[-1].memo.old
+    assert all(x is seen[0] for x in seen)
+
+
+def test_encoding_starts_no_threads():
+    """A worker's task has one core; the library's threads, one for each core of the machine, held memory of their own."""
+    code = """
+import os
+import pyarrow as pa
+from meshlytics.llm import packing
+before = len(os.listdir("/proc/self/task"))
+e = packing.WordEncoder(packing.default_tokenizer(), 1000)
+e.encode(pa.array([f"{k}-{k} \u65e5{k}" for k in range(3000)]))
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": str(Path(__file__).parents[2])}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=60)
+    assert done.stdout == "0\n", done.stderr
+
+
 def test_packing_is_exact_and_gapless(spark):
     from tokenizers import Tokenizer
 
