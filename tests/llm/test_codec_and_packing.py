@@ -75,6 +75,38 @@ def test_whole_texts_are_checked(spark):
     assert {r.whole_parity for r in codec.encode(spark.createDataFrame(rows, "doc_id long, text string"), parity=False).collect()} == {None}
 
 
+def test_every_text_is_checked_whole(spark):
+    """No share of the texts: both libraries encode and decode each one, whatever its hash; nulls alone are left out."""
+    rows = [(k, f"{t} text no. {k}, once" if k % 2 else t) for k, t in enumerate(TEXTS * 12)] + [(-1, None)]
+    got = codec.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.parity, r.whole_parity) for r in got if r.doc_id >= 0} == {(True, True)}
+    assert [(r.parity, r.whole_parity) for r in got if r.doc_id < 0] == [(None, None)]
+    got = codec.op1_sentencepiece(spark, "/root/testdata/sf0.001").where("piece_ids IS NOT NULL").collect()
+    assert len(got) > 100 and all(r.parity and r.whole_parity for r in got)
+
+
+def test_the_whole_text_decides_parity():
+    """A peer that differs where words meet, or in decoding alone, is found out, in texts with plain and with odd spacing."""
+    own = codec.Codec(codec.default_model(), True, 100)
+
+    class Other:
+        def __init__(self, peer):
+            self.peer = peer
+
+        def encode(self, texts, **options):
+            return [x[:-1] if "differs here" in t else x for t, x in zip(texts, self.peer.encode(texts, **options))]
+
+        def decode(self, ids, **options):
+            return [x.replace("back", "BACK") for x in self.peer.decode(ids, **options)]
+
+    texts = ["it differs here", "it differs", "differs  here", " it differs here", "it goes back", ""]
+    own.peer = Other(own.peer)
+    ids, bounds, agree = own.encode(pa.array(texts))
+    assert agree.tolist() == [False, True, True, False, True, True]
+    runs = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    assert own.decoded_alike(runs, own.decode_all(ids, bounds)) == [True, True, True, True, False, True]
+
+
 @pytest.fixture(scope="module")
 def trained(tmp_path_factory):
     """Small models of the sentencepiece library: both kinds, with and without normaliser, prefix, byte fallback, user pieces."""
