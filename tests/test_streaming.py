@@ -180,3 +180,35 @@ def test_breaches_of_one_minute_take_the_last_sample(spark, sources, tmp_path):
         seen = []
         run(streams.breach_batches(streams.utilization(feed, sources), lambda df, n, seen=seen: seen.extend(df.collect())), tmp_path, f"st6-{k}")
         assert [r.scope for r in seen] == ["device:d0/interface:0"]
+
+
+def test_breaches_of_repeated_events_are_of_those_that_the_sql_leaves_open(spark, tmp_path):
+    """Events that come again with other ids tie in the last minute, which the SQL leaves open: rows are those of the SQL with the
+    event as its last key, as in Q15a, and where no tie matters there is no other answer."""
+    import duckdb
+
+    from meshlytics.plans.oracles import ORACLES
+    from meshlytics.plans.stream_queries import QUERIES
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    copies = spark.range(7).select(F.col("id").alias("k"))
+    events.crossJoin(copies).withColumn("event_id", F.col("event_id") + 1013 * F.col("k")).drop("k").repartition(3).write.parquet(
+        str(tmp_path / "events.parquet")
+    )
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for t in ("region", "nation"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    sql, last = ORACLES["st6_breach_stream"], "ORDER BY ts_bucket DESC)"
+    assert sql.count(last) == 1
+    got = sorted(tuple(r) for r in QUERIES["st6_breach_stream"](spark, str(tmp_path)).select("tenant_id", "scope", "anomaly_type").collect())
+    assert got == sorted(con.execute(sql.replace(last, "ORDER BY ts_bucket DESC, event_id DESC)")).fetchall())
+    views = sql[: sql.rindex("SELECT tenant_id, 'device:'")]
+    tied = con.execute(
+        f"""{views} SELECT 'device:' || device || '/interface:' || interface, bool_and(u >= 60), bool_or(u >= 60) FROM (
+        SELECT *, rank() OVER (PARTITION BY tenant_id, device, interface {last} AS k FROM utilization) WHERE k = 1 GROUP BY 1"""
+    ).fetchall()
+    scopes = {r[1] for r in got}
+    assert {s for s, every, _ in tied if every} <= scopes <= {s for s, _, some in tied if some}
+    assert any(some and not every for _, every, some in tied)
